@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import cut, gram_hashes, mix, shuffle_partitions, text_chunks, word_hashes
+from tidewright.llm.shared import bound_batches, cut, gram_hashes, mix, shuffle_partitions, text_chunks, word_hashes
 
 #: Fragments beyond those that pairs may differ in; documents with more empty segments than this are always live.
 SPARE = 2
@@ -296,6 +296,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
 
     Documents link when den * |intersection| >= num * |union| of their n-gram sets."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = cut(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_sign(n, num, den), _ROW), "sets")
 
     signed = rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "fa")

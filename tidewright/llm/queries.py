@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, mixture, secret_scan
+from tidewright.llm import decontaminate, mixture, ngram_join, secret_scan
 from tidewright.llm.oracles import ORACLES
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.link(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1."""
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -30,6 +35,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_mixture": op3_mixture,
     "op7_decontaminate": op7_decontaminate,
     "op10_secret_scan": op10_secret_scan,

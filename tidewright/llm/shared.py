@@ -48,6 +48,11 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, most: str = "16m") -> None:
+    """Let batches of rows that go to Python hold at most so many bytes, whatever the rows' length."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
