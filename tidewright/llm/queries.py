@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, mixture, ngram_join, secret_scan
+from tidewright.llm import decontaminate, html_extract, mixture, ngram_join, secret_scan, token_store, top_k
 from tidewright.llm.oracles import ORACLES
 
 
@@ -19,11 +19,32 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(_table(spark, sf_dir, "documents"), n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources mixed to weights 5, 2, 1."""
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return top_k.search(_table(spark, sf_dir, "embeddings"))
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as packed token ids, read back."""
+    return token_store.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the windows of benchmark items."""
     return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -36,7 +57,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_html_extract": op2_html_extract,
     "op3_mixture": op3_mixture,
+    "op4_top_k": op4_top_k,
+    "op5_token_store": op5_token_store,
     "op7_decontaminate": op7_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
