@@ -4,9 +4,9 @@ Each document gets the key -ln(u)/w (Efraimidis and Spirakis): u is uniform and
 function of the seed and the doc_id, w is the document's quality weight. Within
 its source a document is taken whole in every complete epoch of the source's
 target; what the target has beyond complete epochs is filled in order of the key,
-up to the prefix sum at which the budget ends (the document at the boundary is
-taken if at least half of it fits, so a source misses its target by half a
-document at most).
+up to the prefix sum at which the budget ends. `taken` counts of the document at the
+boundary the words that still fit, so a source misses its target by less than a word;
+`copies` counts whole documents, and has that document if at least half of it fits.
 
 Scale: the prefix sum never sorts a source in one task. Keys are mapped monotonically
 to buckets; sums per source and bucket are few rows; only the bucket in which a
@@ -92,10 +92,13 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
     joined = rows.join(F.broadcast(info) if few else info, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     edge = joined.where(F.col("bucket") == F.col("end_bucket"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("extra", (2 * (F.col("end_before") + F.sum("size").over(inside)) - F.col("size") <= 2 * F.col("rest")).cast("long"))
-    others = joined.where(~F.col("bucket").eqNullSafe(F.col("end_bucket"))).withColumn("extra", F.coalesce(F.col("bucket") < F.col("end_bucket"), F.lit(False)).cast("long"))
-    copies = F.least(F.col("epochs") + F.col("extra"), F.lit(int(most)).cast("long"))
-    return edge.unionByName(others).select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    # Words of the last, incomplete epoch; only the document at the boundary has some but not all.
+    left = F.floor("rest") - (F.col("end_before") + F.sum("size").over(inside) - F.col("size"))
+    edge = edge.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", left)))
+    others = joined.where(~F.col("bucket").eqNullSafe(F.col("end_bucket"))).withColumn("extra", F.when(F.col("bucket") < F.col("end_bucket"), F.col("size")).otherwise(F.lit(0).cast("long")))
+    taken = F.least(F.col("epochs") * F.col("size") + F.col("extra"), F.lit(int(most)).cast("long") * F.col("size"))
+    copies = F.least(F.col("epochs") + (2 * F.col("extra") >= F.greatest("size", F.lit(1))).cast("long"), F.lit(int(most)).cast("long"))
+    return edge.unionByName(others).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
 def expand(docs: DataFrame, weight: Column | None = None, **how) -> DataFrame:
