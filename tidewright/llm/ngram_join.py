@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, cut, gram_hashes, mix, shuffle_partitions, text_chunks, word_hashes
+from tidewright.llm.shared import bound_batches, cut, gram_hashes, mix, text_chunks, word_hashes
 
 #: Fragments beyond those that pairs may differ in; documents with more empty segments than this are always live.
 SPARE = 2
@@ -49,6 +49,9 @@ FRAGMENTS = 16
 #: Sets whose copies within one task are recognised before the memory of them is begun anew.
 REMEMBERED = 500_000
 
+#: Live sets whose ids are broadcast to find their texts (about 50 MB); with more, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
+
 _ROW = "doc_id long, n_shingles long, fp binary, fa long, live boolean, sigs array<bigint>"
 
 
@@ -213,49 +216,6 @@ def _segments(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(fp, n, segments) to (part, fp, n-grams): the order cut into as many parts as the counting has tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                some = batch.slice(at, 500)
-                inner = some.column(1).flatten()
-                g = inner.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                per_row = np.array(inner.value_lengths()).reshape(-1, FRAGMENTS).sum(axis=1) if len(some) else np.zeros(0, int)
-                row = np.repeat(np.arange(len(some)), per_row)
-                part = (((g >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-                starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])))) if len(g) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[starts].astype(np.int32)), some.column(0).take(pa.array(row[starts])), _lists(g.view(np.int64), np.concatenate((starts, [len(g)])))], names=["part", "fp", "g"]
-                )
-
-    return run
-
-
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, n-grams of one part) to (fp, n-grams that are in no other document, the others, in how many documents each is)."""
-    if not (got := _gathered(batches, 2)) or not len(got[0]):
-        return
-    lists = got[1].combine_chunks()
-    lengths = np.array(lists.value_lengths())
-    g = lists.flatten().to_numpy(zero_copy_only=False)
-    _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
-    df = count[inverse]
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    shared = df > 1
-    own = np.bincount(row[~shared], minlength=len(lengths))
-    ends = np.concatenate(([0], np.cumsum(np.bincount(row[shared], minlength=len(lengths)))))
-    g, df = g[shared], df[shared]
-    fps = got[0].combine_chunks()
-    for a in range(0, len(lengths), 10_000):
-        b = min(a + 10_000, len(lengths))
-        cuts = ends[a : b + 1]
-        yield pa.RecordBatch.from_arrays(
-            [fps.slice(a, b - a), pa.array(own[a:b]), _lists(g[cuts[0] : cuts[-1]], cuts - cuts[0]), _lists(df[cuts[0] : cuts[-1]], cuts - cuts[0])], names=["fp", "own", "g", "df"]
-        )
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (x, y): root is the smallest node of the connected component.
 
@@ -304,17 +264,18 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     classes = rows.where("fp is not null").groupBy("fp", "fa").agg(F.min("doc_id").alias("rep"), F.max("live").alias("live"))
     chosen = cut(classes.join(met.withColumn("met", F.lit(True)), "fa", "left").where("live or met").select("fp", "rep"), "live")
 
-    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(chosen, F.col("_id").eqNullSafe(F.col("rep")))
+    few = chosen.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, F.col("_id").eqNullSafe(F.col("rep")))
     sets = cut(texts.select("fp", "text").mapInArrow(_segments(n), "fp binary, n long, segs array<array<bigint>>"), "segments")
     if not sets.groupBy("fp").count().where("count > 1").isEmpty():  # rows repeated with their ids
         sets = cut(sets.dropDuplicates(["fp"]), "segments")
 
-    parts = shuffle_partitions(spark)
-    spread = sets.select("fp", "segs").mapInArrow(_dealt(parts), "part int, fp binary, g array<bigint>").repartitionById(parts, "part").select("fp", "g").mapInArrow(_spread, "fp binary, own long, g array<bigint>, df array<bigint>")
-    order = spread.groupBy("fp").agg(F.sum("own").alias("own"), F.flatten(F.collect_list(F.arrays_zip("df", "g"))).alias("z"))
-    sized = order.join(sets.select("fp", "n"), "fp")
+    # In how many live documents each n-gram is; those of one document only count towards `own`.
+    grams = sets.select("fp", "n", F.explode_outer(F.flatten("segs")).alias("g"))
+    spread = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    order = grams.join(spread, "g").groupBy("fp", "n").agg(F.collect_list(F.struct("df", "g")).alias("z")).withColumn("own", F.col("n") - F.size("z"))
     room = (F.col("n") - F.ceil(F.col("n") * num / den) + 1 - F.col("own")).cast("int")
-    heads = sized.where(room > 0).select("fp", "n", "own", F.slice(F.sort_array("z"), F.lit(1), room).alias("z"))
+    heads = order.where(room > 0).select("fp", "n", "own", F.slice(F.sort_array("z"), F.lit(1), room).alias("z"))
     lists = heads.select("fp", "n", "own", F.posexplode_outer("z").alias("i", "z")).where("z is not null")
     lists = cut(lists.select(F.col("z.g").alias("g"), "fp", "n", "own", (F.col("own") + F.col("i")).alias("p")), "lists")
 
