@@ -1,10 +1,10 @@
 """Token ids as bit-packed binary blocks.
 
-Documents are encoded with a public tokenizer, and an end id follows each. Words
-(pieces of the tokenizer's own splitting) are encoded by the library once a task and
-looked up from then on, which gives the ids that whole texts give, for splitting is
-the step before merging. Texts in which the split isn't known to be the tokenizer's
-are encoded whole.
+Documents are encoded with a public tokenizer, and an end id follows each. For a
+byte-level BPE the words between spaces are encoded by the library once a worker and
+looked up from then on, which gives the ids that whole texts give: the tokenizer
+splits a text there before it merges. Texts in which that isn't sure (several blanks
+in a row, other white space, special tokens), and other tokenizers, encode whole texts.
 
 Format. The store is a folder of shards in ascending order of doc_id; a row of a
 shard is a block: an image of bytes with a header (magic, bits an id, documents, ids),
@@ -25,6 +25,7 @@ gives an empty store; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, shuffle_partitions
+from tidewright.llm.shared import bound_batches, shuffle_partitions, text_chunks
 
 MAGIC = b"TWB1"
 HEADER = struct.Struct("<4sIIQ")
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, and as many that it knew before.
+REMEMBERED = 450_000
 #: Ranges that the ids are first cut into are found to within this share of all rows.
 QUANTILE_ERROR = 0.002
 END_ID = 2
@@ -51,6 +52,23 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+#: Bytes that are in white space other than space and line feed, alone or as the first of a character.
+_STRANGE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def plain(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which rows have no white space but single spaces and line feeds between words, by their bytes."""
+    blank = (raw == 32) | (raw == 10)
+    bad = _STRANGE[raw]
+    bad[1:] |= blank[1:] & blank[:-1]
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    edge = blank[offsets[:-1][some]] | blank[offsets[1:][some] - 1]
+    total = np.concatenate(([0], np.cumsum(bad)))
+    found = total[offsets[1:]] == total[offsets[:-1]]
+    found[some] &= ~edge
+    return found
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
@@ -85,13 +103,13 @@ def document(block: bytes, i: int) -> np.ndarray:
 class Encoder:
     """Texts to ids, with a bounded memory of words."""
 
-    # Fixed value: the split of byte-level BPE vocabularies of this kind.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    # Where white space is single spaces and line feeds, the tokenizer's own split has a boundary before every
+    # space and on both sides of every line feed; elsewhere a run of white space may be one piece.
+    UNSURE = re.compile(r"\s(?!\S)|[^\S \n]|\A\s")
 
     def __init__(self, path: str) -> None:
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,36 +118,72 @@ class Encoder:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and (made.get("model") or {}).get("type") == "BPE"
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else -1
+        self.by_word &= len(feed) == 1
         #: Added tokens are found before the split; a text with one is encoded whole.
         self.added = [t["content"] for t in made.get("added_tokens", [])]
-        self.split = regex.compile(self.SPLIT).findall
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        #: The bytes of each word's ids as 32-bit integers: of words that begin a line, and of words after a space; and what was known before.
+        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.old: list[dict[str, bytes]] = [{}, {}]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _learn(self, kind: int, words: set[str]) -> None:
+        """Encode words that aren't known, many at a time, with a line feed, which is one id, after each. kind 1: words after a space."""
+        known, old = self.known[kind], self.old[kind]
+        new = []
+        for w in words:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        shape = " %s\n" if kind else "%s\n"
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            ids = np.array(self.tokenizer.encode((shape * len(some)) % tuple(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(some):
+                raise ValueError("a line feed is not an id of its own")
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(some, (4 * ends).tolist(), strict=True):
+                known[w] = data[start:stop]
+                start = stop + 4
+
+    def encode(self, texts: list[str], sure: np.ndarray | None = None) -> list[np.ndarray]:
+        """Ids of each text. sure: where no white space but single spaces and line feeds between words is known to be."""
         if not self.by_word:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        plain = [not any(a in t for a in self.added) for t in texts]
-        words = [self.split(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        new = list({w for x in words for w in x if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = e.ids
-        return [[i for w in x for i in known[w]] if p else self.tokenizer.encode(t, add_special_tokens=False).ids for t, p, x in zip(texts, plain, words, strict=True)]
+            return [np.frombuffer(self._whole(t), np.uint32) for t in texts]
+        for kind in (0, 1):
+            if len(self.known[kind]) > REMEMBERED:
+                self.known[kind], self.old[kind] = {}, self.known[kind]
+        sure = [False] * len(texts) if sure is None else sure.tolist()
+        lines = [None if not t or not ok and self.UNSURE.search(t) or any(a in t for a in self.added) else [x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, sure, strict=True)]
+        self._learn(0, {x[0] for y in lines if y for x in y})
+        self._learn(1, {w for y in lines if y for x in y for w in x[1:]})
+        first, later, feed = self.known[0], self.known[1].__getitem__, np.uint32(self.feed).tobytes()
+        return [np.frombuffer(self._whole(t) if y is None else feed.join([first[x[0]] + b"".join(map(later, x[1:])) for x in y]), np.uint32) for t, y in zip(texts, lines, strict=True)]
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
 
+#: Encoders of this Python worker, by path: a worker serves many tasks.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def _encode(path: str, end: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        encoder, last = _ENCODERS[path], np.array([end], np.uint32)
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                some = batch.slice(a, 256)
-                docs = [np.array([*x, end], np.uint32) for x in encoder.encode([t or "" for t in some.column(2).to_pylist()])]
+            for a, b, raw, offsets in text_chunks(batch.column(2), 1 << 20):
+                some = batch.slice(a, b - a)
+                docs = [np.concatenate((x, last)) for x in encoder.encode([t or "" for t in some.column(2).to_pylist()], plain(raw, offsets))]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array([len(x) for x in docs], pa.int64()), pa.array([pack(x, bits) for x in docs], pa.binary())], names=["part", "doc_id", "n", "ids"]
                 )
@@ -196,8 +250,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a shard
-    placed = blocks.join(base, "shard").select((F.col("base") + F.col("first")).alias("at"), "doc_ids", "image")
+    base = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a shard, and as many shards as a shuffle has partitions
+    placed = blocks.join(F.broadcast(base), "shard").select((F.col("base") + F.col("first")).alias("at"), "doc_ids", "image")
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
