@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, html_extract, mixture, ngram_join, quality, secret_scan, token_store, top_k
+from tidewright.llm import decontaminate, html_extract, license_scan, mixture, ngram_join, quality, secret_scan, token_store, top_k
 from tidewright.llm.oracles import ORACLES
 
 
@@ -50,6 +50,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of every document."""
+    return license_scan.digest(license_scan.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents resampled towards labelled good text."""
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": op4_top_k,
     "op5_token_store": op5_token_store,
     "op7_decontaminate": op7_decontaminate,
+    "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
