@@ -1,5 +1,5 @@
 """Named queries over the driver's tables, each with its SQL where SQL can say it."""
 
-from tidewright.plans import retrieval
+from tidewright.plans import retrieval, usage
 
-PLANS = {**retrieval.PLANS}
+PLANS = {**retrieval.PLANS, **usage.PLANS}

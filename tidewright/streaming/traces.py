@@ -14,17 +14,18 @@ PAIRED = "session string, log_seq long, kind string, capability_id string, ts lo
 
 
 def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    search_seq, query, used = state.get if state.exists else (None, None, False)
+    search_seq, query, used = state.get if state.exists else (-1, "", False)  # -1: none yet
     rows = pd.concat(list(frames)).sort_values("log_seq")
     out = []
     for r in rows.itertuples():
         if r.role == "search":
-            search_seq, query, used = int(r.log_seq), r.query, False
-        elif search_seq is not None:
-            out.append([key[0], r.log_seq, r.role, r.capability_id, r.ts, search_seq, query, not used])
+            search_seq, query, used = int(r.log_seq), r.query or "", False
+        elif search_seq >= 0:
+            out.append([str(key[0]), r.log_seq, r.role, r.capability_id, r.ts, search_seq, query, not used])
             used = True
     state.update((search_seq, query, used))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRED.split(", ")])
+    if out:
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRED.split(", ")])
 
 
 def paired(events: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def _correlate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
                 given = str(r.log_seq)
             else:
                 given = str(waiting.pop(0) if waiting else r.log_seq)
-        out.append([*key, r.log_seq, r.type, given])
+        out.append([*map(str, key), r.log_seq, r.type, given])
     state.update((waiting,))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in CORRELATED.split(", ")])
 
