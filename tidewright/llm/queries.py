@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, html_extract, license_scan, mixture, ngram_join, quality, secret_scan, token_store, top_k
+from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, mixture, ngram_join, quality, secret_scan, token_store, top_k
 from tidewright.llm.oracles import ORACLES
 
 
@@ -45,6 +45,11 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document by the rest of the corpus."""
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the windows of benchmark items."""
     return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixture": op3_mixture,
     "op4_top_k": op4_top_k,
     "op5_token_store": op5_token_store,
+    "op6_lm_score": op6_lm_score,
     "op7_decontaminate": op7_decontaminate,
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
