@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import cut
+from tidewright.llm.shared import cut, sized
 
 # What separates words, and the letters that are lowered.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,9 +100,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     marked = cut(rows.join(lookup, "f", "left").groupBy("row", "doc_id", "same", "n_words").agg(F.max("hit").alias("hit")), "marked")
 
     # Extend: the windows of candidates only, compared as text.
-    chosen = marked.where("hit = 1").select(F.col("doc_id").alias("_id")).distinct()
+    chosen = marked.where("hit = 1").select(F.col("doc_id").alias("__tw_id")).distinct()
     again = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(text).alias("same"), F.col(text).alias("_t"))
-    again = again.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words(F.col("_t")).alias("_w"))
+    again = again.join(sized(chosen, "chosen"), F.col("doc_id").eqNullSafe(F.col("__tw_id")), "left_semi").dropDuplicates(["doc_id", "same"]).select("doc_id", "same", words(F.col("_t")).alias("_w"))
     every = None
     for n in [*short, window]:
         runs = _runs(n)
@@ -116,8 +116,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     covered = hits.withColumn("from", F.greatest("start", F.coalesce(reach, F.lit(0)))).groupBy("doc_id", "same").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("span") - F.col("from"))).cast("long").alias("n_hit"))
     named = hits.select("doc_id", "same", "w", "span").distinct().join(F.broadcast(targets) if n_texts <= BROADCAST_ROWS // 4 and targets.count() <= BROADCAST_ROWS // 4 else targets, ["w", "span"])
     listed = named.select("doc_id", "same", "item_id").distinct().groupBy("doc_id", "same").agg(F.sort_array(F.collect_list(F.col("item_id").cast("string"))).alias("item_ids"))
-    found = covered.join(listed, [covered.doc_id.eqNullSafe(listed.doc_id), covered.same.eqNullSafe(listed.same)]).select(covered.doc_id.alias("_id"), covered.same.alias("_same"), "n_hit", "item_ids")
-    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("same").eqNullSafe(F.col("_same")) & (F.col("hit") == 1), "left").select(
+    found = covered.join(listed, [covered.doc_id.eqNullSafe(listed.doc_id), covered.same.eqNullSafe(listed.same)]).select(covered.doc_id.alias("__tw_id"), covered.same.alias("__tw_same"), "n_hit", "item_ids")
+    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("__tw_id")) & F.col("same").eqNullSafe(F.col("__tw_same")) & (F.col("hit") == 1), "left").select(
         "doc_id", "same", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids")
     )
 
@@ -130,5 +130,5 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_share: float = 0.0, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """The rows of docs of whose words at most `most_share` are inside benchmark windows. Columns stay."""
     found = decontaminate(docs, items, window, text=text, doc=doc)
-    bad = found.where((F.col("n_hit") > 0) & (F.col("n_hit") > most_share * F.col("n_words"))).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
-    return docs.join(bad, docs[doc].eqNullSafe(F.col("_id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_same")), "left_anti")
+    bad = sized(found.where((F.col("n_hit") > 0) & (F.col("n_hit") > most_share * F.col("n_words"))).select(F.col("doc_id").alias("__tw_id"), F.col("same").alias("__tw_same")).distinct(), "contaminated")
+    return docs.join(bad, docs[doc].eqNullSafe(F.col("__tw_id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("__tw_same")), "left_anti")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import cut
+from tidewright.llm.shared import cut, sized
 
 # Fixed values of the production mix.
 WEIGHTS = (5, 2, 1)
@@ -42,7 +42,7 @@ def uniform(key: Column, seed: str = "mix-1") -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def sized(docs: DataFrame, weight: Column | None = None, text: str = "text", seed: str = "mix-1") -> DataFrame:
+def measured(docs: DataFrame, weight: Column | None = None, text: str = "text", seed: str = "mix-1") -> DataFrame:
     """(doc_id, source, size, u, w)."""
     w = F.lit(1.0) if weight is None else F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(weight.cast("double"), F.lit(LEAST_WEIGHT))))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,7 +74,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, text: str = "text", seed: str = "mix-1") -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken, copies."""
-    rows = cut(sized(docs, weight, text, seed).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sized")
+    rows = cut(measured(docs, weight, text, seed).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sized")
     # The source table and the bucket sums both come from one small table.
     sums = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     plan = targets(sums, weights, share, most)
@@ -103,6 +103,6 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
 
 def expand(docs: DataFrame, weight: Column | None = None, **how) -> DataFrame:
     """docs with each row as often as the mix takes it. Rows of one doc_id are taken as often as its most taken row."""
-    taken = mix(docs, weight, **how).groupBy("doc_id").agg(F.max("copies").alias("_n")).withColumnRenamed("doc_id", "_id")
-    times = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return times.withColumn("_i", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("_n"))))).drop("_n", "_i", "_id")
+    taken = sized(mix(docs, weight, **how).groupBy("doc_id").agg(F.max("copies").alias("__tw_n")).withColumnRenamed("doc_id", "__tw_id"), "copies")
+    times = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__tw_id")))
+    return times.withColumn("__tw_i", F.explode(F.when(F.col("__tw_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("__tw_n"))))).drop("__tw_n", "__tw_i", "__tw_id")

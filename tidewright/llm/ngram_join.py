@@ -5,11 +5,12 @@ n-gram order, and it is cut into fragments: a document becomes one segment in ea
 
 1. Which documents can have a partner. Two sets that link differ in at most
    k = floor(s * (1 - t) / t) n-grams, s being the smaller size, so if the order is
-   cut into k + 1 + SPARE fragments, at least 1 + SPARE of their segments are equal.
-   Sizes fall in classes a factor 1/t wide; a document signs its segments as cut for
-   its own class and for the class of its smallest partner. A document is live if a
-   signature meets one of a different set, or if more than SPARE of its segments are
-   empty. Documents that are not live have no link. Equal sets count as one.
+   cut into k + 1 + e fragments, at least 1 + e of their segments are equal. Sizes fall
+   in classes a factor 1/t wide; a document signs its segments as cut for its own class
+   and for the class of its smallest partner. It is live if its signatures that meet
+   one of a different set and its empty segments make 1 + e; a passage that many
+   documents share makes few whole segments. Documents that are not live have no link.
+   Equal sets count as one. Signatures travel in blocks of a few bytes each.
 2. Of live documents, each fragment counts in how many an n-gram is. Ordered by that
    count, a document's first n-grams (those by which every partner must be met) are
    listed; n-grams that are in no other document move the list's start, so documents
@@ -40,9 +41,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, cut, gram_hashes, mix, text_chunks, word_hashes
+from tidewright.llm.shared import bound_batches, cut, drop, gram_hashes, mix, shuffle_partitions, sized, text_chunks, word_hashes
 
-#: Fragments beyond those that pairs may differ in; documents with more empty segments than this are always live.
+#: Spare fragments of the smallest classes; larger ones have a quarter of what pairs may differ in besides.
 SPARE = 2
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 16
@@ -52,7 +53,6 @@ REMEMBERED = 500_000
 #: Live sets whose ids are broadcast to find their texts (about 50 MB); with more, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 
-_ROW = "doc_id long, n_shingles long, fp binary, fa long, live boolean, sigs array<bigint>"
 
 
 def _sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,23 +95,26 @@ def _class_starts(num: int, den: int, most: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
+def _spare(differ: np.ndarray) -> np.ndarray:
+    """Fragments beyond those that a pair may differ in: so many segments more than one are equal in any pair that links."""
+    return differ // 4 + SPARE
+
+
 def _signed(g: np.ndarray, bounds: np.ndarray, kind: np.ndarray, differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of segments, their rows, and the rows with more than SPARE empty segments. kind: each row's size class, below 0 for none."""
-    size = np.where(kind >= 0, bounds[1:] - bounds[:-1], 0)
+    """Signatures of segments that aren't empty, their rows, and each row's number of empty segments. kind: each row's size class, below 0 for none."""
     row = np.repeat(np.arange(len(kind)), bounds[1:] - bounds[:-1])
     used = kind[row] >= 0
     row, h = row[used], g[used]
-    pieces = differ[np.maximum(kind, 0)] + 1 + SPARE
+    pieces = np.where(kind >= 0, differ[np.maximum(kind, 0)] + 1 + _spare(differ)[np.maximum(kind, 0)], 0)
     if not len(h):
-        return h, row, np.zeros(0, np.int64)
+        return h, row, pieces
     piece = ((h >> np.uint64(32)) * pieces[row].astype(np.uint64)) >> np.uint64(32)
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (piece[1:] != piece[:-1])
     starts = np.flatnonzero(new)
     content = _sums(mix(h + np.uint64(0x51)), np.concatenate((starts, [len(h)])))
     sig = mix(content ^ mix(piece[starts] * np.uint64(0x10001) + kind[row[starts]].astype(np.uint64) * np.uint64(0x1000000000001)))
-    full = np.bincount(row[starts], minlength=len(kind))
-    return sig, row[starts], np.flatnonzero((size > 0) & (pieces - full > SPARE))
+    return sig, row[starts], pieces - np.bincount(row[starts], minlength=len(kind))
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -123,21 +126,47 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None = N
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind or pa.int64()))
 
 
-def _sign(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _named(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, text) to (doc_id, n_shingles, fp, fa); an empty set has no fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, raw, offsets in text_chunks(batch.column(1)):
+                g, bounds = _sets(raw, offsets, n)
+                prints, size = _fingerprints(g, bounds), pa.array(np.diff(bounds))
+                empty = pa.compute.equal(size, 0)
+                columns = [batch.column(0).slice(a, b - a), size, pa.compute.if_else(empty, None, _binary(prints)), pa.array(prints[:, 0].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "fp", "fa"])
+
+    return run
+
+
+def _runs(sig: np.ndarray, fa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted signatures: where each run begins, and for each row whether its run has more than one set."""
+    runs = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    mixed = np.minimum.reduceat(fa, runs) != np.maximum.reduceat(fa, runs)
+    return runs, np.repeat(mixed, np.diff(np.concatenate((runs, [len(sig)]))))
+
+
+def _sign(n: int, num: int, den: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts to blocks of signatures, one a chunk of rows and part, and one more with what is known of the chunk's sets.
+
+    A block: 32 bits of each signature, the place of its set in the block's list, and the list: fa and size class.
+    With the part that makes more than 32 bits; equal bits of different signatures only let a document through.
+    Of a signature that several sets of the chunk have, all are counted here and one is sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         starts = _class_starts(num, den, 1 << 12)
+        chunk = 0
         for batch in batches:
-            for a, b, raw, offsets in text_chunks(batch.column(1)):
+            for _, _, raw, offsets in text_chunks(batch.column(0)):
                 g, bounds = _sets(raw, offsets, n)
-                size = bounds[1:] - bounds[:-1]
-                prints = _fingerprints(g, bounds)
+                size = np.diff(bounds)
                 if len(size) and size.max() >= starts[-1]:
                     starts = _class_starts(num, den, int(size.max()) * 2)
                 differ = (starts[1:] - 1) * (den - num) // num
-                own = np.searchsorted(starts, size, side="right") - 1
-                low = np.searchsorted(starts, -(-size * num // den), side="right") - 1
-                fa = prints[:, 0]
+                fa = _fingerprints(g, bounds)[:, 0].view(np.int64)
                 if len(seen) > REMEMBERED:
                     seen = set()
                 first = np.zeros(len(size), bool)
@@ -145,54 +174,82 @@ def _sign(n: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     if x not in seen:
                         seen.add(x)
                         first[i] = True
-                live = np.zeros(len(size), bool)
-                sigs, rows = [], []
-                for kind in (own, np.where(low != own, low, -1)):
+                own = np.searchsorted(starts, size, side="right") - 1
+                low = np.searchsorted(starts, -(-size * num // den), side="right") - 1
+                sigs, rows, kinds, base = [], [], [], []
+                for part, kind in enumerate((own, np.where(low != own, low, -1))):
                     usable = first & (size > 0) & (kind >= 0)
                     usable &= differ[np.maximum(kind, 0)] > 0
-                    s, r, always = _signed(g, bounds, np.where(usable, kind, -1), differ)
+                    kind = np.where(usable, kind, -1)
+                    s, r, empty = _signed(g, bounds, kind, differ)
                     sigs.append(s)
-                    rows.append(r)
-                    live[always] = True
+                    rows.append(r + part * len(size))
+                    kinds.append(kind)
+                    base.append(empty - 1 - _spare(differ)[np.maximum(kind, 0)])
                 sig, row = np.concatenate(sigs), np.concatenate(rows)
+                kind, base, both = np.concatenate(kinds), np.concatenate(base), np.concatenate((fa, fa))
+                here = np.zeros(len(both), np.int64)
                 if len(sig):
                     order = np.argsort(sig, kind="stable")
                     sig, row = sig[order], row[order]
-                    runs = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-                    mixed = np.minimum.reduceat(fa[row], runs) != np.maximum.reduceat(fa[row], runs)
-                    long = np.repeat(mixed, np.diff(np.concatenate((runs, [len(sig)]))))
-                    live[row[long]] = True
+                    runs, mixed = _runs(sig, both[row])
+                    here = np.bincount(row[mixed], minlength=len(both))
                     sig, row = sig[runs], row[runs]
-                    order = np.argsort(row, kind="stable")
-                    sig, row = sig[order], row[order]
-                counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(size)))))
-                empty = pa.array(size == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a), pa.array(size), pa.compute.if_else(empty, None, _binary(prints)), pa.array(fa.view(np.int64)),
-                        pa.array(live), _lists(sig.view(np.int64), counts),
-                    ],
-                    names=["doc_id", "n_shingles", "fp", "fa", "live", "sigs"],
-                )
+                used = np.flatnonzero(kind >= 0)
+                if len(used):
+                    yield _block(chunk % parts, None, None, both[used], kind[used], np.stack((base[used], here[used])))
+                part = ((sig >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                order = np.lexsort((row, part))
+                sig, row, part = sig[order].astype(np.uint32), row[order], part[order]
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    of, place = np.unique(row[cuts[p] : cuts[p + 1]], return_inverse=True)
+                    yield _block(p, sig[cuts[p] : cuts[p + 1]], place.astype(np.uint32), both[of], kind[of], None)
+                chunk += 1
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], columns: int) -> list[pa.ChunkedArray]:
-    kept = list(batches)
-    return [pa.chunked_array([x.column(i) for x in kept]) for i in range(columns)] if kept else []
+_BLOCK = "part int, sig binary, place binary, fa binary, kind binary, known binary"
+
+
+def _block(part: int, sig: np.ndarray | None, place: np.ndarray | None, fa: np.ndarray, kind: np.ndarray, known: np.ndarray | None) -> pa.RecordBatch:
+    data = [x if x is None else x.tobytes() for x in (sig, place, fa, kind.astype(np.int32), known)]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["part", "sig", "place", "fa", "kind", "known"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """fa of all sets that share a signature with another set. A partition holds all rows of its signatures."""
-    if not (got := _gathered(batches, 2)) or not len(got[0]):
+    """Blocks of one part to (fa, kind, base, met): how many of a set's signatures meet those of other sets, and what that lacks of the least number."""
+    sigs, fas, kinds = [], [], []
+    names = ["fa", "kind", "base", "met"]
+    for batch in batches:
+        for sig, place, fa, kind, known in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            fa, kind = np.frombuffer(fa, np.int64), np.frombuffer(kind, np.int32)
+            if known is not None:
+                base, here = np.frombuffer(known, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(fa), pa.array(kind), pa.array(base), pa.array(here)], names=names)
+            else:
+                at = np.frombuffer(place, np.uint32)
+                sigs.append(np.frombuffer(sig, np.uint32))
+                fas.append(fa[at])
+                kinds.append(kind[at])
+    if not sigs:
         return
-    sig, fa = got[0].to_numpy(), got[1].to_numpy()
-    order = np.argsort(sig)
-    sig, fa = sig[order], fa[order]
-    runs = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    mixed = np.minimum.reduceat(fa, runs) != np.maximum.reduceat(fa, runs)
-    yield pa.RecordBatch.from_arrays([pa.array(np.unique(fa[np.repeat(mixed, np.diff(np.concatenate((runs, [len(sig)]))))]))], names=["fa"])
+    sig, fa, kind = np.concatenate(sigs), np.concatenate(fas), np.concatenate(kinds)
+    del sigs, fas, kinds
+    order = np.lexsort((fa, sig))
+    sig, fa, kind = sig[order], fa[order], kind[order]
+    once = np.concatenate(([True], (sig[1:] != sig[:-1]) | (fa[1:] != fa[:-1])))
+    sig, fa, kind = sig[once], fa[once], kind[once]
+    mixed = _runs(sig, fa)[1]
+    fa, kind = fa[mixed], kind[mixed]
+    order = np.lexsort((kind, fa))
+    fa, kind = fa[order], kind[order]
+    runs = np.flatnonzero(np.concatenate(([True], (fa[1:] != fa[:-1]) | (kind[1:] != kind[:-1])))) if len(fa) else np.zeros(0, np.int64)
+    met = np.diff(np.concatenate((runs, [len(fa)])))
+    for a in range(0, len(runs), 50_000):
+        at = runs[a : a + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(fa[at]), pa.array(kind[at]), pa.nulls(len(at), pa.int64()), pa.array(met[a : a + 50_000])], names=names)
 
 
 def _segments(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -226,11 +283,19 @@ def components(edges: DataFrame) -> DataFrame:
     while not cur.isEmpty():
         both = cur.union(cur.select("y", "x"))
         up = cut(both.groupBy(F.col("x").alias("node")).agg(F.least(F.first("x"), F.min("y")).alias("root")), "up")
-        found = up if found is None else cut(found.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
         step = cur.join(up.select(F.col("node").alias("x"), F.col("root").alias("px")), "x").join(up.select(F.col("node").alias("y"), F.col("root").alias("py")), "y")
-        cur = cut(step.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).where("x < y").distinct(), "edges")
+        after = cut(step.select(F.least("px", "py").alias("x"), F.greatest("px", "py").alias("y")).where("x < y").distinct(), "edges")
+        if found is None:
+            found = up
+            drop(cur)
+        else:
+            better = cut(found.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            drop(cur, up, found)
+            found = better
+        cur = after
+    drop(cur)
     if found is None:
-        return edges.select(F.col("x").alias("node"), F.col("y").alias("root")).limit(0)
+        return edges.sparkSession.createDataFrame([], "node binary, root binary")
     return found
 
 
@@ -257,15 +322,17 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     Documents link when den * |intersection| >= num * |union| of their n-gram sets."""
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = cut(docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_sign(n, num, den), _ROW), "sets")
+    parts = shuffle_partitions(spark)
+    named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = cut(named.mapInArrow(_named(n), "doc_id long, n_shingles long, fp binary, fa long"), "sets")
 
-    signed = rows.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "fa")
-    met = signed.repartition("sig").mapInArrow(_meet, "fa long").distinct()
-    classes = rows.where("fp is not null").groupBy("fp", "fa").agg(F.min("doc_id").alias("rep"), F.max("live").alias("live"))
-    chosen = cut(classes.join(met.withColumn("met", F.lit(True)), "fa", "left").where("live or met").select("fp", "rep"), "live")
+    met = named.select("text").mapInArrow(_sign(n, num, den, parts), _BLOCK).repartitionById(parts, "part").drop("part").mapInArrow(_meet, "fa long, kind int, base long, met long")
+    live = met.groupBy("fa", "kind").agg(F.max("base").alias("base"), F.sum("met").alias("met")).where("base + met >= 0").select("fa").distinct()
+    classes = rows.where("fp is not null").groupBy("fp", "fa").agg(F.min("doc_id").alias("rep"))
+    chosen = cut(classes.join(live, "fa", "left_semi").select("fp", "rep"), "live")
 
     few = chosen.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(doc).cast("long").alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, F.col("_id").eqNullSafe(F.col("rep")))
+    texts = docs.select(F.col(doc).cast("long").alias("__tw_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, F.col("__tw_id").eqNullSafe(F.col("rep")))
     sets = cut(texts.select("fp", "text").mapInArrow(_segments(n), "fp binary, n long, segs array<array<bigint>>"), "segments")
     if not sets.groupBy("fp").count().where("count > 1").isEmpty():  # rows repeated with their ids
         sets = cut(sets.dropDuplicates(["fp"]), "segments")
@@ -299,7 +366,8 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     led = lead.select("g", "fc").join(first.select(F.col("node").alias("fc"), "root"), "fc", "left").select("g", F.coalesce("root", "fc").alias("lc"))
     aside = open_.join(led, "g").where("cm <> lc").drop("lc")
     other = open_.select("g", F.col("fm").alias("fc"), F.col("nm").alias("nc"), F.col("pm").alias("pc"), F.col("cm").alias("cc"))
-    across = ordered(aside.join(other, "g").where((F.col("cm") != F.col("cc")) & _could(num, den, "m", "c")), "across").join(tried.select("x", "y"), ["x", "y"], "left_anti")
+    across_ = ordered(aside.join(other, "g").where((F.col("cm") != F.col("cc")) & _could(num, den, "m", "c")), "across")
+    across = across_.join(tried.select("x", "y"), ["x", "y"], "left_anti")
     more = _linked(across, sets, num, den)
     for side in ("x", "y"):
         more = more.join(first.select(F.col("node").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
@@ -311,6 +379,7 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
 
     named = rows.select("doc_id", "n_shingles", "fp").join(label.select(F.col("node").alias("fp"), "class"), "fp", "left").select("doc_id", "n_shingles", "fp", F.coalesce("class", "fp").alias("class"))
     named = cut(named, "named")
+    drop(rows, chosen, sets, lists, tried, open_, across_, first, second, label)
     least = named.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return named.join(least, "class", "left").select("doc_id", "n_shingles", "fp", "class", F.coalesce("least", "doc_id").alias("component_id"))
 
@@ -318,8 +387,8 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """docs without all but one document of each class: the one with the smallest id stays (of repeated ids, one row; of classes without ids, all)."""
     found = cut(link(docs, n, num, den, text, doc).select("doc_id", "component_id", "n_shingles"), "found")
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(stays, docs[doc] == F.col("_id"), "left_semi")
+    stays = sized(found.where("doc_id = component_id").select(F.col("doc_id").alias("__tw_id")).distinct(), "stays")
+    kept = docs.join(stays, docs[doc] == F.col("__tw_id"), "left_semi")
     if not found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates([doc, text])
     if not found.where("doc_id is null").isEmpty():

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewright.llm import shared
 from tidewright.llm.mixture import uniform
-from tidewright.llm.shared import bound_batches, cut, mix, text_chunks, word_bounds
+from tidewright.llm.shared import bound_batches, cut, mix, sized, text_chunks, word_bounds
 
 #: Hash tables, their buckets, and the buckets of a row of counts.
 TABLES, BUCKETS, BLOCK = 3, 1 << 18, 1 << 12
@@ -155,8 +155,8 @@ def _score(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def good_labels(labels: DataFrame, doc: str = "doc_id", most: int = LABELLED) -> DataFrame:
     """(doc_id, label) of at most `most` documents: 1 if good and not toxic, else 0."""
     good = F.when(F.col("quality").isNull() & F.col("toxic").isNull(), None).otherwise((F.coalesce("quality", F.lit(1)) > 0) & (F.coalesce("toxic", F.lit(0)) == 0))
-    one = labels.select(F.col(doc).alias("_id"), good.cast("int").alias("label")).where("_id is not null and label is not null").groupBy("_id").agg(F.min("label").alias("label"))
-    return one.orderBy(F.xxhash64("_id"), "_id").limit(most)
+    one = labels.select(F.col(doc).alias("__tw_id"), good.cast("int").alias("label")).where("__tw_id is not null and label is not null").groupBy("__tw_id").agg(F.min("label").alias("label"))
+    return one.orderBy(F.xxhash64("__tw_id"), "__tw_id").limit(most)
 
 
 def _bin(key: Column) -> Column:
@@ -169,7 +169,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
     spark = docs.sparkSession
     bound_batches(spark)
     known = F.broadcast(cut(good_labels(labels), "labels"))
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "label", "text")
+    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, F.col("doc_id") == F.col("__tw_id"), "left").select("doc_id", "label", "text")
     counted = rows.select("text", "label").mapInArrow(_count, "block int, counts binary").repartition("block").mapInArrow(_add, "block int, counts binary").toArrow()  # TABLES * BUCKETS / BLOCK rows
     table = np.zeros((3, TABLES * BUCKETS // BLOCK, BLOCK), np.int64)
     for block, data in zip(*(c.to_pylist() for c in counted.columns), strict=True):
@@ -207,5 +207,5 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """The rows of docs that resample() selects. Rows that repeat an id go if any of them is rejected."""
     found = resample(docs, labels, k, text, doc).where(~F.col("selected"))
-    rejected = cut(found.select(F.col("doc_id").alias("_id")), "rejected")
-    return docs.join(rejected.distinct(), docs[doc].eqNullSafe(F.col("_id")), "left_anti")
+    rejected = sized(found.select(F.col("doc_id").alias("__tw_id")).distinct(), "rejected")
+    return docs.join(rejected, docs[doc].eqNullSafe(F.col("__tw_id")), "left_anti")

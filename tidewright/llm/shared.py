@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Seed, odd multiplier and mixing constants of the word hash.
 _SEED = 0x5EED_71DE
@@ -36,16 +37,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() made and that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that cut() made and that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "_cut_path", None):
+            folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of ids, or of ids and a hash, that are broadcast at most (about 60 MB); above that a join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame, name: str) -> DataFrame:
+    """ids as a written table, to be broadcast if it has at most BROADCAST_IDS rows."""
+    table = cut(ids, name)
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def bound_batches(spark: SparkSession, most: str = "16m") -> None:
@@ -134,6 +146,17 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(offsets, starts, side="right") - 1
 
 
+_EXACT = np.random.default_rng(_SEED + 1).integers(1, 2**63, size=256, dtype=np.uint64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span as they are."""
+    _grow_powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_EXACT[raw] * _powers[: len(raw)], out=total[1:])
+    return mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words of one row, and their rows."""
     if len(h) < n:
