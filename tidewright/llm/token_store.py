@@ -25,7 +25,6 @@ gives an empty store; other columns are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, shuffle_partitions, text_chunks
+from tidewright.llm.shared import bound_batches, shuffle_partitions, span_hashes, text_chunks, word_bounds
 
 MAGIC = b"TWB1"
 HEADER = struct.Struct("<4sIIQ")
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words whose ids a worker remembers, and as many that it knew before.
-REMEMBERED = 450_000
+#: Words whose ids a worker remembers (about 80 MB).
+REMEMBERED = 2_000_000
 #: Ranges that the ids are first cut into are found to within this share of all rows.
 QUANTILE_ERROR = 0.002
 END_ID = 2
@@ -52,8 +51,13 @@ def bits_for(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
-#: Bytes that are in white space other than space and line feed, alone or as the first of a character.
-_STRANGE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3])
+#: Bytes that are white space other than space and line feed, and first bytes of such characters with their second bytes.
+_STRANGE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
+_PAIRS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
+
+
+_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
 def plain(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -61,6 +65,9 @@ def plain(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     blank = (raw == 32) | (raw == 10)
     bad = _STRANGE[raw]
     bad[1:] |= blank[1:] & blank[:-1]
+    for first, seconds in _PAIRS:  # of E2 80 and E3 80 only some are white space; rows with others are encoded whole, too
+        at = np.flatnonzero(raw[:-1] == first)
+        bad[at[np.isin(raw[at + 1], seconds)]] = True
     some = np.flatnonzero(np.diff(offsets) > 0)
     edge = blank[offsets[:-1][some]] | blank[offsets[1:][some] - 1]
     total = np.concatenate(([0], np.cumsum(bad)))
@@ -101,11 +108,11 @@ def document(block: bytes, i: int) -> np.ndarray:
 
 
 class Encoder:
-    """Texts to ids, with a bounded memory of words."""
+    """Texts to ids. Of a byte-level BPE the ids of words are remembered.
 
-    # Where white space is single spaces and line feeds, the tokenizer's own split has a boundary before every
-    # space and on both sides of every line feed; elsewhere a run of white space may be one piece.
-    UNSURE = re.compile(r"\s(?!\S)|[^\S \n]|\A\s")
+    Where white space is single spaces and line feeds, the tokenizer's own split has a boundary
+    before every space and on both sides of every line feed, so the text between them can be
+    encoded alone; elsewhere a run of white space may be one piece."""
 
     def __init__(self, path: str) -> None:
         import json
@@ -113,63 +120,95 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = False
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         pre = made.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and (made.get("model") or {}).get("type") == "BPE"
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.feed = feed[0] if len(feed) == 1 else -1
-        self.by_word &= len(feed) == 1
+        feed = self.whole("\n")
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer") and (made.get("model") or {}).get("type") == "BPE" and len(feed) == 1
+        self.feed = feed[0] if len(feed) else 0
         #: Added tokens are found before the split; a text with one is encoded whole.
-        self.added = [t["content"] for t in made.get("added_tokens", [])]
-        #: The bytes of each word's ids as 32-bit integers: of words that begin a line, and of words after a space; and what was known before.
-        self.known: list[dict[str, bytes]] = [{}, {}]
-        self.old: list[dict[str, bytes]] = [{}, {}]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, kind: int, words: set[str]) -> None:
-        """Encode words that aren't known, many at a time, with a line feed, which is one id, after each. kind 1: words after a space."""
-        known, old = self.known[kind], self.old[kind]
-        new = []
-        for w in words:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
-        shape = " %s\n" if kind else "%s\n"
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            ids = np.array(self.tokenizer.encode((shape * len(some)) % tuple(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(ids == self.feed)
-            if len(ends) != len(some):
-                raise ValueError("a line feed is not an id of its own")
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(some, (4 * ends).tolist(), strict=True):
-                known[w] = data[start:stop]
-                start = stop + 4
-
-    def encode(self, texts: list[str], sure: np.ndarray | None = None) -> list[np.ndarray]:
-        """Ids of each text. sure: where no white space but single spaces and line feeds between words is known to be."""
-        if not self.by_word:
-            return [np.frombuffer(self._whole(t), np.uint32) for t in texts]
-        for kind in (0, 1):
-            if len(self.known[kind]) > REMEMBERED:
-                self.known[kind], self.old[kind] = {}, self.known[kind]
-        sure = [False] * len(texts) if sure is None else sure.tolist()
-        lines = [None if not t or not ok and self.UNSURE.search(t) or any(a in t for a in self.added) else [x.split(" ") for x in t.split("\n")] for t, ok in zip(texts, sure, strict=True)]
-        self._learn(0, {x[0] for y in lines if y for x in y})
-        self._learn(1, {w for y in lines if y for x in y for w in x[1:]})
-        first, later, feed = self.known[0], self.known[1].__getitem__, np.uint32(self.feed).tobytes()
-        return [np.frombuffer(self._whole(t) if y is None else feed.join([first[x[0]] + b"".join(map(later, x[1:])) for x in y]), np.uint32) for t, y in zip(texts, lines, strict=True)]
+        self.added = [t["content"].encode() for t in made.get("added_tokens", [])]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Known words: hashes in order and their places in `start`; ids of word i are ids[start[i]:start[i + 1]]."""
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     @property
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size()
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encode words (with the space or line feed before them, if any), many at a time, with a line feed, which is one id, between them."""
+        found, lengths = [self.ids], []
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            ids = self.whole(b"".join([w + b"\n" if w[:1] != b"\n" else w[1:] + b"\n" for w in some]).decode())
+            ends = np.flatnonzero(ids == self.feed)
+            if len(ends) != len(some):
+                raise ValueError("a line feed is not an id of its own")
+            size = np.diff(ends, prepend=-1) - 1
+            after = np.array([w[:1] == b"\n" for w in some])
+            # A word after a line feed takes the feed's id along: the one that ended the word before it.
+            keep = np.ones(len(ids), bool)
+            keep[ends] = False
+            body = ids[keep]
+            found.append(np.insert(body, (np.cumsum(size) - size)[after], self.feed))
+            lengths.append(size + after)
+        places = len(self.start) - 1 + np.arange(len(words))
+        self.ids = np.concatenate(found)
+        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(lengths))))
+        hashes, places = np.concatenate((self.hashes, hashes)), np.concatenate((self.places, places))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], places[order]
+
+    def _by_word(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of plain rows, none of them empty."""
+        if len(self.hashes) > REMEMBERED:
+            self._forget()
+        starts, ends = word_bounds(raw, offsets)
+        row = np.searchsorted(offsets, starts, side="right") - 1
+        led = starts > offsets[row]  # has a space or line feed before it
+        # A mark after a letter is a piece of its own at the end of a word.
+        tail = np.flatnonzero(_MARK[raw[ends - 1]] & (ends - starts > 1) & _LETTER[raw[np.maximum(ends - 2, 0)]])
+        marks = ends[tail] - 1
+        ends[tail] -= 1
+        starts, ends, row, led = np.insert(starts, tail + 1, marks), np.insert(ends, tail + 1, marks + 1), np.insert(row, tail + 1, row[tail]), np.insert(led, tail + 1, False)
+        begin = starts - led
+        h = span_hashes(raw, begin, ends)
+        some, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, some), max(len(self.hashes) - 1, 0))
+        new = np.flatnonzero(self.hashes[at] != some) if len(self.hashes) else np.arange(len(some))
+        if len(new):
+            data = raw.tobytes()
+            self._learn(some[new], [data[a:b] for a, b in zip(begin[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.hashes, some)
+        place = self.places[at][back]
+        size = self.start[place + 1] - self.start[place]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.start[place] - total[:-1], size) + np.arange(total[-1])]
+        cuts = total[np.searchsorted(row, np.arange(len(offsets)))]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of text."""
+        rows = len(offsets) - 1
+        data = raw.tobytes()
+        sure = plain(raw, offsets) & (np.diff(offsets) > 0) if self.by_word else np.zeros(rows, bool)
+        if any(t in data for t in self.added):
+            sure &= np.array([not any(t in data[offsets[i] : offsets[i + 1]] for t in self.added) for i in range(rows)])
+        found: list[np.ndarray | None] = [None] * rows
+        if sure.any():
+            size = np.diff(offsets)
+            part = raw if sure.all() else raw[np.repeat(sure, size)]
+            for i, ids in zip(np.flatnonzero(sure).tolist(), self._by_word(part, np.concatenate(([0], np.cumsum(size[sure])))), strict=True):
+                found[i] = ids
+        return [x if x is not None else self.whole(data[offsets[i] : offsets[i + 1]].decode()) for i, x in enumerate(found)]
+
 
 #: Encoders of this Python worker, by path: a worker serves many tasks.
 _ENCODERS: dict[str, Encoder] = {}
@@ -183,7 +222,7 @@ def _encode(path: str, end: int, bits: int) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             for a, b, raw, offsets in text_chunks(batch.column(2), 1 << 20):
                 some = batch.slice(a, b - a)
-                docs = [np.concatenate((x, last)) for x in encoder.encode([t or "" for t in some.column(2).to_pylist()], plain(raw, offsets))]
+                docs = [np.concatenate((x, last)) for x in encoder.encode(raw, offsets)]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array([len(x) for x in docs], pa.int64()), pa.array([pack(x, bits) for x in docs], pa.binary())], names=["part", "doc_id", "n", "ids"]
                 )
