@@ -59,7 +59,7 @@ NO_PROSE_WORDS = frozenset(
 )
 #: Words of the above that are also used for the frame of an article; they count outside an article only.
 FRAME_WORDS = frozenset("header headers more tags legal discussion discussions alert alerts respond responses feedback promotion search form skip hide follow rail notice".split())
-PARAGRAPHS = frozenset("p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption div section article main body address caption summary center".split())
+PARAGRAPHS = frozenset("html p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption div section article main body address caption summary center".split())
 CONTAINERS = frozenset(("html", "body", "main", "article"))
 
 DEEPEST = 400
