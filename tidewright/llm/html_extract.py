@@ -59,6 +59,8 @@ NO_PROSE_WORDS = frozenset(
 )
 #: Words of the above that are also used for the frame of an article; they count outside an article only.
 FRAME_WORDS = frozenset("header headers more tags legal discussion discussions alert alerts respond responses feedback promotion search form skip hide follow rail notice".split())
+#: Words of page frames; one that holds most of the page's prose is kept whatever else it is called (with-sidebar, no-menu).
+LAYOUT_WORDS = frozenset("with has no content main page wrapper wrap container layout body post article entry story text".split())
 PARAGRAPHS = frozenset("html p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption div section article main body address caption summary center".split())
 CONTAINERS = frozenset(("html", "body", "main", "article"))
 
@@ -207,7 +209,7 @@ def _set_aside(nodes: list[Node]) -> None:
         if within and node.words & FRAME_WORDS and node.words & {"article", "entry", "post", "content", "story"}:
             marked = marked - FRAME_WORDS
         named = bool(marked) or node.role in NO_PROSE_ROLES
-        holds = 2 * (node.chars - node.links) > whole and node.tag not in ("nav", "footer", "aside", "form")
+        holds = bool(node.words & LAYOUT_WORDS) and 2 * (node.chars - node.links) > whole
         if node.tag in NO_PROSE or node.unseen or node.tag == "header" and not within:
             node.gone = not (node.tag in ("form", "fieldset") and 2 * (node.chars - node.links) > whole)
         elif named and node.tag not in ("p", "h1", "span", "a", "b", "i", "em", "strong") or named and node.tag in ("p", "span", "a") and not node.words <= FRAME_WORDS:
