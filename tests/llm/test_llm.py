@@ -340,3 +340,19 @@ def test_pipeline(spark, small):
         assert kept.columns == docs.columns
     last = pipeline.run(spark, small)
     assert last.count() == kept.count() > 0
+
+
+def test_queries_equal_their_sql(spark, small):
+    duckdb = pytest.importorskip("duckdb")
+    from pathlib import Path
+
+    from tidewright.llm import queries
+
+    con = duckdb.connect()
+    for f in Path(small).glob("*.parquet"):
+        con.execute(f"create view {f.stem} as select * from '{f}'")
+    for name, sql in queries.oracles().items():
+        got, want = queries.QUERIES[name](spark, small).toPandas(), con.execute(sql).df()
+        columns = sorted(want.columns)
+        shown = lambda frame: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in frame[columns].itertuples(index=False))  # noqa: B023, E731
+        assert sorted(got.columns) == columns and shown(got) == shown(want), name

@@ -29,7 +29,8 @@ FENCE, STAND_IN = "\x01", "\x02"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-BARE = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
+RUN = r"[A-Za-z0-9/+=]+"
+BARE = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"  # a run of 40 without =
 ENDPOINT = r"(?:https?://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:com|net|org|io|cloud|internal)\b(?::[0-9]{2,5})?)"
 LEAST_ASSIGNED = 8
 KINDS = ("assign", "access", "hex", "linked_secret", "linked_endpoint")
