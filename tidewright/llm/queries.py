@@ -61,8 +61,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents resampled towards labelled good text."""
-    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    """The documents that are kept when all are resampled towards labelled good text."""
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).where("selected")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
