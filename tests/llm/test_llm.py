@@ -149,6 +149,13 @@ def test_mixture(docs):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_heavy_documents_are_taken_first(spark):
+    docs = spark.createDataFrame([(i, "a b c d", "s0" if i < 300 else "s1") for i in range(1200)], "doc_id long, text string, source string")
+    quality = spark.createDataFrame([(i, 4.0 if i % 2 else 0.25) for i in range(1200)] + [(None, 1.0), (3, None)], "doc_id long, weight double")
+    got = mixture.mix(docs, quality, weights=(1, 1), share=0.5, most=2).where("taken > 0 and doc_id >= 300").select("doc_id").collect()
+    assert sum(r["doc_id"] % 2 for r in got) > 0.75 * len(got) > 0
+
+
 def test_mixture_of_nothing(nothing, docs):
     assert mixture.mix(nothing).count() == 0
     assert mixture.expand(docs).columns == docs.columns

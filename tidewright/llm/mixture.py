@@ -15,8 +15,9 @@ only up to BROADCAST_SOURCES.
 
 Edge cases: a null text has size 0; a null source is a source, after all others;
 documents of size 0 take 0; repeated rows have the same key and are taken in
-turn; a null doc_id has a key of its own; weights that are null, zero or negative
-count as the least weight; an empty table gives an empty result.
+turn; a null doc_id has a key of its own; documents without a weight weigh 1, weights
+that are null, zero or negative count as the least weight, and of several the largest;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,11 +43,26 @@ def uniform(key: Column, seed: str = "mix-1") -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def measured(docs: DataFrame, weight: Column | None = None, text: str = "text", seed: str = "mix-1") -> DataFrame:
-    """(doc_id, source, size, u, w)."""
-    w = F.lit(1.0) if weight is None else F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce(weight.cast("double"), F.lit(LEAST_WEIGHT))))
+def measured(docs: DataFrame, text: str = "text", seed: str = "mix-1") -> DataFrame:
+    """(doc_id, source, size, u)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), seed).alias("u"), w.alias("w"))
+    return docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
+
+
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, weight) by quality labels; of several labels the best counts."""
+    weight = F.when(F.coalesce("toxic", F.lit(0)) > 0, 0.25).when(F.coalesce("quality", F.lit(0)) > 0, 2.0).otherwise(0.5)
+    return labels.select("doc_id", weight.alias("weight"))
+
+
+def weighed(sizes: DataFrame, quality: DataFrame | None) -> DataFrame:
+    """sizes with w, 1 for documents without a quality weight. Joined after the texts are measured, so no text moves."""
+    if quality is None:
+        return sizes.withColumn("w", F.lit(1.0))
+    one = quality.where("doc_id is not null").groupBy(F.col("doc_id").alias("__tw_id")).agg(F.max(F.col("weight").cast("double")).alias("__tw_w"))
+    bounded = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(MOST_WEIGHT), F.coalesce("__tw_w", F.lit(LEAST_WEIGHT))))
+    w = F.when(F.col("__tw_id").isNull(), F.lit(1.0)).otherwise(bounded)
+    return sizes.join(one, F.col("doc_id") == F.col("__tw_id"), "left").withColumn("w", w).drop("__tw_id", "__tw_w")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -54,10 +70,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     place = (F.row_number().over(order) - 1) % len(weights)
-    weighed = per.withColumn("weight", F.get(F.array(*(F.lit(float(x)) for x in weights)), place)).withColumn("cap", most * F.col("source_size").cast("double"))
+    shares = per.withColumn("weight", F.get(F.array(*(F.lit(float(x)) for x in weights)), place)).withColumn("cap", most * F.col("source_size").cast("double"))
     by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_first())
     all_rows = Window.partitionBy(F.lit(1))
-    filled = weighed.select(
+    filled = shares.select(
         "*",
         (F.col("cap") / F.col("weight")).alias("ratio"),
         F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("cap_before"),
@@ -72,9 +88,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return leveled.select("source", "source_size", F.when(F.col("water").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("water"))).alias("target"))
 
 
-def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, text: str = "text", seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, text: str = "text", seed: str = "mix-1") -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken, copies."""
-    rows = cut(measured(docs, weight, text, seed).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sized")
+    rows = cut(weighed(measured(docs, text, seed), quality).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sized")
     # The source table and the bucket sums both come from one small table.
     sums = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     plan = targets(sums, weights, share, most)
@@ -101,8 +117,8 @@ def mix(docs: DataFrame, weight: Column | None = None, weights: tuple[int, ...]
     return edge.unionByName(others).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
-def expand(docs: DataFrame, weight: Column | None = None, **how) -> DataFrame:
+def expand(docs: DataFrame, quality: DataFrame | None = None, **how) -> DataFrame:
     """docs with each row as often as the mix takes it. Rows of one doc_id are taken as often as its most taken row."""
-    taken = sized(mix(docs, weight, **how).groupBy("doc_id").agg(F.max("copies").alias("__tw_n")).withColumnRenamed("doc_id", "__tw_id"), "copies")
+    taken = sized(mix(docs, quality, **how).groupBy("doc_id").agg(F.max("copies").alias("__tw_n")).withColumnRenamed("doc_id", "__tw_id"), "copies")
     times = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("__tw_id")))
     return times.withColumn("__tw_i", F.explode(F.when(F.col("__tw_n") > 0, F.sequence(F.lit(1).cast("long"), F.col("__tw_n"))))).drop("__tw_n", "__tw_i", "__tw_id")

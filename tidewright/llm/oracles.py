@@ -19,7 +19,8 @@ w AS (SELECT (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, weight_be
 t AS (SELECT source, source_size, CASE WHEN water IS NULL THEN cap ELSE least(cap, weight * water) END AS target FROM l, w),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (SELECT *, target - epochs * source_size AS rest FROM e),
-k AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+k AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(d.u) / coalesce(q.weight, 1e0), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  LEFT JOIN (SELECT doc_id, max(CASE WHEN coalesce(toxic, 0) > 0 THEN 0.25e0 WHEN coalesce(quality, 0) > 0 THEN 2e0 ELSE 0.5e0 END) AS weight FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id) q ON d.doc_id = q.doc_id)
 SELECT doc_id, size, source_size, target, CAST(least(epochs * size + greatest(0, least(size, CAST(floor(rest) AS BIGINT) - before)), 2 * size) AS BIGINT) AS taken FROM k"""
 
 _TOP = """

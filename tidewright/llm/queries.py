@@ -25,8 +25,9 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources mixed to weights 5, 2, 1."""
-    return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """Sources mixed to weights 5, 2, 1, keys scaled by quality labels."""
+    quality_weights = mixture.label_weights(_table(spark, sf_dir, "labels"))
+    return mixture.mix(_table(spark, sf_dir, "documents"), quality_weights).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
