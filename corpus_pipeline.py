@@ -33,7 +33,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return _columns(mixture.expand(docs), docs)
+    return _columns(mixture.expand(docs, mixture.label_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))), docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
