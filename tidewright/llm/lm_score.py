@@ -15,8 +15,8 @@ at most HOT many: their counts are broadcast, their pairs are dealt by both word
 requests for them are answered on the spot, so no word makes a part large.
 
 Words are 40-bit (within a part) hashes of runs without white space, A-Z taken as a-z.
-What the parts return are sums per document in blocks by chunk of rows, so the number
-of rows is that of blocks.
+What the parts return are sums per document in blocks of GROUP rows, so the number of
+rows is that of blocks.
 
 Edge cases: null, empty and wordless texts have 0 words and a score of 0; one word is a
 first word; repeated rows and ids are documents of their own (and each other's model);
@@ -40,6 +40,8 @@ ALPHA = 0.4
 HOT = 4096
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 400_000
+#: Rows whose sums travel in one block, and requests in a block.
+GROUP, MOST_ITEMS = 1024, 500_000
 _MASK = np.uint64((1 << 40) - 1)
 
 
@@ -113,8 +115,9 @@ def _cells(chunk: int, kind: int, docs: bytes, sizes: bytes, a: bytes | None, b:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in (docs, sizes, a, b, n))], names=["part", "chunk", "kind", "docs", "sizes", "a", "b", "n"])
 
 
-def _docs(docs: bytes, sizes: bytes) -> np.ndarray:
-    return np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(sizes, np.uint32))
+def _rows(chunk: int, docs: bytes, sizes: bytes) -> np.ndarray:
+    """Row numbers of a block's items."""
+    return chunk + np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(sizes, np.uint32)).astype(np.int64)
 
 
 def _pairs(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -128,7 +131,9 @@ def _pairs(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
                 chunk = int(ids[first])  # rows of a chunk follow on each other
                 w, row = _words(raw, offsets)
                 size = np.bincount(row, minlength=len(offsets) - 1).astype(np.uint32)
-                yield _cells(chunk, 4, b"", b"", None, None, size.tobytes(), 0)
+                rows = chunk + np.arange(len(size))
+                for here in np.split(np.arange(len(size)), np.flatnonzero(np.diff(rows // GROUP)) + 1):
+                    yield _cells(int(rows[here[0]] // GROUP), 4, (rows[here] % GROUP).astype(np.uint32).tobytes(), b"", None, None, size[here].tobytes(), 0)
                 if not len(w):
                     continue
                 same = row[1:] == row[:-1]
@@ -155,15 +160,25 @@ def _dealt(parts: int, chunk: int, kind: int, part: np.ndarray, docs: np.ndarray
         yield _block(p, chunk, kind, docs[at], a[at], b if b is None else b[at], n[at].astype(np.uint32))
 
 
-def _summed(chunk: np.ndarray, doc: np.ndarray, chunks: list[int], score: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of kind 2: scores (as n) and seen pairs (as a) of a part's documents, by chunk."""
-    key = chunk.astype(np.int64) << 32 | doc
-    some, at = np.unique(key, return_inverse=True)
+def _summed(row: np.ndarray, score: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of kind 2: scores (as n) and seen pairs (as a) of a part's documents, a block for each GROUP rows."""
+    some, at = np.unique(row, return_inverse=True)
     total, known = np.bincount(at, score, minlength=len(some)), np.bincount(at, seen, minlength=len(some)).astype(np.int64)
-    of = some >> 32
-    for c in np.unique(of).tolist():
-        here = slice(np.searchsorted(of, c), np.searchsorted(of, c, side="right"))
-        yield _block(0, chunks[c], 2, some[here] & 0xFFFFFFFF, known[here], None, total[here])
+    group = some // GROUP
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(some)])) if len(some) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield _cells(int(group[a]), 2, (some[a:b] % GROUP).astype(np.uint32).tobytes(), b"", _five(known[a:b]), None, total[a:b].tobytes(), 0)
+
+
+def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Requests by the part of their word: blocks of kind 1 with whole row numbers, a block or more a part."""
+    part = _part(word, parts)
+    order = np.lexsort((row, part))
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        for a in range(cuts[p], cuts[p + 1], MOST_ITEMS):
+            at = order[a : min(a + MOST_ITEMS, cuts[p + 1])]
+            yield _cells(0, 1, row[at].tobytes(), b"", _five(word[at]), None, n[at].astype(np.uint32).tobytes(), p)
 
 
 def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -171,25 +186,26 @@ def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count, context, total = hot.value
-        chunks: list[int] = []
-        chunk, doc, a, b, n = [], [], [], [], []
+        row, a, b, n, asked = [], [], [], [], [[], [], []]
         for batch in batches:
             for c, kind, docs, sizes, x, y, k in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if kind != 0:
-                    yield _cells(c, kind, docs, sizes, x, y, k, int(_part(_whole(x)[:1], parts)[0]) if kind == 1 else 0)
-                    continue
-                d = _docs(docs, sizes)
-                chunk.append(np.full(len(d), len(chunks), np.int32))
-                chunks.append(c)
-                doc.append(d)
-                a.append(_whole(x))
-                b.append(_whole(y))
-                n.append(np.frombuffer(k, np.uint32))
-        if not chunks:
+                if kind == 4:
+                    yield _cells(c, kind, docs, sizes, x, y, k, 0)
+                elif kind == 1:
+                    for to, value in zip(asked, (_rows(c, docs, sizes), _whole(x), np.frombuffer(k, np.uint32)), strict=True):
+                        to.append(value)
+                else:
+                    row.append(_rows(c, docs, sizes))
+                    a.append(_whole(x))
+                    b.append(_whole(y))
+                    n.append(np.frombuffer(k, np.uint32))
+        if asked[0]:
+            yield from _asked(*map(np.concatenate, asked), parts)
+        if not row:
             return
-        chunk, doc, a, b, n = map(np.concatenate, (chunk, doc, a, b, n))
+        row, a, b, n = map(np.concatenate, (row, a, b, n))
         order = np.lexsort((b, a))
-        chunk, doc, a, b, n = chunk[order], doc[order], a[order], b[order], n[order]
+        row, a, b, n = row[order], a[order], b[order], n[order]
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
         new = new_a | np.concatenate(([True], b[1:] != b[:-1]))
         others = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] - n.astype(np.int64)
@@ -207,14 +223,9 @@ def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
             score[known] = n[known] * np.log(ALPHA * count[place[known]] / total)
             unseen &= ~known
         score[unseen] = n[unseen] * np.log(ALPHA)
-        yield from _summed(chunk, doc, chunks, score, np.where(seen, n, 0))
+        yield from _summed(row, score, np.where(seen, n, 0))
         at = np.flatnonzero(unseen)
-        order = np.lexsort((doc[at], chunk[at]))
-        at = at[order]
-        cuts = np.searchsorted(chunk[at], np.arange(len(chunks) + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            here = at[cuts[c] : cuts[c + 1]]
-            yield from _dealt(parts, chunks[c], 1, _part(b[here], parts), doc[here], b[here], None, n[here])
+        yield from _asked(row[at], b[at], n[at], parts)
 
     return run
 
@@ -223,28 +234,23 @@ def _answer(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """Requests for words, and the unigram counts of the same part (kind 3), to scores; blocks of scores pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: list[int] = []
-        chunk, doc, word, n, words, counts = [], [], [], [], [], []
+        row, word, n, words, counts = [], [], [], [], []
         for batch in batches:
-            for c, kind, docs, sizes, x, k in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6)), strict=True):
+            for kind, docs, x, k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 6)), strict=True):
                 if kind == 3:
                     words.append(_whole(x))
                     counts.append(np.frombuffer(k, np.int64))
                 else:
-                    d = _docs(docs, sizes)
-                    chunk.append(np.full(len(d), len(chunks), np.int32))
-                    chunks.append(c)
-                    doc.append(d)
+                    row.append(np.frombuffer(docs, np.int64))
                     word.append(_whole(x))
                     n.append(np.frombuffer(k, np.uint32))
-        if not chunks:
+        if not row:
             return
         words, counts = np.concatenate(words), np.concatenate(counts)
         order = np.argsort(words)
         words, counts = words[order], counts[order]
-        chunk, doc, word, n = map(np.concatenate, (chunk, doc, word, n))
-        score = n * (np.log(counts[np.searchsorted(words, word)]) - np.log(total))
-        yield from _summed(chunk, doc, chunks, score, np.zeros(len(n)))
+        row, word, n = map(np.concatenate, (row, word, n))
+        yield from _summed(row, n * (np.log(counts[np.searchsorted(words, word)]) - np.log(total)), np.zeros(len(n)))
 
     return run
 
@@ -288,22 +294,23 @@ def _counts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of kinds 2 and 4 to a row per document. A partition holds all blocks of its chunks."""
-    size: dict[int, np.ndarray] = {}
+    """Blocks of kinds 2 and 4 to a row per document. A partition holds all blocks of its groups of rows."""
+    sizes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for c, kind, docs, x, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 6)), strict=True):
+        for g, kind, docs, x, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 6)), strict=True):
             if kind == 4:
-                size[c] = np.frombuffer(n, np.uint32)
+                sizes.setdefault(g, []).append((np.frombuffer(docs, np.uint32), np.frombuffer(n, np.uint32)))
             else:
-                parts.setdefault(c, []).append((np.frombuffer(docs, np.uint32), _whole(x), np.frombuffer(n, np.float64)))
-    for c, words in size.items():
-        total, seen = np.zeros(len(words)), np.zeros(len(words), np.int64)
+                parts.setdefault(g, []).append((np.frombuffer(docs, np.uint32), _whole(x), np.frombuffer(n, np.float64)))
+    for g, found in sizes.items():
+        total, seen = np.zeros(GROUP), np.zeros(GROUP, np.int64)
         # In one order whatever the order of arrival, for sums of the same rounding.
-        for d, known, score in sorted(parts.get(c, []), key=lambda p: (len(p[0]), p[0].tobytes(), p[2].tobytes())):
+        for d, known, score in sorted(parts.get(g, []), key=lambda p: (len(p[0]), p[0].tobytes(), p[2].tobytes())):
             total[d] += score
             seen[d] += known
-        yield pa.RecordBatch.from_arrays([pa.array(c + np.arange(len(words))), pa.array(words.astype(np.int64)), pa.array(seen), pa.array(total)], names=["row", "n_words", "n_seen", "log_score"])
+        at, words = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(g * GROUP + at.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(seen[at]), pa.array(total[at])], names=["row", "n_words", "n_seen", "log_score"])
 
 
 def _last_words(hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
