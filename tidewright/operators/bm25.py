@@ -43,7 +43,8 @@ def build(corpus: DataFrame, analyse=usage_tokens) -> Index:
     sized = bags.select("kind", "id", "tokens", F.size("tokens").alias("dl"))
     stats = sized.groupBy("kind").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = sized.select("kind", "id", "dl", F.explode("tokens").alias("term")).groupBy("kind", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    terms = postings.groupBy("kind", "term").agg(F.count("*").alias("df"))
+    # By tf, so that the exchange below is the one that the postings have, and is reused.
+    terms = postings.groupBy("kind", "term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
     return Index(postings, terms, stats)
 
 
