@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.workers import reach
+
 #: Seed, odd multiplier and mixing constants of the word hash.
 _SEED = 0x5EED_71DE
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -61,7 +63,8 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession, most: str = "16m") -> None:
-    """Let batches of rows that go to Python hold at most so many bytes, whatever the rows' length."""
+    """Let batches of rows that go to Python hold at most so many bytes, whatever the rows' length, and workers find the package."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
