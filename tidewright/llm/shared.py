@@ -20,7 +20,7 @@ _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text that one vectorised step handles; a longer document makes a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +62,7 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
-def bound_batches(spark: SparkSession, most: str = "16m") -> None:
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
     """Let batches of rows that go to Python hold at most so many bytes, whatever the rows' length, and workers find the package."""
     reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
