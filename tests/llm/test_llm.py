@@ -286,6 +286,18 @@ def test_license_scan(spark):
     assert license_scan.scan(rows.limit(0)).count() == 0
 
 
+def test_license_sentences_run_over_lines(spark):
+    texts, want = [], []
+    for name, sentence in license_scan.SENTENCES.items():
+        words = sentence.split(" ")
+        wrapped = [f"{' '.join(words[:i])}{mark}{' '.join(words[i:])}" for i in range(1, len(words)) for mark in ("\n", "  ", "\n# ", "\n * ", "\r\n// ")]
+        texts += [sentence.upper(), "  ".join(words), "\n".join(words), *wrapped]
+        want += [name] * (len(texts) - len(want))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["sentences"] for r in license_scan.scan(rows).collect()}
+    assert [(texts[i], got[i]) for i in range(len(texts)) if want[i] not in got[i]] == []
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(8)
     common, bad = [f"word{i}" for i in range(300)], ["foul", "vile", "nasty"]
