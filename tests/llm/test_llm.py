@@ -298,6 +298,41 @@ def test_license_sentences_run_over_lines(spark):
     assert [(texts[i], got[i]) for i in range(len(texts)) if want[i] not in got[i]] == []
 
 
+NOTICES = [
+ ("This project is licensed under the MIT License.", "MIT"),
+ ("Foo is free. This file is licensed under\n# the MIT license", "MIT"),
+ ("dual licensed under either of\n * Apache License, Version 2.0 (LICENSE)\n", "Apache-2.0"),
+ ("Licensed under the Apache License, Version 2.0 or the MIT license", "Apache-2.0,MIT"),
+ ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"),
+ ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0-only"),
+ ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0-or-later"),
+ ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0-only"),
+ ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+ ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("SPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier: BSL-1.0", "BSL-1.0"),
+ ("SPDX-License-Identifier: CC-BY-NC-SA-3.0", "CC-BY-NC-SA-3.0"), ("licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+ ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.", "CC-BY-NC-SA-3.0"),
+ ("This work is licensed under the GNU General Public License, version 3 or (at your option) any later version", "GPL-3.0-or-later"),
+ ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+ ("This software is released under the GNU LGPL v2.1", "LGPL-2.1-only"), ("available under the terms of the GPLv3+", "GPL-3.0-or-later"),
+ ("This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+ ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "EPL-2.0"),
+ ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("See https://creativecommons.org/licenses/by-sa/3.0/", "CC-BY-SA-3.0"),
+ ("MIT License\n\nCopyright (c) 2020 X", "MIT"), ("we like the MIT License and MIT licenses", ""), ("See MIT License terms", ""), ("licensed under mitigation rules", ""), ("released under the Unlicense", "Unlicense"),
+]
+
+
+def test_license_notices(spark):
+    s = license_scan.SENTENCES
+    endorse = s["bsd_endorse"].replace("the copyright holder", "Google Inc.")
+    bsd = f"Copyright 2008, Google Inc.\nAll rights reserved.\n\n{s['bsd_permitted']}:\n\n  * {s['bsd_source']}.\n  * {s['bsd_binary']}.\n  * {endorse}."
+    cases = [*NOTICES, (bsd, "BSD-3-Clause"), (bsd.replace(endorse, ""), "BSD-2-Clause"), (s["isc_grant"], "ISC"), (s["zero_bsd"] + ".", "0BSD"), (s["zlib_grant"], "Zlib"), (s["boost_grant"], "BSL-1.0")]
+    cases += [(f"SPDX-License-Identifier: {x}", x) for x in license_scan.LICENSES]
+    cases += [(f"The whole package is released under the terms of the {name}.", x) for x, names in license_scan.LICENSES.items() for name in names if license_scan._LATER not in name]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.digest(license_scan.scan(rows)).collect()}
+    assert [(t, got[i], want) for i, (t, want) in enumerate(cases) if got[i] != want] == []
+
+
 def test_quality(spark, docs, nothing):
     rng = random.Random(8)
     common, bad = [f"word{i}" for i in range(300)], ["foul", "vile", "nasty"]
