@@ -44,3 +44,13 @@ def test_entry(spark):
 def test_every_query_is_registered():
     assert set(PLANS) <= set(entry_module.queries())
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+
+
+def test_last_user_text_of_whole_conversations(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[(t + c) % 2], f"{c}.{t}") for c in range(6) for t in range(c + 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["text"] for r in PLANS["last_user_text_whole"][0](spark, str(tmp_path)).collect()}
+    assert got == {c: f"{c}.{c}" for c in range(6)}
+    closed = [(c, c + 1, "assistant", "closed") for c in (1, 4)]
+    spark.createDataFrame(turns + closed, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["conv_id"] for r in PLANS["last_user_text_whole"][0](spark, str(tmp_path)).collect()} == {0, 2, 3, 5}

@@ -317,6 +317,14 @@ def last_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAST = "SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE turn <= conv_id % 3) WHERE r = 1 AND role = 'user'"
 
 
+def last_user_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX11 over whole conversations; last_user_text reads only their first turns, as its SQL does."""
+    return grounding.last_user_text(table(spark, sf_dir, "conversations")).select("conv_id", "text")
+
+
+LAST_WHOLE = "SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND role = 'user'"
+
+
 def grounding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CP8, CP11: pinned items, then the three best retrieved that aren't pinned."""
     b = table(spark, sf_dir, "benchmark")
@@ -509,6 +517,7 @@ PLANS = {
     "invocation_status": (invocation_status, STATUS),
     "invoke_lifecycle": (invoke_lifecycle, LIFECYCLE),
     "last_user_text": (last_user_text, LAST),
+    "last_user_text_whole": (last_user_text_whole, LAST_WHOLE),
     "grounding_candidates": (grounding_candidates, CANDIDATES),
     "freshness_gate": (freshness_gate, FRESHNESS),
     "invocation_correlation": (invocation_correlation, CORRELATION),
