@@ -54,3 +54,10 @@ def test_last_user_text_of_whole_conversations(spark, tmp_path):
     closed = [(c, c + 1, "assistant", "closed") for c in (1, 4)]
     spark.createDataFrame(turns + closed, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
     assert {r["conv_id"] for r in PLANS["last_user_text_whole"][0](spark, str(tmp_path)).collect()} == {0, 2, 3, 5}
+
+
+def test_bm25_stats_of_rare_terms(spark, tmp_path):
+    texts = [(i, f"common word{i // 2}") for i in range(10)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: r["df"] for r in PLANS["bm25_stats_whole"][0](spark, str(tmp_path)).collect()}
+    assert got == {"common": 10} | {f"word{i}": 2 for i in range(5)}
