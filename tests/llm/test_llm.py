@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, mixture, ngram_join, quality, secret_scan, token_store, top_k
+from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, lm_score_trigram, mixture, ngram_join, quality, secret_scan, token_store, top_k
 
 KEYS = ("doc_id", "text")
 
@@ -245,6 +245,31 @@ def test_lm_score(docs, nothing):
     assert lm_score.score(nothing).count() == 0
 
 
+def test_lm_score_of_trigrams(docs, nothing):
+    rows = pairs(docs)
+    grams = lambda w, n: list(zip(*(w[i:] for i in range(n)), strict=False))
+    count, context = {1: Counter(), 2: Counter(), 3: Counter()}, Counter()
+    for _, t in rows:
+        for n in (1, 2, 3):
+            count[n].update(grams(split(t), n))
+            context.update(g[:-1] for g in grams(split(t), n) if n > 1)
+    total, want = sum(count[1].values()), Counter()
+
+    def log_of(g, own):
+        if len(g) == 1:
+            return math.log(count[1][g] / total)
+        others = count[len(g)][g] - own[g]
+        return math.log(others / context[g[:-1]]) if others > 0 else math.log(lm_score.ALPHA) + log_of(g[1:], own)
+
+    for d, t in rows:
+        w = split(t)
+        own = Counter(g for n in (2, 3) for g in grams(w, n))
+        s = sum(log_of(tuple(w[max(0, i - 2) : i + 1]), own) for i in range(len(w)))
+        want[d, len(w), sum(count[3][g] > own[g] for g in grams(w, 3)), round(s, 3)] += 1
+    assert Counter((r["doc_id"], r["n_words"], r["n_seen"], round(r["log_score"], 3)) for r in lm_score_trigram.score(docs).collect()) == want
+    assert lm_score_trigram.score(nothing).count() == 0
+
+
 def test_decontamination(spark, docs, nothing, texts):
     rng = random.Random(4)
     items = [(1, " ".join(texts[3].split()[2:30])), (2, " ".join(texts[10].split()[:11]).upper()), (3, "a b"), (4, "a b"), (5, None), (6, "..."), (None, texts[0]), (12, texts[-4][:400]), (7, "one two three four"), (8, "wzz " * 12)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, mixture, ngram_join, quality, secret_scan, token_store, top_k
+from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, lm_score_trigram, mixture, ngram_join, quality, secret_scan, token_store, top_k
 from tidewright.llm.oracles import ORACLES
 
 
@@ -51,6 +51,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over trigrams."""
+    return lm_score_trigram.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents against the windows of benchmark items."""
     return decontaminate.digest(decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_top_k": op4_top_k,
     "op5_token_store": op5_token_store,
     "op6_lm_score": op6_lm_score,
+    "op6_lm_score_trigram": op6_lm_score_trigram,
     "op7_decontaminate": op7_decontaminate,
     "op8_license_scan": op8_license_scan,
     "op9_quality": op9_quality,
