@@ -245,6 +245,14 @@ def test_lm_score(docs, nothing):
     assert lm_score.score(nothing).count() == 0
 
 
+def test_words_are_told_apart():
+    n = 4_000_000
+    raw = np.frombuffer(" ".join(map(str, range(n))).encode(), np.uint8)
+    words, _ = lm_score._words(raw, np.array([0, len(raw)]))
+    assert len(words) == len(np.unique(words)) == n
+    assert (lm_score._unpacked(lm_score._packed(words)) == words).all()
+
+
 def test_lm_score_of_trigrams(docs, nothing):
     rows = pairs(docs)
     grams = lambda w, n: list(zip(*(w[i:] for i in range(n)), strict=False))

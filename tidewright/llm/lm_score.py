@@ -14,7 +14,7 @@ unigram counts of the same hash are. Frequent words, of more than 1 / HOT of all
 at most HOT many: their counts are broadcast, their pairs are dealt by both words, and
 requests for them are answered on the spot, so no word makes a part large.
 
-Words are 40-bit (within a part) hashes of runs without white space, A-Z taken as a-z.
+Words are 56-bit hashes of runs without white space, A-Z taken as a-z.
 What the parts return are sums per document in blocks of GROUP rows, so the number of
 rows is that of blocks.
 
@@ -42,7 +42,9 @@ HOT = 4096
 HELD = 400_000
 #: Rows whose sums travel in one block, and requests in a block.
 GROUP, MOST_ITEMS = 1024, 500_000
-_MASK = np.uint64((1 << 40) - 1)
+#: Bytes of a word's hash. At 30 million words some 0.006 pairs of words share one of seven bytes.
+WIDTH = 7
+_MASK = np.uint64((1 << 8 * WIDTH) - 1)
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,15 +89,15 @@ def _part(v: np.ndarray, parts: int) -> np.ndarray:
     return ((_hashed(v) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _five(x: np.ndarray) -> bytes:
-    """Integers below 2**40 in five bytes each, bytes of one place together."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Integers that WIDTH bytes hold, bytes of one place together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T).tobytes()
 
 
-def _whole(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(5, -1)
+def _unpacked(data: bytes) -> np.ndarray:
+    flat = np.frombuffer(data, np.uint8).reshape(WIDTH, -1)
     full = np.zeros((flat.shape[1], 8), np.uint8)
-    full[:, :5] = flat.T
+    full[:, :WIDTH] = flat.T
     return full.view("<i8").reshape(-1)
 
 
@@ -106,7 +108,7 @@ _BLOCK = "part int, chunk long, kind int, docs binary, sizes binary, a binary, b
 def _block(part: int, chunk: int, kind: int, docs: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
     """docs must be in order."""
     some, sizes = np.unique(docs, return_counts=True)
-    cells = [some.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes(), a if a is None else _five(a), b if b is None else _five(b), n.tobytes()]
+    cells = [some.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes(), a if a is None else _packed(a), b if b is None else _packed(b), n.tobytes()]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", "chunk", "kind", "docs", "sizes", "a", "b", "n"])
 
 
@@ -167,7 +169,7 @@ def _summed(row: np.ndarray, score: np.ndarray, seen: np.ndarray) -> Iterator[pa
     group = some // GROUP
     cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(some)])) if len(some) else np.zeros(1, int)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield _cells(int(group[a]), 2, (some[a:b] % GROUP).astype(np.uint32).tobytes(), b"", _five(known[a:b]), None, total[a:b].tobytes(), 0)
+        yield _cells(int(group[a]), 2, (some[a:b] % GROUP).astype(np.uint32).tobytes(), b"", _packed(known[a:b]), None, total[a:b].tobytes(), 0)
 
 
 def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
@@ -178,7 +180,7 @@ def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iter
     for p in np.flatnonzero(np.diff(cuts)).tolist():
         for a in range(cuts[p], cuts[p + 1], MOST_ITEMS):
             at = order[a : min(a + MOST_ITEMS, cuts[p + 1])]
-            yield _cells(0, 1, row[at].tobytes(), b"", _five(word[at]), None, n[at].astype(np.uint32).tobytes(), p)
+            yield _cells(0, 1, row[at].tobytes(), b"", _packed(word[at]), None, n[at].astype(np.uint32).tobytes(), p)
 
 
 def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -192,12 +194,12 @@ def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], I
                 if kind == 4:
                     yield _cells(c, kind, docs, sizes, x, y, k, 0)
                 elif kind == 1:
-                    for to, value in zip(asked, (_rows(c, docs, sizes), _whole(x), np.frombuffer(k, np.uint32)), strict=True):
+                    for to, value in zip(asked, (_rows(c, docs, sizes), _unpacked(x), np.frombuffer(k, np.uint32)), strict=True):
                         to.append(value)
                 else:
                     row.append(_rows(c, docs, sizes))
-                    a.append(_whole(x))
-                    b.append(_whole(y))
+                    a.append(_unpacked(x))
+                    b.append(_unpacked(y))
                     n.append(np.frombuffer(k, np.uint32))
         if asked[0]:
             yield from _asked(*map(np.concatenate, asked), parts)
@@ -238,11 +240,11 @@ def _answer(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             for kind, docs, x, k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 6)), strict=True):
                 if kind == 3:
-                    words.append(_whole(x))
+                    words.append(_unpacked(x))
                     counts.append(np.frombuffer(k, np.int64))
                 else:
                     row.append(np.frombuffer(docs, np.int64))
-                    word.append(_whole(x))
+                    word.append(_unpacked(x))
                     n.append(np.frombuffer(k, np.uint32))
         if not row:
             return
@@ -288,7 +290,7 @@ def _counts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[p] : cuts[p + 1]]
-                yield _cells(0, 3, b"", b"", _five(words[at]), None, n[at].astype("<i8").tobytes(), p)
+                yield _cells(0, 3, b"", b"", _packed(words[at]), None, n[at].astype("<i8").tobytes(), p)
 
     return run
 
@@ -302,7 +304,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 4:
                 sizes.setdefault(g, []).append((np.frombuffer(docs, np.uint32), np.frombuffer(n, np.uint32)))
             else:
-                parts.setdefault(g, []).append((np.frombuffer(docs, np.uint32), _whole(x), np.frombuffer(n, np.float64)))
+                parts.setdefault(g, []).append((np.frombuffer(docs, np.uint32), _unpacked(x), np.frombuffer(n, np.float64)))
     for g, found in sizes.items():
         total, seen = np.zeros(GROUP), np.zeros(GROUP, np.int64)
         # In one order whatever the order of arrival, for sums of the same rounding.
