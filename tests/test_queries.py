@@ -61,3 +61,13 @@ def test_bm25_stats_of_rare_terms(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["term"]: r["df"] for r in PLANS["bm25_stats_whole"][0](spark, str(tmp_path)).collect()}
     assert got == {"common": 10} | {f"word{i}": 2 for i in range(5)}
+
+
+def test_lexical_match_of_whole_items(spark, tmp_path):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(3)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(1, 0, "user", items[2][1][160:]), (2, 0, "user", "something else")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["query_id"]: (r["intent_id"], r["score"]) for r in PLANS["lexical_match_whole"][0](spark, str(tmp_path)).collect()}
+    assert {q: v for q, v in got.items() if q < 0} == {-i - 1: (f"intent_{i}", 1.0) for i in range(3)}
+    assert got[1000][0] == "intent_2" and 2000 not in got

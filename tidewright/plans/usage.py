@@ -119,6 +119,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, in
 SELECT query_id, intent_id, round(score, 9) AS score FROM r WHERE r = 1"""
 
 
+def lexical_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """US1, US2 asked with whole benchmark items; lexical_match asks with their first 160 characters, as its SQL does."""
+    b = table(spark, sf_dir, "benchmark")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    items = b.select((-F.col("item_id") - 1).alias("query_id"), "text")
+    members = b.select(F.concat(F.lit("intent_"), F.col("item_id").cast("string")).alias("intent_id"), "text")
+    return usage.lexical_match(turns.unionByName(items), members).select("query_id", "intent_id", F.round("score", 9).alias("score"))
+
+
+LEXICAL_WHOLE = f"""
+WITH q AS (SELECT query_id, list_distinct({sql_tokens("text")}) AS t FROM ({_TURNS} UNION ALL SELECT -item_id - 1, text FROM benchmark)),
+m AS (SELECT intent_id, list_distinct({sql_tokens("text")}) AS t FROM ({_ITEMS})),
+s AS (SELECT query_id, intent_id, max(CAST(len(list_intersect(q.t, m.t)) AS DOUBLE) / (len(q.t) + len(m.t) - len(list_intersect(q.t, m.t)))) AS score FROM q, m WHERE len(q.t) > 0 AND len(m.t) > 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, intent_id) AS r FROM s WHERE score >= 0.5e0)
+SELECT query_id, intent_id, round(score, 9) AS score FROM r WHERE r = 1"""
+
+
 def _centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = inputs.vectors(spark, sf_dir)
     return dense.rebuild_centroids(v.select(F.col("label").alias("cluster"), "id"), v.select("id", "vec"))
@@ -504,6 +521,7 @@ PLANS = {
     "edge_ranking": (edge_ranking, EDGES),
     "arm_weight": (arm_weight, ARM),
     "lexical_match": (lexical_match, LEXICAL),
+    "lexical_match_whole": (lexical_match_whole, LEXICAL_WHOLE),
     "centroid_rebuild": (centroid_rebuild, CENTROID),
     "dense_match": (dense_match, DENSE),
     "usage_outcomes": (usage_outcomes, OUTCOMES),
