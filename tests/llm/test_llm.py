@@ -393,6 +393,22 @@ def test_quality(spark, docs, nothing):
     assert quality.keep_selected(docs, label).columns == docs.columns
 
 
+def test_quality_by_order_of_words(spark):
+    rng = random.Random(9)
+    common, rows, labels = [f"word{i}" for i in range(300)], [], []
+    for i in range(900):
+        words = [rng.choice(common) for _ in range(60)]
+        for at in range(0, 60, 12):
+            words[at : at + 2] = ("left", "right") if i % 6 else ("right", "left")
+        rows.append((i, " ".join(words)))
+        if i % 2 == 0 and i < 800 or i % 6 == 0 and i < 400 or i % 3 == 1 and i < 800:
+            labels.append((i, int(i % 6 != 0), 0))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["selected"] for r in quality.resample(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [i for i in range(800, 900)]
+    assert sum(got[i] for i in held if i % 6 == 0) <= 1 and sum(not got[i] for i in held if i % 6) <= 4
+
+
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),

@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling over hashed n-grams.
 
-Every document is a set of hashed n-grams: its words, the first 4 and 6 and the last
-3 bytes of each word (as they are written), and whether a word comes RUN times in a row.
+Every document is a set of hashed n-grams: its words and pairs of neighbouring words, the
+first 4 and 6 and the last 3 bytes of each word (as they are written), and whether a word
+comes RUN times in a row. Each counts once a document.
 Two generative models are counted over hash buckets, in TABLES tables of BUCKETS: of
 the target text (labelled good and not toxic) and of raw text (all documents). A
 document's log weight is the sum of the log ratios of its n-grams. A ratio counts only
@@ -79,8 +80,10 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     if len(word) >= RUN:
         same = np.concatenate(([0], np.cumsum((word[1:] == word[:-1]) & (row[1:] == row[:-1]))))
         again[RUN - 1 :] = same[RUN - 1 :] - same[: len(word) - RUN + 1] == RUN - 1
-    hashes = np.concatenate((word, part(starts[long4], starts[long4] + 4, 2), part(starts[long6], starts[long6] + 6, 3), part(np.maximum(ends - 3, starts), ends, 4), np.full(again.sum(), mix(np.array([5 << 32], np.uint64))[0])))
-    of = np.concatenate((row, row[long4], row[long6], row, row[again]))
+    beside = np.flatnonzero(row[1:] == row[:-1])
+    pair = mix(word[beside] * np.uint64(0x9E3779B97F4A7C15) + word[beside + 1] + np.uint64(6 << 32))
+    hashes = np.concatenate((word, pair, part(starts[long4], starts[long4] + 4, 2), part(starts[long6], starts[long6] + 6, 3), part(np.maximum(ends - 3, starts), ends, 4), np.full(again.sum(), mix(np.array([5 << 32], np.uint64))[0])))
+    of = np.concatenate((row, row[beside], row[long4], row[long6], row, row[again]))
     once = np.unique(mix(hashes ^ (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1]
     return hashes[once], of[once]
 
