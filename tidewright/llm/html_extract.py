@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.llm.shared import bound_batches
+from tidewright.llm.shared import bound_batches, frugal
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -319,7 +319,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """keep, the main text, and its length in code points, for each row of pages."""
-    bound_batches(pages.sparkSession, "8m")
+    bound_batches(pages.sparkSession)
     rows = pages.select(*keep, F.col(html).cast("string").alias("_html"))
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("text", T.StringType())])
-    return rows.mapInArrow(_run, schema).withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(frugal(_run), schema).withColumn("n_chars", F.length("text").cast("long"))

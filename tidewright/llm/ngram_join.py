@@ -23,7 +23,7 @@ n-gram order, and it is cut into fragments: a document becomes one segment in ea
 
 Scale: everything is hash-partitioned; nothing is collected but counts. Signatures are
 combined within each chunk of rows, so a group that holds a third of all documents
-sends a row a chunk and signature. Lineage is cut by tables in the shared folder.
+sends a row a chunk and signature; parts of signatures are numbered by their bytes. Lineage is cut by tables in the shared folder.
 
 Edge cases: a text without words has an empty set and links with nothing, one with
 fewer words than n is one n-gram; null is no text; repeated rows, and repeated or null
@@ -41,14 +41,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, cut, drop, gram_hashes, mix, shuffle_partitions, sized, text_chunks, word_hashes
+from tidewright.llm.shared import bound_batches, cut, drop, frugal, gram_hashes, mix, shuffle_partitions, sized, text_chunks, word_hashes
 
 #: Spare fragments of the smallest classes; larger ones have a quarter of what pairs may differ in besides.
 SPARE = 2
 #: Fragments in which overlaps are counted.
 FRAGMENTS = 16
 #: Sets whose copies within one task are recognised before the memory of them is begun anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Signatures that one task sorts, about; more documents make more parts.
+PART_SIGNATURES = 1_000_000
 
 #: Live sets whose ids are broadcast to find their texts (about 50 MB); with more, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
@@ -160,7 +162,7 @@ def _sign(n: int, num: int, den: int, parts: int) -> Callable[[Iterator[pa.Recor
         starts = _class_starts(num, den, 1 << 12)
         chunk = 0
         for batch in batches:
-            for _, _, raw, offsets in text_chunks(batch.column(0)):
+            for _, _, raw, offsets in text_chunks(batch.column(0), 1 << 19):
                 g, bounds = _sets(raw, offsets, n)
                 size = np.diff(bounds)
                 if len(size) and size.max() >= starts[-1]:
@@ -295,7 +297,7 @@ def components(edges: DataFrame) -> DataFrame:
         cur = after
     drop(cur)
     if found is None:
-        return edges.sparkSession.createDataFrame([], "node binary, root binary")
+        return edges.select(F.col("x").alias("node"), F.col("y").alias("root")).limit(0)
     return found
 
 
@@ -322,20 +324,23 @@ def link(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, text: str =
     Documents link when den * |intersection| >= num * |union| of their n-gram sets."""
     spark = docs.sparkSession
     bound_batches(spark)
-    parts = shuffle_partitions(spark)
     named = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = cut(named.mapInArrow(_named(n), "doc_id long, n_shingles long, fp binary, fa long"), "sets")
+    rows = cut(named.mapInArrow(frugal(_named(n)), "doc_id long, n_shingles long, fp binary, fa long"), "sets")
 
-    met = named.select("text").mapInArrow(_sign(n, num, den, parts), _BLOCK).repartitionById(parts, "part").drop("part").mapInArrow(_meet, "fa long, kind int, base long, met long")
+    whole = rows.agg(F.sum("n_shingles"), F.count("fp")).first()
+    signatures = 2.5 * (whole[0] or 0) * (den - num) / num + 2 * (SPARE + 1) * whole[1]  # at most, about: of two classes, with a quarter to spare
+    parts = max(shuffle_partitions(spark), int(signatures // PART_SIGNATURES))
+    met = named.select("text").mapInArrow(frugal(_sign(n, num, den, parts)), _BLOCK).repartitionById(parts, "part").drop("part").mapInArrow(frugal(_meet), "fa long, kind int, base long, met long")
     live = met.groupBy("fa", "kind").agg(F.max("base").alias("base"), F.sum("met").alias("met")).where("base + met >= 0").select("fa").distinct()
     classes = rows.where("fp is not null").groupBy("fp", "fa").agg(F.min("doc_id").alias("rep"))
     chosen = cut(classes.join(live, "fa", "left_semi").select("fp", "rep"), "live")
 
     few = chosen.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(doc).cast("long").alias("__tw_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen) if few else chosen, F.col("__tw_id").eqNullSafe(F.col("rep")))
-    sets = cut(texts.select("fp", "text").mapInArrow(_segments(n), "fp binary, n long, segs array<array<bigint>>"), "segments")
+    sets = cut(texts.select("fp", "text").mapInArrow(frugal(_segments(n)), "fp binary, n long, segs array<array<bigint>>"), "segments")
     if not sets.groupBy("fp").count().where("count > 1").isEmpty():  # rows repeated with their ids
-        sets = cut(sets.dropDuplicates(["fp"]), "segments")
+        repeated, sets = sets, cut(sets.dropDuplicates(["fp"]), "segments")
+        drop(repeated)
 
     # In how many live documents each n-gram is; those of one document only count towards `own`.
     grams = sets.select("fp", "n", F.explode_outer(F.flatten("segs")).alias("g"))

@@ -37,9 +37,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm import shared
 from tidewright.llm.mixture import uniform
-from tidewright.llm.shared import bound_batches, cut, mix, sized, text_chunks, word_bounds
+from tidewright.llm.shared import bound_batches, cut, frugal, lowered, mix, sized, span_hashes, text_chunks, word_bounds
 
 #: Hash tables, their buckets, and the buckets of a row of counts.
 TABLES, BUCKETS, BLOCK = 3, 1 << 18, 1 << 12
@@ -66,12 +65,10 @@ def _features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     # Sentence marks at a word's end belong to no word.
     marks = np.isin(raw, np.frombuffer(b".,;:?", np.uint8))
     trimmed = np.where(marks[ends - 1] & (ends - starts > 1), ends - 1, ends)
-    shared._grow_powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(shared._VALUE[raw] * shared._powers[: len(raw)], out=total[1:])
+    low = lowered(raw)
 
     def part(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
-        return mix((total[b] - total[a]) * shared._inverse[a] + (b - a).astype(np.uint64) + np.uint64(kind << 32))
+        return mix(span_hashes(low, a, b) + np.uint64(kind << 32))
 
     row = np.searchsorted(offsets, starts, side="right") - 1
     word = part(starts, trimmed, 1)
@@ -173,12 +170,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
     bound_batches(spark)
     known = F.broadcast(cut(good_labels(labels), "labels"))
     rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, F.col("doc_id") == F.col("__tw_id"), "left").select("doc_id", "label", "text")
-    counted = rows.select("text", "label").mapInArrow(_count, "block int, counts binary").repartition("block").mapInArrow(_add, "block int, counts binary").toArrow()  # TABLES * BUCKETS / BLOCK rows
+    counted = rows.select("text", "label").mapInArrow(frugal(_count), "block int, counts binary").repartition("block").mapInArrow(frugal(_add), "block int, counts binary").toArrow()  # TABLES * BUCKETS / BLOCK rows
     table = np.zeros((3, TABLES * BUCKETS // BLOCK, BLOCK), np.int64)
     for block, data in zip(*(c.to_pylist() for c in counted.columns), strict=True):
         table[:, block] = np.frombuffer(data, "<i8").reshape(3, BLOCK)
     sent = spark.sparkContext.broadcast([log_ratios(*t) for t in table.reshape(3, TABLES, BUCKETS).transpose(1, 0, 2)])
-    scored = cut(rows.mapInArrow(_score(sent), "doc_id long, label int, log_weight double").withColumn("key", SHARP * F.col("log_weight") - F.log(-F.log(uniform(F.col("doc_id"), seed)))), "scored")
+    scored = cut(rows.mapInArrow(frugal(_score(sent)), "doc_id long, label int, log_weight double").withColumn("key", SHARP * F.col("log_weight") - F.log(-F.log(uniform(F.col("doc_id"), seed)))), "scored")
 
     if k is None:
         step = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("log_weight"))) / STEP).cast("int")

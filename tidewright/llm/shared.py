@@ -2,45 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.workers import reach
+from tidewright.workers import files, reach, shared_dir
 
-#: Seed, odd multiplier and mixing constants of the word hash.
-_SEED = 0x5EED_71DE
+#: Mixing constants, and an odd multiplier for runs of words.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_B = np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text that one vectorised step handles; a longer document makes a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of a batch of rows that goes to Python at most, unless one row has more.
+BATCH_BYTES = 2 << 20
+#: Words beyond this many bytes are hashed one by one.
+LONG_WORD = 256
 
+#: Tables cut while a scratch() is open, by scratch().
+_OPEN: list[list[DataFrame]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    folder, system = files(spark, path)
+    system.deleteOnExit(folder)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again, so that lost executors cost no earlier stage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(table)
     return table
 
 
@@ -48,8 +55,18 @@ def drop(*tables: DataFrame) -> None:
     """Delete the files of tables that cut() made and that nothing reads any more."""
     for table in tables:
         if path := getattr(table, "_cut_path", None):
-            folder = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            folder, system = files(table.sparkSession, path)
+            system.delete(folder, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are cut meanwhile are deleted in the end, but for those that are taken off the list."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        drop(*_OPEN.pop())
 
 
 #: Rows of ids, or of ids and a hash, that are broadcast at most (about 60 MB); above that a join shuffles.
@@ -62,10 +79,41 @@ def sized(ids: DataFrame, name: str) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
-def bound_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Let batches of rows that go to Python hold at most so many bytes, whatever the rows' length, and workers find the package."""
+def bound_batches(spark: SparkSession) -> None:
+    """Let batches of rows that go to Python hold at most BATCH_BYTES, whatever the rows' length, and workers find the package. A lower bound that is set stays."""
     reach(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    asked = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < asked <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+#: What operators keep in this Python worker between their tasks, and how it is dropped.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def _give_back() -> None:
+    """Free memory goes back to the system, as workers outlive their tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Task, keeps: str = "") -> Task:
+    """run, with what other operators keep in the worker dropped first, and its own free memory given back when a task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        for other in [k for k in KEPT if k != keeps]:
+            KEPT.pop(other)()
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -79,29 +127,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _byte_values() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(_SEED)
-    value = rng.integers(1, 2**63, size=256, dtype=np.uint64)
-    value[65:91] = value[97:123]
-    blank = np.zeros(256, bool)
-    blank[[9, 10, 11, 12, 13, 32]] = True
-    value[blank] = 0
-    return value, blank
-
-
-_VALUE, _BLANK = _byte_values()
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _grow_powers(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        step = np.full(size, _BASE, np.uint64)
-        back = np.full(size, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64)
-        step[0] = back[0] = 1
-        _powers, _inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Of eight bytes, the first n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def text_chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -137,27 +167,34 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & after) + 1
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word, A-Z taken as a-z, and the row that each word is in."""
-    starts, ends = word_bounds(raw, offsets)
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight at a time, each eight mixed into what is before them."""
+    size = ends - starts
+    h = mix(size.astype(np.uint64) + np.uint64(0x5EED71DE))
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _grow_powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUE[raw] * _powers[: len(raw)], out=total[1:])
-    h = mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(offsets, starts, side="right") - 1
+        return h
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    h = mix(h ^ (eights[starts] & _FIRST[np.minimum(size, 8)]))
+    rest, at = np.flatnonzero(size > 8), 8
+    while len(rest) and at < LONG_WORD:
+        h[rest] = mix(h[rest] ^ (eights[starts[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]))
+        at += 8
+        rest = rest[size[rest] > at]
+    for i in rest.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
-_EXACT = np.random.default_rng(_SEED + 1).integers(1, 2**63, size=256, dtype=np.uint64)
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return _LOWER[raw]
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span as they are."""
-    _grow_powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_EXACT[raw] * _powers[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word, A-Z taken as a-z, and the row that each word is in."""
+    starts, ends = word_bounds(raw, offsets)
+    return span_hashes(lowered(raw), starts, ends), np.searchsorted(offsets, starts, side="right") - 1
 
 
 def gram_hashes(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

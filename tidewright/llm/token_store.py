@@ -3,8 +3,10 @@
 Documents are encoded with a public tokenizer, and an end id follows each. For a
 byte-level BPE the words between spaces are encoded by the library once a worker and
 looked up from then on, which gives the ids that whole texts give: the tokenizer
-splits a text there before it merges. Texts in which that isn't sure (several blanks
-in a row, other white space, special tokens), and other tokenizers, encode whole texts.
+splits a text there before it merges. A word is looked up by its hash, and all bytes
+found are compared with the text. Texts in which that isn't sure (several blanks in a
+row, other white space, special tokens, words of one hash), and other tokenizers,
+encode whole texts.
 
 Format. The store is a folder of shards in ascending order of doc_id; a row of a
 shard is a block: an image of bytes with a header (magic, bits an id, documents, ids),
@@ -27,21 +29,21 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, shuffle_partitions, span_hashes, text_chunks, word_bounds
+from tidewright.llm.shared import KEPT, Task, bound_batches, frugal, scratch_path, shuffle_partitions, span_hashes, text_chunks, word_bounds
 
 MAGIC = b"TWB1"
 HEADER = struct.Struct("<4sIIQ")
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words whose ids a worker remembers (about 80 MB).
-REMEMBERED = 2_000_000
+#: Words whose ids a worker remembers (about 60 MB); beyond that it begins anew.
+REMEMBERED = 1_000_000
 #: Ranges that the ids are first cut into are found to within this share of all rows.
 QUANTILE_ERROR = 0.002
 END_ID = 2
@@ -107,6 +109,83 @@ def document(block: bytes, i: int) -> np.ndarray:
     return unpack(memoryview(block)[HEADER.size + 8 * (docs + 1) :], bits, int(a), int(b - a))
 
 
+def _put(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """array, or one twice as long, with more from place `used` on."""
+    if used + len(more) > len(array):
+        array = np.concatenate((array[:used], np.zeros(max(len(array), len(more)), array.dtype)))
+    array[used : used + len(more)] = more
+    return array
+
+
+class _Known:
+    """Words and their ids. A table of hashes leads to places; bytes of place i are text[text_at[i]:text_at[i + 1]], ids likewise."""
+
+    def __init__(self) -> None:
+        self.keys, self.place, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
+        self.text, self.text_at = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64)
+        self.ids, self.ids_at = np.zeros(1 << 17, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 of those that aren't known."""
+        found, todo = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+        mask = np.uint64(len(self.keys) - 1)
+        at = (hashes & mask).astype(np.int64)
+        while len(todo):
+            key = self.keys[at]
+            same = key == hashes[todo]
+            found[todo[same]] = self.place[at[same]]
+            on = ~same & (key != 0)
+            todo, at = todo[on], (at[on] + 1) & int(mask)
+        return found
+
+    def _enter(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        mask, todo = len(self.keys) - 1, np.arange(len(hashes))
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[todo[free]]  # of several, one stays
+            mine = self.keys[at] == hashes[todo]
+            self.place[at[mine]] = places[todo[mine]]
+            todo, at = todo[~mine], (at[~mine] + 1) & mask
+
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[np.ndarray] | list[list[int]]) -> None:
+        """Distinct hashes that aren't known, their words and ids."""
+        n, more = self.count, len(words)
+        if 2 * (n + more) > len(self.keys):
+            kept = np.flatnonzero(self.keys)
+            keys, places = self.keys[kept], self.place[kept]
+            size = 1 << (4 * (n + more)).bit_length()
+            self.keys, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._enter(keys, places)
+        for name, cells, kind in (("text", [np.frombuffer(b"".join(words), np.uint8)], np.uint8), ("ids", ids, np.uint32)):
+            ends = getattr(self, f"{name}_at")
+            flat = cells[0] if name == "text" else np.array([x for cell in cells for x in cell], kind)
+            size = np.cumsum(np.fromiter(map(len, words if name == "text" else cells), np.int64, more))
+            setattr(self, name, _put(getattr(self, name), int(ends[n]), flat))
+            setattr(self, f"{name}_at", _put(ends, n + 1, ends[n] + size))
+        self._enter(hashes, np.arange(n, n + more, dtype=np.int32))
+        self.count += more
+
+    def _cells(self, values: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = ends[place + 1] - ends[place]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return values[np.repeat(ends[place] - total[:-1], size) + np.arange(total[-1])], total
+
+    def bytes_of(self, place: np.ndarray) -> np.ndarray:
+        return self._cells(self.text, self.text_at, place)[0]
+
+    def ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of places one after another, and where each begins."""
+        return self._cells(self.ids, self.ids_at, place)
+
+
+#: Up to here what Python and the tokenizer hold to be letters doesn't depend on the version of Unicode.
+_LAST_LATIN = "\u024f"
+#: The character by which a byte-level BPE writes each byte: itself if it is printed, else the next free one.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+
+
 class Encoder:
     """Texts to ids. Of a byte-level BPE the ids of words are remembered.
 
@@ -128,12 +207,7 @@ class Encoder:
         self.feed = feed[0] if len(feed) else 0
         #: Added tokens are found before the split; a text with one is encoded whole.
         self.added = [t["content"].encode() for t in made.get("added_tokens", [])]
-        self._forget()
-
-    def _forget(self) -> None:
-        """Known words: hashes in order and their places in `start`; ids of word i are ids[start[i]:start[i + 1]]."""
-        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known = _Known()
 
     @property
     def vocabulary(self) -> int:
@@ -143,56 +217,59 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Encode words (with the space or line feed before them, if any), many at a time, with a line feed, which is one id, between them."""
-        found, lengths = [self.ids], []
-        for at in range(0, len(words), 2048):
-            some = words[at : at + 2048]
-            ids = self.whole(b"".join([w + b"\n" if w[:1] != b"\n" else w[1:] + b"\n" for w in some]).decode())
-            ends = np.flatnonzero(ids == self.feed)
+        """Encode words, with the space or line feed before them, if any. Letters alone are one piece to the tokenizer, and its model merges them at once; other words are encoded as texts with a line feed, which is one id, between them."""
+        merge, ids, others = self.tokenizer.model.tokenize, [], []
+        for i, w in enumerate(words):
+            head, bare = w[:1], w[1:] if w[:1] in (b" ", b"\n") else w
+            if bare.isalpha() or (text := bare.decode()).isalpha() and max(text) <= _LAST_LATIN:
+                piece = (bare if head == b"\n" else w).decode("latin-1").translate(_WRITTEN)
+                ids.append([self.feed] * (head == b"\n") + [t.id for t in merge(piece)])
+            else:
+                others.append(i)
+                ids.append([])
+        for at in range(0, len(others), 512):
+            some = others[at : at + 512]
+            flat = self.whole(b"".join([words[i].removeprefix(b"\n") + b"\n" for i in some]).decode())
+            ends = np.flatnonzero(flat == self.feed)
             if len(ends) != len(some):
                 raise ValueError("a line feed is not an id of its own")
-            size = np.diff(ends, prepend=-1) - 1
-            after = np.array([w[:1] == b"\n" for w in some])
-            # A word after a line feed takes the feed's id along: the one that ended the word before it.
-            keep = np.ones(len(ids), bool)
-            keep[ends] = False
-            body = ids[keep]
-            found.append(np.insert(body, (np.cumsum(size) - size)[after], self.feed))
-            lengths.append(size + after)
-        places = len(self.start) - 1 + np.arange(len(words))
-        self.ids = np.concatenate(found)
-        self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(np.concatenate(lengths))))
-        hashes, places = np.concatenate((self.hashes, hashes)), np.concatenate((self.places, places))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], places[order]
-
-    def _by_word(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of plain rows, none of them empty."""
-        if len(self.hashes) > REMEMBERED:
-            self._forget()
+            for i, a, b in zip(some, [0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True):
+                ids[i] = [self.feed] * (words[i][:1] == b"\n") + flat[a:b].tolist()
+        self.known.add(hashes, words, ids)
+
+    def _by_word(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray | None]:
+        """Ids of plain rows, none of them empty; None of rows with a word that shares its hash with another."""
         starts, ends = word_bounds(raw, offsets)
         row = np.searchsorted(offsets, starts, side="right") - 1
         led = starts > offsets[row]  # has a space or line feed before it
         # A mark after a letter is a piece of its own at the end of a word.
-        tail = np.flatnonzero(_MARK[raw[ends - 1]] & (ends - starts > 1) & _LETTER[raw[np.maximum(ends - 2, 0)]])
+        last, before = raw[np.maximum(ends - 2, 0)], raw[np.maximum(ends - 3, 0)]
+        accented = (ends - starts > 2) & (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        tail = np.flatnonzero(_MARK[raw[ends - 1]] & (ends - starts > 1) & (_LETTER[last] | accented))
         marks = ends[tail] - 1
         ends[tail] -= 1
         starts, ends, row, led = np.insert(starts, tail + 1, marks), np.insert(ends, tail + 1, marks + 1), np.insert(row, tail + 1, row[tail]), np.insert(led, tail + 1, False)
         begin = starts - led
-        h = span_hashes(raw, begin, ends)
-        some, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.hashes, some), max(len(self.hashes) - 1, 0))
-        new = np.flatnonzero(self.hashes[at] != some) if len(self.hashes) else np.arange(len(some))
+        h = np.maximum(span_hashes(raw, begin, ends), np.uint64(1))
+        place = self.known.find(h)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            data = raw.tobytes()
-            self._learn(some[new], [data[a:b] for a, b in zip(begin[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.hashes, some)
-        place = self.places[at][back]
-        size = self.start[place + 1] - self.start[place]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.start[place] - total[:-1], size) + np.arange(total[-1])]
+            some, first = np.unique(h[new], return_index=True)
+            first, data = new[first], raw.tobytes()
+            self._learn(some, [data[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True)])
+            place[new] = self.known.find(h[new])
+        ids, total = self.known.ids_of(place)
         cuts = total[np.searchsorted(row, np.arange(len(offsets)))]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        found: list[np.ndarray | None] = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        # The words found, one after another, must be the text itself.
+        if not np.array_equal(self.known.bytes_of(place), raw):
+            data = raw.tobytes()
+            for r, a, b, p in zip(row.tolist(), begin.tolist(), ends.tolist(), place.tolist(), strict=True):
+                if data[a:b] != self.known.text[self.known.text_at[p] : self.known.text_at[p + 1]].tobytes():
+                    found[r] = None
+        if self.known.count > REMEMBERED:
+            self.known = _Known()
+        return found
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each row of text."""
@@ -214,23 +291,31 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encode(path: str, end: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _width(bits: int) -> str:
+    """How ids travel to their shard, where they are packed."""
+    return "<u2" if bits <= 16 else "<u4"
+
+
+def _encode(path: str, end: int, bits: int) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
-        encoder, last = _ENCODERS[path], np.array([end], np.uint32)
+        KEPT["tokens"] = _ENCODERS.clear
+        encoder, last, kind = _ENCODERS[path], np.array([end], np.uint32), np.dtype(_width(bits))
         for batch in batches:
-            for a, b, raw, offsets in text_chunks(batch.column(2), 1 << 20):
+            for a, b, raw, offsets in text_chunks(batch.column(2)):
                 some = batch.slice(a, b - a)
-                docs = [np.concatenate((x, last)) for x in encoder.encode(raw, offsets)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array([len(x) for x in docs], pa.int64()), pa.array([pack(x, bits) for x in docs], pa.binary())], names=["part", "doc_id", "n", "ids"]
-                )
+                docs = encoder.encode(raw, offsets)
+                flat = np.concatenate([x for d in docs for x in (d, last)]).astype(kind)
+                size = np.array([len(d) + 1 for d in docs], np.int64)
+                at = np.concatenate(([0], np.cumsum(size * kind.itemsize)))
+                ids = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(size), ids.cast(pa.binary())], names=["part", "doc_id", "n", "ids"])
 
     return run
 
 
-def _blocks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(bits: int) -> Task:
     """Rows of one shard in order to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,12 +328,12 @@ def _blocks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             )
 
         for batch in batches:
-            for part, doc, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, doc, n, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if held and (part != shard or size + n > BLOCK):
                     yield made()
                     block, first, held, doc_ids, size = (block + 1, first + size, [], [], 0) if part == shard else (0, 0, [], [], 0)
                 shard = part
-                held.append(unpack(packed, bits, 0, n))
+                held.append(np.frombuffer(ids.as_buffer(), _width(bits)))
                 doc_ids.append(doc)
                 size += n
         if held:
@@ -267,9 +352,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END_ID, text: s
     # Cuts of the range of ids, from the ids alone: encoding happens once, below.
     edges = sorted(set(rows.approxQuantile("doc_id", [i / shards for i in range(1, shards)], QUANTILE_ERROR))) if shards > 1 else []
     part = F.when(F.col("doc_id").isNull(), F.lit(shards - 1)).otherwise(F.size(F.filter(F.array(*(F.lit(int(e)) for e in edges)), lambda e: e < F.col("doc_id"))) if edges else F.lit(0))
-    encoded = rows.select(part.cast("int").alias("part"), "doc_id", "text").mapInArrow(_encode(tokenizer, end, bits), "part int, doc_id long, n long, ids binary")
+    encoded = rows.select(part.cast("int").alias("part"), "doc_id", "text").mapInArrow(frugal(_encode(tokenizer, end, bits), "tokens"), "part int, doc_id long, n long, ids binary")
     placed = encoded.repartitionById(shards, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
-    placed.mapInArrow(_blocks(bits), "shard int, block long, first long, n_ids long, doc_ids array<bigint>, image binary").write.parquet(path)
+    placed.mapInArrow(frugal(_blocks(bits), "tokens"), "shard int, block long, first long, n_ids long, doc_ids array<bigint>, image binary").write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,15 +376,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row a shard, and as many shards as a shuffle has partitions
     placed = blocks.join(F.broadcast(base), "shard").select((F.col("base") + F.col("first")).alias("at"), "doc_ids", "image")
-    return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(frugal(_read, "tokens"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int = END_ID) -> DataFrame:
     """docs written to a store in the shared folder, and what is read back from it."""
-    import uuid
-
-    from tidewright.llm.shared import shared_dir
-
-    path = f"{shared_dir(docs.sparkSession)}/tidewright-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(docs.sparkSession, "tokens")
     write(docs, path, tokenizer, end)
     return read(docs.sparkSession, path)
