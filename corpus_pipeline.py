@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import decontaminate, mixture, ngram_join, quality, token_store
 from tidewright.llm.queries import tokenizer_path
-from tidewright.llm.shared import cut
+from tidewright.llm.shared import cut, drop, scratch
 
 #: Near duplicates: words of a shingle, and the similarity in percent from which documents link.
 SHINGLE, SIMILAR = 5, 80
@@ -55,8 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs, f"stage-{i}-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with scratch() as tables:
+            docs = cut(stage(spark, before, sf_dir), name.replace(" ", "-"))
+            tables[:] = [t for t in tables if t is not docs]
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
