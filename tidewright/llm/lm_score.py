@@ -6,26 +6,28 @@ document is not its own model. A first word scores C(w) / N. A document's score
 sum of the natural logarithms.
 
 Counts are tables partitioned by hash. Documents' distinct pairs travel to the part of
-their first word in blocks of packed columns (a few bytes a pair); there they are
-joined by sorting: counts of pairs and of contexts are sums over equal keys, and each
-document's share of the score is added up. Pairs that no other document has go on, as
-requests for the count of their second word, to the part of that word, where the
-unigram counts of the same hash are. Frequent words, of more than 1 / HOT of all, are
-at most HOT many: their counts are broadcast, their pairs are dealt by both words, and
-requests for them are answered on the spot, so no word makes a part large.
-
-Words are 56-bit hashes of runs without white space, A-Z taken as a-z.
-What the parts return are sums per document in blocks of GROUP rows, so the number of
-rows is that of blocks.
+their first word in blocks of packed columns (a few bytes a pair: words are listed once
+a block); there they are joined by sorting: counts of pairs and of contexts are sums
+over equal keys, and each document's share of the score is added up. Pairs that no other
+document has go on, as requests for the count of their second word, to the part of that
+word, where the unigram counts of the same hash are. Frequent words, of more than
+1 / HOT of all, are at most HOT many: their counts are broadcast, their pairs are dealt
+by both words, and requests for them are answered on the spot, so no word makes a part
+large. Parts are numbered by words, about PART_WORDS each.
+
+Words are 64-bit hashes of runs without white space, A-Z taken as a-z. A document's id
+travels with its number of words, from the one scan that numbers the rows. What the
+parts return are sums per document in blocks of GROUP rows; they are sorted by group, so
+a task holds the sums of one group at a time.
 
 Edge cases: null, empty and wordless texts have 0 words and a score of 0; one word is a
 first word; repeated rows and ids are documents of their own (and each other's model);
-an empty table gives an empty result; other columns are not read.
+a null id stays null; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import bound_batches, cut, mix, shuffle_partitions, text_chunks, word_hashes
+from tidewright.llm.shared import Task, bound_batches, cut, frugal, mix, shuffle_partitions, text_chunks, word_hashes
 
 ALPHA = 0.4
 #: Words with more than this part of all words are hot; so there are at most HOT of them.
@@ -41,15 +43,11 @@ HOT = 4096
 #: Distinct words that a task counts before it passes the counts on.
 HELD = 400_000
 #: Rows whose sums travel in one block, and requests in a block.
-GROUP, MOST_ITEMS = 1024, 500_000
-#: Bytes of a word's hash. At 30 million words some 0.006 pairs of words share one of seven bytes.
-WIDTH = 7
-_MASK = np.uint64((1 << 8 * WIDTH) - 1)
-
-
-def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h, row = word_hashes(raw, offsets)
-    return (h & _MASK).astype(np.int64), row
+GROUP, MOST_ITEMS = 1024, 100_000
+#: Words of the corpus to a part.
+PART_WORDS = 1_000_000
+#: Bytes of text whose pairs make blocks together.
+CHUNK = 1 << 20
 
 
 def _totals(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -57,278 +55,280 @@ def _totals(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return some, *(np.bincount(at, w, minlength=len(some)).astype(np.int64) for w in weights)
 
 
+def _ends(row: np.ndarray) -> np.ndarray:
+    """Which words end a row."""
+    return np.concatenate((row[1:] != row[:-1], [True])) if len(row) else np.zeros(0, bool)
+
+
 def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n): counts of a task, passed on whenever HELD words are known."""
-    keys, counts, size = [], [], 0
+    """(word, n, ends): counts of a task, and those at the end of a document; passed on whenever HELD words are known."""
+    held, size = [], 0
+
+    def summed() -> list[np.ndarray]:
+        return list(_totals(*map(np.concatenate, zip(*held, strict=True))))
 
-    def made() -> pa.RecordBatch:
-        some, n = _totals(np.concatenate(keys), np.concatenate(counts))
-        return pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["word", "n"])
+    def made(words: np.ndarray, n: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), pa.array(ends)], names=["word", "n", "ends"])
 
     for batch in batches:
         for _, _, raw, offsets in text_chunks(batch.column(0)):
-            some, n = np.unique(_words(raw, offsets)[0], return_counts=True)
-            keys.append(some)
-            counts.append(n)
-            size += len(some)
-            if size > 4 * HELD:
-                some, n = _totals(np.concatenate(keys), np.concatenate(counts))
-                keys, counts, size = [some], [n], len(some)
+            w, row = word_hashes(raw, offsets)
+            held.append(list(_totals(w, np.ones(len(w)), _ends(row))))
+            size += len(held[-1][0])
+            if size > 2 * HELD:
+                held = [summed()]
+                size = len(held[0][0])
                 if size > HELD:
-                    yield made()
-                    keys, counts, size = [], [], 0
-    if keys:
-        yield made()
-
+                    yield made(*held[0])
+                    held, size = [], 0
+    if held:
+        yield made(*summed())
 
-def _hashed(v: np.ndarray) -> np.ndarray:
-    return mix(v.astype(np.uint64) + np.uint64(0xABCD1234))
 
-
-def _part(v: np.ndarray, parts: int) -> np.ndarray:
-    return ((_hashed(v) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _part(words: np.ndarray, parts: int) -> np.ndarray:
+    """In the order of the hashes."""
+    return ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Integers that WIDTH bytes hold, bytes of one place together."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].T).tobytes()
+    """Integers from 0 in as many bytes as the largest takes, bytes of one place together; the first byte is their number."""
+    x = x.astype("<u8")
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    flat = np.frombuffer(data, np.uint8).reshape(WIDTH, -1)
+    flat = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
     full = np.zeros((flat.shape[1], 8), np.uint8)
-    full[:, :WIDTH] = flat.T
-    return full.view("<i8").reshape(-1)
+    full[:, : data[0]] = flat.T
+    return full.view("<u8").reshape(-1)
+
+
+def _listed(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Values, each once, and the place of each in that list."""
+    some, at = np.unique(values, return_inverse=True)
+    return _packed(some), _packed(at)
+
+
+def _cells(values: bytes, places: bytes) -> np.ndarray:
+    return _unpacked(values)[_unpacked(places).astype(np.int64)]
 
 
-#: What travels: to a part, of a chunk: documents (places within the chunk), their number of items, then the items.
-_BLOCK = "part int, chunk long, kind int, docs binary, sizes binary, a binary, b binary, n binary"
+#: What travels to a part. PAIRS: rows, first and second words, times. ASKED: rows, words, times. COUNTS: words and their counts.
+#: To a group of rows go SUMS: rows, pairs that others have, scores; and DOCUMENTS: rows, words, ids, which of them are null.
+PAIRS, ASKED, COUNTS, SUMS, DOCUMENTS = range(5)
+_BLOCK = "part int, chunk long, kind int, rows binary, a binary, a_at binary, b binary, b_at binary, n binary"
+_NAMES = [c.split()[0] for c in _BLOCK.split(", ")]
 
 
-def _block(part: int, chunk: int, kind: int, docs: np.ndarray, a: np.ndarray | None, b: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-    """docs must be in order."""
-    some, sizes = np.unique(docs, return_counts=True)
-    cells = [some.astype(np.uint32).tobytes(), sizes.astype(np.uint32).tobytes(), a if a is None else _packed(a), b if b is None else _packed(b), n.tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["part", "chunk", "kind", "docs", "sizes", "a", "b", "n"])
+def _block(part: int, chunk: int, kind: int, rows: bytes = b"", a: bytes = b"", a_at: bytes = b"", b: bytes = b"", b_at: bytes = b"", n: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in (rows, a, a_at, b, b_at, n))], names=_NAMES)
 
 
-def _cells(chunk: int, kind: int, docs: bytes, sizes: bytes, a: bytes | None, b: bytes | None, n: bytes, part: int) -> pa.RecordBatch:
-    """A block as it came."""
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int64()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in (docs, sizes, a, b, n))], names=["part", "chunk", "kind", "docs", "sizes", "a", "b", "n"])
+def _cut(part: np.ndarray, parts: int, most: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of the runs of sorted parts, each of at most so many."""
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        for a in range(int(cuts[p]), int(cuts[p + 1]), most or len(part)):
+            yield p, a, min(a + (most or len(part)), int(cuts[p + 1]))
 
 
-def _rows(chunk: int, docs: bytes, sizes: bytes) -> np.ndarray:
-    """Row numbers of a block's items."""
-    return chunk + np.repeat(np.frombuffer(docs, np.uint32), np.frombuffer(sizes, np.uint32)).astype(np.int64)
+def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Requests by the part of their word."""
+    order = np.lexsort((row, word))
+    row, word, n = row[order], word[order], n[order]
+    for p, a, b in _cut(_part(word, parts), parts, MOST_ITEMS):
+        first = int(row[a:b].min())
+        words, places = _listed(word[a:b])
+        yield _block(p, first, ASKED, _packed(row[a:b] - first), words, places, n=_packed(n[a:b]))
 
 
-def _pairs(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(row, text) to blocks. kind 0: pairs (first, second, times); kind 1: first words as requests (word, times); kind 4: the words of each document."""
+def _pairs(parts: int, hot: Broadcast) -> Task:
+    """(row, doc_id, text) to blocks of pairs, of first words as requests, and of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = hot.value[0]
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for first, _, raw, offsets in text_chunks(batch.column(1)):
+            known = batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            doc_ids = batch.column(1).fill_null(0).to_numpy()
+            for first, end, raw, offsets in text_chunks(batch.column(2), CHUNK):
                 chunk = int(ids[first])  # rows of a chunk follow on each other
-                w, row = _words(raw, offsets)
-                size = np.bincount(row, minlength=len(offsets) - 1).astype(np.uint32)
-                rows = chunk + np.arange(len(size))
-                for here in np.split(np.arange(len(size)), np.flatnonzero(np.diff(rows // GROUP)) + 1):
-                    yield _cells(int(rows[here[0]] // GROUP), 4, (rows[here] % GROUP).astype(np.uint32).tobytes(), b"", None, None, size[here].tobytes(), 0)
+                w, row = word_hashes(raw, offsets)
+                size = np.bincount(row, minlength=end - first)
+                rows = chunk + np.arange(end - first)
+                for here in np.split(np.arange(end - first), np.flatnonzero(np.diff(rows // GROUP)) + 1):
+                    yield _block(0, int(rows[here[0]] // GROUP), DOCUMENTS, _packed(rows[here] % GROUP), doc_ids[first + here].astype("<i8").tobytes(), known[first + here].astype(np.uint8).tobytes(), n=_packed(size[here]))
                 if not len(w):
                     continue
-                same = row[1:] == row[:-1]
-                a, b, r = w[:-1][same], w[1:][same], row[1:][same]
-                order = np.lexsort((b, a, r))
+                begins = np.concatenate(([True], row[1:] != row[:-1]))
+                yield from _asked(chunk + row[begins], w[begins], np.ones(int(begins.sum()), np.int64), parts)
+                a, b, r = w[:-1][~begins[1:]], w[1:][~begins[1:]], row[1:][~begins[1:]]
+                if not len(a):
+                    continue
+                order = np.lexsort((r, b, a))
                 a, b, r = a[order], b[order], r[order]
-                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1])))) if len(a) else np.zeros(0, np.int64)
+                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1]))))
                 n = np.diff(np.concatenate((new, [len(a)])))
                 a, b, r = a[new], b[new], r[new]
-                frequent = np.isin(a, words)
-                part = np.where(frequent, _part(a ^ (b << 1), parts), _part(a, parts))
-                yield from _dealt(parts, chunk, 0, part, r, a, b, n)
-                heads = np.flatnonzero(np.concatenate(([True], ~same)))
-                yield from _dealt(parts, chunk, 1, _part(w[heads], parts), row[heads], w[heads], None, np.ones(len(heads), np.int64))
+                part = _part(a, parts)
+                if len(words):
+                    frequent = np.isin(a, words)
+                    part[frequent] = _part(mix(a[frequent] ^ mix(b[frequent])), parts)
+                    order = np.argsort(part, kind="stable")
+                    a, b, r, n, part = a[order], b[order], r[order], n[order], part[order]
+                for p, x, y in _cut(part, parts):
+                    (firsts, first_at), (seconds, second_at) = _listed(a[x:y]), _listed(b[x:y])
+                    yield _block(p, chunk, PAIRS, _packed(r[x:y]), firsts, first_at, seconds, second_at, _packed(n[x:y]))
 
     return run
 
 
-def _dealt(parts: int, chunk: int, kind: int, part: np.ndarray, docs: np.ndarray, a: np.ndarray, b: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        at = order[cuts[p] : cuts[p + 1]]
-        yield _block(p, chunk, kind, docs[at], a[at], b if b is None else b[at], n[at].astype(np.uint32))
-
-
 def _summed(row: np.ndarray, score: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of kind 2: scores (as n) and seen pairs (as a) of a part's documents, a block for each GROUP rows."""
+    """Blocks of a part's sums, a block for each GROUP rows."""
+    if not len(row):
+        return
     some, at = np.unique(row, return_inverse=True)
     total, known = np.bincount(at, score, minlength=len(some)), np.bincount(at, seen, minlength=len(some)).astype(np.int64)
     group = some // GROUP
-    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(some)])) if len(some) else np.zeros(1, int)
+    cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), [len(some)]))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        yield _cells(int(group[a]), 2, (some[a:b] % GROUP).astype(np.uint32).tobytes(), b"", _packed(known[a:b]), None, total[a:b].tobytes(), 0)
+        yield _block(0, int(group[a]), SUMS, _packed(some[a:b] % GROUP), _packed(known[a:b]), n=total[a:b].astype("<f8").tobytes())
 
 
-def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    """Requests by the part of their word: blocks of kind 1 with whole row numbers, a block or more a part."""
-    part = _part(word, parts)
-    order = np.lexsort((row, part))
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        for a in range(cuts[p], cuts[p + 1], MOST_ITEMS):
-            at = order[a : min(a + MOST_ITEMS, cuts[p + 1])]
-            yield _cells(0, 1, row[at].tobytes(), b"", _packed(word[at]), None, n[at].astype(np.uint32).tobytes(), p)
+def _places(words: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word that is asked for, a place in the sorted words, and whether it is there."""
+    if not len(words):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    place = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+    return place, words[place] == asked
 
 
-def _score(parts: int, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Blocks of a part: pairs are joined with the counts that they make; what no other document has, and first words, go on as requests."""
+def _score(parts: int, hot: Broadcast) -> Task:
+    """Blocks of a part: pairs are joined with the counts that they make; what no other document has goes on as requests. Other blocks pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count, context, total = hot.value
-        row, a, b, n, asked = [], [], [], [], [[], [], []]
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for c, kind, docs, sizes, x, y, k in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                if kind == 4:
-                    yield _cells(c, kind, docs, sizes, x, y, k, 0)
-                elif kind == 1:
-                    for to, value in zip(asked, (_rows(c, docs, sizes), _unpacked(x), np.frombuffer(k, np.uint32)), strict=True):
-                        to.append(value)
-                else:
-                    row.append(_rows(c, docs, sizes))
-                    a.append(_unpacked(x))
-                    b.append(_unpacked(y))
-                    n.append(np.frombuffer(k, np.uint32))
-        if asked[0]:
-            yield from _asked(*map(np.concatenate, asked), parts)
-        if not row:
+            for i, kind in enumerate(batch.column(2).to_pylist()):
+                if kind != PAIRS:
+                    yield batch.slice(i, 1)
+                    continue
+                chunk, rows, a, a_at, b, b_at, n = (batch.column(c)[i].as_py() for c in (1, 3, 4, 5, 6, 7, 8))
+                held.append((chunk + _unpacked(rows).astype(np.int64), _cells(a, a_at), _cells(b, b_at), _unpacked(n).astype(np.int32)))
+        if not held:
             return
-        row, a, b, n = map(np.concatenate, (row, a, b, n))
+        row, a, b, n = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
         order = np.lexsort((b, a))
         row, a, b, n = row[order], a[order], b[order], n[order]
         new_a = np.concatenate(([True], a[1:] != a[:-1]))
         new = new_a | np.concatenate(([True], b[1:] != b[:-1]))
-        others = np.add.reduceat(n, np.flatnonzero(new))[np.cumsum(new) - 1] - n.astype(np.int64)
-        firsts = np.add.reduceat(n, np.flatnonzero(new_a))[np.cumsum(new_a) - 1].astype(np.int64)
-        if len(words):
-            place = np.minimum(np.searchsorted(words, a), len(words) - 1)
-            firsts = np.where(words[place] == a, context[place], firsts)
+        others = np.add.reduceat(n, np.flatnonzero(new), dtype=np.int64)[np.cumsum(new) - 1] - n
+        firsts = np.add.reduceat(n, np.flatnonzero(new_a), dtype=np.int64)[np.cumsum(new_a) - 1]
+        place, frequent = _places(words, a)
+        firsts[frequent] = context[place[frequent]]
         seen = others > 0
         score = np.zeros(len(n))
         score[seen] = n[seen] * (np.log(others[seen]) - np.log(firsts[seen]))
-        unseen = ~seen
-        if len(words):
-            place = np.minimum(np.searchsorted(words, b), len(words) - 1)
-            known = unseen & (words[place] == b)
-            score[known] = n[known] * np.log(ALPHA * count[place[known]] / total)
-            unseen &= ~known
-        score[unseen] = n[unseen] * np.log(ALPHA)
+        del a, others, firsts
+        place, known = _places(words, b)
+        known &= ~seen
+        score[known] = n[known] * np.log(ALPHA * count[place[known]] / total)
+        asked = np.flatnonzero(~seen & ~known)
+        score[asked] = n[asked] * np.log(ALPHA)
         yield from _summed(row, score, np.where(seen, n, 0))
-        at = np.flatnonzero(unseen)
-        yield from _asked(row[at], b[at], n[at], parts)
+        yield from _asked(row[asked], b[asked], n[asked], parts)
 
     return run
 
 
-def _answer(total: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Requests for words, and the unigram counts of the same part (kind 3), to scores; blocks of scores pass."""
+def _answer(total: int) -> Task:
+    """Requests for words, and the unigram counts of the same part, to scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, word, n, words, counts = [], [], [], [], []
+        asked, counted = [], []
         for batch in batches:
-            for kind, docs, x, k in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 6)), strict=True):
-                if kind == 3:
-                    words.append(_unpacked(x))
-                    counts.append(np.frombuffer(k, np.int64))
+            for i, kind in enumerate(batch.column(1).to_pylist()):
+                chunk, rows, a, a_at, n = (batch.column(c)[i].as_py() for c in (0, 2, 3, 4, 7))
+                if kind == COUNTS:
+                    counted.append((_unpacked(a), _unpacked(n)))
                 else:
-                    row.append(np.frombuffer(docs, np.int64))
-                    word.append(_unpacked(x))
-                    n.append(np.frombuffer(k, np.uint32))
-        if not row:
+                    asked.append((chunk + _unpacked(rows).astype(np.int64), _cells(a, a_at), _unpacked(n).astype(np.int32)))
+        if not asked:
             return
-        words, counts = np.concatenate(words), np.concatenate(counts)
+        words, counts = map(np.concatenate, zip(*counted, strict=True))
         order = np.argsort(words)
         words, counts = words[order], counts[order]
-        row, word, n = map(np.concatenate, (row, word, n))
+        row, word, n = map(np.concatenate, zip(*asked, strict=True))
+        asked.clear()
+        # In one order whatever the order of arrival, for sums of the same rounding.
+        order = np.lexsort((word, row))
+        row, word, n = row[order], word[order], n[order]
         yield from _summed(row, n * (np.log(counts[np.searchsorted(words, word)]) - np.log(total)), np.zeros(len(n)))
 
     return run
 
 
-def score(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_words, n_seen (pairs that another document has), log_score, mean_log_score."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    parts = shuffle_partitions(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    words = cut(rows.select("text").mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    often = words.where(F.col("n") * HOT > total).toArrow().sort_by("word")  # HOT rows at most
-    hot_words, hot_counts = often.column(0).to_numpy(), often.column(1).to_numpy()
-    ends = rows.select("text").mapInArrow(_last_words(spark.sparkContext.broadcast(hot_words)), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    contexts = hot_counts.copy()
-    contexts[ends.column(0).to_numpy()] -= ends.column(1).to_numpy()
-    hot = spark.sparkContext.broadcast((hot_words, hot_counts, contexts, total))
-    sent = rows.select("row", "text").mapInArrow(_pairs(parts, hot), _BLOCK)
-    scored = cut(sent.repartitionById(parts, "part").drop("part").mapInArrow(_score(parts, hot), _BLOCK), "pairs")
-    counts = words.mapInArrow(_counts(parts), _BLOCK)
-    asked = scored.where("kind = 1").unionByName(counts).repartitionById(parts, "part").drop("part").mapInArrow(_answer(total), _BLOCK)
-    sums = scored.where("kind <> 1").unionByName(asked).drop("part").repartition("chunk").mapInArrow(_collect, "row long, n_words long, n_seen long, log_score double")
-    return rows.select("row", "doc_id").join(sums, "row").select("doc_id", "n_words", "n_seen", F.round("log_score", 6).alias("log_score"), F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0)), 6).alias("mean_log_score"))
-
-
-def _counts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(word, n) to blocks of kind 3."""
+def _counts(parts: int) -> Task:
+    """(word, n) to blocks of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, n = (c.to_numpy() for c in batch.columns)
-            part = _part(words, parts)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)).tolist():
-                at = order[cuts[p] : cuts[p + 1]]
-                yield _cells(0, 3, b"", b"", _packed(words[at]), None, n[at].astype("<i8").tobytes(), p)
+            words, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(words)
+            words, n = words[order], n[order]
+            for p, a, b in _cut(_part(words, parts), parts):
+                yield _block(p, 0, COUNTS, a=_packed(words[a:b]), n=_packed(n[a:b]))
 
     return run
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of kinds 2 and 4 to a row per document. A partition holds all blocks of its groups of rows."""
-    sizes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
-        for g, kind, docs, x, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 6)), strict=True):
-            if kind == 4:
-                sizes.setdefault(g, []).append((np.frombuffer(docs, np.uint32), np.frombuffer(n, np.uint32)))
-            else:
-                parts.setdefault(g, []).append((np.frombuffer(docs, np.uint32), _unpacked(x), np.frombuffer(n, np.float64)))
-    for g, found in sizes.items():
+    """Blocks of sums and documents, those of a group one after another, to a row per document."""
+
+    def made(documents: list[tuple], sums: list[tuple]) -> pa.RecordBatch:
         total, seen = np.zeros(GROUP), np.zeros(GROUP, np.int64)
         # In one order whatever the order of arrival, for sums of the same rounding.
-        for d, known, score in sorted(parts.get(g, []), key=lambda p: (len(p[0]), p[0].tobytes(), p[2].tobytes())):
-            total[d] += score
-            seen[d] += known
-        at, words = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(g * GROUP + at.astype(np.int64)), pa.array(words.astype(np.int64)), pa.array(seen[at]), pa.array(total[at])], names=["row", "n_words", "n_seen", "log_score"])
-
-
-def _last_words(hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How often each hot word ends a document, and so begins no pair."""
+        for rows, known, score in sorted(sums):
+            at = _unpacked(rows).astype(np.int64)
+            total[at] += np.frombuffer(score, "<f8")
+            seen[at] += _unpacked(known).astype(np.int64)
+        at = np.concatenate([_unpacked(d[0]) for d in documents]).astype(np.int64)
+        ids, null, words = (np.concatenate(x) for x in zip(*((np.frombuffer(d[1], "<i8"), np.frombuffer(d[2], bool), _unpacked(d[3]).astype(np.int64)) for d in documents), strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=null), pa.array(words), pa.array(seen[at]), pa.array(total[at])], names=["doc_id", "n_words", "n_seen", "log_score"])
+
+    here, documents, sums = None, [], []
+    for batch in batches:
+        for group, kind, rows, a, a_at, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 7)), strict=True):
+            if group != here and documents:
+                yield made(documents, sums)
+                documents, sums = [], []
+            here = group
+            if kind == DOCUMENTS:
+                documents.append((rows, a, a_at, n))
+            else:
+                sums.append((rows, a, n))
+    if documents:
+        yield made(documents, sums)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = hot.value
-        counts = np.zeros(len(words), np.int64)
-        for batch in batches:
-            for _, _, raw, offsets in text_chunks(batch.column(0)):
-                w, row = _words(raw, offsets)
-                last = w[np.concatenate((row[1:] != row[:-1], [True]))] if len(w) else w
-                if len(words):
-                    place = np.minimum(np.searchsorted(words, last), len(words) - 1)
-                    counts += np.bincount(place[words[place] == last], minlength=len(words))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
 
-    return run
+def score(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_seen (pairs that another document has), log_score, mean_log_score."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    texts = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    words = cut(texts.select("text").mapInArrow(frugal(_unigrams), "word long, n long, ends long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends")), "unigrams")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), total // PART_WORDS)
+    often = words.where(F.col("n") * HOT > total).toArrow()  # HOT rows at most
+    hot_words, n, ends = (often.column(c).to_numpy() for c in range(3))
+    order = np.argsort(hot_words.view(np.uint64))
+    hot = spark.sparkContext.broadcast((hot_words.view(np.uint64)[order], n[order], (n - ends)[order], total))
+    sent = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(frugal(_pairs(parts, hot)), _BLOCK)
+    scored = cut(sent.repartitionById(parts, "part").mapInArrow(frugal(_score(parts, hot)), _BLOCK), "pairs")
+    counts = words.select("word", "n").mapInArrow(frugal(_counts(parts)), _BLOCK)
+    asked = scored.where(F.col("kind") == ASKED).unionByName(counts).repartitionById(parts, "part").drop("part").mapInArrow(frugal(_answer(total)), _BLOCK)
+    sums = scored.where(F.col("kind") != ASKED).unionByName(asked).drop("part").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(frugal(_collect), "doc_id long, n_words long, n_seen long, log_score double")
+    return sums.select("doc_id", "n_words", "n_seen", F.round("log_score", 6).alias("log_score"), F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0)), 6).alias("mean_log_score"))
