@@ -41,13 +41,13 @@ SELECT doc_id, n_words, n_seen, round(s, 6) AS log_score, round(CASE WHEN n_word
 
 _CUT = r"list_filter(regexp_split_to_array(lower_az, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 _CLEAN = f"""
-WITH i AS (SELECT item_id, {_CUT} AS w FROM (SELECT item_id, {_LOWER} AS lower_az FROM benchmark) WHERE item_id IS NOT NULL),
+WITH i AS (SELECT item_id, {_CUT} AS w FROM (SELECT item_id, {_LOWER} AS lower_az FROM benchmark)),
 iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
 d AS (SELECT row_number() OVER () AS r, doc_id, {_CUT} AS w FROM (SELECT doc_id, {_LOWER} AS lower_az FROM documents)),
 dw AS (SELECT r, s, n, array_to_string(w[s : s + n - 1], ' ') AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 m AS (SELECT r, s, dw.n, item_id FROM dw JOIN iw ON dw.x = iw.x AND dw.n = iw.n),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT r, s, n FROM m)) GROUP BY r),
-k AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m) GROUP BY r)
+k AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM m WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)"""
 
 
