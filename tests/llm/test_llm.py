@@ -8,9 +8,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, lm_score_trigram, mixture, ngram_join, quality, secret_scan, token_store, top_k
+from tidewright.llm import decontaminate, html_extract, license_scan, lm_score, lm_score_trigram, mixture, ngram_join, quality, secret_scan, shared, token_store, top_k
 
 KEYS = ("doc_id", "text")
 
@@ -178,6 +179,28 @@ def test_top_k(spark):
     assert top_k.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1.0, 2.0**11, 2.0**19, 2.0**20, 2.0**40])
+def test_top_k_of_large_components(spark, scale, monkeypatch):
+    """Near ties that doubles don't tell apart, columns of clashing names, repeated rows, and more queries than a group."""
+    monkeypatch.setattr(top_k, "GROUP", 4)
+    monkeypatch.setattr(top_k, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=40) * scale
+    rows = [(i, [float(x) for x in base + rng.integers(-2, 3, size=40) / 256], i, 0.0) for i in range(600)] + [(7, [float(x) for x in base], 1, 2.0)] * 2
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, query_id long, score double").repartition(3)
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _, _ in rows]
+    want = {}
+    for q, x in whole:
+        if q % 50 == 0:
+            others = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in whole if i != q)
+            want |= {(q, n): (i, min(-s, 2**63 - 1)) for n, (s, i) in enumerate(others[:5], 1)}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k.search(frame).collect()}
+    if scale <= 2.0**20:
+        assert got == want
+    else:  # beyond a long
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, size=999, dtype=np.uint32)
@@ -194,16 +217,16 @@ def tokenizer():
     return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_encoder_equals_the_library(tokenizer):
-    from tidewright.llm.shared import text_chunks
-    import pyarrow as pa
+def encoded(encoder, texts, most=4096):
+    return [x.tolist() for _, _, raw, offsets in shared.text_chunks(pa.array(texts), most) for x in encoder.encode(raw, offsets)]
 
+
+def test_encoder_equals_the_library(tokenizer):
     rng = random.Random(9)
     some = ["a", "B", " ", " ", "\n", "\t", "'s", "1", "é", "!", "<|endoftext|>", "\xa0", "日", "  ", "ab", ".", "'", "\x1c", " ", "…", "　"]
     texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
     encoder = token_store.Encoder(tokenizer)
-    got = [x.tolist() for _, _, raw, offsets in text_chunks(pa.array(texts), 4096) for x in encoder.encode(raw, offsets)]
-    assert got == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(encoder, texts) == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_store(docs, nothing, tokenizer):
@@ -248,9 +271,39 @@ def test_lm_score(docs, nothing):
 def test_words_are_told_apart():
     n = 4_000_000
     raw = np.frombuffer(" ".join(map(str, range(n))).encode(), np.uint8)
-    words, _ = lm_score._words(raw, np.array([0, len(raw)]))
+    words, _ = shared.word_hashes(raw, np.array([0, len(raw)]))
     assert len(words) == len(np.unique(words)) == n
-    assert (lm_score._unpacked(lm_score._packed(words)) == words).all()
+    for x in (words, np.zeros(0, np.uint64), np.array([0, 255, 256], np.uint64)):
+        assert (lm_score._unpacked(lm_score._packed(x)) == x).all()
+
+
+def thue_morse(n):
+    """Two words of n letters that hashes by powers modulo 2 ** 64 don't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_long_words_are_told_apart(spark, tokenizer):
+    texts = [f"{w} and more" for n in (8, 64, 1024, 2048, 4096) for w in thue_morse(n)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.link(frame, 3, 90, 100).collect()} == {i: i for i in range(len(texts))}
+    encoder = token_store.Encoder(tokenizer)
+    assert encoded(encoder, texts) == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert all(r["n_seen"] <= r["n_words"] - 2 for r in lm_score.score(frame).collect())
+
+
+def test_words_of_one_hash_are_compared(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_store, "span_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    texts = ["some words of the same hash", "of words same hash the some", "a b c\nd e f"]
+    encoder = token_store.Encoder(tokenizer)
+    assert encoded(encoder, texts) == [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_scores_of_a_shuffled_input(spark, texts):
+    """Each scan of such an input may order its rows anew."""
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    for r in lm_score.score(frame).collect():
+        assert r["n_words"] == len(split(texts[r["doc_id"]]))
 
 
 def test_lm_score_of_trigrams(docs, nothing):
@@ -290,7 +343,7 @@ def test_decontamination(spark, docs, nothing, texts):
     for i, t in items:
         w = cut(t)
         n = min(10, len(w))
-        for j in range(len(w) - n + 1 if n and i is not None else 0):
+        for j in range(len(w) - n + 1 if n else 0):
             windows.setdefault(tuple(w[j : j + n]), set()).add(i)
     want = Counter()
     for d, t in pairs(docs):
@@ -298,7 +351,7 @@ def test_decontamination(spark, docs, nothing, texts):
         for n in {len(x) for x in windows}:
             for j in range(len(w) - n + 1):
                 if more := windows.get(tuple(w[j : j + n])):
-                    found |= more
+                    found |= more - {None}
                     hit.update(range(j, j + n))
         want[d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit)] += 1
     assert got == want
