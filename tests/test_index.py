@@ -4,6 +4,6 @@ from tidewright.plans import inputs
 
 def test_written_index_answers_as_a_fresh_one(spark, small, tmp_path):
     fresh = bm25.build(inputs.documents(spark, small))
-    written = fresh.write(str(tmp_path / "index"), 4)
+    written = fresh.write(str(tmp_path / "index"))
     rows = lambda i: sorted(map(tuple, bm25.search(i, inputs.asked(spark), 5).collect()))
     assert rows(fresh) == rows(written)

@@ -1,59 +1,202 @@
-"""BM25 over an inverted index of relational tables."""
+"""BM25 over an inverted index of relational tables.
+
+Entries are dealt by the hash of their id to buckets of about BUCKET; within one they are
+numbered in the order of their ids. A posting row holds all of a term's entries of one
+bucket. A batch of queries is scored bucket by bucket: the rows of asked terms are added
+up in an array of queries by entries, and the k best of each query go on, so what is
+shuffled at the end is k rows a query and bucket, and no query meets more than the rows
+of its terms. Kinds have statistics of their own and are never compared."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import usage_tokens
 from tidewright.operators.ranking import top
+from tidewright.workers import files, reach, shared_dir
 
 # Fixed values.
 K1, B = 0.9, 0.4
+#: Entries of a bucket, queries that are asked at once, and asked terms up to which the files are searched for just these.
+BUCKET, GROUP, FEW_TERMS = 1024, 2048, 200
 
 
 @dataclass
 class Index:
-    """postings (kind, term, id, tf, dl), terms (kind, term, df), stats (kind, n, avgdl)."""
+    """postings (kind, bucket, term, ords, tfs), entries (kind, bucket, ids, dls), terms (kind, term, df), stats (kind, n, avgdl)."""
 
     postings: DataFrame
+    entries: DataFrame
     terms: DataFrame
     stats: DataFrame
 
-    def write(self, path: str, buckets: int = 64) -> Index:
-        """The index as files, postings laid out by term so that a query reads the parts its terms are in."""
+    def write(self, path: str) -> Index:
+        """The index as files, complete or not there at all: tables are written beside, then the folder gets its name."""
         spark = self.postings.sparkSession
-        self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        target, system = files(spark, path)
+        made, _ = files(spark, f"{path}.{np.random.default_rng().integers(2**60):x}")
+        tables = (("postings", self.postings.sortWithinPartitions("term")), ("entries", self.entries), ("terms", self.terms), ("stats", self.stats))
+        for name, table in tables:
+            table.write.parquet(f"{made}/{name}")
+        if system.exists(target):  # only for as long as it takes to rename is there none
+            system.delete(target, True)
+        if not system.rename(made, target):
+            raise OSError(f"the index can't be moved to {path}")
         return Index.read(spark, path)
 
     @staticmethod
-    def read(spark, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+    def read(spark: SparkSession, path: str) -> Index:
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "entries", "terms", "stats")))
+
+
+def _kinds(corpus: DataFrame) -> DataFrame:
+    return corpus if "kind" in corpus.columns else corpus.withColumn("kind", F.lit("entry"))
+
+
+def bags(corpus: DataFrame, analyse=usage_tokens, entries: int | None = None) -> DataFrame:
+    """(kind, bucket, ord, id, dl, tokens) of (id, text[, kind])."""
+    corpus = _kinds(corpus)
+    buckets = max(1, (corpus.count() if entries is None else entries) // BUCKET)
+    cut = corpus.select("kind", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"), "id", analyse(F.coalesce("text", F.lit(""))).alias("tokens"))
+    order = Window.partitionBy("kind", "bucket").orderBy("id")
+    return cut.select("kind", "bucket", (F.row_number().over(order) - 1).alias("ord"), "id", F.size("tokens").alias("dl"), "tokens")
+
+
+def index_of(placed: DataFrame) -> Index:
+    """Index of bags."""
+    listed = placed.groupBy("kind", "bucket").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "dl"))).alias("e"))
+    found = listed.select("kind", "bucket", F.transform("e", lambda e: e["id"]).alias("ids"), F.transform("e", lambda e: e["dl"]).alias("dls"))
+    each = placed.select("kind", "bucket", "ord", F.explode("tokens").alias("term")).groupBy("kind", "bucket", "term", "ord").agg(F.count("*").cast("int").alias("tf"))
+    rows = each.groupBy("kind", "bucket", "term").agg(F.sort_array(F.collect_list(F.struct("ord", "tf"))).alias("p"))
+    postings = rows.select("kind", "bucket", "term", F.transform("p", lambda p: p["ord"]).alias("ords"), F.transform("p", lambda p: p["tf"]).alias("tfs"))
+    stats = placed.groupBy("kind").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    terms = each.groupBy("kind", "term").agg(F.count("*").alias("df"))
+    return Index(postings, found, terms, stats)
 
 
 def build(corpus: DataFrame, analyse=usage_tokens) -> Index:
-    """Index of (id, text[, kind]). Kinds have statistics of their own and are never compared."""
-    if "kind" not in corpus.columns:
-        corpus = corpus.withColumn("kind", F.lit("entry"))
-    bags = corpus.select("kind", "id", analyse(F.coalesce("text", F.lit(""))).alias("tokens"))
-    sized = bags.select("kind", "id", "tokens", F.size("tokens").alias("dl"))
-    stats = sized.groupBy("kind").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("kind", "id", "dl", F.explode("tokens").alias("term")).groupBy("kind", "term", "id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    # By tf, so that the exchange below is the one that the postings have, and is reused.
-    terms = postings.groupBy("kind", "term").agg(F.sum((F.col("tf") > 0).cast("long")).alias("df"))
-    return Index(postings, terms, stats)
+    """Index of (id, text[, kind])."""
+    return index_of(bags(corpus, analyse))
+
+
+def content_key(corpus: DataFrame, analyser: str) -> tuple[str, int]:
+    """A name that is a function of the corpus's content, and its size."""
+    h = F.xxhash64("kind", "id", F.coalesce("text", F.lit("")))
+    n, bits, total = _kinds(corpus).select(h.alias("h")).agg(F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(2**31)))).first()
+    return f"{analyser}-{n}-{(bits or 0) & (2**64 - 1):016x}-{total or 0:x}", n
+
+
+def kept(corpus: DataFrame, analyse=usage_tokens, analyser: str = "usage") -> Index:
+    """The index of a corpus, kept in the shared folder by its content: a corpus that has changed has another name, so no answer comes from an index that is out of date."""
+    spark = corpus.sparkSession
+    key, n = content_key(corpus, analyser)
+    path = f"{shared_dir(spark)}/tidewright-bm25-{key}"
+    folder, system = files(spark, path)
+    if system.exists(folder):
+        return Index.read(spark, path)
+    system.deleteOnExit(folder)
+    # Texts are cut into words once.
+    words, _ = files(spark, f"{path}.bags")
+    bags(corpus, analyse, n).write.mode("overwrite").parquet(str(words))
+    made = index_of(spark.read.parquet(str(words))).write(path)
+    system.delete(words, True)
+    return made
+
+
+def _scorer(asked: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]], average: dict[str, float], queries: list, k: int, digits: int, schema: pa.Schema):
+    """Rows of one bucket after another, entries first, to the k best of each query."""
+
+    def best(kind: str, ids: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, entry, value = [], [], []
+        for q in np.flatnonzero(score.any(axis=1)).tolist():
+            some = np.flatnonzero(score[q])
+            s = np.round(score[q, some], digits)
+            if len(some) > k:
+                least = np.partition(s, len(s) - k)[len(s) - k]
+                some, s = some[s >= least], s[s >= least]
+            order = np.argsort(-s, kind="stable")[:k]  # of equals the first id
+            at += [q] * len(order)
+            entry.append(some[order])
+            value.append(s[order])
+        if at:
+            entry = np.concatenate(entry)
+            yield pa.RecordBatch.from_arrays([pa.array([queries[q] for q in at], schema.field(0).type), pa.array([kind] * len(at), pa.string()), ids.take(pa.array(entry)), pa.array(np.concatenate(value))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = ids = dls = score = None
+        for batch in batches:
+            for i, term in enumerate(batch.column(2).to_pylist()):
+                if term is None:
+                    if score is not None:
+                        yield from best(kind, ids, score)
+                    kind, ids = batch.column(0)[i].as_py(), batch.column(3)[i].values
+                    dls = batch.column(4)[i].values.to_numpy() / (average[kind] or 1.0)
+                    score = np.zeros((len(queries), len(ids)))
+                    continue
+                if term not in asked[kind]:
+                    continue
+                at, weight = asked[kind][term]
+                ords, tf = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy().astype(float)
+                part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dls[ords]))
+                score[at[:, None], ords] += weight[:, None] * part
+        if score is not None:
+            yield from best(kind, ids, score)
+
+    return run
 
 
 def search(index: Index, queries: DataFrame, k: int, analyse=usage_tokens, digits: int = 6) -> DataFrame:
-    """(query_id, kind, id, score, rank) of (query_id, text): every matching entry is ranked before the cut. A repeated query word counts each time."""
-    asked = queries.select("query_id", F.explode(analyse(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    weighed = index.terms.join(F.broadcast(index.stats), "kind").withColumn("idf", F.log(F.lit(1.0) + (F.col("n") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-    hit = index.postings.join(asked, "term").join(weighed.select("kind", "term", "idf", "avgdl"), ["kind", "term"])
-    tf = F.col("tf").cast("double")
-    part = F.col("qf") * F.col("idf") * (tf * F.lit(K1 + 1.0)) / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")))
-    scored = hit.groupBy("query_id", "kind", "id").agg(F.round(F.sum(part), digits).alias("score"))
-    return top(scored, ["query_id", "kind"], k)
+    """(query_id, kind, id, score, rank) of (query_id, text): every matching entry is ranked before the cut. A repeated query word counts each time.
+
+    Queries are a bounded set by nature (what users ask at once); they are asked in groups of at most about GROUP."""
+    spark = queries.sparkSession
+    reach(spark)
+    words = queries.select("query_id", F.explode(analyse(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    asked = words.toArrow()
+    names, terms, times = (asked.column(c).to_pylist() for c in ("query_id", "term", "qf"))
+    id_type, query_type = index.entries.schema["ids"].dataType.elementType, queries.schema["query_id"].dataType
+    out = f"query_id {query_type.simpleString()}, kind string, id {id_type.simpleString()}, score double"
+    distinct = sorted(set(terms))
+    every = sorted(set(names), key=str)
+    if not distinct or k <= 0:
+        return spark.createDataFrame([], out + ", rank int")
+    wanted = spark.createDataFrame([(t,) for t in distinct], "term string")
+    if len(distinct) <= FEW_TERMS:
+        some, known = index.postings.where(F.col("term").isin(distinct)), index.terms.where(F.col("term").isin(distinct))
+    else:
+        some, known = index.postings.join(F.broadcast(wanted), "term", "left_semi"), index.terms.join(F.broadcast(wanted), "term", "left_semi")
+    stats = {r["kind"]: (r["n"], r["avgdl"]) for r in index.stats.collect()}  # a row a kind
+    found = known.toArrow()  # asked terms only
+    idf = {(kind, t): float(np.log(1.0 + (stats[kind][0] - df + 0.5) / (df + 0.5))) for kind, t, df in zip(*(found.column(c).to_pylist() for c in ("kind", "term", "df")), strict=True)}
+    heads = index.entries.select("kind", "bucket", F.lit(None).cast("string").alias("term"), "ids", "dls", F.lit(None).cast("array<int>").alias("tfs"))
+    lines = some.select("kind", "bucket", "term", F.lit(None).cast(index.entries.schema["ids"].dataType).alias("ids"), F.col("ords").alias("dls"), "tfs")
+    dealt = heads.unionByName(lines).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("term").asc_nulls_first())
+    schema = pa.schema([("query_id", asked.schema.field("query_id").type), ("kind", pa.string()), ("id", _arrow(id_type)), ("score", pa.float64())])
+    parts = None
+    for g in range(0, len(every), GROUP):
+        group = every[g : g + GROUP]
+        number = {q: i for i, q in enumerate(group)}
+        table: dict[str, dict[str, tuple[list, list]]] = {kind: {} for kind in stats}
+        for q, t, n in zip(names, terms, times, strict=True):
+            if q in number:
+                for kind in stats:
+                    if (kind, t) in idf:
+                        cell = table[kind].setdefault(t, ([], []))
+                        cell[0].append(number[q])
+                        cell[1].append(n * idf[kind, t])
+        packed = {kind: {t: (np.array(a), np.array(w)) for t, (a, w) in cells.items()} for kind, cells in table.items()}
+        part = dealt.mapInArrow(_scorer(packed, {kind: s[1] for kind, s in stats.items()}, group, k, digits, schema), out)
+        parts = part if parts is None else parts.unionByName(part)
+    return top(parts, ["query_id", "kind"], k)
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)

@@ -2,59 +2,111 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import vectors as V
 from tidewright.operators.ranking import top
+from tidewright.workers import files, reach
 
-#: Queries that are sent to every task at once; more are searched group by group.
-GROUP = 4096
+#: Queries that are sent to every task at once, about; more are searched group by group. Rows and queries that one product takes.
+GROUP, ROWS, COLUMNS = 4096, 2048, 512
 
 
-def scores(vectors: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """(query_id, id, score) of (id, vec) and (query_id, qvec), in built-in functions. For few queries."""
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(V.dot(F.col("vec"), F.col("qvec")), digits).alias("score"))
+class EmbeddingsNotBuilt(ValueError):
+    pass
+
+
+class ModelMismatch(ValueError):
+    pass
+
+
+def guard(vectors: DataFrame, queries: DataFrame, model: str | None = None, built_with: str | None = None) -> None:
+    """Refuse a search by another model, or another width, than the vectors were built with. Known widths: one row each side."""
+    if model is not None and built_with is not None and model != built_with:
+        raise ModelMismatch(f"vectors are of model {built_with}, the query of {model}")
+    ours = [r[0] for r in vectors.select(F.size("vec").alias("n")).where("n > 0").distinct().limit(2).collect()]
+    theirs = [r[0] for r in queries.select(F.size("qvec").alias("n")).where("n > 0").distinct().limit(2).collect()]
+    if ours and theirs and (len(ours) > 1 or ours != theirs):
+        raise ModelMismatch(f"vectors are of {ours} dimensions, queries of {theirs}")
+
+
+def model_events(vectors: DataFrame, model: str, dim: int) -> DataFrame:
+    """(id, type, stored_model, stored_dim) of vectors (id, vec, model) that a model of this name and width can't be compared with: embedder_model_mismatch events."""
+    other = ~F.col("model").eqNullSafe(F.lit(model)) | (F.size("vec") != dim)
+    return vectors.where(other).select("id", F.lit("embedder_model_mismatch").alias("type"), F.col("model").alias("stored_model"), F.size("vec").alias("stored_dim"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """The k best of each query by dot product over the shorter width. The whole corpus is ranked, then cut.
+    """(query_id, kind, id, score, rank): the k best of each query and kind by dot product over the shorter width. The whole corpus is ranked, then cut.
 
-    Queries are a bounded set by nature (what users ask at once); each group of GROUP is broadcast, and each
-    task returns its k best a query."""
+    vectors (id, vec[, kind]), queries (query_id, qvec). Queries are a bounded set by nature (what users ask at
+    once); each group of about GROUP is sent to every task, which returns its k best a query and kind."""
+    reach(vectors.sparkSession)
+    if "kind" not in vectors.columns:
+        vectors = vectors.withColumn("kind", F.lit("entry"))
+    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
+    out = f"query_id {kinds['query_id']}, kind string, id {kinds['id']}, score double"
     total = queries.count()
     if total == 0 or k <= 0:
-        return queries.sparkSession.createDataFrame([], "query_id string, id string, score double, rank int")
+        return queries.sparkSession.createDataFrame([], out + ", rank int")
     groups = -(-total // GROUP)
     found = None
     for g in range(groups):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).select("query_id", "qvec").collect()
-        part = _group(vectors, [(r[0], [float(x) for x in r[1]]) for r in some], queries, k, digits)
+        some = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) & F.col("qvec").isNotNull()).select("query_id", "qvec").toArrow()
+        names, rows = some.column(0).to_pylist(), [np.asarray(v, float) for v in some.column(1).to_pylist()]
+        by_width = {n: ([i for i, r in enumerate(rows) if len(r) == n], np.array([r for r in rows if len(r) == n]).reshape(-1, n)) for n in {len(r) for r in rows}}
+        part = vectors.select("kind", "id", "vec").where("vec is not null").mapInArrow(_searcher(names, by_width, k, digits, some.schema.field(0).type), out)
         found = part if found is None else found.unionByName(part)
-    return top(found, ["query_id"], k)
-
-
-def _group(vectors: DataFrame, some: list, queries: DataFrame, k: int, digits: int) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast(some)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [np.asarray(v, float) for v in frame["vec"]]
-            for n in {len(r) for r in rows}:
-                at = [i for i, r in enumerate(rows) if len(r) == n]
-                block, ids = np.array([rows[i] for i in at]).reshape(len(at), n), frame["id"].iloc[at].to_numpy()
-                for query, q in sent.value:
-                    m = min(n, len(q))
-                    score = np.round(block[:, :m] @ np.array(q[:m]), digits)
-                    best = np.lexsort((ids, -score))[:k]
-                    yield pd.DataFrame({"query_id": [query] * len(best), "id": ids[best], "score": score[best]})
-
-    kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
-    return vectors.select("id", "vec").mapInPandas(run, f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+    return top(found, ["query_id", "kind"], k)
+
+
+def _searcher(names: list, by_width: dict[int, tuple[list[int], np.ndarray]], k: int, digits: int, query_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        id_type = None
+
+        def offer(kind: str, ids: np.ndarray, block: np.ndarray) -> None:
+            for n, (at, asked) in by_width.items():
+                m = min(n, block.shape[1])
+                for c in range(0, len(at), COLUMNS):
+                    scores = np.round(block[:, :m] @ asked[c : c + COLUMNS, :m].T, digits)
+                    for j, q in enumerate(at[c : c + COLUMNS]):
+                        s, i = scores[:, j], ids
+                        if len(s) > 4 * k:
+                            least = np.partition(s, len(s) - k)[len(s) - k]
+                            s, i = s[s >= least], i[s >= least]
+                        if (kind, q) in held:
+                            s, i = np.concatenate((held[kind, q][0], s)), np.concatenate((held[kind, q][1], i))
+                        best = np.lexsort((i, -s))[:k]
+                        held[kind, q] = s[best], i[best]
+
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            width = np.array(batch.column("vec").value_lengths())
+            kind = np.array(batch.column("kind").to_pylist(), str)
+            ids = np.array(batch.column("id").to_pylist())
+            for name in np.unique(kind):
+                for n in np.unique(width[kind == name]):
+                    at = np.flatnonzero((kind == name) & (width == n))
+                    for a in range(0, len(at), ROWS):
+                        rows = at[a : a + ROWS]
+                        block = batch.column("vec").take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), int(n))
+                        offer(str(name), ids[rows], block)
+        if held:
+            keys, cells = list(held), list(held.values())
+            size = [len(s) for s, _ in cells]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[q] for (_, q), n in zip(keys, size, strict=True) for _ in range(n)], query_type), pa.array([kind for (kind, _), n in zip(keys, size, strict=True) for _ in range(n)], pa.string()), pa.array(np.concatenate([i for _, i in cells]).tolist(), id_type), pa.array(np.concatenate([s for s, _ in cells]))],
+                names=["query_id", "kind", "id", "score"],
+            )
+
+    return run
 
 
 def missing(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -62,10 +114,6 @@ def missing(corpus: DataFrame, vectors: DataFrame) -> DataFrame:
     return corpus.join(vectors.select("id"), "id", "left_anti")
 
 
-class EmbeddingsNotBuilt(ValueError):
-    pass
-
-
 def require_built(corpus: DataFrame, vectors: DataFrame) -> None:
     if not missing(corpus, vectors).isEmpty():
         raise EmbeddingsNotBuilt("some entries have no vector")
@@ -86,6 +134,39 @@ def extend(corpus: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], D
     return vectors.unionByName(embed(missing(corpus, vectors)).select(*vectors.columns))
 
 
+def _current(spark: SparkSession, root: str) -> str | None:
+    folder, system = files(spark, f"{root}/versions")
+    made = sorted(str(f.getPath()) for f in system.listStatus(folder)) if system.exists(folder) else []
+    sound = [v for v in made if system.exists(files(spark, f"{v}/_SUCCESS")[0])]
+    return sound[-1] if sound else None
+
+
+def stored(spark: SparkSession, root: str) -> DataFrame | None:
+    """The vectors (id, vec, model) of the last whole version under a folder, if there is one."""
+    path = _current(spark, root)
+    return None if path is None else spark.read.parquet(path)
+
+
+def rebuild(corpus: DataFrame, root: str, embed: Callable[[DataFrame], DataFrame], model: str) -> DataFrame:
+    """Embed all of corpus (id, text) anew and make that the version that is read.
+
+    A version is written beside those that are there and counts once Spark has finished it, so readers see the old
+    or the new one, whole; an embedder that leaves entries out or gives vectors of several widths leaves the old
+    one. An empty corpus makes an empty version."""
+    spark = corpus.sparkSession
+    folder, system = files(spark, f"{root}/versions/{time.time_ns():020d}")
+    hidden, _ = files(spark, f"{root}/making-{time.time_ns():020d}")
+    embed(corpus).select("id", "vec", F.lit(model).alias("model")).write.parquet(str(hidden))
+    made = spark.read.parquet(str(hidden))
+    found = validate(made).first()
+    if not missing(corpus, made).isEmpty() or found["n"] != corpus.count() or found["widths"] > 1 or (found["n_empty"] or 0) + (found["n_not_finite"] or 0):
+        system.delete(hidden, True)
+        raise EmbeddingsNotBuilt("the embedder left entries out, or gave vectors that don't fit each other")
+    system.mkdirs(folder.getParent())
+    system.rename(hidden, folder)
+    return spark.read.parquet(str(folder))
+
+
 def rebuild_centroids(members: DataFrame, vectors: DataFrame, digits: int = 9) -> DataFrame:
     """(cluster, centroid): mean of the members' vectors, normalised. members: (cluster, id)."""
     parts = members.join(vectors, "id").select("cluster", F.posexplode("vec").alias("i", "x"))
