@@ -37,6 +37,15 @@ def entry_projection(name: Column, description: Column, tags: Column, override:
     return F.concat_ws(" ", push_identifier(name), shown, F.array_join(F.transform(F.filter(tags, lambda t: t != ""), push_identifier), " "))
 
 
+def tool_projection(name: Column, description: Column, input_schema: Column, output_schema: Column, override: Column | None = None) -> Column:
+    """Searchable text of a tool: name, description or override, and what its input and its output schema (JSON) say."""
+    from tidewright.functions.schema_walk import schema_text
+
+    shown = description if override is None else described(override, description)
+    said = lambda schema: F.when(F.coalesce(F.length(schema), F.lit(0)) > 0, schema)
+    return F.concat_ws(" ", push_identifier(name), shown, said(schema_text(input_schema)), said(schema_text(output_schema)))
+
+
 def usage_tokens(text: Column) -> Column:
     """Lower-case alphanumeric runs without stop words, in order, with repeats."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: ~t.isin(*STOPWORDS))

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import secrets
 import time
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.workers import reach
+
 # Envelope version, the alphabet of event ids, and bounds of published events.
 VERSION, ALPHABET = 2, "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+#: Fixed value: starts of one tool that wait for their ends.
+MOST_PENDING = 1024
 MOST_PAYLOAD, MOST_QUERY, MOST_HITS, MOST_STRING, MOST_ITEMS = 65_536, 4096, 100, 4096, 100
 
 EVENT = (
@@ -30,9 +37,12 @@ def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Events with their file and log_seq. Order within a file is its line order, which the reader's row numbers keep."""
-    lines = spark.read.option("wholetext", "false").text(path).withColumn("file", F.input_file_name())
-    return parse(lines.withColumn("log_seq", F.monotonically_increasing_id()), strict)
+    """Events with their file, line (from 0, in the file's order) and log_seq, which follows the files' names and the lines in them."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    order = Window.partitionBy("file").orderBy("_at", "_i")
+    names = lines.select("file").distinct().withColumn("_f", F.row_number().over(Window.orderBy("file")) - 1)  # a row a file
+    placed = lines.withColumn("line", (F.row_number().over(order) - 1).cast("long")).join(F.broadcast(names), "file")
+    return parse(placed.select("value", "file", "line", (F.shiftleft(F.col("_f").cast("long"), 40) + F.col("line")).alias("log_seq")), strict)
 
 
 def write(events: DataFrame, path: str) -> None:
@@ -65,22 +75,42 @@ def bounded(events: DataFrame) -> DataFrame:
     return events.withColumn("query", cut).withColumn("hits", F.slice("hits", 1, MOST_HITS))
 
 
+def _queue(sorted_by: str):
+    """Starts and ends, sorted by source, tool and order, each with the start's place that its invocation is named by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, waiting = None, deque(maxlen=MOST_PENDING)
+        for batch in batches:
+            made = []
+            for source, tool, place, starts, given in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, tool) != here:
+                    here = source, tool
+                    waiting.clear()
+                if given is not None:
+                    if not starts and given in waiting:
+                        waiting.remove(given)
+                    made.append(given)
+                elif starts:
+                    waiting.append(str(place))  # the oldest goes if there are too many
+                    made.append(str(place))
+                else:
+                    made.append(waiting.popleft() if waiting else str(place))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(made, pa.string())], names=[sorted_by, "invocation"])
+
+    return run
+
+
 def correlate(events: DataFrame, order: str = "log_seq") -> DataFrame:
-    """events with invocation: an id that is given counts; else the n-th end of a source and tool belongs to its n-th start; an end without start gets an id of its own.
-
-    events: (source_id, tool_id, type, invocation_id, log_seq)."""
-    phase = F.when(F.col("type") == "invoke_start", "start").when(F.col("type").isin("invoke_end", "invoke_error"), "end")
-    marked = events.withColumn("_p", phase)
-    free = marked.where("_p is not null and invocation_id is null")
-    n = F.row_number().over(Window.partitionBy("source_id", "tool_id", "_p").orderBy(order))
-    numbered = free.withColumn("_n", n)
-    starts = numbered.where("_p = 'start'").select("source_id", "tool_id", "_n", F.col(order).alias("_start"))
-    ends = numbered.where("_p = 'end'").join(starts, ["source_id", "tool_id", "_n"], "left")
-    # Only an earlier start is this end's.
-    mine = F.when(F.col("_start") < F.col(order), F.col("_start")).otherwise(F.col(order))
-    made = ends.select(F.col(order).alias("_o"), mine.alias("_i")).unionByName(numbered.where("_p = 'start'").select(F.col(order).alias("_o"), F.col(order).alias("_i")))
-    joined = marked.join(made, marked[order] == made["_o"], "left")
-    return joined.withColumn("invocation", F.coalesce("invocation_id", F.col("_i").cast("string"))).drop("_p", "_o", "_i")
+    """events with invocation: an id that is given counts; a start without one is named by its place and waits; an end without one takes the oldest start of its source and tool that waits; if none does, it takes nothing and has an id of its own.
+
+    events: (source_id, tool_id, type, invocation_id, log_seq). At most MOST_PENDING starts of a tool wait; the oldest
+    go. An end that is given the name of a start takes it from those that wait. Rows are sorted by Spark and read as
+    a stream, so a tool of any length takes the memory of its waiting starts only."""
+    reach(events.sparkSession)
+    some = events.where(F.col("type").isin("invoke_start", "invoke_end", "invoke_error"))
+    dealt = some.select("source_id", "tool_id", F.col(order).cast("long").alias(order), (F.col("type") == "invoke_start").alias("starts"), F.col("invocation_id").cast("string").alias("given")).repartition("source_id", "tool_id").sortWithinPartitions("source_id", "tool_id", order)
+    made = dealt.mapInArrow(_queue(order), f"{order} long, invocation string")
+    return events.join(made, order, "left").withColumn("invocation", F.coalesce("invocation", "invocation_id"))
 
 
 def loss_windows(events: DataFrame, capacity: int, drained: int, by: str = "subscriber", order: str = "log_seq") -> DataFrame:
@@ -92,6 +122,7 @@ def loss_windows(events: DataFrame, capacity: int, drained: int, by: str = "subs
     return lost.groupBy(by).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-def sampled(events: DataFrame, rate: float, key: str = "event_id") -> DataFrame:
-    """A share of events by hash, the same in every run."""
-    return events if rate >= 1 else events.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(rate * 1_000_000))
+def sampled(events: DataFrame, rate: float = 1.0, key: str = "event_id") -> DataFrame:
+    """A share of events by the MD5 of a key, the same in every run."""
+    digits = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
+    return events if rate >= 1 else events.where(digits < int(rate * 2**32))

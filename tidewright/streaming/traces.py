@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Fixed value: starts of one tool that wait for their ends; the oldest are dropped.
-MOST_PENDING = 1024
+from tidewright.sources.tracelog import MOST_PENDING
+
 PAIRED = "session string, log_seq long, kind string, capability_id string, ts long, search_seq long, query string, first_confirmation boolean"
 
 
@@ -47,6 +47,8 @@ def _correlate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
                 given = str(r.log_seq)
             else:
                 given = str(waiting.pop(0) if waiting else r.log_seq)
+        elif r.type != "invoke_start":
+            waiting = [w for w in waiting if str(w) != given]
         out.append([*map(str, key), r.log_seq, r.type, given])
     state.update((waiting,))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in CORRELATED.split(", ")])
@@ -68,3 +70,10 @@ def fan_out(events: DataFrame, sinks: list[Callable[[DataFrame, int], None]], ch
         batch.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+
+
+def learn_and_forward(events: DataFrame, learned: str, forwarded: str, checkpoint: str) -> list:
+    """A learner before a sink: the trace goes on to `forwarded` untouched, and what pairing learns from it (paired()) to `learned`. Two streams of one source, each with its own progress."""
+    raw = events.drop("role").writeStream.format("parquet").option("path", forwarded).option("checkpointLocation", f"{checkpoint}/forwarded")
+    pairs = paired(events.select("session", "log_seq", "role", "query", "capability_id", "ts")).writeStream.format("parquet").option("path", learned).option("checkpointLocation", f"{checkpoint}/learned")
+    return [w.trigger(availableNow=True).start() for w in (raw, pairs)]
