@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import server_of
+from tidewright.operators.ranking import TOOLS_K, clamp_k
 
 # What a model is given, in this order; their ids are reserved.
 MODEL_TOOLS = ("search_capabilities", "invoke_tool", "get_skill_content")
@@ -69,3 +70,25 @@ def ingest_first_wins(entries: DataFrame) -> DataFrame:
     rest = [c for c in entries.columns if c not in ("id", "seq")]
     kept = entries.where(~F.col("id").isin(*MODEL_TOOLS)).groupBy("id").agg(F.min("seq").alias("seq"), F.min_by(F.struct(*rest), F.col("seq")).alias("_r"))
     return kept.select("id", "seq", *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def recall_messages(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, part, role, call_id, content): the pair of messages of a recall, a call of the search tool and its result, under one id that is a function of the query. A query that found nothing has none."""
+    hits = found.groupBy("query_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("bucket", "place", "id", "score")))).alias("hits"))
+    call = F.concat(F.lit("recall-"), F.substring(F.sha2(F.to_json(F.struct("query_id", "text")), 256), 1, 16))
+    asked = queries.join(hits, "query_id").select("query_id", call.alias("call_id"), F.array(F.struct(F.lit("assistant").alias("role"), F.to_json(F.struct(F.lit(MODEL_TOOLS[0]).alias("tool"), F.col("text").alias("query"))).alias("content")), F.struct(F.lit("tool").alias("role"), F.col("hits").alias("content"))).alias("m"))
+    return asked.select("query_id", "call_id", F.posexplode("m").alias("part", "x")).select("query_id", "part", "x.role", "call_id", "x.content")
+
+
+def insert_recall(messages: DataFrame, pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, call_id, content) with each conversation's recall pair (conv_id, part, role, call_id, content) at the place `at` (conv_id, turn) before which it belongs; turns are numbered anew. A conversation that holds a message of the pair's id keeps its messages, so inserting again changes nothing."""
+    have = messages.where("call_id is not null").select("conv_id", "call_id").distinct()
+    new = pairs.join(have, ["conv_id", "call_id"], "left_anti").join(at.select("conv_id", F.col("turn").alias("_at")), "conv_id")
+    both = messages.select("conv_id", F.struct(F.col("turn").alias("t"), F.lit(1).alias("s"), F.lit(0).alias("p")).alias("_o"), "role", "call_id", "content").unionByName(new.select("conv_id", F.struct(F.col("_at").alias("t"), F.lit(0).alias("s"), F.col("part").alias("p")).alias("_o"), "role", "call_id", "content"))
+    turn = F.row_number().over(Window.partitionBy("conv_id").orderBy("_o")) - 1
+    return both.select("conv_id", turn.alias("turn"), "role", "call_id", "content")
+
+
+def search_tools(hits: DataFrame, k: int) -> DataFrame:
+    """The tools bucket alone, by server, of searches that ask for any number of hits: k below 1 is the default, and there is no upper bound."""
+    return grouped_tools(hits.where(F.col("rank") < clamp_k(k, TOOLS_K, None)))

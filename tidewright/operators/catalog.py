@@ -54,10 +54,36 @@ def apply_overrides(entries: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def definition_changes(versions: DataFrame, content: Column, entry: str = "id", version: str = "version") -> DataFrame:
-    """(id, version, hash) where the content hash differs from that of the version before."""
+    """(id, version, hash) where the content hash differs from that of the version registered before, or there is none. A version without a hash makes no event; as it is what is registered then, the next one that has a hash makes one, changed or not."""
     by = Window.partitionBy(entry).orderBy(version)
     hashed = versions.withColumn("hash", F.sha2(content, 256)).withColumn("_before", F.lag("hash").over(by))
-    return hashed.where(F.col("_before").isNull() | (F.col("hash") != F.col("_before"))).select(entry, version, "hash")
+    return hashed.where(F.col("hash").isNotNull() & (F.col("_before").isNull() | (F.col("hash") != F.col("_before")))).select(entry, version, "hash")
+
+
+def definition(kind: Column, entry: Column, name: Column, description: Column, tags: Column, input_schema: Column, output_schema: Column, override: Column) -> Column:
+    """Canonical JSON of a definition: nine fields, keys in order. The schemas come as canonical JSON or "null"; if one is a null column (not sound, or with an integer beyond doubles) there is no definition."""
+    fields = (("description", json_string(description)), ("id", json_string(entry)), ("input_schema", input_schema), ("kind", json_string(kind)), ("name", json_string(name)), ("output_schema", output_schema), ("searchable_description", json_string(F.coalesce(override, description))), ("searchable_description_overridden", F.when(override.isNull(), "false").otherwise("true")), ("tags", json_strings(tags)))
+    return F.concat(F.lit("{"), *(x for i, (k, v) in enumerate(fields) for x in (F.lit(f'{"," if i else ""}"{k}":'), v)), F.lit("}"))
+
+
+#: The fields of a skill on the wire, and what no field's name may hold.
+WIRE_FIELDS = ("id", "name", "description", "tags", "tools", "metadata", "body")
+FORBIDDEN = ("token", "secret", "password", "apikey", "api_key", "credential", "bearer", "authorization", "privatekey", "private_key")
+
+
+def wire_problems(payload: Column) -> Column:
+    """What is wrong with a skill's JSON object on the wire: "missing x" for fields that it lacks, "forbidden x" for names that hold a forbidden word in any case, "unknown x" for all others that it shouldn't have. Null if it is no object."""
+    keys = F.json_object_keys(payload)
+    known = F.array(*map(F.lit, WIRE_FIELDS))
+    missing = F.transform(F.array_except(known, keys), lambda k: F.concat(F.lit("missing "), k))
+    bad = lambda k: F.exists(F.array(*map(F.lit, FORBIDDEN)), lambda f: F.lower(k).contains(f))
+    others = F.transform(F.array_sort(F.array_except(keys, known)), lambda k: F.concat(F.when(bad(k), "forbidden ").otherwise("unknown "), k))
+    return F.when(keys.isNotNull(), F.concat(missing, others))
+
+
+def wire(skills: DataFrame) -> DataFrame:
+    """The columns of skills that go on the wire, in their order."""
+    return skills.select(*WIRE_FIELDS)
 
 
 def pinned(facts: DataFrame) -> DataFrame:

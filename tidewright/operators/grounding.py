@@ -52,6 +52,20 @@ def events(decisions: DataFrame) -> DataFrame:
     return decisions.select("conv_id", "fact_id", F.when(F.col("inject"), "fact_inject").otherwise("fact_inject_skip").alias("type"), "reason")
 
 
+def ground(candidates_: DataFrame, messages: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One turn of grounding in many conversations: events of the decisions (conv_id, fact_id, type, reason), and what each conversation was shown last, for the next turn.
+
+    candidates_ (conv_id, fact_id, body), messages (conv_id, text), before (conv_id, fact_id, body). A conversation knows what it was shown itself."""
+    known = candidates_.join(before.select("conv_id", "fact_id", F.col("body").alias("last_injected")), ["conv_id", "fact_id"], "left")
+    decided = freshness(known, messages)
+    return events(decided), injected(decided, candidates_, before)
+
+
+def snapshot_events(found: DataFrame) -> DataFrame:
+    """(query_id, fact_id, place, type, tier): one fact_snapshot event for each fact of candidates(), without state."""
+    return found.select("query_id", "fact_id", "place", F.lit("fact_snapshot").alias("type"), F.when(F.col("pinned"), "always").otherwise("retrieved").alias("tier"))
+
+
 def last_user_text(messages: DataFrame) -> DataFrame:
     """(conv_id, text): the last message, if a user wrote it."""
     last = messages.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), F.col("turn")).alias("m"))

@@ -1,23 +1,25 @@
 """Usage graph, write side: from a trace log to intent clusters.
 
-Pairing and everything that is derived from a finished graph is relational. Folding
-observations into clusters depends on their order, so it runs once per graph over its
-ordered observations, many graphs in parallel."""
+Pairing, and everything that is derived from observations and the clusters that took them,
+is relational. Which cluster takes an observation depends on those before it, so that alone
+is walked in order, graphs in parallel."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from tidewright.functions.text import STOPWORDS, usage_tokens
 from tidewright.operators.usage import DENSE_LEAST, EVICTION_FLOOR, GRACE_MS, HALF_LIFE_MS, LEXICAL_LEAST
+from tidewright.operators.walk import walked
 
 # Fixed values.
 MOST_MEMBERS, LABEL_TERMS, GRAPH_VERSION = 50, 5, 1
@@ -58,100 +60,158 @@ def _words(text: str) -> frozenset[str]:
     return frozenset(w for w in (m.lower() for m in _RUN.findall(text)) if w not in _STOP)
 
 
-def _recency(now: int, last: int) -> float:
-    return 1.0 if now - last <= GRACE_MS else 2.0 ** (-(now - last - GRACE_MS) / HALF_LIFE_MS)
+#: Age from which a cluster's recency is below the floor.
+_OLD_MS = GRACE_MS + HALF_LIFE_MS * math.log2(1 / EVICTION_FLOOR)
 
 
-class Fold:
-    """One graph, fed with observations in order."""
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / (float(np.linalg.norm(v)) or 1.0)
 
-    def __init__(self, model: str | None = None) -> None:
-        self.clusters: list[dict[str, Any]] = []
-        self.newest, self.rev, self.model = 0, 0, model
 
-    def _match(self, words: frozenset[str], vector: np.ndarray | None) -> dict[str, Any] | None:
-        """Dense first, then lexical over all clusters: wider than what serving does."""
-        best = None
-        if vector is not None:
-            for c in self.clusters:
-                if c["centroid"] is not None and len(c["centroid"]) == len(vector):
-                    size = float(np.linalg.norm(vector) * np.linalg.norm(c["centroid"]))
-                    s = float(vector @ c["centroid"]) / size if size else 0.0
-                    if s >= DENSE_LEAST and (best is None or (-s, c["id"]) < best[0]):
-                        best = ((-s, c["id"]), c)
-        if best is None and words:
-            for c in self.clusters:
-                s = max((len(words & m) / len(words | m) for m in c["bags"] if m), default=0.0)
-                if s >= LEXICAL_LEAST and (best is None or (-s, c["id"]) < best[0]):
-                    best = ((-s, c["id"]), c)
-        return best[1] if best else None
+@dataclass(eq=False)
+class _Cluster:
+    """What matching needs of a cluster; all else is counted afterwards from the observations that it took."""
 
-    def observe(self, query: str, kind: str, capability: str, ts: int, first: bool, seeded: bool = False, vector: np.ndarray | None = None, model: str | None = None) -> None:
+    number: int
+    birth: int
+    last: int
+    members: dict[str, frozenset[str]] = field(default_factory=dict)
+    centroid: np.ndarray | None = None
+    folded: int = 0
+
+    @property
+    def name(self) -> str:
+        return f"intent_{self.number}"
+
+
+class Assigner:
+    """Gives each observation of one graph, in order, the cluster that takes it."""
+
+    def __init__(self) -> None:
+        self.alive: list[_Cluster] = []
+        self.bags: dict[str, dict[tuple[int, str], tuple[_Cluster, frozenset[str]]]] = {}
+        self.newest = self.taken = self.births = 0
+        self.model: str | None = None
+
+    def _closest(self, vector: np.ndarray) -> _Cluster | None:
+        some = [c for c in self.alive if c.centroid is not None and len(c.centroid) == len(vector)]
+        if not some:
+            return None
+        table = np.array([c.centroid for c in some])
+        size = np.linalg.norm(table, axis=1) * float(np.linalg.norm(vector))
+        cosine = np.divide(table @ vector, size, out=np.zeros(len(some)), where=size > 0)
+        score, _, best = min(((-s, c.name, c) for s, c in zip(cosine.tolist(), some, strict=True)), key=lambda x: x[:2])
+        return best if -score >= DENSE_LEAST else None
+
+    def _alike(self, words: frozenset[str]) -> _Cluster | None:
+        """The cluster with a member of at least half the words in common. Such a member has one of the rarest words, as many as it may lack and one more."""
+        ranked = sorted(words, key=lambda w: (len(self.bags.get(w, ())), w))
+        need = math.ceil(LEXICAL_LEAST * len(words))
+        near = {id(bag): (c, bag) for w in ranked[: len(words) - need + 1] for c, bag in self.bags.get(w, {}).values()}
+        scored = [(-len(words & bag) / len(words | bag), c.name, c) for c, bag in near.values()]
+        score, _, best = min(scored, key=lambda x: x[:2], default=(0.0, "", None))
+        return best if -score >= LEXICAL_LEAST else None
+
+    def _list(self, cluster: _Cluster, text: str, words: frozenset[str]) -> None:
+        cluster.members[text] = words
+        for w in words:
+            self.bags.setdefault(w, {})[cluster.birth, text] = (cluster, words)
+
+    def _unlist(self, cluster: _Cluster, text: str) -> None:
+        for w in cluster.members.pop(text):
+            del self.bags[w][cluster.birth, text]
+            if not self.bags[w]:
+                del self.bags[w]
+
+    def take(self, query: str, ts: int, vector: np.ndarray | None = None, model: str | None = None) -> tuple[_Cluster, bool] | None:
+        """The cluster, and whether it is new; none for a query without words and vector. A vector of another model than the graph's changes no centroid."""
         words = _words(query)
         if vector is None and not words:
-            return
+            return None
         self.newest = max(self.newest, ts)
-        usable = vector if self.model is None or model is None or self.model == model else None
-        c = self._match(words, usable)
-        if c is None:
-            number = max((int(x["id"].rpartition("_")[2]) for x in self.clusters), default=0) + 1
-            c = {"id": f"intent_{number}", "members": [], "bags": [], "centroid": None, "folded": 0, "support": 0, "seeded": 0, "last": 0, "tool": {}, "skill": {}}
-            self.clusters.append(c)
-        if query not in c["members"]:
-            c["members"].append(query)
-            c["bags"].append(words)
-            if usable is not None:
-                if c["centroid"] is None or len(c["centroid"]) != len(usable):
-                    c["centroid"], c["folded"] = usable / (np.linalg.norm(usable) or 1.0), 1
+        own = None if vector is not None and None not in (self.model, model) and self.model != model else vector
+        cluster = (self._closest(own) if own is not None else None) or (self._alike(words) if words else None)
+        fresh = cluster is None
+        if fresh:
+            self.births += 1
+            cluster = _Cluster(1 + max((c.number for c in self.alive), default=0), self.births, 0)
+            self.alive.append(cluster)
+        cluster.last = max(cluster.last, ts)
+        if query not in cluster.members:
+            self._list(cluster, query, words)
+            if own is not None:
+                if cluster.centroid is None or len(cluster.centroid) != len(own):
+                    cluster.centroid, cluster.folded = _unit(own), 1
                 else:
-                    mean = c["centroid"] * max(c["folded"], 1) + usable
-                    c["centroid"], c["folded"] = mean / (np.linalg.norm(mean) or 1.0), max(c["folded"], 1) + 1
-            over = len(c["members"]) - MOST_MEMBERS
-            if over > 0:
-                del c["members"][:over], c["bags"][:over]
-        if first or c["support"] == 0:
-            c["support"] += 1
-            c["seeded"] += seeded
-        c["last"] = max(c["last"], ts)
-        c[kind][capability] = c[kind].get(capability, 0.0) + 1.0
-        if self.model is None and c["centroid"] is not None:
+                    cluster.centroid, cluster.folded = _unit(cluster.centroid * cluster.folded + own), cluster.folded + 1
+            for text in list(cluster.members)[:-MOST_MEMBERS]:
+                self._unlist(cluster, text)
+        if self.model is None and cluster.centroid is not None:
             self.model = model
-        self.clusters = [x for x in self.clusters if _recency(self.newest, x["last"]) >= EVICTION_FLOOR]
-        self.rev += 1
-
-    def frame(self, graph: object) -> pd.DataFrame:
-        return pd.DataFrame(
-            [[graph, self.rev, self.newest, c["id"], list(c["members"]), None if c["centroid"] is None else [float(x) for x in c["centroid"]], c["support"], c["seeded"], c["last"], dict(c["tool"]), dict(c["skill"])] for c in self.clusters],
-            columns=["graph_id", "rev", "built_from_ts", "intent_id", "members", "centroid", "support", "seeded_support", "last_ts", "tools", "skills"],
-        )
+        for old in [c for c in self.alive if self.newest - c.last > _OLD_MS]:
+            self.alive.remove(old)
+            for text in list(old.members):
+                self._unlist(old, text)
+        self.taken += 1
+        return cluster, fresh
 
 
-FOLDED = "graph_id string, rev long, built_from_ts long, intent_id string, members array<string>, centroid array<double>, support int, seeded_support int, last_ts long, tools map<string,double>, skills map<string,double>"
+_TAKEN = "birth int, intent_id string, kind string, capability_id string, ts long, supports boolean, seeded boolean, rev long, built_from_ts long, model string, members array<string>, centroid array<double>"
+FOLDED = "graph_id string, rev long, built_from_ts long, model string, intent_id string, members array<string>, centroid array<double>, support long, seeded_support long, last_ts long, tools map<string,double>, skills map<string,double>"
 
 
-def fold(observations: DataFrame, graph: str = "graph_id") -> DataFrame:
-    """Clusters of each graph. observations: (graph_id, log_seq, query, kind, capability_id, ts, first_confirmation[, seeded, vec, model])."""
+def _step(state: Assigner, row: dict[str, Any]) -> list[tuple]:
+    vec = row.get("vec")
+    found = state.take(row["query"], int(row["ts"]), None if vec is None else np.asarray(vec, float), row.get("model"))
+    if found is None:
+        return []
+    cluster, fresh = found
+    return [(cluster.birth, cluster.name, row["kind"], row["capability_id"], int(row["ts"]), fresh or bool(row["first_confirmation"]), bool(row.get("seeded")), None, None, None, None, None)]
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        made = Fold()
-        for r in rows.sort_values("log_seq").to_dict("records"):
-            vec = r.get("vec")
-            made.observe(r["query"], r["kind"], r["capability_id"], int(r["ts"]), bool(r["first_confirmation"]), bool(r.get("seeded") or False), None if vec is None else np.asarray(vec, float), r.get("model"))
-        return made.frame(key[0])
 
-    return observations.withColumn(graph, F.col(graph).cast("string")).groupBy(graph).applyInPandas(run, FOLDED)
+def _finish(state: Assigner) -> list[tuple]:
+    return [(c.birth, c.name, None, None, None, None, None, state.taken, state.newest, state.model, list(c.members), None if c.centroid is None else c.centroid.tolist()) for c in state.alive]
 
 
-def label_terms(members: DataFrame, k: int = LABEL_TERMS, analyse: Callable[[Column], Column] = usage_tokens, digits: int = 9) -> DataFrame:
-    """(cluster, term, score, rank): the words that set a cluster apart, by class-based TF-IDF. members: (cluster, text)."""
-    tokens = members.select("cluster", F.explode(analyse(F.col("text"))).alias("term"))
-    local = tokens.groupBy("cluster", "term").agg(F.count("*").alias("n"))
-    whole = local.groupBy("term").agg(F.sum("n").alias("f"))
+def fold(observations: DataFrame, graph: str = "graph_id") -> DataFrame:
+    """Clusters of each graph: FOLDED. observations: (graph_id, log_seq, query, kind, capability_id, ts, first_confirmation[, seeded, vec, model]).
+
+    Which cluster takes an observation depends on those before it and is walked in order; edges, support and times
+    are sums over what each cluster took. Support counts first confirmations and what a cluster began with."""
+    rest = [c for c in observations.columns if c != graph]
+    rows = observations.select(F.col(graph).cast("string").alias("graph_id"), *rest)
+    schema = StructType([StructField("graph_id", StringType()), *_parse_datatype_string(_TAKEN).fields])
+    taken = walked(rows, ["graph_id"], ["log_seq"], Assigner, _step, _finish, schema)
+    last = F.max(F.when(F.col("rev").isNotNull(), F.struct("rev", "built_from_ts", "model", "intent_id", "members", "centroid"))).alias("end")
+    edges = taken.groupBy("graph_id", "birth", "kind", "capability_id").agg(F.count("*").cast("double").alias("weight"), F.sum(F.col("supports").cast("long")).alias("s"), F.sum((F.col("supports") & F.col("seeded")).cast("long")).alias("z"), F.max("ts").alias("t"), last)
+    weights = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("capability_id", "weight")))))
+    made = edges.groupBy("graph_id", "birth").agg(F.sum("s").alias("support"), F.sum("z").alias("seeded_support"), F.max("t").alias("last_ts"), weights("tool").alias("tools"), weights("skill").alias("skills"), F.max("end").alias("end"))
+    return made.where("end is not null").select("graph_id", "end.rev", "end.built_from_ts", "end.model", "end.intent_id", "end.members", "end.centroid", "support", "seeded_support", "last_ts", "tools", "skills")
+
+
+def live_confirmations(events: DataFrame, graph: str = "graph_id") -> DataFrame:
+    """pair() with the credit of a live learner: sessions that share a graph share one slot, which holds the text of the graph's last search. An invocation confirms first if its own query is in the slot and none has since that search, so of concurrent sessions that ask the same only one does.
+
+    events: as of pair(), with the graph's column."""
+    whole = Window.partitionBy(graph).orderBy("log_seq").rowsBetween(Window.unboundedPreceding, 0)
+    search = F.when(F.col("role") == "search", F.struct(F.col("log_seq").alias("armed_seq"), F.col("query").alias("armed")))
+    slots = events.where("role is not null").select(graph, "log_seq", F.last(search, ignorenulls=True).over(whole).alias("_a"))
+    paired = pair(events).drop("first_confirmation").join(slots, "log_seq").withColumn("_mine", F.col("_a.armed").eqNullSafe(F.col("query")))
+    turn = Window.partitionBy(graph, "_a.armed_seq", "_mine").orderBy("log_seq")
+    return paired.withColumn("first_confirmation", F.col("_mine") & (F.row_number().over(turn) == 1)).drop("_a", "_mine")
+
+
+def label_terms(members: DataFrame, k: int = LABEL_TERMS, analyse: Callable[[Column], Column] = usage_tokens, digits: int = 9, within: str | None = None) -> DataFrame:
+    """(cluster, term, score, rank): the words that set a cluster apart, by class-based TF-IDF. members: (cluster, text); clusters are held against all others, or those of one `within` column."""
+    members = members.withColumn("_w", F.lit(0) if within is None else F.col(within))
+    tokens = members.select("_w", "cluster", F.explode(analyse(F.col("text"))).alias("term"))
+    local = tokens.groupBy("_w", "cluster", "term").agg(F.count("*").alias("n"))
+    whole = local.groupBy("_w", "term").agg(F.sum("n").alias("f"))
     sizes = local.groupBy("cluster").agg(F.sum("n").alias("len"))
-    clusters = members.select("cluster").distinct().agg(F.count("*").alias("clusters"))
-    total = local.agg(F.sum("n").alias("total")).crossJoin(clusters).select((F.col("total") / F.col("clusters")).alias("avg"))
+    clusters = members.groupBy("_w").agg(F.countDistinct("cluster").alias("clusters"))
+    average = local.groupBy("_w").agg(F.sum("n").alias("total")).join(clusters, "_w").select("_w", (F.col("total") / F.col("clusters")).alias("avg"))
     score = (F.col("n") / F.col("len")) * F.log(F.lit(1.0) + F.col("avg") / F.col("f"))
-    scored = local.join(whole, "term").join(sizes, "cluster").crossJoin(F.broadcast(total)).select("cluster", "term", F.round(score, digits).alias("score"))
+    scored = local.join(whole, ["_w", "term"]).join(sizes, "cluster").join(average, "_w").select("cluster", "term", F.round(score, digits).alias("score"))
     order = Window.partitionBy("cluster").orderBy(F.col("score").desc(), "term")
     return scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
@@ -197,18 +257,75 @@ def parse_graphs(raw: DataFrame, column: str = "json") -> DataFrame:
     return parsed.withColumn("problems", problems).withColumn("graph", F.when(g.isNotNull(), g.withField("intents", dated)))
 
 
-def write_graphs(graphs: DataFrame, column: str = "graph") -> Column:
+def labelled(folded: DataFrame) -> DataFrame:
+    """folded with the label (medoid) and the terms (class-based TF-IDF within the graph) of each cluster."""
+    key = F.to_json(F.struct("graph_id", "intent_id"))
+    members = folded.select("graph_id", key.alias("cluster"), F.explode("members").alias("text"))
+    names = medoid(members.select("cluster", "text"))
+    said = label_terms(members.select("graph_id", "cluster", "text"), within="graph_id").groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("terms"))
+    return folded.withColumn("cluster", key).join(names, "cluster", "left").join(said, "cluster", "left").drop("cluster").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def serialise(folded: DataFrame) -> DataFrame:
+    """(graph_id, json) of folded clusters, with labels and terms derived from what is written; null fields and a seeded support of 0 are left out. A graph is one document by its meaning."""
+    seeded = F.when(F.col("seeded_support") > 0, F.col("seeded_support")).alias("seeded_support")
+    intent = F.struct(F.col("intent_id").alias("id"), "label", "terms", "members", "centroid", "support", seeded, "last_ts", "tools", "skills")
+    number = F.regexp_extract("intent_id", "([0-9]+)$", 1).cast("int")
+    whole = labelled(folded).groupBy("graph_id").agg(F.max("built_from_ts").alias("built_from_ts"), F.max("rev").alias("rev"), F.max("model").alias("model"), F.array_sort(F.collect_list(F.struct(number.alias("n"), write_graphs(intent).alias("i")))).alias("intents"))
+    head = write_graphs(F.struct(F.lit(GRAPH_VERSION).alias("v"), "built_from_ts", "rev", "model"))
+    return whole.select("graph_id", F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"intents":['), F.array_join(F.transform("intents", lambda x: x["i"]), ","), F.lit("]}")).alias("json"))
+
+
+def write_graphs(column: Column | str = "graph") -> Column:
     """JSON of a graph struct; null fields are left out."""
     return F.to_json(column, {"ignoreNullFields": "true"})
 
 
+class BaselineTurn:
+    """One turn of a host that has no search, as the trace of one: its query with no results, then what it invoked.
+
+    Nothing is recorded before the turn is done; a turn that fails records nothing, and done is done once.
+
+        with BaselineTurn("book a flight", "s1", 10, 1_700_000_000_000) as turn:
+            turn.invoked("tool", "flights__book")
+        turn.rows"""
+
+    def __init__(self, query: str, session: str, start_seq: int = 0, ts: int = 0) -> None:
+        self.query, self.session, self.start, self.ts = query, session, start_seq, ts
+        self._held: list[tuple[str, str]] = []
+        self.rows: list[dict[str, object]] = []
+        self._done = False
+
+    def __enter__(self) -> BaselineTurn:
+        return self
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        if kind is None:
+            self.done()
+        self._done, self._held = True, []
+
+    def invoked(self, kind: str, capability: str) -> BaselineTurn:
+        if self._done:
+            raise ValueError("the turn is over")
+        self._held.append((kind, capability))
+        return self
+
+    def done(self) -> list[dict[str, object]]:
+        if not self._done:
+            types = [("search", None), *(("invoke_start" if kind == "tool" else "skill_invoke", c) for kind, c in self._held)]
+            self.rows = [{"session": self.session, "log_seq": self.start + i, "type": t, "origin": "baseline", "query": None if i else self.query, "top_k": None if i else 0, "capability_id": c, "ts": self.ts} for i, (t, c) in enumerate(types)]
+            self._done = True
+        return self.rows
+
+
 def baseline_events(turns: list[tuple[str, list[tuple[str, str]]]], session: str, start_seq: int = 0, ts: int = 0) -> list[dict[str, object]]:
-    """Event rows of recorded baseline turns: one search of origin baseline and no results, then its invocations."""
+    """Event rows of recorded baseline turns, one after another."""
     rows: list[dict[str, object]] = []
     for query, invoked in turns:
-        rows.append({"session": session, "log_seq": start_seq + len(rows), "type": "search", "origin": "baseline", "query": query, "top_k": 0, "capability_id": None, "ts": ts})
+        turn = BaselineTurn(query, session, start_seq + len(rows), ts)
         for kind, capability in invoked:
-            rows.append({"session": session, "log_seq": start_seq + len(rows), "type": "invoke_start" if kind == "tool" else "skill_invoke", "origin": "baseline", "query": None, "top_k": None, "capability_id": capability, "ts": ts})
+            turn.invoked(kind, capability)
+        rows += turn.done()
     return rows
 
 
@@ -220,5 +337,5 @@ def observations_from(events: DataFrame, accepted: str | None = None) -> DataFra
 
 def longest_idle_days() -> float:
     """Days of no use after which a cluster is evicted."""
-    return (GRACE_MS + HALF_LIFE_MS * math.log2(1 / EVICTION_FLOOR)) / 86_400_000
+    return _OLD_MS / 86_400_000
 

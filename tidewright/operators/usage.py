@@ -108,5 +108,16 @@ def model_status(graph_model: str | None, graph_dim: int | None, model: str | No
     return "ok" if graph_model == model else "model_mismatch"
 
 
+def model_status_of(graph_model: Column, graph_dim: Column, model: Column, dim: Column) -> Column:
+    """model_status() of columns."""
+    unknown = graph_model.isNull() | model.isNull()
+    return F.when(unknown, "ok").when(F.coalesce(graph_dim != dim, F.lit(False)), "dim_mismatch").when(graph_model == model, "ok").otherwise("model_mismatch")
+
+
+def adaptive_status_of(attached: Column, status: Column) -> Column:
+    """adaptive_status() of columns."""
+    return F.when(~attached, "inactive").when(status.isNull(), "unknown").when(status == "ok", "active").otherwise("paused")
+
+
 def adaptive_status(graph_attached: bool, status: str | None) -> str:
     return "inactive" if not graph_attached else "unknown" if status is None else "active" if status == "ok" else "paused"
