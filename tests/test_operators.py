@@ -64,30 +64,141 @@ def test_missing_vectors_are_an_error(spark):
 
 def test_recency_and_eviction():
     assert math.isclose(learning.longest_idle_days(), 90 + 90 * math.log2(100))
-    assert learning._recency(10**12, 10**12 - usage.GRACE_MS - usage.HALF_LIFE_MS) == 0.5
 
 
-def test_fold_members_support_and_numbers():
-    f = learning.Fold()
+def test_assigner_members_and_numbers():
+    f = learning.Assigner()
     for i in range(60):
-        f.observe(f"deploy service number{i}", "tool", "t", i, first=True)
-    assert len(f.clusters) == 1 and len(f.clusters[0]["members"]) == learning.MOST_MEMBERS and f.clusters[0]["support"] == 60
-    f.observe("deploy service number59", "tool", "u", 61, first=False)
-    assert f.clusters[0]["support"] == 60 and f.clusters[0]["tool"] == {"t": 60.0, "u": 1.0}
-    f.observe("the of", "tool", "t", 99, first=True)
-    assert f.rev == 61  # no words and no vector: nothing happened
-    f.observe("entirely other words", "skill", "s", usage.GRACE_MS * 20, first=True)
-    assert [c["id"] for c in f.clusters] == ["intent_2"]  # the first has decayed
-
-
-def test_fold_vectors_freeze_on_another_model():
-    f = learning.Fold()
-    f.observe("a1", "tool", "t", 1, True, vector=np.array([1.0, 0.0]), model="m")
-    f.observe("a2", "tool", "t", 2, True, vector=np.array([0.8, 0.6]), model="m")
-    assert len(f.clusters) == 1 and f.clusters[0]["folded"] == 2
-    before = f.clusters[0]["centroid"].copy()
-    f.observe("a1 again", "tool", "t", 3, True, vector=np.array([0.0, 1.0]), model="other")
-    assert (f.clusters[0]["centroid"] == before).all() and f.model == "m"
+        f.take(f"deploy service number{i}", i)
+    assert len(f.alive) == 1 and list(f.alive[0].members) == [f"deploy service number{i}" for i in range(10, 60)]
+    assert f.take("deploy service number59", 61)[1] is False
+    assert f.take("the of", 99) is None and f.taken == 61  # no words and no vector: nothing happened
+    f.take("entirely other words", usage.GRACE_MS * 20)
+    assert [c.name for c in f.alive] == ["intent_2"] and set(f.bags) == {"entirely", "other", "words"}  # the first has decayed
+
+
+def test_vectors_freeze_on_another_model():
+    f = learning.Assigner()
+    f.take("a1", 1, np.array([1.0, 0.0]), "m")
+    f.take("a2", 2, np.array([0.8, 0.6]), "m")
+    assert len(f.alive) == 1 and f.alive[0].folded == 2
+    before = f.alive[0].centroid.copy()
+    f.take("a1 again", 3, np.array([0.0, 1.0]), "other")
+    assert (f.alive[0].centroid == before).all() and f.model == "m"
+
+
+def brute_graph(rows):
+    """The rules of a graph, one by one over plain lists: every cluster remembers all that it took."""
+    clusters, model, newest, rev = [], None, 0, 0
+    words = lambda t: {w for w in text_words(t)}
+    for r in rows:
+        w, v = words(r["query"]), r["vec"]
+        if v is None and not w:
+            continue
+        rev, newest = rev + 1, max(newest, r["ts"])
+        if v is not None and model is not None and r["model"] is not None and model != r["model"]:
+            v = None
+        rated = []
+        if v is not None:
+            for c in clusters:
+                if c["centroid"] is not None and len(c["centroid"]) == len(v):
+                    cosine = sum(x * y for x, y in zip(c["centroid"], v)) / math.sqrt(sum(x * x for x in v) * sum(x * x for x in c["centroid"]))
+                    if cosine >= 0.7:
+                        rated.append((-round(cosine, 12), f"intent_{c['n']}", c))
+        if not rated and w:
+            for c in clusters:
+                best = max((len(w & words(m)) / len(w | words(m)) for m in c["members"] if words(m)), default=0)
+                if best >= 0.5:
+                    rated.append((-best, f"intent_{c['n']}", c))
+        if rated:
+            c = min(rated, key=lambda x: x[:2])[2]
+        else:
+            c = {"n": max((x["n"] for x in clusters), default=0) + 1, "members": [], "centroid": None, "k": 0, "took": []}
+            clusters.append(c)
+        if r["query"] not in c["members"]:
+            c["members"] = [*c["members"], r["query"]][-50:]
+            if v is not None:
+                same = c["centroid"] is not None and len(c["centroid"]) == len(v)
+                total = [x * c["k"] + y for x, y in zip(c["centroid"], v)] if same else v
+                length = math.sqrt(sum(x * x for x in total)) or 1.0
+                c["centroid"], c["k"] = [x / length for x in total], c["k"] + 1 if same else 1
+        c["took"].append(r)
+        if model is None and c["centroid"] is not None:
+            model = r["model"]
+        day = 86_400_000
+        clusters = [c for c in clusters if (idle := newest - max(t["ts"] for t in c["took"])) <= 90 * day or 2 ** (-(idle - 90 * day) / (90 * day)) >= 0.01]
+    made = {}
+    for c in clusters:
+        counted = [t for i, t in enumerate(c["took"]) if t["first_confirmation"] or i == 0]
+        weights = {}
+        for t in c["took"]:
+            weights[t["kind"], t["capability_id"]] = weights.get((t["kind"], t["capability_id"]), 0) + 1
+        made[f"intent_{c['n']}"] = (rev, newest, model, c["members"], c["centroid"] and [round(x, 9) for x in c["centroid"]], len(counted), sum(bool(t["seeded"]) for t in counted), max(t["ts"] for t in c["took"]), weights)
+    return made
+
+
+def text_words(t):
+    from tidewright.functions.text import STOPWORDS
+
+    found, run = [], ""
+    for ch in t + " ":
+        if ch.isalnum():
+            run += ch
+        elif run:
+            found.append(run.lower())
+            run = ""
+    return [w for w in found if w not in STOPWORDS]
+
+
+def test_fold_equals_brute_force(spark):
+    """Graphs with vectors of two widths and two models, ageing clusters, more than fifty members, and queries without words."""
+    rng = random.Random(12)
+    day, rows = 86_400_000, []
+    for graph in ("g1", "g2", "g3", "g4"):
+        ts = 1000
+        for i in range(260):
+            ts += rng.choice((1, day, 5 * day)) if graph != "g3" else 1
+            topic = rng.randrange(8)
+            query = rng.choice((f"topic{topic} alpha beta", f"topic{topic} alpha w{rng.randrange(90)}", f"Topic{topic} w{rng.randrange(4)}", "the of", f"topic{topic}"))
+            vec = None
+            if graph in ("g2", "g4") and rng.random() < 0.6:
+                width = 3 if rng.random() < 0.9 else 2
+                vec = [float(rng.choice((0.1, 0.5, 1.0, -0.4)) + (j == topic % width)) for j in range(width)]
+            rows.append((graph, i, query, rng.choice(("tool", "skill")), f"c{rng.randrange(4)}", ts + rng.randrange(3), rng.random() < 0.5, rng.random() < 0.3, vec, None if vec is None else rng.choice(("m", "m", "other")) if graph == "g4" else "m"))
+    columns = "graph_id string, log_seq long, query string, kind string, capability_id string, ts long, first_confirmation boolean, seeded boolean, vec array<double>, model string"
+    frame = spark.createDataFrame(rows, columns).repartition(3)
+    names = [c.split()[0] for c in columns.split(", ")]
+    for graph in ("g1", "g2", "g3", "g4"):
+        want = brute_graph([dict(zip(names, r, strict=True)) for r in rows if r[0] == graph])
+        got = {}
+        for r in learning.fold(frame.where(F.col("graph_id") == graph)).collect():
+            weights = {("tool", k): v for k, v in r["tools"].items()} | {("skill", k): v for k, v in r["skills"].items()}
+            got[r["intent_id"]] = (r["rev"], r["built_from_ts"], r["model"], r["members"], r["centroid"] and [round(x, 9) for x in r["centroid"]], r["support"], r["seeded_support"], r["last_ts"], weights)
+        assert got == want
+
+
+def test_graph_is_written_and_parsed(spark):
+    rows = [("g", i, f"topic{i % 3} word{i % 2}", "tool", f"t{i % 4}", 10 + i, True) for i in range(12)]
+    frame = spark.createDataFrame(rows, "graph_id string, log_seq long, query string, kind string, capability_id string, ts long, first_confirmation boolean")
+    made = learning.serialise(learning.fold(frame))
+    found = json.loads(made.first()["json"])
+    assert found["v"] == 1 and [i["id"] for i in found["intents"]] == [f"intent_{n}" for n in range(1, 7)]
+    assert all(i["label"] in i["members"] and i["terms"] and "seeded_support" not in i and "centroid" not in i for i in found["intents"])
+    assert learning.parse_graphs(made).select("problems").first()["problems"] == []
+
+
+def test_baseline_turns():
+    with learning.BaselineTurn("find it", "s", 5, 9) as turn:
+        turn.invoked("tool", "t").invoked("skill", "k")
+    assert [(r["log_seq"], r["type"], r["query"], r["capability_id"]) for r in turn.rows] == [(5, "search", "find it", None), (6, "invoke_start", None, "t"), (7, "skill_invoke", None, "k")]
+    assert turn.done() is turn.rows
+    with pytest.raises(ValueError):
+        turn.invoked("tool", "late")
+    with pytest.raises(KeyError), learning.BaselineTurn("x", "s") as failed:
+        failed.invoked("tool", "t")
+        raise KeyError
+    assert failed.rows == [] and failed.done() == []
+    assert [r["log_seq"] for r in learning.baseline_events([("a", [("tool", "t")]), ("b", [])], "s")] == [0, 1, 2]
 
 
 def test_interleaved_sessions_never_pair_across(spark):
@@ -131,10 +242,25 @@ def test_trace_lines(spark):
     assert len(tracelog.ulid()) == 26
 
 
-def test_admission_operator(spark):
-    rows = spark.createDataFrame([(1, 0, 0, 10), (1, 1, 5, 7), (1, 2, 10, 12), (2, 0, 1, 2)], "experiment_id long, seq long, start_ms long, end_ms long")
-    got = {(r["experiment_id"], r["seq"]): r["admitted"] for r in experiments.admit_shadows(rows).collect()}
-    assert got == {(1, 0): True, (1, 1): False, (1, 2): True, (2, 0): True}
+def test_admission_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(e, n, (start := rng.randrange(300)), start + rng.randrange(1, 60)) for e in range(3) for n in range(80)]
+    frame = spark.createDataFrame(rows, "experiment_id long, seq long, start_ms long, end_ms long")
+    for places in (1, 3):
+        want = {}
+        for e in range(3):
+            taken = []
+            for _, n, start, end in sorted((r for r in rows if r[0] == e), key=lambda r: (r[2], r[1])):
+                want[e, n] = sum(a <= start < b for a, b in taken) < places
+                if want[e, n]:
+                    taken.append((start, end))
+        assert {(r["experiment_id"], r["seq"]): r["admitted"] for r in experiments.admit_shadows(frame, places).collect()} == want
+
+
+def test_warmups_are_tried_again(spark):
+    calls = [("a", 0, 0, 10, True), ("a", 1, 5, 10, False), ("a", 2, 10, 10, False), ("a", 3, 15, 10, False), ("a", 4, 20, 10, False), ("b", 0, 0, 1, False)]
+    got = {(r["arm"], r["seq"]): (r["runs"], r["cold"]) for r in experiments.warmups(spark.createDataFrame(calls, "arm string, seq long, at_ms long, took_ms long, failed boolean")).collect()}
+    assert got == {("a", 0): (True, True), ("a", 1): (False, True), ("a", 2): (True, True), ("a", 3): (False, True), ("a", 4): (False, False), ("b", 0): (True, True)}
 
 
 def test_draw_is_the_big_integer_modulo(spark):
@@ -148,7 +274,120 @@ def test_draw_is_the_big_integer_modulo(spark):
 
 def test_split_is_validated():
     assert experiments.validate_split(["a", "b"], [("a", 1), ("b", 2)]) == []
-    assert experiments.validate_split(["a", "b"], [("a", 0), ("a", 1), ("c", 1)]) == ["unknown arm c", "arm b missing", "arm a repeated", "weight of a"]
+    assert experiments.validate_split(["a", "b"], [("a", -1), ("a", 1), ("c", 1)]) == ["unknown arm c", "arm b missing", "arm a repeated", "weight of a"]
+    assert experiments.validate_split(["a", "b"], [("a", 0), ("b", 2)]) == [] and experiments.validate_split(["a"], [("a", 0)]) == ["total weight"]
+
+
+def test_config_is_validated():
+    sound = {"arms": ["a", "b"], "fallback": "a", "split": [("a", 1), ("b", 1)], "evaluation": {"k": 5, "references": ["peer-selection", {"kind": "invocation", "last": 3}]}}
+    assert experiments.validate_config(sound) == []
+    bad = {"arms": ["a"], "fallback": "z", "concurrency": 0, "evaluation": {"k": True, "references": ["peer-selection", "peer-selection", "x", {"kind": "invocation"}, {"kind": "invocation", "last": 99, "max_age_ms": 0}]}}
+    assert experiments.validate_config(bad) == ["unknown fallback arm", "concurrency", "k", "reference x", "peer-selection repeated", "invocation repeated", "an invocation needs a window", "last", "max_age_ms"]
+    assert experiments.validate_config({}) == ["no arms", "no references"]
+
+
+def test_drop_reasons(spark):
+    names = ("arm-failed", "selection-failed", "fallback-consumed", "served-ranking-failed", "comparison-failed")
+    flags = [tuple(j == i or j > i + 1 for j in range(5)) for i in range(6)]
+    frame = spark.createDataFrame(flags, ", ".join(f"f{i} boolean" for i in range(5)))
+    assert [r[0] for r in frame.select(experiments.drop_reason(*(F.col(f"f{i}") for i in range(5)))).collect()] == [*names, None]
+
+
+def test_lone_ends_take_nothing(spark):
+    """A queue for each tool: early ends, more starts than may wait, and ends that are given a start's name."""
+    rng = random.Random(7)
+    rows = [("s", f"t{rng.randrange(2)}", n, rng.choice(("invoke_start", "invoke_end", "invoke_error", "search")), None if rng.random() < 0.8 else rng.choice((f"given{n}", str(max(0, n - 2))))) for n in range(400)]
+    rows += [("s", "many", 1000 + n, "invoke_start" if n < 1030 else "invoke_end", None) for n in range(1040)]
+    want, waiting = {}, {}
+    for s, t, n, kind, given in rows:
+        queue = waiting.setdefault((s, t), [])
+        if kind == "search":
+            want[n] = given
+        elif kind == "invoke_start":
+            want[n] = given or str(n)
+            if given is None:
+                queue.append(str(n))
+                del queue[:-1024]
+        elif given is not None:
+            want[n] = given
+            waiting[s, t] = [q for q in queue if q != given]
+        else:
+            want[n] = queue.pop(0) if queue else str(n)
+    frame = spark.createDataFrame(rows, "source_id string, tool_id string, log_seq long, type string, invocation_id string").repartition(4)
+    assert {r["log_seq"]: r["invocation"] for r in tracelog.correlate(frame).collect()} == want
+
+
+def test_events_are_sanitised():
+    from tidewright.sources import sanitise as s
+
+    small = {"v": 2, "type": "search", "query": "é" * 3000, "hits": list(range(200)), "deep": {str(i): i for i in range(150)}}
+    got = s.sanitise(small)
+    assert got["query"] == "é" * 2048 and got["hits"] == list(range(100)) and len(got["deep"]) == 100 and s.CUT not in got
+    envelope = {k: "e" for k in s.ENVELOPE} | {"type": "catalog_definition"}
+    big = [["x" * 4000] * 9 for _ in range(2)]
+    schemas = envelope | {"id": "i", "name": "n", "kind": "tool", "content_hash": "h", "input_schema": big, "output_schema": big[:1]}
+    got = s.sanitise(schemas)
+    assert "input_schema" not in got and "output_schema" in got and got[s.CUT] is True
+    noise = envelope | {"noise": [["x" * 4000] * 9] * 2, "also": "y", "took_ms": 5}
+    assert s.sanitise(noise) == envelope | {"also": "y", "took_ms": 5, s.CUT: True}
+    stuffed = envelope | {f"{i}_id": ["z" * 4000] * 5 for i in range(9)} | {"id": "i" * 4000}
+    got = s.sanitise(stuffed)
+    assert s.size_of(got) <= 65_536 and got["id"] == "i" * 512 and got["0_id"] == ["z" * 512] * 5
+
+
+def test_another_model_is_refused(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>")
+    q = lambda n: spark.createDataFrame([("q", "x", [1.0] * n)], "query_id string, text string, qvec array<double>")
+    assert search.search("semantic", 1, q(2), None, vectors, model="m", built_with="m").count() == 1
+    with pytest.raises(dense.ModelMismatch):
+        search.search("semantic", 1, q(2), None, vectors, model="m", built_with="other")
+    with pytest.raises(dense.ModelMismatch):
+        search.search("semantic", 1, q(3), None, vectors)
+
+
+def test_kept_index_follows_its_corpus(spark):
+    from tidewright.operators import bm25
+
+    q = spark.createDataFrame([("q", "apple")], "query_id string, text string")
+    corpus = lambda t: spark.createDataFrame([(1, "apple pie"), (2, t)], "id long, text string")
+    hits = lambda c: [r["id"] for r in bm25.search(bm25.kept(c), q, 5).orderBy("rank").collect()]
+    assert hits(corpus("pear")) == [1] and hits(corpus("apple")) == [2, 1] and hits(corpus("pear")) == [1]
+    assert bm25.content_key(corpus("pear"), "usage") == bm25.content_key(corpus("pear").repartition(2), "usage")
+
+
+def test_files_are_read_in_order(spark, tmp_path):
+    for name, n in (("b", 3), ("a", 50_000), ("c", 20)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"type":"search","query":"{name}{i}"}}\n' for i in range(n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        got = [r["query"] for r in tracelog.read(spark, str(tmp_path)).orderBy("log_seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [f"a{i}" for i in range(50_000)] + [f"b{i}" for i in range(3)] + [f"c{i}" for i in range(20)]
+
+
+def test_learner_forwards_what_it_learns_from(spark, tmp_path):
+    from tidewright.streaming import traces
+
+    rows = [("s", 1, "search", "q", None, 1, "search"), ("s", 2, "tool", None, "t", 2, "invoke_start"), ("s", 3, None, None, "t", 3, "invoke_end")]
+    frame = spark.createDataFrame(rows, "session string, log_seq long, role string, query string, capability_id string, ts long, type string")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+    for run in traces.learn_and_forward(stream, f"{tmp_path}/learned", f"{tmp_path}/forwarded", f"{tmp_path}/state"):
+        run.awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/forwarded").count() == 3
+    assert [(r["capability_id"], r["query"]) for r in spark.read.parquet(f"{tmp_path}/learned").collect()] == [("t", "q")]
+
+
+def test_sinks_all_see_every_batch(spark, tmp_path):
+    from tidewright.streaming import traces
+
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    seen = ([], [])
+    stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    traces.fan_out(stream, [lambda b, n, s=s: s.extend(r["id"] for r in b.collect()) for s in seen], f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen[0]) == sorted(seen[1]) == list(range(10))
 
 
 def test_replace_counts_add_up(spark):

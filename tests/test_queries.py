@@ -49,17 +49,17 @@ def test_every_query_is_registered():
 def test_last_user_text_of_whole_conversations(spark, tmp_path):
     turns = [(c, t, ("user", "assistant")[(t + c) % 2], f"{c}.{t}") for c in range(6) for t in range(c + 1)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["conv_id"]: r["text"] for r in PLANS["last_user_text_whole"][0](spark, str(tmp_path)).collect()}
+    got = {r["conv_id"]: r["text"] for r in PLANS["last_user_text"][0](spark, str(tmp_path)).collect()}
     assert got == {c: f"{c}.{c}" for c in range(6)}
     closed = [(c, c + 1, "assistant", "closed") for c in (1, 4)]
     spark.createDataFrame(turns + closed, "conv_id long, turn long, role string, text string").write.mode("overwrite").parquet(f"{tmp_path}/conversations.parquet")
-    assert {r["conv_id"] for r in PLANS["last_user_text_whole"][0](spark, str(tmp_path)).collect()} == {0, 2, 3, 5}
+    assert {r["conv_id"] for r in PLANS["last_user_text"][0](spark, str(tmp_path)).collect()} == {0, 2, 3, 5}
 
 
 def test_bm25_stats_of_rare_terms(spark, tmp_path):
     texts = [(i, f"common word{i // 2}") for i in range(10)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["term"]: r["df"] for r in PLANS["bm25_stats_whole"][0](spark, str(tmp_path)).collect()}
+    got = {r["term"]: r["df"] for r in PLANS["bm25_stats"][0](spark, str(tmp_path)).collect()}
     assert got == {"common": 10} | {f"word{i}": 2 for i in range(5)}
 
 
@@ -68,6 +68,6 @@ def test_lexical_match_of_whole_items(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     turns = [(1, 0, "user", items[2][1][160:]), (2, 0, "user", "something else")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r["query_id"]: (r["intent_id"], r["score"]) for r in PLANS["lexical_match_whole"][0](spark, str(tmp_path)).collect()}
+    got = {r["query_id"]: (r["intent_id"], r["score"]) for r in PLANS["lexical_match"][0](spark, str(tmp_path)).collect()}
     assert {q: v for q, v in got.items() if q < 0} == {-i - 1: (f"intent_{i}", 1.0) for i in range(3)}
     assert got[1000][0] == "intent_2" and 2000 not in got

@@ -1,5 +1,5 @@
-"""Named queries over the driver's tables, each with its SQL where SQL can say it."""
+"""Named queries over the driver's tables, each with the SQL that DuckDB answers alike."""
 
-from tidewright.plans import retrieval, usage
+from tidewright.plans import control, retrieval, usage
 
-PLANS = {**retrieval.PLANS, **usage.PLANS}
+PLANS = {**retrieval.PLANS, **usage.PLANS, **control.PLANS}

@@ -40,7 +40,7 @@ def sql_bm25(docs: str, k: int | None, queries: str = _ASKED) -> str:
 
 
 def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
-    return bm25.build(inputs.documents(spark, sf_dir))
+    return bm25.kept(inputs.documents(spark, sf_dir))
 
 
 def split_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,13 +68,16 @@ SELECT p_partkey, p_name || ' ' || CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_pa
 
 
 def tool_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX3, TX4: a schema's property names, descriptions and enum values in the author's order."""
+    """TX3, TX4: names, descriptions (an override for some, an empty one counts), and what input and output schemas say in the author's order."""
     p = table(spark, sf_dir, "part")
-    schema = F.concat(F.lit('{"type":"object","properties":{"partSize":{"type":"integer","description":"'), F.col("p_type"), F.lit('"},"brand":{"enum":["'), F.col("p_brand"), F.lit('",1]},"dims":{"items":{"properties":{"width_mm":{"description":"w"}}}}}}'))
-    return p.select("p_partkey", F.concat_ws(" ", text.push_identifier(F.col("p_name")), F.lit("part"), schema_walk.schema_text(schema)).alias("shown"))
+    takes = F.concat(F.lit('{"type":"object","properties":{"partSize":{"type":"integer","description":"'), F.col("p_type"), F.lit('"},"brand":{"enum":["'), F.col("p_brand"), F.lit('",1]},"dims":{"items":{"properties":{"width_mm":{"description":"w"}}}}},"anyOf":[{"properties":{"no":{}}}]}'))
+    gives = F.when(F.col("p_partkey") % 2 == 0, '{"properties":{"unitPrice":{"description":"in cents"}}}')
+    override = F.when(F.col("p_partkey") % 5 == 0, F.lit("")).when(F.col("p_partkey") % 7 == 0, F.lit("special"))
+    return p.select("p_partkey", text.tool_projection(F.col("p_name"), F.lit("part"), takes, gives, override).alias("shown"))
 
 
-TOOL_PROJECTION = "SELECT p_partkey, p_name || ' part partSize part Size ' || p_type || ' brand ' || p_brand || ' dims width_mm width mm w' AS shown FROM part"
+TOOL_PROJECTION = """SELECT p_partkey, p_name || ' ' || CASE WHEN p_partkey % 5 = 0 THEN '' WHEN p_partkey % 7 = 0 THEN 'special' ELSE 'part' END || ' partSize part Size ' || p_type || ' brand ' || p_brand || ' dims width_mm width mm w'
+  || CASE WHEN p_partkey % 2 = 0 THEN ' unitPrice unit Price in cents' ELSE '' END AS shown FROM part"""
 
 
 def usage_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,24 +117,12 @@ SELECT p_partkey, CASE WHEN instr(id, '__') > 1 THEN substring(id, 1, instr(id,
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT1: terms of at least 20 documents, with the statistics of the index."""
-    i = index_of(spark, sf_dir)
-    return i.terms.where("df >= 20").join(F.broadcast(i.stats), "kind").select("term", "df", F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"))
-
-
-BM25_STATS = f"""
-WITH bags AS (SELECT doc_id, {sql_tokens("text")} AS t FROM documents), s AS (SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avgdl FROM bags),
-p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM bags)
-SELECT term, count(*) AS df, n_docs, avgdl FROM p, s GROUP BY term, n_docs, avgdl HAVING count(*) >= 20"""
-
-
-def bm25_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT1: all terms, with the statistics of the index; bm25_stats leaves out those of fewer than 20 documents, as its SQL does."""
+    """RT1, CM3: all terms, with the statistics of the index."""
     i = index_of(spark, sf_dir)
     return i.terms.join(F.broadcast(i.stats), "kind").select("term", "df", F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl"))
 
 
-BM25_STATS_WHOLE = f"""
+BM25_STATS = f"""
 WITH bags AS (SELECT doc_id, {sql_tokens("text")} AS t FROM documents), s AS (SELECT count(*) AS n_docs, round(avg(len(t)), 6) AS avgdl FROM bags),
 p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM bags)
 SELECT term, count(*) AS df, n_docs, avgdl FROM p, s GROUP BY term, n_docs, avgdl"""
@@ -145,13 +136,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 BM25_TOPK = sql_bm25("SELECT doc_id AS id, text FROM documents", 10)
 
 
+def bm25_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT2, CM3: every user turn against all documents."""
+    return bm25.search(index_of(spark, sf_dir), inputs.turns(spark, sf_dir), 10).select("query_id", "id", "score", "rank")
+
+
+BM25_TURNS = sql_bm25("SELECT doc_id AS id, text FROM documents", 10, "(SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user')")
+
+
 def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RT3"""
-    return dense.search(inputs.vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), 10)
+    return dense.search(inputs.vectors(spark, sf_dir), _asked_vectors(spark, sf_dir), 10).drop("kind")
 
 
 _DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -170,47 +169,102 @@ def cosine_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSINE = f"SELECT e.vec_id AS id, CASE WHEN e.vec_id % 3 = 0 THEN 0e0 ELSE round({_DOT.format(a='e.embedding', b='f.embedding')} / sqrt({_DOT.format(a='e.embedding', b='e.embedding')} * {_DOT.format(a='f.embedding', b='f.embedding')}), 6) END AS cosine FROM embeddings e, embeddings f WHERE f.vec_id = 0"
 
 
-def _hybrid_arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two arms over documents: BM25, and a second ranking by length of text."""
-    lexical = bm25.search(index_of(spark, sf_dir), inputs.asked(spark), ranking.depth(10)).select("query_id", "id", "rank")
-    second = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score")).crossJoin(F.broadcast(inputs.asked(spark).select("query_id")))
-    return lexical, ranking.top(second, ["query_id"], ranking.depth(10))
+def _asked_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asked queries with the first vectors as theirs."""
+    first = inputs.vectors(spark, sf_dir).where("id < 6").select((F.col("id") + 1).alias("n"), F.col("vec").alias("qvec"))
+    return inputs.asked(spark).withColumn("n", F.substring("query_id", 2, 2).cast("long")).join(F.broadcast(first), "n").drop("n")
 
 
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT5, RK2: depth 100 in each arm, ranks from 0, cut to 10."""
-    a, b = _hybrid_arms(spark, sf_dir)
-    return ranking.rrf([(a, 1.0), (b, 0.5)], ["query_id"], 10)
+    """RT5, RK2: BM25 and vectors, depth 100 in each arm, the second at half weight, ranks from 0, cut to 10."""
+    q = _asked_both(spark, sf_dir)
+    lexical = bm25.search(index_of(spark, sf_dir), q, ranking.depth(10))
+    near = dense.search(inputs.vectors(spark, sf_dir), q, ranking.depth(10))
+    return ranking.rrf([(lexical, 1.0), (near, 0.5)], ["query_id"], 10)
 
 
+_ARMS = f"""
+a AS ({sql_bm25("SELECT doc_id AS id, text FROM documents", 100)}),
+d AS (SELECT 'q' || CAST(q.vec_id + 1 AS VARCHAR) AS query_id, e.vec_id AS id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 6),
+b AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM d) WHERE rank < 100)"""
 RRF = f"""
-WITH a AS ({sql_bm25("SELECT doc_id AS id, text FROM documents", 100)}),
-b AS (SELECT * FROM (SELECT query_id, doc_id AS id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) - 1 AS INTEGER) AS rank FROM documents, {_ASKED}) WHERE rank < 100),
+WITH {_ARMS},
 f AS (SELECT query_id, id, round(sum(p), 9) AS score FROM (SELECT query_id, id, 1e0 / (6e1 + rank) AS p FROM a UNION ALL SELECT query_id, id, 0.5e0 / (6e1 + rank) FROM b) GROUP BY query_id, id)
 SELECT *, true AS fused FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM f) WHERE rank < 10"""
 
 
 def search_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT5, RT6, RT8, RT10, RT11: the three methods on one corpus of (id, text, vec), one table."""
-    v = inputs.vectors(spark, sf_dir)
-    q = inputs.asked(spark)
-    first = v.where("id < 6").select((F.col("id") + 1).alias("n"), F.col("vec").alias("qvec"))
-    q = q.withColumn("n", F.substring("query_id", 2, 2).cast("long")).join(F.broadcast(first), "n").drop("n")
+    """RT5, RT6, RT8: the three methods on one corpus of (id, text, vec), one table."""
+    v, q = inputs.vectors(spark, sf_dir), _asked_both(spark, sf_dir)
     index = index_of(spark, sf_dir)
     found = [search.search(m, 5, q, index, v.select("id", "vec")).withColumn("method", F.lit(m)).select("method", "query_id", "id", "score", "rank", "fused") for m in ("bm25", "dense", "hybrid")]
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 SEARCH_METHODS = f"""
-WITH a AS ({sql_bm25("SELECT doc_id AS id, text FROM documents", 100)}),
-d AS (SELECT 'q' || CAST(q.vec_id + 1 AS VARCHAR) AS query_id, e.vec_id AS id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 6),
-b AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM d) WHERE rank < 100),
+WITH {_ARMS},
 f AS (SELECT query_id, id, round(sum(1e0 / (6e1 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM a UNION ALL SELECT query_id, id, rank FROM b) GROUP BY query_id, id),
 h AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM f)
 SELECT 'bm25' AS method, query_id, id, score, rank, false AS fused FROM a WHERE rank < 5 UNION ALL SELECT 'dense', query_id, id, score, rank, false FROM b WHERE rank < 5
 UNION ALL SELECT 'hybrid', query_id, id, score, rank, true FROM h WHERE rank < 5"""
 
 
+def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as tools, benchmark items as skills, parts as facts, with equal ids; vectors for all, one table shifted for each kind."""
+    texts = (table(spark, sf_dir, "documents").select(F.lit("tool").alias("kind"), F.col("doc_id").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.lit("skill").alias("kind"), F.col("item_id").alias("id"), "text"), table(spark, sf_dir, "part").select(F.lit("fact").alias("kind"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lit("and the"), "p_type").alias("text")))
+    v = inputs.vectors(spark, sf_dir)
+    vecs = [v.select(F.lit(kind).alias("kind"), (F.col("id") + shift).alias("id"), "vec") for kind, shift in (("tool", 0), ("skill", 1), ("fact", 2))]
+    return texts[0].unionByName(texts[1]).unionByName(texts[2]), vecs[0].unionByName(vecs[1]).unionByName(vecs[2])
+
+
+_ARM_ROWS = (("q1", "tool", 5, 0, 0.5), ("q1", "skill", 7, 0, 0.5), ("q1", "fact", 3, 0, 0.5), ("q2", "tool", 5, 0, 0.25))
+
+
+def kind_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RT10, RT11, RT12: tools, skills and facts in one index, each kind with its statistics, ranks and budget; the arm boosts tools and skills, never facts."""
+    corpus, vecs = _kinds(spark, sf_dir)
+    q, index = _asked_both(spark, sf_dir), bm25.kept(corpus)
+    arm = spark.createDataFrame(list(_ARM_ROWS), "query_id string, kind string, id long, rank int, weight double")
+    found = [search.budgeted(search.search(m, 5, q, index, vecs, arm)).withColumn("method", F.lit(m)).select("method", "query_id", "kind", "id", "score", "rank", "fused") for m in ("bm25", "semantic", "hybrid")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_KIND_DOCS = (("tool", "SELECT doc_id AS id, text FROM documents"), ("skill", "SELECT item_id AS id, text FROM benchmark"), ("fact", "SELECT p_partkey AS id, p_name || ' and the ' || p_type AS text FROM part"))
+_KIND_ARMS = f"""
+lex AS ({" UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM ({sql_bm25(docs, 100)})" for kind, docs in _KIND_DOCS)}),
+dots AS (SELECT 'q' || CAST(q.vec_id + 1 AS VARCHAR) AS query_id, k.kind, e.vec_id + k.shift AS id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e, (VALUES ('tool', 0), ('skill', 1), ('fact', 2)) AS k(kind, shift) WHERE q.vec_id < 6),
+near AS (SELECT * FROM (SELECT kind, query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) - 1 AS INTEGER) AS rank FROM dots) WHERE rank < 100),
+usage AS (SELECT * FROM (VALUES {", ".join(f"('{q}', '{k}', {i}, {r}, {w}e0)" for q, k, i, r, w in _ARM_ROWS if k != "fact")}) AS t(query_id, kind, id, rank, weight)),
+base AS (SELECT 'bm25' AS method, kind, query_id, id, score, rank FROM lex UNION ALL SELECT 'semantic', kind, query_id, id, score, rank FROM near),
+parts AS (SELECT b.method, b.kind, b.query_id, b.id, 1e0 / (6e1 + b.rank) AS p FROM base b WHERE EXISTS (SELECT 1 FROM usage u WHERE u.query_id = b.query_id AND u.kind = b.kind)
+  UNION ALL SELECT m.method, u.kind, u.query_id, u.id, u.weight / (6e1 + u.rank) FROM usage u, (VALUES ('bm25'), ('semantic')) AS m(method)
+  UNION ALL SELECT 'hybrid', kind, query_id, id, 1e0 / (6e1 + rank) FROM base UNION ALL SELECT 'hybrid', kind, query_id, id, weight / (6e1 + rank) FROM usage),
+fused AS (SELECT method, kind, query_id, id, round(sum(p), 9) AS score FROM parts GROUP BY ALL)"""
+KIND_SEARCH = f"""
+WITH {_KIND_ARMS},
+f AS (SELECT method, query_id, kind, CAST(id AS BIGINT) AS id, score, CAST(row_number() OVER (PARTITION BY method, query_id, kind ORDER BY score DESC, id) - 1 AS INTEGER) AS rank, true AS fused FROM fused
+  UNION ALL SELECT method, query_id, kind, id, score, rank, false FROM base b WHERE NOT EXISTS (SELECT 1 FROM usage u WHERE u.query_id = b.query_id AND u.kind = b.kind))
+SELECT * FROM f WHERE rank < CASE kind WHEN 'tool' THEN 5 ELSE 3 END"""
+
+
+def search_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TR9: for each hybrid search with an arm the stages that ran, in order, with their best scores."""
+    corpus, vecs = _kinds(spark, sf_dir)
+    arm = spark.createDataFrame(list(_ARM_ROWS), "query_id string, kind string, id long, rank int, weight double")
+    ran = search.arms("hybrid", 5, _asked_both(spark, sf_dir), bm25.kept(corpus), vecs, arm)
+    ran["rrf"] = search.search("hybrid", 5, _asked_both(spark, sf_dir), bm25.kept(corpus), vecs, arm)
+    told = lambda s: F.concat_ws(":", s["name"], s["n"].cast("string"), F.format_string("%.6f", F.coalesce(s["top_score"], F.lit(-1.0))))
+    return search.stages(ran).select("query_id", "kind", F.array_join(F.transform("stages", told), " ").alias("stages"))
+
+
+STAGES = f"""
+WITH {_KIND_ARMS},
+top AS (SELECT * FROM (SELECT query_id, kind, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS r FROM fused WHERE method = 'hybrid') WHERE r <= 5),
+s AS (SELECT query_id, kind, 0 AS i, 'bm25' AS name, count(*) AS n, max(score) AS top FROM lex GROUP BY ALL UNION ALL SELECT query_id, kind, 1, 'dense', count(*), max(score) FROM near GROUP BY ALL
+  UNION ALL SELECT query_id, kind, 2, 'usage', count(*), -1e0 FROM usage GROUP BY ALL UNION ALL SELECT query_id, kind, 3, 'rrf', count(*), max(score) FROM top GROUP BY ALL)
+SELECT query_id, kind, string_agg(name || ':' || CAST(n AS VARCHAR) || ':' || printf('%.6f', top), ' ' ORDER BY i) AS stages FROM s GROUP BY query_id, kind"""
+
+
 def clamp_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RK4"""
     return table(spark, sf_dir, "part").select("p_partkey", ranking.clamp_k_column(F.when(F.col("p_size") % 7 > 0, F.col("p_size") * 2 - 10), 5).cast("int").alias("k"))
@@ -291,16 +345,21 @@ UNION ALL SELECT 'refused', CAST(p_partkey AS VARCHAR), p_type, false FROM part"
 
 
 def definition_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CM11: four versions of each part's definition, hashed from canonical JSON; only changes are listed."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("version"))
-    raw = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "a": '), (F.col("p_size") + F.when(F.col("version") > F.col("id") % 5, 1).otherwise(0)).cast("string"), F.lit("}"))
-    return catalog.definition_changes(p, schema_walk.canonical_json(raw))
+    """CM11: four versions of each part's definition, nine fields in canonical JSON; only changes are listed. Some versions hold an integer beyond doubles: they make no event, the next one does."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", "p_size", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("version"))
+    size = F.when((F.col("version") == 3) & (F.col("id") % 4 == 0), "9007199254740993").otherwise((F.col("p_size") + F.when(F.col("version") > F.col("id") % 5, 1).otherwise(0)).cast("string"))
+    takes = F.concat(F.lit('{"name": "'), "p_name", F.lit('", "a": '), size, F.lit("}"))
+    override = F.when((F.col("version") == 4) & (F.col("id") % 3 == 0), F.lit(""))
+    content = catalog.definition(F.lit("tool"), F.col("id").cast("string"), F.col("p_name"), F.col("p_type"), F.array(F.lit("t"), F.lit('"u"')), schema_walk.canonical_json(takes), F.lit("null"), override)
+    return catalog.definition_changes(p, content)
 
 
 CHANGES = """
-WITH v AS (SELECT p_partkey AS id, CAST(version AS INTEGER) AS version, sha256('{"a":' || CAST(p_size + CASE WHEN version > p_partkey % 5 THEN 1 ELSE 0 END AS VARCHAR) || ',"name":"' || p_name || '"}') AS hash FROM part, (SELECT unnest([1, 2, 3, 4]) AS version)),
-l AS (SELECT *, lag(hash) OVER (PARTITION BY id ORDER BY version) AS before FROM v)
-SELECT id, version, hash FROM l WHERE before IS NULL OR before <> hash"""
+WITH v AS (SELECT p_partkey AS id, CAST(version AS INTEGER) AS version, p_name, p_type, CASE WHEN version = 4 AND p_partkey % 3 = 0 THEN '' END AS o, CASE WHEN version = 3 AND p_partkey % 4 = 0 THEN NULL ELSE p_size + CASE WHEN version > p_partkey % 5 THEN 1 ELSE 0 END END AS a FROM part, (SELECT unnest([1, 2, 3, 4]) AS version)),
+h AS (SELECT id, version, sha256('{"description":"' || p_type || '","id":"' || id || '","input_schema":{"a":' || a || ',"name":"' || p_name || '"},"kind":"tool","name":"' || p_name || '","output_schema":null,"searchable_description":"' || coalesce(o, p_type)
+  || '","searchable_description_overridden":' || CASE WHEN o IS NULL THEN 'false' ELSE 'true' END || ',"tags":["t","\\"u\\""]}') AS hash FROM v),
+l AS (SELECT *, lag(hash) OVER (PARTITION BY id ORDER BY version) AS before FROM h)
+SELECT id, version, hash FROM l WHERE hash IS NOT NULL AND (before IS NULL OR before <> hash)"""
 
 
 def pinned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,12 +397,12 @@ SELECT reused, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM w GROUP BY
 
 
 def artifact_merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AR3: entries that two overlapping halves both have."""
+    """AR3: entries that two overlapping artifacts both have; each lacks a third of the vectors."""
     v = inputs.vectors(spark, sf_dir).select(F.lit("tool").alias("kind"), "id")
-    return artifact.conflicts(v.where("id < 300").unionByName(v.where("id >= 290")))
+    return artifact.conflicts(v.where("id % 3 <> 0").unionByName(v.where("id % 3 <> 1")))
 
 
-CONFLICTS = "SELECT 'tool' AS kind, vec_id AS id, CAST(2 AS BIGINT) AS n FROM embeddings WHERE vec_id >= 290 AND vec_id < 300"
+CONFLICTS = "SELECT 'tool' AS kind, vec_id AS id, CAST(2 AS BIGINT) AS n FROM embeddings WHERE vec_id % 3 = 2"
 
 
 def artifact_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,12 +479,14 @@ PLANS = {
     "compact_description": (compact_description, COMPACT),
     "server_of_tool": (server_of_tool, SERVER),
     "bm25_stats": (bm25_stats, BM25_STATS),
-    "bm25_stats_whole": (bm25_stats_whole, BM25_STATS_WHOLE),
     "bm25_topk": (bm25_topk, BM25_TOPK),
+    "bm25_turns": (bm25_turns, BM25_TURNS),
     "dense_topk": (dense_topk, DENSE_TOPK),
     "cosine_full": (cosine_full, COSINE),
     "rrf_hybrid": (rrf_hybrid, RRF),
     "search_methods": (search_methods, SEARCH_METHODS),
+    "kind_search": (kind_search, KIND_SEARCH),
+    "search_stages": (search_stages, STAGES),
     "clamp_top_k": (clamp_top_k, CLAMP),
     "corpus_upsert": (corpus_upsert, UPSERT),
     "replace_all_diff": (replace_all_diff, REPLACE_ALL),

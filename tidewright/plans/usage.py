@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tidewright.plans import inputs
 from tidewright.plans.inputs import table
 from tidewright.plans.retrieval import _ASKED, sql_bm25, sql_tokens
 from tidewright.sources import tracelog
+from tidewright.workers import shared_dir
 
 # The trace log of the events table, in SQL.
 _TRACE = """trace AS (SELECT user_id AS session, event_id AS log_seq, CASE event_type WHEN 'view' THEN 'search' WHEN 'click' THEN 'invoke_start' WHEN 'purchase' THEN 'skill_invoke' ELSE event_type END AS type,
@@ -23,11 +22,12 @@ paired AS (SELECT s.session, s.log_seq, s.role AS kind, s.capability_id, s.ts, s
 
 
 def session_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LN1, LN2, LN3"""
+    """LN1, LN2, LN3: only searches of origin agent count, the others are no boundary."""
     return learning.observations_from(inputs.trace(spark, sf_dir), "agent").select("session", "log_seq", "kind", "capability_id", "search_seq", "query")
 
 
-PAIRING = f"WITH {_TRACE} SELECT session, log_seq, kind, capability_id, search_seq, query FROM paired"
+_AGENT = _TRACE.replace("WHEN 'search' THEN 'search'", "WHEN 'search' THEN CASE WHEN log_seq % 7 <> 0 THEN 'search' END", 1)
+PAIRING = f"WITH {_AGENT} SELECT session, log_seq, kind, capability_id, search_seq, query FROM paired"
 
 
 def first_confirmation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,37 +98,15 @@ _TURNS = "SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHER
 _ITEMS = "SELECT 'intent_' || CAST(item_id AS VARCHAR) AS intent_id, text FROM benchmark"
 
 
-def _lexical_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """User turns, and heads of benchmark items, against all benchmark items as members."""
-    b = table(spark, sf_dir, "benchmark")
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    heads = b.select((-F.col("item_id") - 1).alias("query_id"), F.substring("text", 1, 160).alias("text"))
-    return turns.unionByName(heads), b.select(F.concat(F.lit("intent_"), F.col("item_id").cast("string")).alias("intent_id"), "text")
-
-
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """US1, US2"""
-    return usage.lexical_match(*_lexical_inputs(spark, sf_dir)).select("query_id", "intent_id", F.round("score", 9).alias("score"))
-
-
-LEXICAL = f"""
-WITH q AS (SELECT query_id, list_distinct({sql_tokens("text")}) AS t FROM ({_TURNS} UNION ALL SELECT -item_id - 1, substring(text, 1, 160) FROM benchmark)),
-m AS (SELECT intent_id, list_distinct({sql_tokens("text")}) AS t FROM ({_ITEMS})),
-s AS (SELECT query_id, intent_id, max(CAST(len(list_intersect(q.t, m.t)) AS DOUBLE) / (len(q.t) + len(m.t) - len(list_intersect(q.t, m.t)))) AS score FROM q, m WHERE len(q.t) > 0 AND len(m.t) > 0 GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, intent_id) AS r FROM s WHERE score >= 0.5e0)
-SELECT query_id, intent_id, round(score, 9) AS score FROM r WHERE r = 1"""
-
-
-def lexical_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """US1, US2 asked with whole benchmark items; lexical_match asks with their first 160 characters, as its SQL does."""
+    """US1, US2: user turns, and whole benchmark items, against all benchmark items as members."""
     b = table(spark, sf_dir, "benchmark")
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
     items = b.select((-F.col("item_id") - 1).alias("query_id"), "text")
     members = b.select(F.concat(F.lit("intent_"), F.col("item_id").cast("string")).alias("intent_id"), "text")
-    return usage.lexical_match(turns.unionByName(items), members).select("query_id", "intent_id", F.round("score", 9).alias("score"))
+    return usage.lexical_match(inputs.turns(spark, sf_dir).unionByName(items), members).select("query_id", "intent_id", F.round("score", 9).alias("score"))
 
 
-LEXICAL_WHOLE = f"""
+LEXICAL = f"""
 WITH q AS (SELECT query_id, list_distinct({sql_tokens("text")}) AS t FROM ({_TURNS} UNION ALL SELECT -item_id - 1, text FROM benchmark)),
 m AS (SELECT intent_id, list_distinct({sql_tokens("text")}) AS t FROM ({_ITEMS})),
 s AS (SELECT query_id, intent_id, max(CAST(len(list_intersect(q.t, m.t)) AS DOUBLE) / (len(q.t) + len(m.t) - len(list_intersect(q.t, m.t)))) AS score FROM q, m WHERE len(q.t) > 0 AND len(m.t) > 0 GROUP BY ALL),
@@ -183,9 +161,9 @@ UNION ALL SELECT 'none', NULL, 0, 0, 'no_match', 'lexical'"""
 
 
 def usage_boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RT7, TR9, TR10: BM25 with an arm for two of the queries; the others keep their raw scores."""
+    """RT7: BM25 with an arm for two of the queries; the others keep their raw scores."""
     arm = spark.createDataFrame([("q1", 5, 0, 0.5), ("q1", 7, 1, 0.5), ("q6", 3, 0, 0.25)], "query_id string, id long, rank int, weight double")
-    return search.search("bm25", 10, inputs.asked(spark), bm25.build(inputs.documents(spark, sf_dir)), arm=arm)
+    return search.search("bm25", 10, inputs.asked(spark), bm25.kept(inputs.documents(spark, sf_dir)), arm=arm).drop("kind")
 
 
 BOOSTED = f"""
@@ -260,7 +238,7 @@ def _capabilities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def capability_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CP1, CP2, CP3, CP7: both buckets; tools that matched skills declare follow the hits at score 0."""
+    """CP1, CP2: both buckets; tools that matched skills declare follow the hits at score 0."""
     tool_hits, skill_hits, skills, tools = _capabilities(spark, sf_dir)
     return capability.search_capabilities(tool_hits, skill_hits, skills, tools)
 
@@ -327,19 +305,10 @@ SELECT call_id, tool_id, 'invoke_start' AS type, ts, CAST(-1 AS BIGINT) AS took_
 
 def last_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX11"""
-    c = table(spark, sf_dir, "conversations").where("turn <= conv_id % 3")
-    return grounding.last_user_text(c).select("conv_id", "text")
-
-
-LAST = "SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE turn <= conv_id % 3) WHERE r = 1 AND role = 'user'"
-
-
-def last_user_text_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX11 over whole conversations; last_user_text reads only their first turns, as its SQL does."""
     return grounding.last_user_text(table(spark, sf_dir, "conversations")).select("conv_id", "text")
 
 
-LAST_WHOLE = "SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND role = 'user'"
+LAST = "SELECT conv_id, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1 AND role = 'user'"
 
 
 def grounding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +317,7 @@ def grounding_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = b.select(F.col("item_id").alias("id"), (F.lit(1000) - F.col("item_id")).alias("seq"), F.when(F.col("item_id") % 9 == 0, "always").otherwise("retrieved").alias("pin"))
     q = inputs.asked(spark)
     pins = facts.where("pin = 'always'").count()
-    hits = bm25.search(bm25.build(b.select(F.col("item_id").alias("id"), "text")), q, 3 + pins)
+    hits = bm25.search(bm25.kept(b.select(F.col("item_id").alias("id"), "text")), q, 3 + pins)
     return grounding.candidates(facts, hits, 3, q).select("query_id", "fact_id", F.col("place").cast("int").alias("place"), "pinned")
 
 
@@ -361,8 +330,8 @@ SELECT query_id, item_id AS fact_id, CAST(place AS INTEGER) AS place, true AS pi
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each conversation facts of every kind: a body of its own text, benchmark items, an empty one; some shown before, some changed since."""
     c = table(spark, sf_dir, "conversations")
-    first = c.where("turn = 0").select("conv_id", F.substring("text", 1, 40).alias("head"))
-    kinds = ((1, "''", "'x'"), (2, "head", "null"), (3, "concat('no ', head)", "null"), (4, "concat('no ', head)", "concat('no ', head)"), (5, "concat('no ', head)", "'other'"), (6, "concat('no ', head)", "head"), (7, "substring(head, 1, 20)", "head"), (8, "head", "'gone'"), (9, "head", "head"))
+    first = c.where("turn = 0").select("conv_id", F.col("text").alias("head"))
+    kinds = ((1, "''", "'x'"), (2, "head", "null"), (3, "concat('no ', head)", "null"), (4, "concat('no ', head)", "concat('no ', head)"), (5, "concat('no ', head)", "'other'"), (6, "concat('no ', head)", "head"), (7, "substring(head, 2)", "head"), (8, "head", "'gone'"), (9, "head", "head"))
     parts = [first.select("conv_id", F.lit(i).alias("fact_id"), F.expr(b).alias("body"), F.expr(l).cast("string").alias("last_injected")) for i, b, l in kinds]
     whole = parts[0]
     for p in parts[1:]:
@@ -376,8 +345,8 @@ def freshness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRESHNESS = """
-WITH first AS (SELECT conv_id, substring(text, 1, 40) AS head FROM conversations WHERE turn = 0),
-f AS (SELECT conv_id, k AS fact_id, CASE k WHEN 1 THEN '' WHEN 2 THEN head WHEN 7 THEN substring(head, 1, 20) WHEN 8 THEN head WHEN 9 THEN head ELSE 'no ' || head END AS body,
+WITH first AS (SELECT conv_id, text AS head FROM conversations WHERE turn = 0),
+f AS (SELECT conv_id, k AS fact_id, CASE k WHEN 1 THEN '' WHEN 2 THEN head WHEN 7 THEN substring(head, 2) WHEN 8 THEN head WHEN 9 THEN head ELSE 'no ' || head END AS body,
   CASE k WHEN 1 THEN 'x' WHEN 4 THEN 'no ' || head WHEN 5 THEN 'other' WHEN 6 THEN head WHEN 7 THEN head WHEN 8 THEN 'gone' WHEN 9 THEN head END AS last FROM first, (SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS k)),
 s AS (SELECT f.*, (SELECT coalesce(bool_or(contains(c.text, f.body)), false) FROM conversations c WHERE c.conv_id = f.conv_id) AS b, (SELECT coalesce(bool_or(contains(c.text, f.last)), false) FROM conversations c WHERE c.conv_id = f.conv_id) AS l FROM f),
 r AS (SELECT conv_id, fact_id, CASE WHEN body = '' THEN 'fresh' WHEN last IS NOT NULL AND last <> body AND l THEN 'mutated' WHEN b THEN 'fresh' WHEN last IS NULL THEN 'never' WHEN last = body THEN 'evicted' ELSE 'mutated' END AS reason FROM s)
@@ -392,15 +361,18 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invocation_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TR2: the n-th end of a tool to its n-th start."""
+    """TR2: starts of a tool wait in a queue for their ends."""
     return tracelog.correlate(_calls(spark, sf_dir)).select("log_seq", "invocation")
 
 
 CORRELATION = """
-WITH e AS (SELECT user_id AS s, event_id % 3 AS t, event_id AS log_seq, CASE event_type WHEN 'click' THEN 'start' ELSE 'end' END AS p, event_id % 10 = 0 AS given FROM events WHERE event_type IN ('click', 'purchase', 'error')),
-n AS (SELECT *, row_number() OVER (PARTITION BY s, t, p ORDER BY log_seq) AS n FROM e WHERE NOT given),
-m AS (SELECT x.log_seq, CASE WHEN x.p = 'end' AND y.log_seq < x.log_seq THEN y.log_seq ELSE x.log_seq END AS i FROM n x LEFT JOIN n y ON x.s = y.s AND x.t = y.t AND x.n = y.n AND y.p = 'start' AND x.p = 'end')
-SELECT log_seq, CAST(i AS VARCHAR) AS invocation FROM m UNION ALL SELECT log_seq, 'given-' || CAST(log_seq AS VARCHAR) FROM e WHERE given"""
+WITH e AS (SELECT user_id AS s, event_id % 3 AS t, event_id AS log_seq, event_type = 'click' AS starts, event_id % 10 = 0 AS given FROM events WHERE event_type IN ('click', 'purchase', 'error')),
+b AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE -1 END) OVER (PARTITION BY s, t ORDER BY log_seq ROWS UNBOUNDED PRECEDING) AS balance FROM e WHERE NOT given),
+l AS (SELECT *, NOT starts AND balance < least(0, coalesce(min(balance) OVER (PARTITION BY s, t ORDER BY log_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lone FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY s, t, starts ORDER BY log_seq) AS n FROM l WHERE NOT lone)
+SELECT log_seq, CAST(log_seq AS VARCHAR) AS invocation FROM l WHERE starts OR lone
+UNION ALL SELECT x.log_seq, CAST(y.log_seq AS VARCHAR) FROM n x JOIN n y ON x.s = y.s AND x.t = y.t AND x.n = y.n AND y.starts WHERE NOT x.starts
+UNION ALL SELECT log_seq, 'given-' || CAST(log_seq AS VARCHAR) FROM e WHERE given"""
 
 
 def loss_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -443,9 +415,9 @@ SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'second' WHEN n < 50 THEN 'c
 
 
 def ranking_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX3, EX4, EX7: the BM25 ranking of each query against that without documents of one source."""
-    i = bm25.build(inputs.documents(spark, sf_dir))
-    j = bm25.build(table(spark, sf_dir, "documents").where("source <> 'src0'").select(F.col("doc_id").alias("id"), "text"))
+    """EX3, EX4: the BM25 ranking of each query against that without documents of one source."""
+    i = bm25.kept(inputs.documents(spark, sf_dir))
+    j = bm25.kept(table(spark, sf_dir, "documents").where("source <> 'src0'").select(F.col("doc_id").alias("id"), "text"))
     ids = lambda x, n: bm25.search(x, inputs.asked(spark), 20).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(n))
     none = F.array().cast("array<bigint>")
     both = inputs.asked(spark).join(ids(i, "a"), "query_id", "left").join(ids(j, "b"), "query_id", "left").select("query_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"))
@@ -500,9 +472,8 @@ def stream_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TR5, TR11, LN3: the trace as a stream of files; equals session_pairing."""
     from tidewright.streaming import traces
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp()).rstrip("/")
-    root = f"{shared}/stream-{abs(hash((sf_dir, tracelog.ulid())))}"
-    rows = inputs.trace(spark, sf_dir).withColumn("role", learning.classify(F.col("type"), F.col("origin"))).drop("type", "origin")
+    root = f"{shared_dir(spark)}/stream-{abs(hash((sf_dir, tracelog.ulid())))}"
+    rows = inputs.trace(spark, sf_dir).withColumn("role", learning.classify(F.col("type"), F.col("origin"), "agent")).drop("type", "origin")
     bounds = rows.agg(F.min("log_seq"), F.max("log_seq") + 1).first()
     width = -(-(bounds[1] - bounds[0]) // 4)
     for i in range(4):  # files in the order of the log, by their times
@@ -521,7 +492,6 @@ PLANS = {
     "edge_ranking": (edge_ranking, EDGES),
     "arm_weight": (arm_weight, ARM),
     "lexical_match": (lexical_match, LEXICAL),
-    "lexical_match_whole": (lexical_match_whole, LEXICAL_WHOLE),
     "centroid_rebuild": (centroid_rebuild, CENTROID),
     "dense_match": (dense_match, DENSE),
     "usage_outcomes": (usage_outcomes, OUTCOMES),
@@ -535,7 +505,6 @@ PLANS = {
     "invocation_status": (invocation_status, STATUS),
     "invoke_lifecycle": (invoke_lifecycle, LIFECYCLE),
     "last_user_text": (last_user_text, LAST),
-    "last_user_text_whole": (last_user_text_whole, LAST_WHOLE),
     "grounding_candidates": (grounding_candidates, CANDIDATES),
     "freshness_gate": (freshness_gate, FRESHNESS),
     "invocation_correlation": (invocation_correlation, CORRELATION),
