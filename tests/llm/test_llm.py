@@ -1,6 +1,7 @@
 """The operators against brute-force versions, with nulls, blanks, repeats, clashing columns and empty tables."""
 
 import hashlib
+import html as html_module
 import math
 import random
 import re
@@ -115,6 +116,58 @@ def test_main_text(html, want):
     assert html_extract.main_text(html) == want
 
 
+LONG = "This paragraph is about the subject itself, at some length, with several clauses, so that nobody takes it for a menu or a notice of any kind."
+
+
+@pytest.mark.parametrize("named", ['id="related-work"', 'id="sharing-economy"', 'class="cookies-recipe"', 'id="comments-on-the-law"', 'class="alert-systems chapter"'])
+def test_sections_named_like_frames_stay(named):
+    title = re.sub(r"[^a-z]+", " ", named.split('"')[1])
+    got = html_extract.main_text(f"<article><h1>Title</h1><p>{LONG}</p><section {named}><h2>{title}</h2><p>{LONG}</p></section></article>")
+    assert got == f"Title {LONG} {title} {LONG}"
+
+
+@pytest.mark.parametrize("named", ['id="comments"', 'class="comment-list"', 'class="related-posts"', 'class="share-buttons"', 'class="newsletter signup box"', 'id="cookie-notice"', 'class="ad-banner top"', 'class="sidebar left"', 'role="complementary" id="some-words"'])
+def test_frames_inside_an_article_go(named):
+    assert html_extract.main_text(f"<article><h1>Title</h1><p>{LONG}</p><div {named}><p>{LONG}</p></div></article>") == f"Title {LONG}"
+
+
+def test_articles_beside_and_inside():
+    comment = f'<article class="comment"><p>{LONG}</p></article>'
+    assert html_extract.main_text(f"<main><article><p>{LONG} 1</p>{comment}</article><article><p>{LONG} 2</p></article><article><a href=x>more</a></article>{comment}</main>") == f"{LONG} 1 {LONG} 2"
+    links = "".join(f"<li><a href={i}>A cited work of some length, number {i}, by its author</a></li>" for i in range(3))
+    assert "number 2" in html_extract.main_text(f"<article><p>{LONG}</p><h2>References</h2><ol>{links}</ol></article>")
+
+
+def test_depth_is_not_bounded():
+    assert html_extract.main_text("<div>" * 20_000 + f"<p>{LONG}</p>" + "</div></x>" * 20_000) == LONG
+    assert html_extract.main_text("<b>" * 20_000 + f"<p>{LONG}" * 3) == " ".join([LONG] * 3)
+
+
+def test_pages_made_of_known_parts(spark):
+    """Pages of random parts, of which the main text is known: what is said in blocks of the article, in order, and nothing of the frame around it."""
+    rng = random.Random(23)
+    sentence = lambda: " ".join(rng.choice(["river", "stone", "market", "history", "of", "the", "and", "Smith &amp; Co", "caf&eacute;", "1&nbsp;000"]) for _ in range(rng.randint(9, 25))) + rng.choice((", indeed, it is.", "."))
+    pages, want = [], []
+    for i in range(300):
+        body, said = [], []
+        for _ in range(rng.randint(2, 7)):
+            kind = rng.choice(("p", "p", "p", "h2", "ul", "blockquote", "table"))
+            parts = [sentence() for _ in range(rng.randint(1, 3))] if kind in ("ul", "table") else [" ".join(sentence() for _ in range(1 if kind == "h2" else rng.randint(2, 4)))]
+            if kind == "p":
+                parts[0] = parts[0].replace("river", "<a href='/r'>river</a>", 1).replace("stone", "<em>stone</em>", 1)
+            body.append({"ul": "<ul>" + "".join(f"<li>{x}</li>" for x in parts) + "</ul>", "table": "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in parts) + "</table>"}.get(kind, f"<{kind}>{parts[0]}</{kind}>"))
+            said += parts
+            if rng.random() < 0.3:
+                body.append(rng.choice((f'<div class="ad">{sentence()}</div>', f"<script>var x = '<p>{sentence()}</p>';</script>", f"<!-- {sentence()} -->", f'<aside><p>{sentence()}</p></aside>', '<div class="share-buttons"><a>one</a> <a>two</a></div>', f"<form><p>{sentence()}</p><input></form>")))
+        plain = [" ".join(html_module.unescape(re.sub("<[^>]*>", "", x)).split()) for x in said]
+        frame = (f"<header><p>{sentence()}</p></header><nav><ul><li><a href=/>Home</a></li></ul></nav>", f'<div class="comments"><p>{sentence()}</p></div><footer>{sentence()}</footer>')
+        hold = rng.choice(("<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<main><article class="post">{}</article></main>'))
+        pages.append((i, "u", f"<!doctype html><html><head><title>{sentence()}</title><style>p{{}}</style></head><body>{frame[0]}{hold.format(chr(10).join(body))}{frame[1]}</body></html>", "t", 3))
+        want.append(" ".join(plain))
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string, text string, n_chars int")).collect()}
+    assert [(got[i][0], w) for i, w in enumerate(want) if got[i] != (w, len(w))] == []
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "<p>" * 3000 + "deep")]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -487,15 +540,229 @@ def test_secret_scan(spark, nothing):
     assert secret_scan.scan(nothing).count() == 0
 
 
-def test_pipeline(spark, small):
+ENDPOINTS = re.compile(secret_scan.ENDPOINT)
+
+
+def brute_links(text):
+    base = [(m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m)]
+    if not any(k == 1 for _, k, _ in base):
+        return sorted(base)
+    near = lambda a, b: a[0] - b[2] <= secret_scan.SCOPE and b[0] - a[2] <= secret_scan.SCOPE
+    bare = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9/+=]+", text) if len(m[0]) == 40 and "=" not in m[0]]
+    bare = [x for x in bare if not any(y[0] < x[2] and x[0] < y[2] for y in base) and any(y[1] == 1 and near(x, y) for y in base)]
+    ends = [(m.start(), 4, m.end()) for m in ENDPOINTS.finditer(text)]
+    ends = [x for x in ends if any(y[1] == 1 and near(x, y) for y in base) and any(y[1] in (0, 3) and near(x, y) for y in base + bare)]
+    return sorted(base + bare + ends)
+
+
+def test_linked_secrets_equal_brute_force(spark):
+    rng = random.Random(16)
+    bits = ["AKIA" + "B" * 16, "AKIA" + "C" * 36, "ab12" * 10, "Zz9/" * 10, "Qq8+" * 10, "db.example.com", "https://x.org/a", "token=abcdefgh1", " ", " text ", "\n", "." * 150, "é" * 60, "AKIA" + "D" * 4]
+    texts = ["".join(rng.choice(bits) + rng.choice(("", " ", " ")) for _ in range(rng.randint(0, 14))) for _ in range(500)]
+    rows = [(i if i % 50 else None, t, 7, "k", 1) for i, t in enumerate(texts)] + [(1, texts[1], 7, "k", 1)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, row long, kind string, start int").repartition(3)
+    shown = lambda t: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in brute_links(t))
+    got = Counter((r["doc_id"], r["spans"]) for r in secret_scan.digest(secret_scan.scan(frame)).collect())
+    assert got == Counter((d, shown(t)) for d, t, *_ in rows)
+
+
+def brute_licenses(ids):
+    """Ordered rules over a list of identifiers, one by one: longer ones first, what is matched is used up."""
+    left, names = list(ids), []
+    for spdx, seq in sorted(license_scan.ALL_RULES, key=lambda r: -len(r[1])):
+        found, i, rest = False, 0, []
+        while i < len(left):
+            if left[i : i + len(seq)] == seq:
+                found, i = True, i + len(seq)
+                rest.append(None)
+            else:
+                rest.append(left[i])
+                i += 1
+        left = rest
+        names += [spdx] * (found and spdx not in names)
+    return names
+
+
+def test_license_rules_equal_brute_force(spark):
+    """Random sequences of known sentences, wrapped and commented, between words of no licence; with repeated rows, null ids and clashing columns."""
+    rng = random.Random(31)
+    # Sentences that are parts of each other, and those that begin a line only, are named apart by what stands around them.
+    pool = [n for n in license_scan.SENTENCES if n not in ("mit_name", "any_hope", "mit0_grant", "zero_bsd", "gpl_redistribute", "gpl2_redistribute", "gpl_linux", "apache_under", "mit_under", "mit_licensed", "reserved") and not n.startswith(("cc_", "spdx_", "gpl3_work", "gpl2_work"))]
+    rows, want = [], []
+    for i in range(250):
+        seq = [rng.choice(pool) for _ in range(rng.randint(0, 6))]
+        if rng.random() < 0.5:
+            seq += rng.choice([r[1] for r in license_scan.RULES if set(r[1]) <= set(pool)])
+        parts = []
+        for n in seq:
+            words, mark = license_scan.SENTENCES[n].split(" "), rng.choice(("\n", "\n# ", " ", "  ", "\r\n * "))
+            cut = rng.randrange(1, len(words))
+            parts.append(" ".join(words[:cut]) + mark + " ".join(words[cut:]) + rng.choice((".", ":", "", ";")) + rng.choice(("\n", " ", "\n\n", " and so on. ")))
+        rows.append((i if i % 40 else None, "Some words first.\n" + "".join(parts), 7, "k", "l"))
+        want.append((rows[-1][0], ",".join(seq), ",".join(sorted(brute_licenses(seq)))))
+    rows, want = rows + [rows[1]] * 2, want + [want[1]] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, ids int, sentences string, licenses string").repartition(3)
+    got = Counter((r["doc_id"], r["sentences"], r["licenses"]) for r in license_scan.digest(license_scan.scan(frame)).collect())
+    assert got == Counter(want)
+
+
+def brute_quality(rows, labels, k):
+    """Log weights, keys and the k chosen, from n-grams as text."""
+    def grams(text):
+        words = (text or "").encode().lower().split()
+        cut = [w[:-1] if len(w) > 1 and w[-1:] in (b".", b",", b";", b":", b"?") else w for w in words]
+        found = {("w", w) for w in cut} | {("p", *p) for p in zip(cut, cut[1:])} | {("4", w[:4]) for w in cut if len(w) >= 4} | {("6", w[:6]) for w in cut if len(w) >= 6} | {("s", w[-3:]) for w in words}
+        return found | {("run",) for i in range(len(cut) - quality.RUN + 1) if len(set(cut[i : i + quality.RUN])) == 1}
+
+    label = {}
+    for d, q, t in labels:
+        if d is not None and (q is not None or t is not None):
+            good = (1 if q is None else q) > 0 and (t or 0) == 0
+            label[d] = label.get(d, True) and good
+    sets = [grams(t) for _, t in rows]
+    raw = Counter(g for s in sets for g in s)
+    good, bad = (Counter(g for (d, _), s in zip(rows, sets) if label.get(d) is v for g in s) for v in (True, False))
+    total = sum(good.values())
+
+    def against(base):
+        expected = {g: n * total / sum(base.values()) for g, n in base.items()}
+        ratio = {g: math.log((good[g] + 1) / (e + 1)) for g, e in expected.items()}
+        upto, middle = 0, 0.0
+        for x, n in sorted((x, good[g]) for g, x in ratio.items()):
+            upto += n
+            if upto >= total / 2:
+                middle = x
+                break
+        return {g: x - middle if abs(x - middle) >= quality.DEAD and abs(expected[g] - good[g]) >= quality.SURE * math.sqrt(max(expected[g], 1)) else 0.0 for g, x in ratio.items()}
+
+    a, b = against(raw), against(good + bad)
+    ratio = {g: (math.copysign(min(abs(a[g]), abs(b.get(g, 0))), a[g]) if a[g] * b.get(g, 0) > 0 else 0.0) for g in a}
+    out = []
+    for (d, t), s in zip(rows, sets):
+        name = str(d) if d is not None else "text " + hashlib.md5(t.encode()).hexdigest() if t is not None else "null"
+        u = (int(hashlib.md5(f"gumbel-1|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        w = round(sum(ratio[g] for g in s), 6)
+        out.append((d, w, quality.SHARP * w - math.log(-math.log(u))))
+    chosen = sorted(range(len(out)), key=lambda i: -out[i][2])[:k]
+    return Counter((d, round(w, 5), round(key, 4), i in chosen) for i, (d, w, key) in enumerate(out))
+
+
+def test_quality_equals_brute_force(spark):
+    """Repeated rows and ids, rows without ids, texts without words, several labels of a document, clashing columns; any number of chosen ones."""
+    rng = random.Random(19)
+    common, rows, labels = [f"{c}{d}" for c in ("alpha", "be", "gam") for d in "xyz"], [], []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(8)] + (["toxic"] if i % 5 == 0 else []) + (["yes"] * 5 if i % 9 == 0 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words) + rng.choice(("", ".", "?"))))
+        if i % 2 == 0:
+            labels.append((i, 1, int(i % 5 == 0)))
+    rows += [(None, "alphax toxic"), (None, "bey"), (None, None), (900, ""), (901, None), (3, "gamz")]
+    labels += [(2, 0, None), (2, None, 0), (None, 1, 0), (4, None, None)]
+    frame = spark.createDataFrame([(d, t, 1, "u", 0.5, "t") for d, t in rows], "doc_id long, text string, label int, key string, u double, same string").repartition(3)
+    label = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for k in (0, 1, 37, 200, len(rows), 10_000):
+        got = Counter((r["doc_id"], round(r["log_weight"], 5), round(r["key"], 4), r["selected"]) for r in quality.resample(frame, label, k).collect())
+        assert got == brute_quality(rows, labels, k)
+    twice = frame.union(frame)
+    assert quality.resample(twice, label, 101).where("selected").count() == 101
+
+
+def brute_copies(rows, labels):
+    """How often the mix takes each id."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows]
+    per = Counter()
+    for r, n in zip(rows, size):
+        per[r["source"]] += n
+    order = sorted((x for x in per if x is not None)) + [x for x in per if x is None]
+    weight, full, total = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}, set(), 1.5 * sum(per.values())
+    while True:
+        each = (total - sum(2 * per[x] for x in full)) / (sum(weight[x] for x in order if x not in full) or 1)
+        more = {x for x in order if x not in full and each * weight[x] > 2 * per[x]}
+        if not more:
+            break
+        full |= more
+    heavy = {}
+    for d, q, t in labels:
+        if d is not None:
+            heavy[d] = max(heavy.get(d, 0.25), 0.25 if (t or 0) > 0 else 2.0 if (q or 0) > 0 else 0.5)
+    copies = {}
+    for x in order:
+        target = 2 * per[x] if x in full else each * weight[x]
+        epochs = int(target // per[x]) if per[x] else 0
+        rest, before = target - epochs * per[x], 0
+        keyed = []
+        for r, n in zip(rows, size):
+            if r["source"] == x:
+                u = (int(hashlib.md5(f"mix-1|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                keyed.append((-math.log(u) / heavy.get(r["doc_id"], 1.0), -1 if r["doc_id"] is None else r["doc_id"], n, r["doc_id"]))
+        for *_, n, d in sorted(keyed, key=lambda k: k[:3]):
+            extra = max(0, min(n, math.floor(rest) - before))
+            before += n
+            copies[d] = max(copies.get(d, 0), min(epochs + (2 * extra >= max(n, 1)), 2))
+    return copies
+
+
+def brute_hits(texts, items):
+    """Which texts hold a window of an item."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = lambda t: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower)))
+    windows = {w[j : j + min(10, len(w))] for w in map(cut, items) if w for j in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    return [any(w[j : j + n] in windows for n in sizes for j in range(len(w) - n + 1)) for w in map(cut, texts)]
+
+
+def test_pipeline_equals_brute_force(spark, docs, texts, tokenizer, tmp_path):
+    """Every stage against a version over plain lists, on what the stage before kept: nulls in all columns, repeated rows and ids, copies, a very long text, clashing columns."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels = [(i, int(i % 4 > 0), int(i % 9 == 0)) for i in range(0, len(texts), 2)] + [(None, 1, 0), (4, None, 1), (6, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    items = [(1, " ".join(texts[2].split()[:14])), (2, None), (None, " ".join(texts[7].split()[:12])), (3, "...")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    before = spark.read.parquet(f"{folder}/documents.parquet")
+    shown = lambda rows: Counter((r["doc_id"], r["text"], r["source"]) for r in rows)
+    for number, (name, stage) in enumerate(pipeline.STAGES):
+        rows = before.collect()
+        made = stage(spark, before, folder)
+        if number < 4:
+            assert made.columns == before.columns
+            made.write.parquet(f"{folder}/stage{number}")
+            made = spark.read.parquet(f"{folder}/stage{number}")
+        got = made.collect()
+        if number == 0:
+            pairs_ = [(r["doc_id"], r["text"]) for r in rows]
+            k = quality.resample(before, spark.read.parquet(f"{folder}/labels.parquet")).where("selected").count()
+            gone = {d for d, _, _, chosen in brute_quality(pairs_, labels, k) if not chosen}
+            want = shown(r for r in rows if r["doc_id"] not in gone)
+        elif number == 1:
+            least = {d for d, _, c in classes([(r["doc_id"], r["text"]) for r in rows], 5, 80) if d is not None and d == c}
+            want = Counter(set(shown(r for r in rows if r["doc_id"] in least))) + shown(r for r in rows if r["doc_id"] is None)
+        elif number == 2:
+            want = shown(r for r, hit in zip(rows, brute_hits([r["text"] for r in rows], [t for _, t in items])) if not hit)
+        elif number == 3:
+            times = brute_copies(rows, labels)
+            want = Counter({x: n * times[x[0]] for x, n in shown(rows).items() if times[x[0]]})
+        else:
+            library, ids = token_store.Encoder(tokenizer).tokenizer, Counter()
+            for r in rows:
+                found = np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+                ids[r["doc_id"], len(found), zlib.crc32(found.tobytes())] += 1
+            assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == ids
+            whole = pipeline.run(spark, folder).collect()
+            assert Counter(map(tuple, whole)) == Counter(map(tuple, got)) and len(got) > 50
+            return
+        assert shown(got) == want, name
+        before = made
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    kept = docs
-    for _, stage in pipeline.STAGES[:-1]:
-        kept = stage(spark, kept, small)
-        assert kept.columns == docs.columns
-    last = pipeline.run(spark, small)
-    assert last.count() == kept.count() > 0
+    nothing.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_queries_equal_their_sql(spark, small):
