@@ -177,6 +177,23 @@ def test_fold_equals_brute_force(spark):
         assert got == want
 
 
+def test_graph_query_equals_brute_force(spark, small):
+    from tidewright.plans import PLANS
+    from tidewright.plans.usage import graph_observations
+
+    rows = [r.asDict() for r in graph_observations(spark, small).orderBy("log_seq").collect()]
+    want = {}
+    for graph in {r["graph_id"] for r in rows}:
+        for name, (rev, _, model, members, centroid, support, seeded, last, weights) in brute_graph([r for r in rows if r["graph_id"] == graph]).items():
+            told = [json.dumps({c: float(n) for (k, c), n in sorted(weights.items()) if k == kind}, separators=(",", ":")) for kind in ("tool", "skill")]
+            want[graph, name] = ("|".join(members), support, seeded, last, rev, model, None if centroid is None else sum(centroid), *told)
+    got = {(r["graph_id"], r["intent_id"]): (r["members"], r["support"], r["seeded_support"], r["last_ts"], r["rev"], r["model"], r["centroid"], r["tools"], r["skills"]) for r in PLANS["graph_fold"][0](spark, small).collect()}
+    assert got.keys() == want.keys() and sum(x[6] is not None for x in want.values()) > 10
+    for k, found in got.items():
+        assert found[:6] + found[7:] == want[k][:6] + want[k][7:]
+        assert (found[6] is None) == (want[k][6] is None) and (found[6] is None or abs(found[6] - want[k][6]) < 1e-5)
+
+
 def test_graph_is_written_and_parsed(spark):
     rows = [("g", i, f"topic{i % 3} word{i % 2}", "tool", f"t{i % 4}", 10 + i, True) for i in range(12)]
     frame = spark.createDataFrame(rows, "graph_id string, log_seq long, query string, kind string, capability_id string, ts long, first_confirmation boolean")

@@ -28,19 +28,29 @@ def arm_weight(support: Column, newest: Column, last: Column) -> Column:
     return F.lit(ARM_WEIGHT) * F.least(F.lit(1.0), support / F.lit(float(FULL_SUPPORT))) * recency(newest, last)
 
 
-def lexical_scores(queries: DataFrame, members: DataFrame) -> DataFrame:
-    """(query_id, intent_id, score): the best Jaccard similarity of a query's word set with any one member.
-
-    Pairs come from shared words, by equality; sizes bound the similarity before it is made."""
-    q = queries.select("query_id", usage_token_set(F.col("text")).alias("t")).where(F.size("t") > 0)
-    m = members.select("intent_id", usage_token_set(F.col("text")).alias("t")).where(F.size("t") > 0).distinct()
-    m = m.withColumn("member", F.xxhash64("t"))
-    qt = q.select("query_id", F.size("t").alias("nq"), F.explode("t").alias("term"))
-    mt = m.select("intent_id", "member", F.size("t").alias("nm"), F.explode("t").alias("term"))
-    close = F.least("nq", "nm") >= F.lit(LEXICAL_LEAST) * F.greatest("nq", "nm")
-    shared = qt.join(mt, "term").where(close).groupBy("query_id", "intent_id", "member", "nq", "nm").agg(F.count("*").alias("common"))
-    score = F.col("common") / (F.col("nq") + F.col("nm") - F.col("common"))
-    return shared.withColumn("score", score).groupBy("query_id", "intent_id").agg(F.max("score").alias("score"))
+def _rarest(sets: DataFrame, key: list[str], spread: DataFrame, least: float) -> DataFrame:
+    """(*key, n, term) of the rarest terms of each set: so many that two sets as alike as `least` have one of them in common."""
+    terms = sets.select(*key, F.size("t").alias("n"), F.explode("t").alias("term")).join(spread, "term", "left")
+    listed = terms.groupBy(*key, "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("z"))
+    room = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
+    return listed.select(*key, "n", F.explode(F.slice("z", F.lit(1), room)).alias("z")).select(*key, "n", F.col("z.term").alias("term"))
+
+
+def lexical_scores(queries: DataFrame, members: DataFrame, least: float = LEXICAL_LEAST) -> DataFrame:
+    """(query_id, intent_id, score): the best Jaccard similarity of a query's word set with any one member, of those of at least `least`.
+
+    Pairs come from the rarest words of both, by equality, so a word that all have pairs nobody; sizes bound the
+    similarity before it is worked out."""
+    sets = lambda df, name: df.select(name, usage_token_set(F.col("text")).alias("t")).where(F.size("t") > 0).distinct().withColumn("h", F.xxhash64("t"))
+    q, m = sets(queries, "query_id"), sets(members, "intent_id")
+    spread = m.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = _rarest(q, ["query_id", "h"], spread, least).select("query_id", F.col("h").alias("hq"), F.col("n").alias("nq"), "term")
+    held = _rarest(m, ["intent_id", "h"], spread, least).select("intent_id", F.col("h").alias("hm"), F.col("n").alias("nm"), "term")
+    pairs = asked.join(held, "term").where(F.least("nq", "nm") >= F.lit(least) * F.greatest("nq", "nm")).select("query_id", "hq", "intent_id", "hm").distinct()
+    both = pairs.join(q.select("query_id", F.col("h").alias("hq"), F.col("t").alias("tq")), ["query_id", "hq"]).join(m.select("intent_id", F.col("h").alias("hm"), F.col("t").alias("tm")), ["intent_id", "hm"])
+    common = F.size(F.array_intersect("tq", "tm"))
+    score = common / (F.size("tq") + F.size("tm") - common)
+    return both.select("query_id", "intent_id", score.alias("score")).where(F.col("score") >= least).groupBy("query_id", "intent_id").agg(F.max("score").alias("score"))
 
 
 def best(scores: DataFrame, least: float) -> DataFrame:

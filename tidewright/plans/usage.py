@@ -46,11 +46,18 @@ def distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISTINCT = f"WITH {_TRACE} SELECT query, min(log_seq) AS first_seq FROM paired GROUP BY query"
 
 
-def graph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LN5-LN11, LN14, LN18: a graph per part of the sessions, folded in log order. Held against brute force by tests."""
+def graph_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph per part of the sessions, and for every other one vectors of the topics, some of another model."""
     seen = learning.observations_from(inputs.trace(spark, sf_dir)).withColumn("graph_id", (F.col("session") % 4).cast("string"))
-    made = learning.fold(seen)
-    return made.select("graph_id", "intent_id", F.size("members").alias("n_members"), "support", "seeded_support", "last_ts", "rev", F.to_json("tools").alias("tools"))
+    topics = inputs.vectors(spark, sf_dir).select(F.concat(F.lit("topic "), F.col("id").cast("string")).alias("query"), F.col("vec").cast("array<double>").alias("v"))
+    known = seen.join(topics, "query", "left").withColumn("vec", F.when(F.col("session") % 2 == 0, F.col("v"))).drop("v")
+    return known.withColumn("model", F.when(F.col("vec").isNotNull(), F.when(F.col("log_seq") % 5 == 0, "other").otherwise("m"))).withColumn("seeded", F.col("log_seq") % 6 == 0)
+
+
+def graph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LN6-LN11, LN14: graphs folded in log order. The rule is recursive; tests hold this query against brute force."""
+    made = learning.fold(graph_observations(spark, sf_dir))
+    return made.select("graph_id", "intent_id", F.array_join("members", "|").alias("members"), "support", "seeded_support", "last_ts", "rev", "model", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 6).alias("centroid"), F.to_json("tools").alias("tools"), F.to_json("skills").alias("skills"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -448,16 +455,23 @@ def invocation_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTRIBUTION = f"""WITH {_TRACE},
 s AS (SELECT session, log_seq AS selection_id, ts, list_transform(range(0, 5), lambda i: 'tool_' || CAST((log_seq + i * 3) % 17 AS VARCHAR)) AS ids FROM trace WHERE type = 'search'),
 i AS (SELECT session, log_seq AS invocation_id, ts, capability_id FROM trace WHERE type = 'invoke_start'),
-j AS (SELECT invocation_id, selection_id, i.ts - s.ts AS age, ids, capability_id, row_number() OVER (PARTITION BY invocation_id ORDER BY s.ts DESC) AS r FROM i JOIN s ON i.session = s.session AND s.ts <= i.ts)
+j AS (SELECT invocation_id, selection_id, i.ts - s.ts AS age, ids, capability_id, row_number() OVER (PARTITION BY invocation_id ORDER BY s.ts DESC, selection_id DESC) AS r FROM i JOIN s ON i.session = s.session AND s.ts <= i.ts)
 SELECT invocation_id, selection_id, CAST(coalesce(list_position(ids, capability_id), 0) - 1 AS INTEGER) AS rank FROM j WHERE r <= 3 AND age <= 172800000"""
 
 
 def shadow_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EX5: shadows that run for ten minutes, one at a time for each of three experiments. The rule is recursive; tests hold it against brute force."""
+    """EX5: shadows that run for ten minutes, one at a time for each of three experiments."""
     e = table(spark, sf_dir, "events").where("event_type = 'view'").select((F.col("event_id") % 3).alias("experiment_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"))
     return experiments.admit_shadows(e.withColumn("end_ms", F.col("start_ms") + 600_000))
 
 
+ADMISSION = """
+WITH RECURSIVE c AS (SELECT event_id % 3 AS experiment_id, event_id AS seq, epoch_us(ts) // 1000 AS start_ms, row_number() OVER (PARTITION BY event_id % 3 ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events WHERE event_type = 'view'),
+w AS (SELECT experiment_id, n, start_ms + 600000 AS ends FROM c WHERE n = 1
+  UNION ALL SELECT w.experiment_id, x.n, x.start_ms + 600000 FROM w, LATERAL (SELECT c.n, c.start_ms FROM c WHERE c.experiment_id = w.experiment_id AND c.n > w.n AND c.start_ms >= w.ends ORDER BY c.n LIMIT 1) x)
+SELECT c.experiment_id, c.seq, w.n IS NOT NULL AS admitted FROM c LEFT JOIN w ON w.experiment_id = c.experiment_id AND w.n = c.n"""
+
+
 def delayed_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EX8"""
     lab = table(spark, sf_dir, "labels")
@@ -513,7 +527,7 @@ PLANS = {
     "experiment_assignment": (experiment_assignment, ASSIGNMENT),
     "ranking_agreement": (ranking_agreement, AGREEMENT),
     "invocation_attribution": (invocation_attribution, ATTRIBUTION),
-    "shadow_admission": (shadow_admission, None),
+    "shadow_admission": (shadow_admission, ADMISSION),
     "delayed_outcomes": (delayed_outcomes, DELAYED),
     "stream_pairing": (stream_pairing, PAIRING),
 }
