@@ -3,18 +3,19 @@
 A page is read into a tree (end tags that authors leave out are implied). Elements
 that are no prose by kind (menus, page headers, footers, asides, forms, scripts,
 styles) or by the words of their class, id or role (adverts, notices, reader
-comments and the like) are set aside. Every paragraph gives points for its length
-and commas to its parent, half of them to the grandparent and a third to the next,
-and each container's points are discounted by the share of its text that is links.
-The best container is kept, raised to the article that it is part of, with those
-siblings that score well or read as prose. The text of what is kept is the result.
+comments and the like) are set aside; inside an article, a part whose name also
+holds words of its own and whose paragraphs read as prose stays, whatever its name.
+Every paragraph gives points for its length and commas to its parent, half of them to
+the grandparent and a third to the next, and each container's points are discounted
+by the share of its text that is links. The best container is kept, raised to the
+article that it is part of, with those siblings, articles included, that score well or
+read as prose. The text of what is kept is the result.
 
 Each row is handled alone in an Arrow batch bounded in bytes: no shuffle, no state.
 
 Edge cases: null and empty html, and pages without prose, give an empty text; a
-document that ends inside a tag or comment is read as far as it goes; tags nested
-deeper than DEEPEST are read as their parent's; repeated rows are extracted one by
-one; nulls in other kept columns stay; an empty table gives an empty result.
+document that ends inside a tag or comment is read as far as it goes; tags may be
+nested to any depth; repeated rows are extracted one by one; nulls in other kept columns stay; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -57,6 +58,14 @@ NO_PROSE_WORDS = frozenset(
     footers foot masthead header headers comment comments commentlist disqus reply replies respond discussion discussions responses feedback copyright legal
     disclaimer skip search form hidden hide tags""".split()
 )
+#: Words of reader comments, and words that only say what kind of box something is.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion discussions responses".split())
+BOX_WORDS = frozenset(
+    """box block container wrapper wrap inner outer list item items area section group row col column grid panel card cards module bar top bottom left right main side center
+    link links button buttons icon icons text title heading head body content post posts article articles entry story stories page site blog news you we us our the a an by of to for and on in with more
+    up out all new latest popular this it form field input label image img media count number total author user name date time meta info author avatar thread depth odd even byuser bypostauthor
+    wp js el id no is has default primary secondary small large big wide full fixed sticky floating inline print mobile desktop hidden visible active open closed container fluid clearfix cf""".split()
+)
 #: Words of the above that are also used for the frame of an article; they count outside an article only.
 FRAME_WORDS = frozenset("header headers more tags legal discussion discussions alert alerts respond responses feedback promotion search form skip hide follow rail notice".split())
 #: Words of page frames; one that holds most of the page's prose is kept whatever else it is called (with-sidebar, no-menu).
@@ -64,9 +73,10 @@ LAYOUT_WORDS = frozenset("with has no content main page wrapper wrap container l
 PARAGRAPHS = frozenset("html p pre blockquote td th dd dt li h1 h2 h3 h4 h5 h6 figcaption div section article main body address caption summary center".split())
 CONTAINERS = frozenset(("html", "body", "main", "article"))
 
-DEEPEST = 400
-#: Share of link text from which a list of LINKS links or more is a menu.
-MENU_DENSITY, LINKS = 0.8, 3
+#: Share of link text from which a list of LINKS links or more is a menu; in an article, links of so many characters on average are references.
+MENU_DENSITY, LINKS, REFERENCE = 0.8, 3, 25
+#: Characters of a paragraph that reads as prose, most of its share of links, and the share of the best score from which a sibling article stays.
+PROSE, PROSE_DENSITY, SIBLING = 100, 0.25, 0.3
 
 
 class Node:
@@ -102,7 +112,16 @@ def _describe(node: Node, attributes: str) -> None:
 
 def parse(html: str) -> Node:
     root = Node("html", None)
-    here, depth, at, end = root, 0, 0, len(html)
+    here, at, end = root, 0, len(html)
+    open_: dict[str, int] = {}  # elements of each tag that enclose `here`
+
+    def leave(to: Node) -> Node:
+        at = here
+        while at is not to:
+            open_[at.tag] -= 1
+            at = at.parent
+        return to
+
     while at < end:
         m = _TAG.search(html, at)
         if m is None:
@@ -116,16 +135,14 @@ def parse(html: str) -> Node:
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if closing:
-            up, block = here, tag in BLOCK
+            up, block = here if open_.get(tag) or tag == "html" else None, tag in BLOCK
             while up is not None and up.tag != tag:
                 if not block and up.tag in BLOCK or up.tag in TABLE and tag not in TABLE and tag in ("p", "li", "div"):
                     up = None  # an end tag without its start
                     break
                 up = up.parent
             if up is not None and up.parent is not None:
-                while here is not up:
-                    here, depth = here.parent, depth - 1
-                here, depth = up.parent, depth - 1
+                here = leave(up.parent)
             elif tag == "p":
                 here.children.append("\n")
             continue
@@ -138,10 +155,9 @@ def parse(html: str) -> Node:
             at = html.find(">", at) + 1 or end
             continue
         if tag == "body":
-            while here is not root:
-                here, depth = here.parent, depth - 1
+            here = leave(root)
         if tag in ENDS_P or tag in ENDS_SAME:
-            up, ended = here, None
+            up, ended = here if open_.get("p") and tag in ENDS_P or any(open_.get(t) for t in ENDS_SAME.get(tag, ())) else None, None
             ends, fence = ENDS_SAME.get(tag, ()), FENCES.get(tag, TABLE)
             while up is not None and up.tag not in TABLE and up.tag not in fence:
                 if up.tag in ends or up.tag == "p" and tag in ENDS_P:
@@ -150,15 +166,15 @@ def parse(html: str) -> Node:
                     break
                 up = up.parent
             if ended is not None:
-                while here is not ended.parent:
-                    here, depth = here.parent, depth - 1
+                here = leave(ended.parent)
         node = Node(tag, here)
         attributes = m[3] or m[6] or ""
         if attributes and not attributes.isspace():
             _describe(node, attributes)
         here.children.append(node)
-        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span")) and depth < DEEPEST:
-            here, depth = node, depth + 1
+        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "em", "strong", "span")):
+            here = node
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
@@ -191,17 +207,34 @@ def _measure(nodes: list[Node]) -> None:
             up.commas += node.commas
 
 
+def _reads_as_prose(node: Node) -> bool:
+    """Whether a paragraph inside is long and no list of links."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.gone:
+            continue
+        if x.tag in ("p", "blockquote", "pre") and x.chars - x.links >= PROSE and x.links < PROSE_DENSITY * x.chars:
+            return True
+        todo += [c for c in x.children if not isinstance(c, str)]
+    return False
+
+
 def _set_aside(nodes: list[Node]) -> None:
     _measure(nodes)
     whole = nodes[0].chars
     inside: set[int] = set()
     for node in nodes:
         up = node.parent
-        if up is not None and id(up) in inside or node.tag == "article":
+        nested = up is not None and id(up) in inside
+        if nested or node.tag == "article":
             inside.add(id(node))
         if up is not None and up.gone:
             node.gone = True
             continue
+        if node.tag == "article" and node.words & COMMENT_WORDS and (nested or node.words <= COMMENT_WORDS | BOX_WORDS):
+            node.gone = 2 * (node.chars - node.links) <= whole
+            continue
         if node.tag in CONTAINERS:
             continue
         within = id(node) in inside
@@ -209,6 +242,9 @@ def _set_aside(nodes: list[Node]) -> None:
         if within and node.words & FRAME_WORDS and node.words & {"article", "entry", "post", "content", "story"}:
             marked = marked - FRAME_WORDS
         named = bool(marked) or node.role in NO_PROSE_ROLES
+        own = node.words - NO_PROSE_WORDS - BOX_WORDS
+        if named and within and len({w for w in own if len(w) > 2}) >= 1 and node.role not in NO_PROSE_ROLES and node.tag not in NO_PROSE:
+            named = not (_reads_as_prose(node) and (not marked & COMMENT_WORDS or _titled(node)))
         holds = bool(node.words & LAYOUT_WORDS) and 2 * (node.chars - node.links) > whole
         if node.tag in NO_PROSE or node.unseen or node.tag == "header" and not within:
             node.gone = not (node.tag in ("form", "fieldset") and 2 * (node.chars - node.links) > whole)
@@ -216,20 +252,27 @@ def _set_aside(nodes: list[Node]) -> None:
             node.gone = not holds
     _measure(nodes)
     counts: dict[int, int] = {}
-    for node in nodes:
-        if node.tag == "a" and not node.gone:
-            up = node.parent
-            while up is not None:
-                counts[id(up)] = counts.get(id(up), 0) + 1
-                up = up.parent
+    for node in reversed(nodes):
+        n = counts.get(id(node), 0) + (node.tag == "a" and not node.gone)
+        if node.parent is not None and n:
+            counts[id(node.parent)] = counts.get(id(node.parent), 0) + n
     for node in nodes:
         if node.parent is not None and node.parent.gone:
             node.gone = True
         elif node.tag in ("ul", "ol", "dl", "div", "table", "section") and node.chars and counts.get(id(node), 0) >= LINKS and node.links >= MENU_DENSITY * node.chars:
-            node.gone = True
+            node.gone = not (id(node) in inside and node.links >= REFERENCE * counts[id(node)])
     _measure(nodes)
 
 
+def _titled(node: Node) -> bool:
+    """Whether an element's name is that of its first heading, as anchors of sections are."""
+    for c in node.children:
+        if not isinstance(c, str) and c.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            said = {w.lower() for w in _PART.findall(_text([c]))}
+            return len(said) > 1 and node.words <= said
+    return False
+
+
 def _score(nodes: list[Node]) -> None:
     for node in nodes:
         if node.gone or node.tag not in PARAGRAPHS:
@@ -266,7 +309,12 @@ def _kept(nodes: list[Node]) -> list[Node]:
             break
         up = up.parent
     if chosen is not None:
-        return [chosen]
+        if chosen.tag != "article" or chosen.parent is None:
+            return [chosen]
+        # Parts of one text that are articles of their own.
+        least = SIBLING * max(chosen.points, best.points)
+        beside = [c for c in chosen.parent.children if not isinstance(c, str) and c.tag == "article" and not c.gone]
+        return [c for c in beside if c is chosen or c.points >= least and _reads_as_prose(c)]
     # A container whose parent holds much more prose of the same kind is only a part.
     while best.parent is not None and best.parent.tag not in ("html", "body") and best.parent.points >= 0.6 * best.points and best.parent.chars - best.parent.links > 1.2 * (best.chars - best.links):
         best = best.parent
