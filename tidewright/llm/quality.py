@@ -17,8 +17,8 @@ threshold is the one that best keeps labelled good and rejects labelled bad docu
 
 Bounds: at most LABELLED labelled documents (those whose ids hash lowest) fit the
 target model; they are broadcast. The models have TABLES * BUCKETS values. Raw counts and
-scores cover all documents. The k-th key is found by counting keys in bins and
-ordering one bin, never by a global sort.
+scores cover all documents. The k-th key is found by counting keys in ever finer bins, and
+only rows of its last bin, 2**-42 wide, are ordered; never by a global sort.
 
 Edge cases: null and wordless texts have weight 0 and are kept like neutral ones; no
 labels, or none of one kind, leaves all ratios 0 and selects everything; a document
@@ -140,14 +140,14 @@ def _score(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         ratios = sent.value
         for batch in batches:
             weights = []
-            for a, b, raw, offsets in text_chunks(batch.column(2)):
+            for a, b, raw, offsets in text_chunks(batch.column(3)):
                 hashes, row = _features(raw, offsets)
                 ratio = ratios[0][_buckets(hashes, 0)]
                 for t in range(1, TABLES):  # what another n-gram in one bucket says doesn't count
                     other = ratios[t][_buckets(hashes, t)]
                     ratio = np.where(np.sign(ratio) == np.sign(other), np.sign(ratio) * np.minimum(np.abs(ratio), np.abs(other)), 0.0)
                 weights.append(np.bincount(row, ratio, minlength=b - a))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round(np.concatenate(weights), 6) if weights else np.zeros(0))], names=["doc_id", "label", "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.round(np.concatenate(weights), 6) if weights else np.zeros(0))], names=["doc_id", "label", "u", "log_weight"])
 
     return run
 
@@ -159,9 +159,29 @@ def good_labels(labels: DataFrame, doc: str = "doc_id", most: int = LABELLED) ->
     return one.orderBy(F.xxhash64("__tw_id"), "__tw_id").limit(most)
 
 
-def _bin(key: Column) -> Column:
-    """Keys by descending value in fine bins."""
-    return F.floor(-key * 64).cast("long")
+#: Keys are told apart by bins, first of this width, then of parts of the one bin that matters.
+WIDTH, PARTS, LEVELS = 1 / 64, 4096, 4
+
+
+def _edge(scored: DataFrame, k: int) -> tuple[Column, Column, int]:
+    """For the k largest keys: which rows are surely among them, which share the least bin with the k-th key, and how many of these are.
+
+    Each level counts the keys of one bin in PARTS finer ones, so no level sorts keys and what is left is that of few
+    distinct keys; equal keys stay together."""
+    sure, open_, low, width, left = F.lit(False), F.lit(True), None, WIDTH, k
+    for level in range(LEVELS):
+        place = F.floor(-F.col("key") / width).cast("long") if low is None else F.least(F.lit(PARTS - 1).cast("long"), F.floor((-F.col("key") - low) / width).cast("long"))
+        bins = scored.where(open_).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        found = bins.select("bin", "n", before.alias("before")).where((F.col("before") < left) & (F.col("before") + F.col("n") >= left)).first()  # one row a bin
+        if found is None:  # all rows, or none
+            return F.lit(k > 0), F.lit(False), 0
+        sure, open_ = sure | (open_ & (place < found["bin"])), open_ & (place == found["bin"])
+        left -= found["before"]
+        low, width = (found["bin"] * width if low is None else low + found["bin"] * width), width / PARTS
+        if found["n"] == left:
+            return sure | open_, F.lit(False), 0
+    return sure, open_, left
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str = "text", doc: str = "doc_id", seed: str = "gumbel-1") -> DataFrame:
@@ -169,13 +189,16 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
     spark = docs.sparkSession
     bound_batches(spark)
     known = F.broadcast(cut(good_labels(labels), "labels"))
-    rows = docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, F.col("doc_id") == F.col("__tw_id"), "left").select("doc_id", "label", "text")
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, F.col("doc_id") == F.col("__tw_id"), "left").select("doc_id", "label", "text")
+    # Rows without an id are told apart by their text.
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5("text")))
     counted = rows.select("text", "label").mapInArrow(frugal(_count), "block int, counts binary").repartition("block").mapInArrow(frugal(_add), "block int, counts binary").toArrow()  # TABLES * BUCKETS / BLOCK rows
     table = np.zeros((3, TABLES * BUCKETS // BLOCK, BLOCK), np.int64)
     for block, data in zip(*(c.to_pylist() for c in counted.columns), strict=True):
         table[:, block] = np.frombuffer(data, "<i8").reshape(3, BLOCK)
     sent = spark.sparkContext.broadcast([log_ratios(*t) for t in table.reshape(3, TABLES, BUCKETS).transpose(1, 0, 2)])
-    scored = cut(rows.mapInArrow(frugal(_score(sent)), "doc_id long, label int, log_weight double").withColumn("key", SHARP * F.col("log_weight") - F.log(-F.log(uniform(F.col("doc_id"), seed)))), "scored")
+    scored = rows.select("doc_id", "label", uniform(named, seed).alias("u"), "text").mapInArrow(frugal(_score(sent)), "doc_id long, label int, u double, log_weight double")
+    scored = cut(scored.select("doc_id", "label", "log_weight", (SHARP * F.col("log_weight") - F.log(-F.log("u"))).alias("key")), "scored")
 
     if k is None:
         step = F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), F.col("log_weight"))) / STEP).cast("int")
@@ -191,16 +214,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, text: str
                 kept, gone = kept - good, gone + bad
             at = min(s for s, v in value.items() if v >= max(value.values()) - SLACK)
             k = sum(x[2] for s, x in seen.items() if s >= at)
-    # The bin that holds the k-th key, and how many of its rows are selected.
-    bins = scored.groupBy(_bin(F.col("key")).alias("bin")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = bins.select("bin", "n", before.alias("before")).where((F.col("before") < k) & (F.col("before") + F.col("n") >= k)).first()  # one row a bin
-    if edge is None:
-        return scored.select("doc_id", "log_weight", "key", F.lit(bool(k)).alias("selected"))
-    inside = scored.where(_bin(F.col("key")) == edge["bin"])
+    sure, open_, left = _edge(scored, k)
+    if not left:
+        return scored.select("doc_id", "log_weight", "key", sure.alias("selected"))
     rank = F.row_number().over(Window.orderBy(F.col("key").desc(), "doc_id", "log_weight"))
-    inside = inside.withColumn("selected", rank <= k - edge["before"])
-    outside = scored.where(_bin(F.col("key")) != edge["bin"]).withColumn("selected", _bin(F.col("key")) < edge["bin"])
+    inside = scored.where(open_).withColumn("selected", rank <= left)
+    outside = scored.where(~open_).withColumn("selected", sure)
     return outside.unionByName(inside).select("doc_id", "log_weight", "key", "selected")
 
 
