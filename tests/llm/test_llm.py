@@ -606,6 +606,11 @@ def test_license_rules_equal_brute_force(spark):
     assert got == Counter(want)
 
 
+def name_of(doc_id, text):
+    """What chance depends on: the id, or the text of a row without one."""
+    return str(doc_id) if doc_id is not None else "text " + hashlib.md5(text.encode()).hexdigest() if text is not None else "null"
+
+
 def brute_quality(rows, labels, k):
     """Log weights, keys and the k chosen, from n-grams as text."""
     def grams(text):
@@ -639,8 +644,7 @@ def brute_quality(rows, labels, k):
     ratio = {g: (math.copysign(min(abs(a[g]), abs(b.get(g, 0))), a[g]) if a[g] * b.get(g, 0) > 0 else 0.0) for g in a}
     out = []
     for (d, t), s in zip(rows, sets):
-        name = str(d) if d is not None else "text " + hashlib.md5(t.encode()).hexdigest() if t is not None else "null"
-        u = (int(hashlib.md5(f"gumbel-1|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"gumbel-1|{name_of(d, t)}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         w = round(sum(ratio[g] for g in s), 6)
         out.append((d, w, quality.SHARP * w - math.log(-math.log(u))))
     chosen = sorted(range(len(out)), key=lambda i: -out[i][2])[:k]
@@ -694,7 +698,7 @@ def brute_copies(rows, labels):
         keyed = []
         for r, n in zip(rows, size):
             if r["source"] == x:
-                u = (int(hashlib.md5(f"mix-1|{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                u = (int(hashlib.md5(f"mix-1|{name_of(r['doc_id'], r['text'])}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
                 keyed.append((-math.log(u) / heavy.get(r["doc_id"], 1.0), -1 if r["doc_id"] is None else r["doc_id"], n, r["doc_id"]))
         for *_, n, d in sorted(keyed, key=lambda k: k[:3]):
             extra = max(0, min(n, math.floor(rest) - before))

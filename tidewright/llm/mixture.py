@@ -9,13 +9,13 @@ boundary the words that still fit, so a source misses its target by less than a
 `copies` counts whole documents, and has that document if at least half of it fits.
 
 Scale: the prefix sum never sorts a source in one task. Keys are mapped monotonically
-to buckets; sums per source and bucket are few rows; only the bucket in which a
-budget ends is sorted. The table of sources has one row a source and is broadcast
+to buckets, none of which gets more than a 1 / 4096 of a source by its keys; sums per
+source and bucket are few rows; only the bucket in which a budget ends is sorted. The table of sources has one row a source and is broadcast
 only up to BROADCAST_SOURCES.
 
 Edge cases: a null text has size 0; a null source is a source, after all others;
 documents of size 0 take 0; repeated rows have the same key and are taken in
-turn; a null doc_id has a key of its own; documents without a weight weigh 1, weights
+turn; rows without doc_id have keys by their texts; documents without a weight weigh 1, weights
 that are null, zero or negative count as the least weight, and of several the largest;
 an empty table gives an empty result.
 """
@@ -33,7 +33,7 @@ SHARE, MOST_EPOCHS = 1.5, 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 LEAST_WEIGHT, MOST_WEIGHT = 0.25, 4.0
-BUCKETS = 4096
+BUCKETS = 1 << 16
 BROADCAST_SOURCES = 20_000
 
 
@@ -46,7 +46,8 @@ def uniform(key: Column, seed: str = "mix-1") -> Column:
 def measured(docs: DataFrame, text: str = "text", seed: str = "mix-1") -> DataFrame:
     """(doc_id, source, size, u)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), uniform(F.col("doc_id"), seed).alias("u"))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(text)))
+    return docs.select("doc_id", "source", size.alias("size"), uniform(named, seed).alias("u"))
 
 
 def label_weights(labels: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, text: str = "text", seed: str = "mix-1") -> DataFrame:
     """One row per row of docs: doc_id, size, source, source_size, target, taken, copies."""
-    rows = cut(weighed(measured(docs, text, seed), quality).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int")), "sized")
+    rows = cut(weighed(measured(docs, text, seed), quality).withColumn("key", -F.log("u") / F.col("w")).withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * LEAST_WEIGHT)) * BUCKETS).cast("int")), "sized")
     # The source table and the bucket sums both come from one small table.
     sums = cut(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
     plan = targets(sums, weights, share, most)

@@ -9,7 +9,7 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _MIX = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST(list_reduce(list_transform(string_split(substring(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, b: a * 16 + b) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+    (CAST(list_reduce(list_transform(string_split(substring(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(text), 'null')), 1, 13), ''), lambda c: CAST(instr('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, b: a * 16 + b) AS DOUBLE) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM d GROUP BY source),
 c AS (SELECT *, 2e0 * source_size AS cap, 2e0 * source_size / weight AS ratio FROM s),
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS cap_before, coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS weight_before,
@@ -67,8 +67,10 @@ a AS ({" UNION ALL ".join(_matches(k, p) for k, p in _KINDS)}),
 m AS (SELECT r, kind, stop - length(piece) AS start, stop, piece FROM a WHERE i % 2 = 0),
 b AS (SELECT r, kind, start, stop FROM m WHERE (kind <> 0 OR length(regexp_extract(piece, '{_ASSIGN}', 2)) >= {secret_scan.LEAST_ASSIGNED}) AND (kind <> 3 OR length(piece) = 40 AND NOT contains(piece, '='))),
 c AS (SELECT * FROM b WHERE kind <= 2 OR r IN (SELECT r FROM b WHERE kind = 1)),
-near AS (SELECT x.*, coalesce(bool_or(y.kind = 1), false) AS id, coalesce(bool_or(y.kind IN (0, 3)), false) AS secret FROM c x LEFT JOIN c y ON x.r = y.r AND y.kind IN (0, 1, 3) AND x.kind >= 3 AND x.start - y.stop <= {secret_scan.SCOPE} AND y.start - x.stop <= {secret_scan.SCOPE} GROUP BY ALL),
-k AS (SELECT * FROM near WHERE kind <= 2 OR kind = 3 AND id OR kind = 4 AND id AND secret),
+t AS (SELECT * FROM c x WHERE x.kind <> 3 OR NOT EXISTS (SELECT 1 FROM c y WHERE y.r = x.r AND y.kind <= 2 AND y.start < x.stop AND x.start < y.stop)
+    AND EXISTS (SELECT 1 FROM c y WHERE y.r = x.r AND y.kind = 1 AND x.start - y.stop <= {secret_scan.SCOPE} AND y.start - x.stop <= {secret_scan.SCOPE})),
+k AS (SELECT * FROM t x WHERE x.kind <= 3 OR EXISTS (SELECT 1 FROM t y WHERE y.r = x.r AND y.kind = 1 AND x.start - y.stop <= {secret_scan.SCOPE} AND y.start - x.stop <= {secret_scan.SCOPE})
+    AND EXISTS (SELECT 1 FROM t y WHERE y.r = x.r AND y.kind IN (0, 3) AND x.start - y.stop <= {secret_scan.SCOPE} AND y.start - x.stop <= {secret_scan.SCOPE})),
 s AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg({_NAMES} || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind <= 2) AS base, string_agg({_NAMES} || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM k GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (r)"""

@@ -6,9 +6,10 @@ places of the matches in code points, so nothing leaves the JVM.
 
 Linking. Three classes of parts: identifiers (access keys), secrets (assigned
 values, and bare 40-character tokens, which are weak) and endpoints (hosts and
-URLs, weak). A weak part is reported only when the parts that complete it lie
-within `scope` code points of it in the same document: a bare token needs an
-identifier, an endpoint needs an identifier and a secret. The interval join is
+URLs, weak). A token that overlaps a base span is that span's and no part of its own.
+A weak part is reported only when the parts that complete it lie within `scope` code
+points of it in the same document: a bare token needs an identifier, an endpoint needs
+an identifier and a secret, which is an assigned value or a token that is reported. The interval join is
 made by looking, in order of position, for the nearest complement before and
 after, so a document with many parts costs n log n and never n squared.
 
@@ -77,19 +78,23 @@ def find_parts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Drop the weak parts that nothing completes within the scope."""
+    """Drop the tokens that are parts of base spans, and the weak parts that nothing completes within the scope."""
     by = Window.partitionBy("row").orderBy("start", "end", "kind")
     back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
+    kind = F.col("kind")
 
-    def near(is_part: Column) -> Column:
-        left = F.max(F.when(is_part, F.col("end"))).over(back)
-        right = F.min(F.when(is_part, F.col("start"))).over(ahead)
-        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
+    def gaps(is_part: Column) -> tuple[Column, Column]:
+        """Code points since the last such part before, and to the next one; negative if they overlap."""
+        return F.col("start") - F.max(F.when(is_part, F.col("end"))).over(back), F.min(F.when(is_part, F.col("start"))).over(ahead) - F.col("end")
 
-    kind = F.col("kind")
-    flagged = parts.withColumn("_id", near(kind == 1)).withColumn("_secret", near(kind.isin(0, 3)))
-    keep = kind.isNull() | (kind <= 2) | ((kind == 3) & F.col("_id")) | ((kind == 4) & F.col("_id") & F.col("_secret"))
-    return flagged.where(keep).drop("_id", "_secret")
+    def within(is_part: Column, most: int) -> Column:
+        return F.coalesce(F.least(*gaps(is_part)) <= most, F.lit(False))
+
+    bare = parts.withColumn("_id", within(kind == 1, scope)).withColumn("_part", within(kind <= 2, -1))
+    tokens = bare.where(kind.isNull() | (kind != 3) | (F.col("_id") & ~F.col("_part")))
+    flagged = tokens.withColumn("_secret", within(kind.isin(0, 3), scope))
+    keep = kind.isNull() | (kind <= 3) | (F.col("_id") & F.col("_secret"))
+    return flagged.where(keep).drop("_id", "_part", "_secret")
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), scope: int = SCOPE) -> DataFrame:
