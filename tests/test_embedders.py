@@ -32,6 +32,20 @@ def test_pooling():
     assert np.allclose(E.pooled(hidden, mask, "cls"), [[1, 0]])
 
 
+def test_texts_are_cut_and_padded():
+    given = []
+
+    def forward(ids, mask):
+        given.append((ids.tolist(), mask.tolist()))
+        return np.stack([ids, mask], axis=-1).astype(float)
+
+    model = E.encoder_model(lambda texts: [[len(t)] * len(t) for t in texts], forward, "mean", 3)
+    got = model(["ab", "abcdef"])
+    assert given == [([[2, 2, 0], [6, 6, 6]], [[1, 1, 0], [1, 1, 1]])]
+    assert np.allclose(got, [np.array([2, 1]) / 5**0.5, np.array([6, 1]) / 37**0.5])
+    assert E.Spec(spec=E.DEFAULT).for_query("x").endswith(": x") and E.Spec(local="m").for_query("x") == "x" and E.Spec(spec=E.DEFAULT).for_doc("x") == "x"
+
+
 def test_load_once_and_again_after_failure():
     seen = E.Loaded()
     with pytest.raises(RuntimeError):

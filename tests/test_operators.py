@@ -242,6 +242,14 @@ def test_artifact_files_are_read(spark, tmp_path):
     assert [(r["id"], r["dim"], r["vec"]) for r in artifact.read(spark, str(tmp_path)).collect()] == [("a", 2, [1.0, 0.0])]
 
 
+def test_artifacts_are_merged(spark):
+    part = lambda ids, dim=2, model="m": spark.createDataFrame([("tool", i, b"h", [0.0] * dim, dim, model, 1) for i in ids], "kind string, id string, hash binary, vec array<double>, dim int, model string, projection_version int")
+    assert artifact.merge([part("ab"), part(""), part("c")]).count() == 3
+    for wrong in (part("ax"), part("z", 3), part("z", 2, "other")):
+        with pytest.raises(artifact.ArtifactError):
+            artifact.merge([part("ab"), wrong])
+
+
 def test_pages():
     made = {None: {"nextCursor": ""}, "": {"nextCursor": "b"}, "b": {}}
     assert len(mcp.pages(made.__getitem__)) == 3

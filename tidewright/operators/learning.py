@@ -329,6 +329,15 @@ def baseline_events(turns: list[tuple[str, list[tuple[str, str]]]], session: str
     return rows
 
 
+def baseline_rows(turns: DataFrame) -> DataFrame:
+    """Event rows (session, log_seq, type, origin, query, top_k, capability_id, ts) of baseline turns (session, turn, query, ts, invoked), in the order of turns; invoked is an array of (kind, capability). As baseline_events(), for many sessions."""
+    one = F.array(F.struct(F.lit("search").alias("type"), F.col("query").alias("query"), F.lit(0).alias("top_k"), F.lit(None).cast("string").alias("capability_id")))
+    each = F.transform(F.coalesce("invoked", F.array().cast("array<struct<kind:string,capability:string>>")), lambda i: F.struct(F.when(i["kind"] == "tool", "invoke_start").otherwise("skill_invoke").alias("type"), F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("top_k"), i["capability"].alias("capability_id")))
+    rows = turns.select("session", "turn", "ts", F.posexplode(F.concat(one, each)).alias("place", "e"))
+    seq = F.row_number().over(Window.partitionBy("session").orderBy("turn", "place")) - 1
+    return rows.select("session", seq.cast("long").alias("log_seq"), "e.type", F.lit("baseline").alias("origin"), "e.query", "e.top_k", "e.capability_id", "ts")
+
+
 def observations_from(events: DataFrame, accepted: str | None = None) -> DataFrame:
     """The learner's observations from trace rows (session, log_seq, type, origin, query, capability_id, ts)."""
     roles = events.withColumn("role", classify(F.col("type"), F.col("origin"), accepted))

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions.stemmer import english_tokens
 from tidewright.operators import bm25, capability, catalog, dense, experiments, grounding, learning, search, usage
 from tidewright.plans import inputs
 from tidewright.plans.inputs import table
 from tidewright.plans.retrieval import _ASKED, sql_bm25
 from tidewright.plans.usage import _BUCKETS, _GRAPH, _PAIRS, _TRACE, _capabilities, _graph
-from tidewright.sources import sanitise, tracelog
+from tidewright.sources import embedders, sanitise, tracelog
 from tidewright.workers import shared_dir
 
 
@@ -312,7 +313,85 @@ TRACE_FILES = f"""WITH {_TRACE}, s AS (SELECT type, log_seq, list_reduce(list_tr
 SELECT type, count(*) AS n, CAST(sum(log_seq) AS BIGINT) AS ids, true AS in_order FROM s WHERE h < 2147483648 GROUP BY type"""
 
 
+def baseline_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LN19: user turns as baseline turns of a host without search, with what they invoked."""
+    call = lambda kind, n: F.struct(F.lit(kind).alias("kind"), F.concat(F.lit("c"), ((F.col("conv_id") + n) % 7).cast("string")).alias("capability"))
+    none = F.array().cast("array<struct<kind:string,capability:string>>")
+    invoked = F.when(F.col("conv_id") % 3 == 0, none).when(F.col("conv_id") % 3 == 1, F.array(call("tool", 1))).otherwise(F.array(call("skill", 2), call("tool", 3)))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.col("text").alias("query"), F.lit(5).cast("long").alias("ts"), invoked.alias("invoked"), "conv_id")
+    rows = learning.baseline_rows(turns)
+    return rows.select("session", "log_seq", "type", "origin", F.md5("query").alias("query"), F.coalesce(F.col("top_k").cast("string"), F.lit("null")).alias("top_k"), "capability_id")
+
+
+BASELINE = """
+WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+e AS (SELECT conv_id, turn, 0 AS p, 'search' AS type, md5(text) AS query, '0' AS top_k, NULL AS capability_id FROM t
+  UNION ALL SELECT conv_id, turn, 1, 'invoke_start', NULL, 'null', 'c' || CAST((conv_id + 1) % 7 AS VARCHAR) FROM t WHERE conv_id % 3 = 1
+  UNION ALL SELECT conv_id, turn, 1, 'skill_invoke', NULL, 'null', 'c' || CAST((conv_id + 2) % 7 AS VARCHAR) FROM t WHERE conv_id % 3 = 2
+  UNION ALL SELECT conv_id, turn, 2, 'invoke_start', NULL, 'null', 'c' || CAST((conv_id + 3) % 7 AS VARCHAR) FROM t WHERE conv_id % 3 = 2)
+SELECT conv_id AS session, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) - 1 AS log_seq, type, 'baseline' AS origin, query, top_k, capability_id FROM e"""
+
+
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM1, EM4: part names embedded as queries of the built-in model by signed hashes of words; a weighted sum of each unit vector."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    made = embedders.embed(p, embedders.hashing, "hashing-64", embedders.Spec(spec=embedders.DEFAULT), query=True)
+    return made.select("id", F.round(F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+HASH_EMBEDDING = f"""
+WITH w AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower('{embedders.DEFAULT_QUERY_PREFIX}' || p_name || ' ' || p_type), '[a-z0-9]+')) AS w FROM part),
+h AS (SELECT id, (16 * (instr('0123456789abcdef', substring(md5(w), 15, 1)) - 1) + instr('0123456789abcdef', substring(md5(w), 16, 1)) - 1) % 64 AS b, CASE WHEN substring(md5(w), 1, 1) >= '8' THEN 1e0 ELSE -1e0 END AS s FROM w),
+v AS (SELECT id, b, sum(s) AS x FROM h GROUP BY id, b), n AS (SELECT id, sqrt(sum(x * x)) AS l FROM v GROUP BY id)
+SELECT id, round(CASE WHEN l = 0 THEN 1e0 ELSE sum((b + 1) * x) / l END, 4) AS total FROM v JOIN n USING (id) GROUP BY id, l"""
+
+
+def embedder_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EM8, EM9: models loaded on two workers, one of which always fails."""
+
+    def broken():
+        raise OSError("no such model")
+
+    return embedders.load_events(spark, {"hashing": embedders.hashing, "broken": broken}, 2).drop("took_ms")
+
+
+LOADS = "SELECT model, 'embedder_load' AS type, status FROM (VALUES ('hashing', 'ok'), ('broken', 'failed')) AS m(model, status), (SELECT unnest([1, 2]))"
+
+# Words and their stems, of the published sample of the English stemmer.
+_STEMS = "consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol consols consol consonant conson consort consort consorted consort consorting consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir conspire conspir conspired conspir conspiring conspir constable constabl constables constabl constance constanc constancy constanc constant constant knack knack knackeries knackeri knacks knack knag knag knave knave knaves knave knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel kneels kneel knees knee knell knell knelt knelt knew knew knick knick knif knif knife knife knight knight knightly knight knights knight knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knocks knock knopp knopp knot knot knots knot".split()
+
+
+def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX6: the analyser on the published sample words, alone and in a sentence."""
+    words = spark.createDataFrame([(w,) for w in _STEMS[::2]], "word string")
+    said = words.withColumn("text", F.concat(F.lit("The "), F.initcap("word"), F.lit(", and it!")))
+    return said.select("word", F.array_join(english_tokens(F.col("text")), " ").alias("tokens"))
+
+
+STEMMED = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in zip(_STEMS[::2], _STEMS[1::2], strict=True)) + ") AS t(word, tokens)"
+
+
+def ranking_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RK5, RT9: scores that are no numbers are not ranked; a search for nothing, or in nothing, finds nothing."""
+    from tidewright.operators.ranking import top
+
+    p = table(spark, sf_dir, "part")
+    hits = p.select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 7 == 0, F.lit(float("nan"))).when(F.col("p_size") % 7 == 1, F.lit(None).cast("double")).otherwise(F.col("p_size").cast("double")).alias("score"))
+    v = inputs.vectors(spark, sf_dir)
+    q = v.where("id < 3").select(F.col("id").cast("string").alias("query_id"), F.lit("x").alias("text"), F.col("vec").alias("qvec"))
+    nothing = search.search("semantic", 0, q, None, v).unionByName(search.search("hybrid", 5, q, None, v.limit(0))).select("query_id", F.lit(0).cast("long").alias("id"), "score", "rank")
+    return top(hits, ["query_id"], 4).select("query_id", "id", "score", "rank").unionByName(nothing)
+
+
+RANKING_EDGES = "SELECT * FROM (SELECT p_brand AS query_id, p_partkey AS id, CAST(p_size AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) - 1 AS INTEGER) AS rank FROM part WHERE p_size % 7 > 1) WHERE rank < 4"
+
+
 PLANS = {
+    "baseline_turns": (baseline_turns, BASELINE),
+    "hash_embedding": (hash_embedding, HASH_EMBEDDING),
+    "embedder_loads": (embedder_loads, LOADS),
+    "stemmed_words": (stemmed_words, STEMMED),
+    "ranking_edges": (ranking_edges, RANKING_EDGES),
     "live_credit": (live_credit, LIVE),
     "graph_json": (graph_json, GRAPH_JSON),
     "usage_tiers": (usage_tiers, TIERS),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import math
@@ -13,13 +14,17 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 # Inputs of one request, seconds it may take, bytes of an answer, and what counts as a slow load.
 ENDPOINT_BATCH, ENDPOINT_TIMEOUT, MOST_RESPONSE, SLOW_LOAD = 64, 30, 64 << 20, 5.0
 #: Documents that a local model is given at once.
 LOCAL_BATCH = 32
 SOURCES = ("spec", "huggingface", "local", "ollama", "url")
+#: The name of the built-in model, and what its queries begin with. Other models have prefixes of their own, or none.
+DEFAULT, DEFAULT_QUERY_PREFIX = "default", "Represent this sentence for searching relevant passages: "
+#: Tokens that a local model takes at most.
+MOST_TOKENS = 512
 
 
 class EmbeddingError(ValueError):
@@ -64,7 +69,8 @@ class Spec:
         return hashlib.sha256("\x1f".join(parts).encode()).hexdigest()
 
     def for_query(self, text: str) -> str:
-        return (self.query_prefix or "") + text
+        own = DEFAULT_QUERY_PREFIX if self.spec == DEFAULT else ""
+        return (own if self.query_prefix is None else self.query_prefix) + text
 
     def for_doc(self, text: str) -> str:
         return (self.doc_prefix or "") + text
@@ -86,6 +92,34 @@ def pooled(hidden: np.ndarray, mask: np.ndarray, how: str = "mean") -> np.ndarra
     return vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
 
 
+def encoder_model(encode: Callable[[list[str]], list[list[int]]], forward: Callable[[np.ndarray, np.ndarray], np.ndarray], how: str = "mean", most: int = MOST_TOKENS) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder of a token encoder and a forward pass (ids, mask) -> token vectors: texts are cut at the model's limit, padded to the batch's longest, pooled and scaled."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        rows = [ids[:most] for ids in encode(texts)]
+        width = max(1, max(map(len, rows), default=1))
+        mask = np.array([[1] * len(r) + [0] * (width - len(r)) for r in rows], np.int64).reshape(-1, width)
+        ids = np.array([[*r, *[0] * (width - len(r))] for r in rows], np.int64).reshape(-1, width)
+        return checked(pooled(np.asarray(forward(ids, mask), np.float64), mask, how).tolist(), len(texts))
+
+    return embed
+
+
+def local_model(folder: str, how: str | None = None) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder of a model folder (tokenizer.json, model.onnx, and its pooling), run in this process."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    tokenizer, session = Tokenizer.from_file(str(Path(folder, "tokenizer.json"))), onnxruntime.InferenceSession(str(Path(folder, "model.onnx")))
+    takes = {i.name for i in session.get_inputs()}
+
+    def forward(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return session.run(None, {k: v for k, v in given.items() if k in takes})[0]
+
+    return encoder_model(lambda texts: [e.ids for e in tokenizer.encode_batch(texts)], forward, how or pooling_of(folder))
+
+
 def checked(vectors: Sequence[Sequence[float]], count: int, width: int | None = None) -> list[list[float]]:
     """Vectors of one batch, scaled to unit length; an error if there are too few, of mixed width, of no length, or not finite."""
     if len(vectors) != count:
@@ -138,7 +172,7 @@ def hashing(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
     def one(text: str) -> list[float]:
         v = np.zeros(width)
         for w in _WORD.findall(text.lower()):
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
             v[h % width] += 1 if h >> 63 else -1
         if not v.any():
             v[0] = 1.0
@@ -181,3 +215,17 @@ def embed(entries: DataFrame, load: Callable[[], Callable[[list[str]], list[list
             yield pd.DataFrame({"id": frame["id"], "vec": checked(found, len(texts))})
 
     return entries.select("id", "text").mapInPandas(run, f"id {dict(entries.dtypes)['id']}, vec array<float>")
+
+
+def load_events(spark: SparkSession, models: dict[str, Callable[[], Callable[[list[str]], list[list[float]]]]], workers: int = 1) -> DataFrame:
+    """(model, type, status, took_ms) of loading each model on so many workers: ok, slow or failed. A failure is a row, no error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in frames:
+            seen = Loaded()
+            for key, load in models.items():
+                with contextlib.suppress(Exception):
+                    seen.get(key, load)
+            yield pd.DataFrame(seen.events)[["model", "type", "status", "took_ms"]]
+
+    return spark.range(0, workers, 1, workers).mapInPandas(run, "model string, type string, status string, took_ms long")
