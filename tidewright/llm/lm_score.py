@@ -12,7 +12,7 @@ over equal keys, and each document's share of the score is added up. Pairs that
 document has go on, as requests for the count of their second word, to the part of that
 word, where the unigram counts of the same hash are. Frequent words, of more than
 1 / HOT of all, are at most HOT many: their counts are broadcast, their pairs are dealt
-by both words, and requests for them are answered on the spot, so no word makes a part
+by the second word or by both, and requests for them are answered on the spot, so no word makes a part
 large. Parts are numbered by words, about PART_WORDS each.
 
 Words are 64-bit hashes of runs without white space, A-Z taken as a-z. A document's id
@@ -45,9 +45,9 @@ HELD = 400_000
 #: Rows whose sums travel in one block, and requests in a block.
 GROUP, MOST_ITEMS = 1024, 100_000
 #: Words of the corpus to a part.
-PART_WORDS = 1_000_000
-#: Bytes of text whose pairs make blocks together.
-CHUNK = 1 << 20
+PART_WORDS = 4_000_000
+#: Words whose pairs make blocks together, about; of a longer document it is all.
+CHUNK_WORDS = 1_200_000
 
 
 def _totals(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -104,17 +104,33 @@ def _unpacked(data: bytes) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
+def _steps(some: np.ndarray) -> bytes:
+    """Sorted distinct values, by what each is more than the one before."""
+    return _packed(np.diff(some, prepend=np.uint64(0)))
+
+
 def _listed(values: np.ndarray) -> tuple[bytes, bytes]:
     """Values, each once, and the place of each in that list."""
     some, at = np.unique(values, return_inverse=True)
-    return _packed(some), _packed(at)
+    return _steps(some), _packed(at)
 
 
 def _cells(values: bytes, places: bytes) -> np.ndarray:
-    return _unpacked(values)[_unpacked(places).astype(np.int64)]
+    return np.cumsum(_unpacked(values), dtype=np.uint64)[_unpacked(places).astype(np.int64)]
+
+
+def _runs(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted values, each once, and how often."""
+    some, n = np.unique(values, return_counts=True)
+    return _steps(some), _packed(n)
 
 
-#: What travels to a part. PAIRS: rows, first and second words, times. ASKED: rows, words, times. COUNTS: words and their counts.
+def _repeated(values: bytes, times: bytes) -> np.ndarray:
+    return np.repeat(np.cumsum(_unpacked(values), dtype=np.uint64), _unpacked(times).astype(np.int64))
+
+
+#: What travels to a part. PAIRS: rows, first words (each with its number of pairs) and second words, times. ASKED: rows, words
+#: (each with its number of requests), times. COUNTS: words and their counts.
 #: To a group of rows go SUMS: rows, pairs that others have, scores; and DOCUMENTS: rows, words, ids, which of them are null.
 PAIRS, ASKED, COUNTS, SUMS, DOCUMENTS = range(5)
 _BLOCK = "part int, chunk long, kind int, rows binary, a binary, a_at binary, b binary, b_at binary, n binary"
@@ -139,47 +155,57 @@ def _asked(row: np.ndarray, word: np.ndarray, n: np.ndarray, parts: int) -> Iter
     row, word, n = row[order], word[order], n[order]
     for p, a, b in _cut(_part(word, parts), parts, MOST_ITEMS):
         first = int(row[a:b].min())
-        words, places = _listed(word[a:b])
-        yield _block(p, first, ASKED, _packed(row[a:b] - first), words, places, n=_packed(n[a:b]))
+        words, times = _runs(word[a:b])
+        yield _block(p, first, ASKED, _packed(row[a:b] - first), words, times, n=_packed(n[a:b]))
+
+
+def _dealt(parts: int, hot: np.ndarray, row: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Words of some rows, in order, to blocks of their pairs and of first words."""
+    begins = np.concatenate(([True], row[1:] != row[:-1]))
+    yield from _asked(row[begins], w[begins], np.ones(int(begins.sum()), np.int64), parts)
+    a, b, r = w[:-1][~begins[1:]], w[1:][~begins[1:]], row[1:][~begins[1:]]
+    if not len(a):
+        return
+    # Pairs of a frequent first word go by their second word, and by both if that is frequent, too.
+    part = _part(a, parts)
+    frequent = np.isin(a, hot)
+    part[frequent] = _part(b[frequent], parts)
+    frequent &= np.isin(b, hot)
+    part[frequent] = _part(mix(a[frequent] ^ mix(b[frequent])), parts)
+    order = np.lexsort((r, b, a, part))
+    a, b, r, part = a[order], b[order], r[order], part[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1]))))
+    n = np.diff(np.concatenate((new, [len(a)])))
+    a, b, r, part = a[new], b[new], r[new], part[new]
+    chunk = int(row[0])
+    for p, x, y in _cut(part, parts):
+        (firsts, times), (seconds, places) = _runs(a[x:y]), _listed(b[x:y])
+        yield _block(p, chunk, PAIRS, _packed(r[x:y] - chunk), firsts, times, seconds, places, _packed(n[x:y]))
 
 
 def _pairs(parts: int, hot: Broadcast) -> Task:
     """(row, doc_id, text) to blocks of pairs, of first words as requests, and of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = hot.value[0]
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
             known = batch.column(1).is_null().to_numpy(zero_copy_only=False)
             doc_ids = batch.column(1).fill_null(0).to_numpy()
-            for first, end, raw, offsets in text_chunks(batch.column(2), CHUNK):
-                chunk = int(ids[first])  # rows of a chunk follow on each other
+            for first, end, raw, offsets in text_chunks(batch.column(2)):
                 w, row = word_hashes(raw, offsets)
-                size = np.bincount(row, minlength=end - first)
-                rows = chunk + np.arange(end - first)
+                words = np.bincount(row, minlength=end - first)
+                rows = ids[first:end]
                 for here in np.split(np.arange(end - first), np.flatnonzero(np.diff(rows // GROUP)) + 1):
-                    yield _block(0, int(rows[here[0]] // GROUP), DOCUMENTS, _packed(rows[here] % GROUP), doc_ids[first + here].astype("<i8").tobytes(), known[first + here].astype(np.uint8).tobytes(), n=_packed(size[here]))
-                if not len(w):
-                    continue
-                begins = np.concatenate(([True], row[1:] != row[:-1]))
-                yield from _asked(chunk + row[begins], w[begins], np.ones(int(begins.sum()), np.int64), parts)
-                a, b, r = w[:-1][~begins[1:]], w[1:][~begins[1:]], row[1:][~begins[1:]]
-                if not len(a):
-                    continue
-                order = np.lexsort((r, b, a))
-                a, b, r = a[order], b[order], r[order]
-                new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1]))))
-                n = np.diff(np.concatenate((new, [len(a)])))
-                a, b, r = a[new], b[new], r[new]
-                part = _part(a, parts)
-                if len(words):
-                    frequent = np.isin(a, words)
-                    part[frequent] = _part(mix(a[frequent] ^ mix(b[frequent])), parts)
-                    order = np.argsort(part, kind="stable")
-                    a, b, r, n, part = a[order], b[order], r[order], n[order], part[order]
-                for p, x, y in _cut(part, parts):
-                    (firsts, first_at), (seconds, second_at) = _listed(a[x:y]), _listed(b[x:y])
-                    yield _block(p, chunk, PAIRS, _packed(r[x:y]), firsts, first_at, seconds, second_at, _packed(n[x:y]))
+                    yield _block(0, int(rows[here[0]] // GROUP), DOCUMENTS, _packed(rows[here] % GROUP), doc_ids[first + here].astype("<i8").tobytes(), known[first + here].astype(np.uint8).tobytes(), n=_packed(words[here]))
+                if len(w):
+                    held.append((rows[row], w))
+                    size += len(w)
+                if size >= CHUNK_WORDS:
+                    yield from _dealt(parts, hot.value[0], *map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield from _dealt(parts, hot.value[0], *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -211,12 +237,14 @@ def _score(parts: int, hot: Broadcast) -> Task:
         words, count, context, total = hot.value
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for i, kind in enumerate(batch.column(2).to_pylist()):
-                if kind != PAIRS:
-                    yield batch.slice(i, 1)
-                    continue
-                chunk, rows, a, a_at, b, b_at, n = (batch.column(c)[i].as_py() for c in (1, 3, 4, 5, 6, 7, 8))
-                held.append((chunk + _unpacked(rows).astype(np.int64), _cells(a, a_at), _cells(b, b_at), _unpacked(n).astype(np.int32)))
+            kinds = batch.column(2).to_pylist()
+            pass_by = pa.array([k != PAIRS for k in kinds])
+            if pass_by.true_count:
+                yield batch.filter(pass_by)
+            for i, kind in enumerate(kinds):
+                if kind == PAIRS:
+                    chunk, rows, a, a_at, b, b_at, n = (batch.column(c)[i].as_py() for c in (1, 3, 4, 5, 6, 7, 8))
+                    held.append((chunk + _unpacked(rows).astype(np.int64), _repeated(a, a_at), _cells(b, b_at), _unpacked(n).astype(np.int32)))
         if not held:
             return
         row, a, b, n = map(np.concatenate, zip(*held, strict=True))
@@ -245,17 +273,24 @@ def _score(parts: int, hot: Broadcast) -> Task:
 
 
 def _answer(total: int) -> Task:
-    """Requests for words, and the unigram counts of the same part, to scores."""
+    """Requests for words, and the unigram counts of the same part, to scores. Other blocks pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, counted = [], []
         for batch in batches:
-            for i, kind in enumerate(batch.column(1).to_pylist()):
+            kinds = batch.column(1).to_pylist()
+            pass_by = pa.array([k not in (ASKED, COUNTS) for k in kinds])
+            if pass_by.true_count:
+                others = batch.filter(pass_by)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(others), np.int32)), *others.columns], names=_NAMES)
+            for i, kind in enumerate(kinds):
+                if pass_by[i].as_py():
+                    continue
                 chunk, rows, a, a_at, n = (batch.column(c)[i].as_py() for c in (0, 2, 3, 4, 7))
                 if kind == COUNTS:
                     counted.append((_unpacked(a), _unpacked(n)))
                 else:
-                    asked.append((chunk + _unpacked(rows).astype(np.int64), _cells(a, a_at), _unpacked(n).astype(np.int32)))
+                    asked.append((chunk + _unpacked(rows).astype(np.int64), _repeated(a, a_at), _unpacked(n).astype(np.int32)))
         if not asked:
             return
         words, counts = map(np.concatenate, zip(*counted, strict=True))
@@ -327,8 +362,10 @@ def score(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame
     order = np.argsort(hot_words.view(np.uint64))
     hot = spark.sparkContext.broadcast((hot_words.view(np.uint64)[order], n[order], (n - ends)[order], total))
     sent = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(frugal(_pairs(parts, hot)), _BLOCK)
-    scored = cut(sent.repartitionById(parts, "part").mapInArrow(frugal(_score(parts, hot)), _BLOCK), "pairs")
+    scored = sent.repartitionById(parts, "part").mapInArrow(frugal(_score(parts, hot)), _BLOCK)
     counts = words.select("word", "n").mapInArrow(frugal(_counts(parts)), _BLOCK)
-    asked = scored.where(F.col("kind") == ASKED).unionByName(counts).repartitionById(parts, "part").drop("part").mapInArrow(frugal(_answer(total)), _BLOCK)
-    sums = scored.where(F.col("kind") != ASKED).unionByName(asked).drop("part").repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(frugal(_collect), "doc_id long, n_words long, n_seen long, log_score double")
+    # Sums and documents pass by what answers the requests, in parts of their own.
+    dealt = scored.withColumn("part", F.when(F.col("kind") == ASKED, F.col("part")).otherwise(F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int")))
+    answered = dealt.unionByName(counts).repartitionById(parts, "part").drop("part").mapInArrow(frugal(_answer(total)), _BLOCK)
+    sums = answered.drop("part").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(frugal(_collect), "doc_id long, n_words long, n_seen long, log_score double")
     return sums.select("doc_id", "n_words", "n_seen", F.round("log_score", 6).alias("log_score"), F.round(F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0)), 6).alias("mean_log_score"))
