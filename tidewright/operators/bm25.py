@@ -2,10 +2,11 @@
 
 Entries are dealt by the hash of their id to buckets of about BUCKET; within one they are
 numbered in the order of their ids. A posting row holds all of a term's entries of one
-bucket. A batch of queries is scored bucket by bucket: the rows of asked terms are added
-up in an array of queries by entries, and the k best of each query go on, so what is
-shuffled at the end is k rows a query and bucket, and no query meets more than the rows
-of its terms. Kinds have statistics of their own and are never compared."""
+bucket, with what scoring needs of them. A batch of queries reads the rows of its terms
+alone and is scored bucket by bucket: rows are added up in an array of queries by
+entries, and the k best of each query go on, so what is shuffled is the rows of asked
+terms and k rows a query and bucket. Kinds have statistics of their own and are never
+compared."""
 
 from __future__ import annotations
 
@@ -24,15 +25,14 @@ from tidewright.workers import files, reach, shared_dir
 # Fixed values.
 K1, B = 0.9, 0.4
 #: Entries of a bucket, queries that are asked at once, and asked terms up to which the files are searched for just these.
-BUCKET, GROUP, FEW_TERMS = 1024, 2048, 200
+BUCKET, GROUP, FEW_TERMS = 1024, 4096, 200
 
 
 @dataclass
 class Index:
-    """postings (kind, bucket, term, ords, tfs), entries (kind, bucket, ids, dls), terms (kind, term, df), stats (kind, n, avgdl)."""
+    """postings (kind, bucket, term, ords, tfs, dls, ids), terms (kind, term, df), stats (kind, n, avgdl)."""
 
     postings: DataFrame
-    entries: DataFrame
     terms: DataFrame
     stats: DataFrame
 
@@ -41,7 +41,7 @@ class Index:
         spark = self.postings.sparkSession
         target, system = files(spark, path)
         made, _ = files(spark, f"{path}.{np.random.default_rng().integers(2**60):x}")
-        tables = (("postings", self.postings.sortWithinPartitions("term")), ("entries", self.entries), ("terms", self.terms), ("stats", self.stats))
+        tables = (("postings", self.postings.sortWithinPartitions("term")), ("terms", self.terms), ("stats", self.stats))
         for name, table in tables:
             table.write.parquet(f"{made}/{name}")
         if system.exists(target):  # only for as long as it takes to rename is there none
@@ -52,7 +52,7 @@ class Index:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "entries", "terms", "stats")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
 
 
 def _kinds(corpus: DataFrame) -> DataFrame:
@@ -70,14 +70,13 @@ def bags(corpus: DataFrame, analyse=usage_tokens, entries: int | None = None) ->
 
 def index_of(placed: DataFrame) -> Index:
     """Index of bags."""
-    listed = placed.groupBy("kind", "bucket").agg(F.sort_array(F.collect_list(F.struct("ord", "id", "dl"))).alias("e"))
-    found = listed.select("kind", "bucket", F.transform("e", lambda e: e["id"]).alias("ids"), F.transform("e", lambda e: e["dl"]).alias("dls"))
-    each = placed.select("kind", "bucket", "ord", F.explode("tokens").alias("term")).groupBy("kind", "bucket", "term", "ord").agg(F.count("*").cast("int").alias("tf"))
-    rows = each.groupBy("kind", "bucket", "term").agg(F.sort_array(F.collect_list(F.struct("ord", "tf"))).alias("p"))
-    postings = rows.select("kind", "bucket", "term", F.transform("p", lambda p: p["ord"]).alias("ords"), F.transform("p", lambda p: p["tf"]).alias("tfs"))
+    each = placed.select("kind", "bucket", "ord", "id", "dl", F.explode("tokens").alias("term")).groupBy("kind", "bucket", "term", "ord").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.first("id").alias("id"))
+    rows = each.groupBy("kind", "bucket", "term").agg(F.sort_array(F.collect_list(F.struct("ord", "tf", "dl", "id"))).alias("p"))
+    # A field of an array of structs is an array.
+    postings = rows.select("kind", "bucket", "term", *(F.col(f"p.{c}").alias(f"{c}s") for c in ("ord", "tf", "dl", "id")))
     stats = placed.groupBy("kind").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = each.groupBy("kind", "term").agg(F.count("*").alias("df"))
-    return Index(postings, found, terms, stats)
+    return Index(postings, terms, stats)
 
 
 def build(corpus: DataFrame, analyse=usage_tokens) -> Index:
@@ -109,44 +108,56 @@ def kept(corpus: DataFrame, analyse=usage_tokens, analyser: str = "usage") -> In
     return made
 
 
-def _scorer(asked: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]], average: dict[str, float], queries: list, k: int, digits: int, schema: pa.Schema):
-    """Rows of one bucket after another, entries first, to the k best of each query."""
+class _Bucket:
+    """Scores of a batch of queries for the entries of one bucket."""
+
+    def __init__(self, kind: str, queries: int) -> None:
+        self.kind, self.cells = kind, []
+        self.score, self.cell, self.place = np.zeros((queries, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray, weight: np.ndarray, ords: np.ndarray, part: np.ndarray, ids: pa.Array) -> None:
+        if (need := int(ords[-1]) + 1 - len(self.cell)) > 0:  # ords ascend
+            more = max(need, len(self.cell), BUCKET)
+            self.score = np.pad(self.score, ((0, 0), (0, more)))
+            self.cell, self.place = np.pad(self.cell, (0, more)), np.pad(self.place, (0, more))
+        self.score[at[:, None], ords] += weight[:, None] * part
+        self.cell[ords], self.place[ords] = len(self.cells), np.arange(len(ords))
+        self.cells.append(ids)
 
-    def best(kind: str, ids: np.ndarray, score: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def best(self, queries: list, k: int, digits: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         at, entry, value = [], [], []
-        for q in np.flatnonzero(score.any(axis=1)).tolist():
-            some = np.flatnonzero(score[q])
-            s = np.round(score[q, some], digits)
+        for q in np.flatnonzero(self.score.any(axis=1)).tolist():
+            some = np.flatnonzero(self.score[q])
+            s = np.round(self.score[q, some], digits)
             if len(some) > k:
                 least = np.partition(s, len(s) - k)[len(s) - k]
                 some, s = some[s >= least], s[s >= least]
             order = np.argsort(-s, kind="stable")[:k]  # of equals the first id
             at += [q] * len(order)
-            entry.append(some[order])
+            entry += some[order].tolist()
             value.append(s[order])
         if at:
-            entry = np.concatenate(entry)
-            yield pa.RecordBatch.from_arrays([pa.array([queries[q] for q in at], schema.field(0).type), pa.array([kind] * len(at), pa.string()), ids.take(pa.array(entry)), pa.array(np.concatenate(value))], schema=schema)
+            ids = pa.concat_arrays([self.cells[self.cell[e]].slice(int(self.place[e]), 1) for e in entry])
+            yield pa.RecordBatch.from_arrays([pa.array([queries[q] for q in at], schema.field(0).type), pa.array([self.kind] * len(at), pa.string()), ids, pa.array(np.concatenate(value))], schema=schema)
+
+
+def _scorer(asked: dict[str, dict[str, tuple[np.ndarray, np.ndarray]]], average: dict[str, float], queries: list, k: int, digits: int, schema: pa.Schema):
+    """Posting rows of one bucket after another to the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = ids = dls = score = None
+        here, made = None, None
         for batch in batches:
-            for i, term in enumerate(batch.column(2).to_pylist()):
-                if term is None:
-                    if score is not None:
-                        yield from best(kind, ids, score)
-                    kind, ids = batch.column(0)[i].as_py(), batch.column(3)[i].values
-                    dls = batch.column(4)[i].values.to_numpy() / (average[kind] or 1.0)
-                    score = np.zeros((len(queries), len(ids)))
-                    continue
-                if term not in asked[kind]:
-                    continue
-                at, weight = asked[kind][term]
-                ords, tf = batch.column(4)[i].values.to_numpy(), batch.column(5)[i].values.to_numpy().astype(float)
-                part = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dls[ords]))
-                score[at[:, None], ords] += weight[:, None] * part
-        if score is not None:
-            yield from best(kind, ids, score)
+            for i, (kind, bucket, term) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if (kind, bucket) != here:
+                    if made is not None:
+                        yield from made.best(queries, k, digits, schema)
+                    here, made = (kind, bucket), _Bucket(kind, len(queries))
+                if term in asked[kind]:
+                    ords, tf, dl, ids = (batch.column(c)[i].values for c in range(3, 7))
+                    tf, dl = tf.to_numpy().astype(float), dl.to_numpy() / (average[kind] or 1.0)
+                    made.add(*asked[kind][term], ords.to_numpy(), tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * dl)), ids)
+        if made is not None:
+            yield from made.best(queries, k, digits, schema)
 
     return run
 
@@ -160,7 +171,7 @@ def search(index: Index, queries: DataFrame, k: int, analyse=usage_tokens, digit
     words = queries.select("query_id", F.explode(analyse(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     asked = words.toArrow()
     names, terms, times = (asked.column(c).to_pylist() for c in ("query_id", "term", "qf"))
-    id_type, query_type = index.entries.schema["ids"].dataType.elementType, queries.schema["query_id"].dataType
+    id_type, query_type = index.postings.schema["ids"].dataType.elementType, queries.schema["query_id"].dataType
     out = f"query_id {query_type.simpleString()}, kind string, id {id_type.simpleString()}, score double"
     distinct = sorted(set(terms))
     every = sorted(set(names), key=str)
@@ -174,9 +185,7 @@ def search(index: Index, queries: DataFrame, k: int, analyse=usage_tokens, digit
     stats = {r["kind"]: (r["n"], r["avgdl"]) for r in index.stats.collect()}  # a row a kind
     found = known.toArrow()  # asked terms only
     idf = {(kind, t): float(np.log(1.0 + (stats[kind][0] - df + 0.5) / (df + 0.5))) for kind, t, df in zip(*(found.column(c).to_pylist() for c in ("kind", "term", "df")), strict=True)}
-    heads = index.entries.select("kind", "bucket", F.lit(None).cast("string").alias("term"), "ids", "dls", F.lit(None).cast("array<int>").alias("tfs"))
-    lines = some.select("kind", "bucket", "term", F.lit(None).cast(index.entries.schema["ids"].dataType).alias("ids"), F.col("ords").alias("dls"), "tfs")
-    dealt = heads.unionByName(lines).repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("term").asc_nulls_first())
+    dealt = some.select("kind", "bucket", "term", "ords", "tfs", "dls", "ids").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "term")
     schema = pa.schema([("query_id", asked.schema.field("query_id").type), ("kind", pa.string()), ("id", _arrow(id_type)), ("score", pa.float64())])
     parts = None
     for g in range(0, len(every), GROUP):
