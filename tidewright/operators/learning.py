@@ -90,18 +90,20 @@ class Assigner:
     def __init__(self) -> None:
         self.alive: list[_Cluster] = []
         self.bags: dict[str, dict[tuple[int, str], tuple[_Cluster, frozenset[str]]]] = {}
-        self.newest = self.taken = self.births = 0
+        self.newest = self.taken = self.births = self.oldest = 0  # none was used before `oldest`
         self.model: str | None = None
+        self.tables: dict[int, tuple[list[_Cluster], np.ndarray, np.ndarray]] = {}  # centroids by width, until one changes
 
     def _closest(self, vector: np.ndarray) -> _Cluster | None:
-        some = [c for c in self.alive if c.centroid is not None and len(c.centroid) == len(vector)]
-        if not some:
-            return None
-        table = np.array([c.centroid for c in some])
-        size = np.linalg.norm(table, axis=1) * float(np.linalg.norm(vector))
+        if len(vector) not in self.tables:
+            some = [c for c in self.alive if c.centroid is not None and len(c.centroid) == len(vector)]
+            table = np.array([c.centroid for c in some]).reshape(len(some), len(vector))
+            self.tables[len(vector)] = some, table, np.linalg.norm(table, axis=1)
+        some, table, norms = self.tables[len(vector)]
+        size = norms * float(np.linalg.norm(vector))
         cosine = np.divide(table @ vector, size, out=np.zeros(len(some)), where=size > 0)
-        score, _, best = min(((-s, c.name, c) for s, c in zip(cosine.tolist(), some, strict=True)), key=lambda x: x[:2])
-        return best if -score >= DENSE_LEAST else None
+        near = np.flatnonzero(cosine >= max(DENSE_LEAST, cosine.max(initial=0.0)))
+        return min((some[i] for i in near), key=lambda c: c.name, default=None)
 
     def _alike(self, words: frozenset[str]) -> _Cluster | None:
         """The cluster with a member of at least half the words in common. Such a member has one of the rarest words, as many as it may lack and one more."""
@@ -135,11 +137,13 @@ class Assigner:
         if fresh:
             self.births += 1
             cluster = _Cluster(1 + max((c.number for c in self.alive), default=0), self.births, 0)
+            self.oldest = min(self.oldest, ts)
             self.alive.append(cluster)
         cluster.last = max(cluster.last, ts)
         if query not in cluster.members:
             self._list(cluster, query, words)
             if own is not None:
+                self.tables.clear()
                 if cluster.centroid is None or len(cluster.centroid) != len(own):
                     cluster.centroid, cluster.folded = _unit(own), 1
                 else:
@@ -148,10 +152,13 @@ class Assigner:
                 self._unlist(cluster, text)
         if self.model is None and cluster.centroid is not None:
             self.model = model
-        for old in [c for c in self.alive if self.newest - c.last > _OLD_MS]:
-            self.alive.remove(old)
-            for text in list(old.members):
-                self._unlist(old, text)
+        if self.newest - self.oldest > _OLD_MS:
+            for old in [c for c in self.alive if self.newest - c.last > _OLD_MS]:
+                self.tables.clear()
+                self.alive.remove(old)
+                for text in list(old.members):
+                    self._unlist(old, text)
+            self.oldest = min((c.last for c in self.alive), default=self.newest)
         self.taken += 1
         return cluster, fresh
 
