@@ -343,7 +343,7 @@ HASH_EMBEDDING = f"""
 WITH w AS (SELECT p_partkey AS id, unnest(regexp_extract_all(lower('{embedders.DEFAULT_QUERY_PREFIX}' || p_name || ' ' || p_type), '[a-z0-9]+')) AS w FROM part),
 h AS (SELECT id, (16 * (instr('0123456789abcdef', substring(md5(w), 15, 1)) - 1) + instr('0123456789abcdef', substring(md5(w), 16, 1)) - 1) % 64 AS b, CASE WHEN substring(md5(w), 1, 1) >= '8' THEN 1e0 ELSE -1e0 END AS s FROM w),
 v AS (SELECT id, b, sum(s) AS x FROM h GROUP BY id, b), n AS (SELECT id, sqrt(sum(x * x)) AS l FROM v GROUP BY id)
-SELECT id, round(CASE WHEN l = 0 THEN 1e0 ELSE sum((b + 1) * x) / l END, 4) AS total FROM v JOIN n USING (id) GROUP BY id, l"""
+SELECT id, round(CASE WHEN l = 0 THEN 1e0 ELSE sum((b + 1) * CAST(CAST(x / l AS FLOAT) AS DOUBLE)) END, 4) AS total FROM v JOIN n USING (id) GROUP BY id, l"""
 
 
 def embedder_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
