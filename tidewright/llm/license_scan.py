@@ -22,6 +22,8 @@ each; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,12 +302,31 @@ def pattern() -> str:
     return f"(?:\\b(?:{_LEAD}|{_SPDX})|\\G{_GAP}{_MORE}){names}\\b|\\b(?:{_ENDORSE}|{heads}|{_words(_trie([*_PHRASES], ' '))})\\b"
 
 
+def _anchors() -> list[str]:
+    """Words of which every text with a match has one: found by taking the word that most of the phrases left have."""
+    left = [set(p.split(" ")) for p in (*_PHRASES, *_HEADS, *map(normal, TITLES))]
+    found = ["under", "spdx", "neither"]  # of notices, identifiers and the endorsement clause
+    while left := [p for p in left if not any(a in w for a in found for w in p)]:
+        counts: dict[str, int] = {}
+        for p in left:
+            for w in p:
+                counts[w] = counts.get(w, 0) + 1
+        found.append(max((w for w in counts if w.isalpha()), key=lambda w: (len(w) > 5, counts[w], len(w), w)))  # long words are rarer in other texts
+    return found
+
+
+ANCHORS = _anchors()
+
+
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: keep, sentences (identifiers in order), licenses (names, in order of the rules), each an array."""
-    low = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"([0-9])\+", "$1 or later ")
-    lines = F.regexp_replace(low, r"(?<=[.;:!?])\s+|[\r\n]+", "\n")
-    clean = F.regexp_replace(F.regexp_replace(lines, "[^a-z0-9\n]+", " "), " *\n[ \n]*", "\n")
-    met = docs.select(*keep, F.regexp_extract_all(F.trim(clean), F.lit(pattern()), F.lit(0)).alias("_m"))
+    told = docs.select(*keep, F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("_l"))
+    # Only texts with an anchor are normalised and searched. Anchors are single words of letters, which normalising neither makes nor breaks.
+    some = reduce(or_, (F.col("_l").contains(a) for a in ANCHORS))
+    later = F.regexp_replace("_l", r"([0-9])\+", "$1 or later ")
+    lines = F.regexp_replace(later, r"(?<=[.;:!?])\s+|[\r\n]+", "\n")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(lines, "[^a-z0-9\n]+", " "), " *\n[ \n]*", "\n"))
+    met = told.select(*keep, F.when(some, F.regexp_extract_all(clean, F.lit(pattern()), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_m"))
     phrases = {**{normal(t): n for n, t in SENTENCES.items()}, **_PHRASES, **_HEADS, **{normal(t): f"title_{x}" for t, x in TITLES.items()}}
     table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair))
     exact, notice = table({t: _NUMBER[n] for t, n in phrases.items()}), table({t: _NUMBER[n] for t, n in _NAMES.items()})
