@@ -167,14 +167,23 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(word & after) + 1
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a text on, as a number; zeros follow the text."""
+    return np.ndarray(len(raw) + 1, "<u8", np.concatenate((raw, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def first_bytes(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span, or all of a shorter one and zeros."""
+    return _eights(raw)[starts] & _FIRST[np.minimum(size, 8)]
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span: eight at a time, each eight mixed into what is before them."""
     size = ends - starts
     h = mix(size.astype(np.uint64) + np.uint64(0x5EED71DE))
     if not len(starts):
         return h
-    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
-    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    eights = _eights(raw)
     h = mix(h ^ (eights[starts] & _FIRST[np.minimum(size, 8)]))
     rest, at = np.flatnonzero(size > 8), 8
     while len(rest) and at < LONG_WORD:

@@ -30,20 +30,23 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.shared import KEPT, Task, bound_batches, frugal, scratch_path, shuffle_partitions, span_hashes, text_chunks, word_bounds
+from tidewright.llm.shared import KEPT, Task, bound_batches, first_bytes, frugal, scratch_path, shuffle_partitions, span_hashes, text_chunks, word_bounds
 
 MAGIC = b"TWB1"
 HEADER = struct.Struct("<4sIIQ")
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words whose ids a worker remembers (about 60 MB); beyond that it begins anew.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, and their bytes (about 100 MB in all); beyond that it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
+#: Marks at the end of a word that are looked through; words with more are encoded as they are.
+MOST_MARKS = 16
 #: Ranges that the ids are first cut into are found to within this share of all rows.
 QUANTILE_ERROR = 0.002
 END_ID = 2
@@ -58,7 +61,8 @@ _STRANGE = np.isin(np.arange(256), [9, 11, 12, 13, 28, 29, 30, 31])
 _PAIRS = ((0xC2, (0x85, 0xA0)), (0xE1, (0x9A, 0xA0)), (0xE2, (0x80, 0x81)), (0xE3, (0x80,)))
 
 
-_MARK = np.isin(np.arange(256), list(b".,;:!?"))
+#: Marks: what is printed in ASCII and is no letter or digit.
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 _LETTER = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 
 
@@ -124,6 +128,7 @@ class _Known:
         self.keys, self.place, self.count = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32), 0
         self.text, self.text_at = np.zeros(1 << 18, np.uint8), np.zeros(1 << 16, np.int64)
         self.ids, self.ids_at = np.zeros(1 << 17, np.uint32), np.zeros(1 << 16, np.int64)
+        self.head = np.zeros(1 << 16, np.uint64)  # the first eight bytes of each word
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of hashes, -1 of those that aren't known."""
@@ -148,35 +153,44 @@ class _Known:
             self.place[at[mine]] = places[todo[mine]]
             todo, at = todo[~mine], (at[~mine] + 1) & mask
 
-    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[np.ndarray] | list[list[int]]) -> None:
+    def add(self, hashes: np.ndarray, words: list[bytes], ids: list[list[int]]) -> None:
         """Distinct hashes that aren't known, their words and ids."""
         n, more = self.count, len(words)
         if 2 * (n + more) > len(self.keys):
             kept = np.flatnonzero(self.keys)
             keys, places = self.keys[kept], self.place[kept]
-            size = 1 << (4 * (n + more)).bit_length()
+            size = 1 << (2 * (n + more)).bit_length()
             self.keys, self.place = np.zeros(size, np.uint64), np.zeros(size, np.int32)
             self._enter(keys, places)
-        for name, cells, kind in (("text", [np.frombuffer(b"".join(words), np.uint8)], np.uint8), ("ids", ids, np.uint32)):
-            ends = getattr(self, f"{name}_at")
-            flat = cells[0] if name == "text" else np.array([x for cell in cells for x in cell], kind)
-            size = np.cumsum(np.fromiter(map(len, words if name == "text" else cells), np.int64, more))
-            setattr(self, name, _put(getattr(self, name), int(ends[n]), flat))
-            setattr(self, f"{name}_at", _put(ends, n + 1, ends[n] + size))
+        lengths, sizes = (np.fromiter(map(len, cells), np.int64, more) for cells in (words, ids))
+        text = np.frombuffer(b"".join(words), np.uint8)
+        self.text = _put(self.text, int(self.text_at[n]), text)
+        self.head = _put(self.head, n, first_bytes(text, np.cumsum(lengths) - lengths, lengths))
+        self.ids = _put(self.ids, int(self.ids_at[n]), np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())))
+        self.text_at = _put(self.text_at, n + 1, self.text_at[n] + np.cumsum(lengths))
+        self.ids_at = _put(self.ids_at, n + 1, self.ids_at[n] + np.cumsum(sizes))
         self._enter(hashes, np.arange(n, n + more, dtype=np.int32))
         self.count += more
 
-    def _cells(self, values: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = ends[place + 1] - ends[place]
-        total = np.concatenate(([0], np.cumsum(size)))
-        return values[np.repeat(ends[place] - total[:-1], size) + np.arange(total[-1])], total
-
-    def bytes_of(self, place: np.ndarray) -> np.ndarray:
-        return self._cells(self.text, self.text_at, place)[0]
+    def are(self, place: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which spans of a text are the words at these places, byte for byte: the first eight at once, the rest of longer ones one after another."""
+        size = ends - starts
+        same = (self.text_at[place + 1] - self.text_at[place] == size) & (self.head[place] == first_bytes(raw, starts, size))
+        long = np.flatnonzero(same & (size > 8))
+        if len(long):
+            more = size[long] - 8
+            total = np.concatenate(([0], np.cumsum(more)))
+            here = np.arange(total[-1])
+            mine = raw[np.repeat(starts[long] + 8 - total[:-1], more) + here]
+            equal = mine == self.text[np.repeat(self.text_at[place[long]] + 8 - total[:-1], more) + here]
+            same[long] = np.logical_and.reduceat(equal, total[:-1])
+        return same
 
     def ids_of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of places one after another, and where each begins."""
-        return self._cells(self.ids, self.ids_at, place)
+        size = self.ids_at[place + 1] - self.ids_at[place]
+        total = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[np.repeat(self.ids_at[place] - total[:-1], size) + np.arange(total[-1])], total
 
 
 #: Up to here what Python and the tokenizer hold to be letters doesn't depend on the version of Unicode.
@@ -218,15 +232,20 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Encode words, with the space or line feed before them, if any. Letters alone are one piece to the tokenizer, and its model merges them at once; other words are encoded as texts with a line feed, which is one id, between them."""
-        merge, ids, others = self.tokenizer.model.tokenize, [], []
+        merge, ids, others, space = self.tokenizer.model.tokenize, [], [], chr(_WRITTEN[32])
         for i, w in enumerate(words):
-            head, bare = w[:1], w[1:] if w[:1] in (b" ", b"\n") else w
-            if bare.isalpha() or (text := bare.decode()).isalpha() and max(text) <= _LAST_LATIN:
-                piece = (bare if head == b"\n" else w).decode("latin-1").translate(_WRITTEN)
-                ids.append([self.feed] * (head == b"\n") + [t.id for t in merge(piece)])
+            lead = w[0]
+            bare = w[1:] if lead == 32 or lead == 10 else w
+            if bare.isalpha():  # of bytes: ASCII letters, which are written as they are
+                piece = bare.decode()
+            elif (text := bare.decode()).isalpha() and max(text) <= _LAST_LATIN:
+                piece = bare.decode("latin-1").translate(_WRITTEN)
             else:
                 others.append(i)
                 ids.append([])
+                continue
+            found = [t.id for t in merge(space + piece if lead == 32 else piece)]
+            ids.append([self.feed, *found] if lead == 10 else found)
         for at in range(0, len(others), 512):
             some = others[at : at + 512]
             flat = self.whole(b"".join([words[i].removeprefix(b"\n") + b"\n" for i in some]).decode())
@@ -242,32 +261,35 @@ class Encoder:
         starts, ends = word_bounds(raw, offsets)
         row = np.searchsorted(offsets, starts, side="right") - 1
         led = starts > offsets[row]  # has a space or line feed before it
-        # A mark after a letter is a piece of its own at the end of a word.
-        last, before = raw[np.maximum(ends - 2, 0)], raw[np.maximum(ends - 3, 0)]
-        accented = (ends - starts > 2) & (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
-        tail = np.flatnonzero(_MARK[raw[ends - 1]] & (ends - starts > 1) & (_LETTER[last] | accented))
-        marks = ends[tail] - 1
-        ends[tail] -= 1
-        starts, ends, row, led = np.insert(starts, tail + 1, marks), np.insert(ends, tail + 1, marks + 1), np.insert(row, tail + 1, row[tail]), np.insert(led, tail + 1, False)
+        # Marks after a letter are a piece of their own at the end of a word.
+        body = ends.copy()  # where the marks at the end begin
+        on = np.flatnonzero(_MARK[raw[ends - 1]])
+        for _ in range(MOST_MARKS):
+            body[on] -= 1
+            on = on[body[on] > starts[on]]
+            on = on[_MARK[raw[body[on] - 1]]]
+        body[on] = ends[on]
+        last, before = raw[np.maximum(body - 1, 0)], raw[np.maximum(body - 2, 0)]
+        accented = (body - starts > 1) & (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        tail = np.flatnonzero((body < ends) & (body > starts) & (_LETTER[last] | accented))
+        marks, stops = body[tail], ends[tail]
+        ends[tail] = marks
+        starts, ends, row, led = np.insert(starts, tail + 1, marks), np.insert(ends, tail + 1, stops), np.insert(row, tail + 1, row[tail]), np.insert(led, tail + 1, False)
         begin = starts - led
         h = np.maximum(span_hashes(raw, begin, ends), np.uint64(1))
         place = self.known.find(h)
         new = np.flatnonzero(place < 0)
         if len(new):
-            some, first = np.unique(h[new], return_index=True)
-            first, data = new[first], raw.tobytes()
+            some, first, back = np.unique(h[new], return_index=True, return_inverse=True)
+            first, data, known = new[first], raw.tobytes(), self.known.count
             self._learn(some, [data[a:b] for a, b in zip(begin[first].tolist(), ends[first].tolist(), strict=True)])
-            place[new] = self.known.find(h[new])
+            place[new] = known + back
         ids, total = self.known.ids_of(place)
         cuts = total[np.searchsorted(row, np.arange(len(offsets)))]
         found: list[np.ndarray | None] = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        # The words found, one after another, must be the text itself.
-        if not np.array_equal(self.known.bytes_of(place), raw):
-            data = raw.tobytes()
-            for r, a, b, p in zip(row.tolist(), begin.tolist(), ends.tolist(), place.tolist(), strict=True):
-                if data[a:b] != self.known.text[self.known.text_at[p] : self.known.text_at[p + 1]].tobytes():
-                    found[r] = None
-        if self.known.count > REMEMBERED:
+        for r in row[~self.known.are(place, raw, begin, ends)].tolist():
+            found[r] = None
+        if self.known.count > REMEMBERED or self.known.text_at[self.known.count] > REMEMBERED_BYTES:
             self.known = _Known()
         return found
 
