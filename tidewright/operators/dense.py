@@ -27,12 +27,12 @@ class ModelMismatch(ValueError):
 
 
 def guard(vectors: DataFrame, queries: DataFrame, model: str | None = None, built_with: str | None = None) -> None:
-    """Refuse a search by another model, or another width, than the vectors were built with. Known widths: one row each side."""
+    """Refuse a search by another model, or another width, than the vectors were built with. One vector tells their width: that all have one is checked when they are built (validate(), rebuild())."""
     if model is not None and built_with is not None and model != built_with:
         raise ModelMismatch(f"vectors are of model {built_with}, the query of {model}")
-    ours = [r[0] for r in vectors.select(F.size("vec").alias("n")).where("n > 0").distinct().limit(2).collect()]
+    ours = [r[0] for r in vectors.select(F.size("vec").alias("n")).where("n > 0").limit(1).collect()]
     theirs = [r[0] for r in queries.select(F.size("qvec").alias("n")).where("n > 0").distinct().limit(2).collect()]
-    if ours and theirs and (len(ours) > 1 or ours != theirs):
+    if ours and theirs and ours != theirs:
         raise ModelMismatch(f"vectors are of {ours} dimensions, queries of {theirs}")
 
 
