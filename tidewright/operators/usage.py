@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import vectors as V
 from tidewright.functions.text import usage_token_set
+from tidewright.operators import dense
 from tidewright.operators.ranking import ranked
 
 # Fixed values.
@@ -63,10 +64,19 @@ def lexical_match(queries: DataFrame, members: DataFrame) -> DataFrame:
     return best(lexical_scores(queries, members), LEXICAL_LEAST)
 
 
+def _unit(vec: Column) -> Column:
+    length = V.norm(vec)
+    return F.transform(vec, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+
+
 def dense_match(queries: DataFrame, intents: DataFrame, digits: int = 9) -> DataFrame:
-    """By full cosine with centroids of equal width. queries: (query_id, qvec); intents: (intent_id, centroid), few by nature of a graph."""
-    pairs = queries.join(F.broadcast(intents.where("centroid is not null")), F.size("qvec") == F.size("centroid"))
-    return best(pairs.select("query_id", "intent_id", F.round(V.cosine(F.col("qvec"), F.col("centroid")), digits).alias("score")), DENSE_LEAST)
+    """By full cosine with centroids of equal width. queries: (query_id, qvec); intents: (intent_id, centroid).
+
+    Products of unit vectors, matrix by matrix; centroids of another width are a kind that isn't asked."""
+    held = intents.where("centroid is not null").select(F.col("intent_id").alias("id"), _unit(F.col("centroid")).alias("vec"), F.size("centroid").cast("string").alias("kind"))
+    asked = queries.where("qvec is not null").select("query_id", _unit(F.col("qvec")).alias("qvec"))
+    found = dense.search(held, asked, 1, digits).join(asked.select("query_id", F.size("qvec").cast("string").alias("kind")), ["query_id", "kind"])
+    return best(found.select("query_id", F.col("id").alias("intent_id"), "score"), DENSE_LEAST)
 
 
 def edge_ranking(edges: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -90,11 +100,11 @@ def serve_match(queries: DataFrame, intents: DataFrame, members: DataFrame, edge
     Of what isn't armed a report of drift comes before none."""
     has_centroid = intents.where("centroid is not null").select("intent_id")
     any_centroid = not has_centroid.isEmpty()
-    dense = queries.where("qvec is not null") if any_centroid else queries.limit(0)
-    lexical = queries.join(dense.select("query_id"), "query_id", "left_anti")
-    first = outcomes(dense_match(dense, intents), edges, catalog, dense).withColumn("tier", F.lit("dense"))
+    seen = queries.where("qvec is not null") if any_centroid else queries.limit(0)
+    lexical = queries.join(seen.select("query_id"), "query_id", "left_anti")
+    first = outcomes(dense_match(seen, intents), edges, catalog, seen).withColumn("tier", F.lit("dense"))
     free = members.join(has_centroid, "intent_id", "left_anti")
-    unarmed = dense.join(first.where("outcome = 'armed'").select("query_id"), "query_id", "left_anti")
+    unarmed = seen.join(first.where("outcome = 'armed'").select("query_id"), "query_id", "left_anti")
     fall = outcomes(lexical_match(unarmed, free), edges, catalog, unarmed).withColumn("tier", F.lit("lexical"))
     plain = outcomes(lexical_match(lexical, members), edges, catalog, lexical).withColumn("tier", F.lit("lexical"))
     rank = F.when(F.col("outcome") == "armed", 0).when(F.col("outcome") == "all_filtered", 1).otherwise(2)
