@@ -23,7 +23,7 @@ _MIX_B = np.uint64(0x94D049BB133111EB)
 #: Bytes of text that one vectorised step handles; a longer document makes a step of its own.
 CHUNK_BYTES = 1 << 18
 #: Bytes of a batch of rows that goes to Python at most, unless one row has more.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Words beyond this many bytes are hashed one by one.
 LONG_WORD = 256
 

@@ -43,8 +43,8 @@ MAGIC = b"TWB1"
 HEADER = struct.Struct("<4sIIQ")
 #: Ids in a block, unless one document has more.
 BLOCK = 1 << 16
-#: Words whose ids a worker remembers, and their bytes (about 100 MB in all); beyond that it begins anew.
-REMEMBERED, REMEMBERED_BYTES = 1_000_000, 32 << 20
+#: Words whose ids a worker remembers, and their bytes (about 50 MB in all); beyond that it begins anew.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 16 << 20
 #: Marks at the end of a word that are looked through; words with more are encoded as they are.
 MOST_MARKS = 16
 #: Ranges that the ids are first cut into are found to within this share of all rows.
