@@ -769,6 +769,20 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_stages_begin_without_garbage(spark, docs, texts, tmp_path):
+    """Each stage has the executors' JVMs (here the session's own) collect all their garbage, as they otherwise grow to their whole heap."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs.limit(20).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(x.getCollectionCount() for x in collectors() if "Old" in x.getName() or "MarkSweep" in x.getName())
+    for name, stage in pipeline.STAGES:
+        before = whole()
+        stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert whole() > before, name
+
+
 def test_queries_equal_their_sql(spark, small):
     duckdb = pytest.importorskip("duckdb")
     from pathlib import Path

@@ -116,6 +116,12 @@ def frugal(run: Task, keeps: str = "") -> Task:
     return task
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have executors collect all garbage: left alone, a JVM collects the young alone and grows to its whole heap, beside its own memory and the Python workers'. One task a core, so every idle executor has some; requests that wait for a collection are served by it. Nothing happens where -XX:+DisableExplicitGC is set."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
