@@ -7,3 +7,21 @@ def test_written_index_answers_as_a_fresh_one(spark, small, tmp_path):
     written = fresh.write(str(tmp_path / "index"))
     rows = lambda i: sorted(map(tuple, bm25.search(i, inputs.asked(spark), 5).collect()))
     assert rows(fresh) == rows(written)
+
+
+def test_a_task_returns_the_best_of_all_its_buckets(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "BUCKET", 4)
+    monkeypatch.setattr(bm25, "PRODUCTS", 8)
+    docs = spark.createDataFrame([(i, f"common pear{i % 3} w{i}" + " common" * (i % 5)) for i in range(200)], "id long, text string")
+    asked = spark.createDataFrame([(q, f"common pear{q % 3} w{q} w{q}") for q in range(7)], "query_id long, text string")
+    index, parts = bm25.build(docs), []
+    keep = bm25.top
+    monkeypatch.setattr(bm25, "top", lambda hits, by, k: parts.append(hits) or keep(hits, by, k))
+    whole = sorted(map(tuple, bm25.search(index, asked, 3).collect()))
+    assert len(whole) == 7 * 3 and [r for r in whole if r[4] == 0] == [r for r in whole if r[2] == r[0]]
+    tasks = parts[0].rdd.getNumPartitions()
+    assert parts[0].count() <= 7 * 3 * tasks < 7 * 3 * 50  # there are 50 buckets
+    monkeypatch.setattr(bm25, "GROUP", 2)
+    assert sorted(map(tuple, bm25.search(index, asked, 3).collect())) == whole
+    rows = index.postings.where("term is not null")
+    assert rows.count() and rows.where("ids is not null or dls is not null").count() == 0  # a bucket names its entries once
