@@ -12,7 +12,7 @@ from tidewright.plans.inputs import table
 from tidewright.plans.retrieval import _ASKED, sql_bm25
 from tidewright.plans.usage import _BUCKETS, _GRAPH, _PAIRS, _TRACE, _capabilities, _graph
 from tidewright.sources import embedders, sanitise, tracelog
-from tidewright.workers import shared_dir
+from tidewright.workers import settled, shared_dir
 
 
 def live_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ def _tiers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     v = inputs.vectors(spark, sf_dir)
     pair = F.floor(F.col("id") / 2).cast("long")
     centroids = dense.rebuild_centroids(v.select(pair.alias("cluster"), "id"), v.select("id", "vec")).select(F.col("cluster").alias("intent_id"), F.when(F.col("cluster") % 3 > 0, F.col("centroid")).alias("centroid"))
+    centroids = settled(centroids, "centroids")  # all of intents, members and edges are made of them
     intents = centroids.select("intent_id", (F.col("intent_id") % 5).alias("support"), F.lit(0).cast("long").alias("last_ts"), "centroid")
     members = intents.select("intent_id", F.concat(F.lit("alpha"), F.col("intent_id").cast("string"), F.lit(" beta"), F.col("intent_id").cast("string")).alias("text"))
     edges = intents.select("intent_id", F.lit("tool").alias("kind"), F.when(F.col("intent_id") % 2 == 0, "known").otherwise("gone").alias("capability_id"), F.lit(1.0).alias("weight"))
