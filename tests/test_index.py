@@ -1,4 +1,4 @@
-from tidewright.operators import bm25
+from tidewright.operators import bm25, dense
 from tidewright.plans import inputs
 
 
@@ -25,3 +25,24 @@ def test_a_task_returns_the_best_of_all_its_buckets(spark, monkeypatch):
     assert sorted(map(tuple, bm25.search(index, asked, 3).collect())) == whole
     rows = index.postings.where("term is not null")
     assert rows.count() and rows.where("ids is not null or dls is not null").count() == 0  # a bucket names its entries once
+
+
+def test_dense_groups_read_vectors_that_are_made_once(spark, monkeypatch):
+    monkeypatch.setattr(dense, "GROUP", 4)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    vecs = [(i, [float(i % 3), float(i % 7), 1.0]) for i in range(200)]  # many equal scores
+    vectors = spark.createDataFrame(vecs, "id long, vec array<double>").mapInArrow(counted, "id long, vec array<double>")
+    queries = [(q, [1.0, float(q % 5) - 2.0, 0.5]) for q in range(20)]
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in dense.search(vectors, spark.createDataFrame(queries, "query_id long, qvec array<double>"), 3).collect()}
+    assert made.value == 200
+    wanted = {}
+    for q, a in queries:
+        best = sorted((-round(sum(x * y for x, y in zip(a, v, strict=True)), 6), i) for i, v in vecs)[:3]
+        wanted |= {(q, n): (i, -s) for n, (s, i) in enumerate(best)}
+    assert got == wanted

@@ -17,6 +17,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def scaled(a: Column) -> Column:
+    """Of unit length, in double precision; zeros stay. The length is worked out once a vector, not once a component: it is no part of the lambda."""
+    return F.zip_with(a, F.array_repeat(norm(a), F.size(a)), lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Normalised dot product; 0 if either has no length."""
     na, nb = norm(a), norm(b)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import vectors as V
+from tidewright.operators.held import BLOCK, Held
 from tidewright.operators.ranking import top
-from tidewright.workers import files, reach
+from tidewright.workers import files, reach, settled
 
-#: Queries that are sent to every task at once, about; more are searched group by group. Rows and queries that one product takes.
-GROUP, ROWS, COLUMNS = 4096, 2048, 512
+#: Queries that are sent to every task at once, about; more are searched group by group. Rows that one product takes, and queries from which rows are dealt to all cores.
+GROUP, ROWS, MANY = 65536, 2048, 1024
 
 
 class EmbeddingsNotBuilt(ValueError):
@@ -45,46 +46,56 @@ def model_events(vectors: DataFrame, model: str, dim: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, kind, id, score, rank): the k best of each query and kind by dot product over the shorter width. The whole corpus is ranked, then cut.
 
-    vectors (id, vec[, kind]), queries (query_id, qvec). Queries are a bounded set by nature (what users ask at
-    once); each group of about GROUP is sent to every task, which returns its k best a query and kind."""
-    reach(vectors.sparkSession)
+    vectors (id, vec[, kind]), queries (query_id, qvec). Each group of about GROUP queries is sent to every task, which
+    returns its k best a query and kind; if there are several, both tables are made once."""
+    spark = vectors.sparkSession
+    reach(spark)
     if "kind" not in vectors.columns:
         vectors = vectors.withColumn("kind", F.lit("entry"))
     kinds = {**dict(queries.dtypes), **dict(vectors.dtypes)}
     out = f"query_id {kinds['query_id']}, kind string, id {kinds['id']}, score double"
     total = queries.count()
     if total == 0 or k <= 0:
-        return queries.sparkSession.createDataFrame([], out + ", rank int")
+        return spark.createDataFrame([], out + ", rank int")
     groups = -(-total // GROUP)
+    asked, held = queries.where(F.col("qvec").isNotNull()).select("query_id", "qvec"), vectors.where("vec is not null").select("kind", "id", "vec")
+    if total > MANY:  # what is made of a few files would keep a few cores at work
+        held = held.repartition(2 * spark.sparkContext.defaultParallelism)
+    if groups > 1:
+        asked, held = settled(asked, "asked"), settled(held, "vectors")
     found = None
     for g in range(groups):
-        some = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) & F.col("qvec").isNotNull()).select("query_id", "qvec").toArrow()
-        names, rows = some.column(0).to_pylist(), [np.asarray(v, float) for v in some.column(1).to_pylist()]
-        by_width = {n: ([i for i, r in enumerate(rows) if len(r) == n], np.array([r for r in rows if len(r) == n]).reshape(-1, n)) for n in {len(r) for r in rows}}
-        part = vectors.select("kind", "id", "vec").where("vec is not null").mapInArrow(_searcher(names, by_width, k, digits, some.schema.field(0).type), out)
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g).toArrow().combine_chunks()
+        if not some.num_rows:
+            continue
+        names, rows = some.column("query_id").combine_chunks(), some.column("qvec").combine_chunks()
+        width = rows.value_lengths().to_numpy()
+        by_width = {int(n): (at := np.flatnonzero(width == n), _matrix(rows.take(pa.array(at)), int(n))) for n in np.unique(width)}
+        part = held.mapInArrow(_searcher(names, by_width, k, digits), out)
         found = part if found is None else found.unionByName(part)
-    return top(found, ["query_id", "kind"], k)
+    return spark.createDataFrame([], out + ", rank int") if found is None else top(found, ["query_id", "kind"], k)
 
 
-def _searcher(names: list, by_width: dict[int, tuple[list[int], np.ndarray]], k: int, digits: int, query_type: pa.DataType):
+def _matrix(rows: pa.Array, n: int) -> np.ndarray:
+    """Lists of n numbers each; null is no number."""
+    return rows.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), n)
+
+
+def _searcher(names: pa.Array, by_width: dict[int, tuple[np.ndarray, np.ndarray]], k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, int, int], Held] = {}
         id_type = None
 
         def offer(kind: str, ids: np.ndarray, block: np.ndarray) -> None:
+            order = np.argsort(ids, kind="stable")
+            ids, block = ids[order], block[order]
             for n, (at, asked) in by_width.items():
                 m = min(n, block.shape[1])
-                for c in range(0, len(at), COLUMNS):
-                    scores = np.round(block[:, :m] @ asked[c : c + COLUMNS, :m].T, digits)
-                    for j, q in enumerate(at[c : c + COLUMNS]):
-                        s, i = scores[:, j], ids
-                        if len(s) > 4 * k:
-                            least = np.partition(s, len(s) - k)[len(s) - k]
-                            s, i = s[s >= least], i[s >= least]
-                        if (kind, q) in held:
-                            s, i = np.concatenate((held[kind, q][0], s)), np.concatenate((held[kind, q][1], i))
-                        best = np.lexsort((i, -s))[:k]
-                        held[kind, q] = s[best], i[best]
+                for c in range(0, len(at), BLOCK):
+                    some = asked[c : c + BLOCK, :m]
+                    if (kind, n, c) not in held:
+                        held[kind, n, c] = Held(len(some), k, digits)
+                    held[kind, n, c].offer(some @ block[:, :m].T, ids)
 
         for batch in batches:
             id_type = batch.schema.field("id").type
@@ -96,15 +107,10 @@ def _searcher(names: list, by_width: dict[int, tuple[list[int], np.ndarray]], k:
                     at = np.flatnonzero((kind == name) & (width == n))
                     for a in range(0, len(at), ROWS):
                         rows = at[a : a + ROWS]
-                        block = batch.column("vec").take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), int(n))
-                        offer(str(name), ids[rows], block)
-        if held:
-            keys, cells = list(held), list(held.values())
-            size = [len(s) for s, _ in cells]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[q] for (_, q), n in zip(keys, size, strict=True) for _ in range(n)], query_type), pa.array([kind for (kind, _), n in zip(keys, size, strict=True) for _ in range(n)], pa.string()), pa.array(np.concatenate([i for _, i in cells]).tolist(), id_type), pa.array(np.concatenate([s for s, _ in cells]))],
-                names=["query_id", "kind", "id", "score"],
-            )
+                        offer(str(name), ids[rows], _matrix(batch.column("vec").take(pa.array(rows)), int(n)))
+        for (name, n, c), best in held.items():
+            if len(best.q):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(by_width[n][0][c + best.q])), pa.array([name] * len(best.q), pa.string()), pa.array(best.ids.tolist(), id_type), pa.array(best.s)], names=["query_id", "kind", "id", "score"])
 
     return run
 
@@ -172,5 +178,4 @@ def rebuild_centroids(members: DataFrame, vectors: DataFrame, digits: int = 9) -
     parts = members.join(vectors, "id").select("cluster", F.posexplode("vec").alias("i", "x"))
     mean = parts.groupBy("cluster", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     whole = mean.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("p")).select("cluster", F.transform("p", lambda p: p["m"]).alias("c"))
-    length = V.norm(F.col("c"))
-    return whole.select("cluster", F.transform("c", lambda x: F.round(F.when(length > 0, x / length).otherwise(x), digits)).alias("centroid"))
+    return whole.select("cluster", F.transform(V.scaled(F.col("c")), lambda x: F.round(x, digits)).alias("centroid"))

@@ -64,17 +64,12 @@ def lexical_match(queries: DataFrame, members: DataFrame) -> DataFrame:
     return best(lexical_scores(queries, members), LEXICAL_LEAST)
 
 
-def _unit(vec: Column) -> Column:
-    length = V.norm(vec)
-    return F.transform(vec, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
-
-
 def dense_match(queries: DataFrame, intents: DataFrame, digits: int = 9) -> DataFrame:
     """By full cosine with centroids of equal width. queries: (query_id, qvec); intents: (intent_id, centroid).
 
     Products of unit vectors, matrix by matrix; centroids of another width are a kind that isn't asked."""
-    held = intents.where("centroid is not null").select(F.col("intent_id").alias("id"), _unit(F.col("centroid")).alias("vec"), F.size("centroid").cast("string").alias("kind"))
-    asked = queries.where("qvec is not null").select("query_id", _unit(F.col("qvec")).alias("qvec"))
+    held = intents.where("centroid is not null").select(F.col("intent_id").alias("id"), V.scaled(F.col("centroid")).alias("vec"), F.size("centroid").cast("string").alias("kind"))
+    asked = queries.where("qvec is not null").select("query_id", V.scaled(F.col("qvec")).alias("qvec"))
     found = dense.search(held, asked, 1, digits).join(asked.select("query_id", F.size("qvec").cast("string").alias("kind")), ["query_id", "kind"])
     return best(found.select("query_id", F.col("id").alias("intent_id"), "score"), DENSE_LEAST)
 

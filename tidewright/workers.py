@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 _LOCAL: dict[str, str] = {}
@@ -36,3 +37,13 @@ def files(spark: SparkSession, path: str):
     """A path and its file system, as Hadoop has them."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that what reads it again doesn't make it again; deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tidewright-{name}-{uuid.uuid4().hex}"
+    folder, system = files(spark, path)
+    system.deleteOnExit(folder)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
