@@ -360,6 +360,20 @@ def test_events_are_sanitised():
     assert s.size_of(got) <= 65_536 and got["id"] == "i" * 512 and got["0_id"] == ["z" * 512] * 5
 
 
+def test_events_are_written_out_once(monkeypatch):
+    from tidewright.sources import sanitise as s
+
+    written, keep = [], s.json.dumps
+    monkeypatch.setattr(s.json, "dumps", lambda *a, **b: written.append(0) or keep(*a, **b))
+    envelope = {k: "e" for k in s.ENVELOPE}
+    for junk, texts in ((9, 1), (40, 1)):  # the second is too long by its characters alone
+        event, _ = envelope | {"junk": ["j" * 4000] * junk, "query": "q"}, written.clear()
+        got = s._column(keep(event))
+        assert s.json.loads(got) == (event if junk == 9 else envelope | {"query": "q", s.CUT: True}) and len(written) == texts
+    odd = envelope | {"query": "é\x7f\ud83d\ude00", "junk": ["\x7f" * 4000] * 3}  # 72,000 bytes when escaped
+    assert s.json.loads(s._column(keep(odd))) == envelope | {"query": odd["query"].encode("utf-16", "surrogatepass").decode("utf-16"), s.CUT: True}
+
+
 def test_another_model_is_refused(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, vec array<double>")
     q = lambda n: spark.createDataFrame([("q", "x", [1.0] * n)], "query_id string, text string, qvec array<double>")

@@ -287,9 +287,12 @@ def sanitised_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(2).alias("v"), F.lit("e").alias("event_id"), k.alias("ts"), F.lit("s").alias("session_id"), F.lit("x").alias("source_id"), F.lit("search").alias("type"),
         F.repeat(F.lit("q"), ((k % 9) * 1000).cast("int")).alias("query"), F.array_repeat(F.repeat(F.lit("j"), 4000), (k % 40).cast("int")).alias("junk"), F.array_repeat(F.lit("h"), (k % 150).cast("int")).alias("hits"),
     )
-    raw = table(spark, sf_dir, "part").select("p_partkey", sanitise.sanitised(F.to_json(event)).alias("json"))
-    size = lambda name: F.coalesce(F.json_array_length(F.get_json_object("json", f"$.{name}")), F.lit(-1))
-    return raw.select("p_partkey", F.length(F.get_json_object("json", "$.query")).alias("query"), size("junk").alias("junk"), size("hits").alias("hits"), F.coalesce(F.get_json_object("json", "$.payload_truncated"), F.lit("false")).alias("cut"))
+    # A row is a few bytes in its file and 80 KB as an event: rows are dealt to all cores.
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    raw = keys.select("p_partkey", sanitise.sanitised(F.to_json(event)).alias("json"))
+    told = raw.select("p_partkey", F.json_tuple("json", "query", "junk", "hits", "payload_truncated").alias("query", "junk", "hits", "cut"))
+    size = lambda name: F.coalesce(F.json_array_length(name), F.lit(-1)).alias(name)
+    return told.select("p_partkey", F.length("query").alias("query"), size("junk"), size("hits"), F.coalesce("cut", F.lit("false")).alias("cut"))
 
 
 SANITISED = """
