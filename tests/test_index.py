@@ -1,4 +1,4 @@
-from tidewright.operators import bm25, dense
+from tidewright.operators import bm25, dense, learning
 from tidewright.plans import inputs
 
 
@@ -46,3 +46,23 @@ def test_dense_groups_read_vectors_that_are_made_once(spark, monkeypatch):
         best = sorted((-round(sum(x * y for x, y in zip(a, v, strict=True)), 6), i) for i, v in vecs)[:3]
         wanted |= {(q, n): (i, -s) for n, (s, i) in enumerate(best)}
     assert got == wanted
+
+
+def test_a_query_that_is_a_member_scores_no_other():
+    f = learning.Assigner()
+    for i in range(30):
+        f.take(f"topic {i}", i)
+    scored = []
+
+    class Bag(dict):
+        def values(self):
+            scored.append(len(self))
+            return super().values()
+
+    f.bags = {w: Bag(b) for w, b in f.bags.items()}
+    assert [f.take(f"Topic {i}!", 40)[0].name for i in (3, 29)] == ["intent_4", "intent_30"] and not scored
+    f.take("topic other", 50)
+    assert scored  # a new text is held against those that share a rare word
+    f._unlist(f.alive[3], "topic 3")
+    f._unlist(f.alive[3], "Topic 3!")
+    assert f.take("topic 3", 60)[1]

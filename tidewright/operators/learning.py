@@ -23,6 +23,8 @@ from tidewright.operators.walk import walked
 
 # Fixed values.
 MOST_MEMBERS, LABEL_TERMS, GRAPH_VERSION = 50, 5, 1
+#: Vectors of which the closest cluster is remembered.
+MOST_FOUND = 4096
 
 
 def classify(kind: Column, origin: Column, accepted: str | None = None) -> Column:
@@ -78,10 +80,10 @@ class _Cluster:
     members: dict[str, frozenset[str]] = field(default_factory=dict)
     centroid: np.ndarray | None = None
     folded: int = 0
+    name: str = field(init=False)
 
-    @property
-    def name(self) -> str:
-        return f"intent_{self.number}"
+    def __post_init__(self) -> None:
+        self.name = f"intent_{self.number}"
 
 
 class Assigner:
@@ -90,11 +92,25 @@ class Assigner:
     def __init__(self) -> None:
         self.alive: list[_Cluster] = []
         self.bags: dict[str, dict[tuple[int, str], tuple[_Cluster, frozenset[str]]]] = {}
+        self.sets: dict[frozenset[str], dict[tuple[int, str], _Cluster]] = {}  # members by their words
         self.newest = self.taken = self.births = self.oldest = 0  # none was used before `oldest`
         self.model: str | None = None
         self.tables: dict[int, tuple[list[_Cluster], np.ndarray, np.ndarray]] = {}  # centroids by width, until one changes
+        self.found: dict[bytes, _Cluster | None] = {}  # what _closest() gave, as long
+
+    def _moved(self) -> None:
+        """Centroids have changed."""
+        self.tables.clear()
+        self.found.clear()
 
     def _closest(self, vector: np.ndarray) -> _Cluster | None:
+        if (key := vector.tobytes()) not in self.found:
+            if len(self.found) >= MOST_FOUND:
+                self.found.clear()
+            self.found[key] = self._nearest(vector)
+        return self.found[key]
+
+    def _nearest(self, vector: np.ndarray) -> _Cluster | None:
         if len(vector) not in self.tables:
             some = [c for c in self.alive if c.centroid is not None and len(c.centroid) == len(vector)]
             table = np.array([c.centroid for c in some]).reshape(len(some), len(vector))
@@ -107,6 +123,8 @@ class Assigner:
 
     def _alike(self, words: frozenset[str]) -> _Cluster | None:
         """The cluster with a member of at least half the words in common. Such a member has one of the rarest words, as many as it may lack and one more."""
+        if same := self.sets.get(words):  # nothing is more alike
+            return min(same.values(), key=lambda c: c.name)
         ranked = sorted(words, key=lambda w: (len(self.bags.get(w, ())), w))
         need = math.ceil(LEXICAL_LEAST * len(words))
         near = {id(bag): (c, bag) for w in ranked[: len(words) - need + 1] for c, bag in self.bags.get(w, {}).values()}
@@ -116,11 +134,16 @@ class Assigner:
 
     def _list(self, cluster: _Cluster, text: str, words: frozenset[str]) -> None:
         cluster.members[text] = words
+        self.sets.setdefault(words, {})[cluster.birth, text] = cluster
         for w in words:
             self.bags.setdefault(w, {})[cluster.birth, text] = (cluster, words)
 
     def _unlist(self, cluster: _Cluster, text: str) -> None:
-        for w in cluster.members.pop(text):
+        words = cluster.members.pop(text)
+        del self.sets[words][cluster.birth, text]
+        if not self.sets[words]:
+            del self.sets[words]
+        for w in words:
             del self.bags[w][cluster.birth, text]
             if not self.bags[w]:
                 del self.bags[w]
@@ -143,7 +166,7 @@ class Assigner:
         if query not in cluster.members:
             self._list(cluster, query, words)
             if own is not None:
-                self.tables.clear()
+                self._moved()
                 if cluster.centroid is None or len(cluster.centroid) != len(own):
                     cluster.centroid, cluster.folded = _unit(own), 1
                 else:
@@ -154,7 +177,7 @@ class Assigner:
             self.model = model
         if self.newest - self.oldest > _OLD_MS:
             for old in [c for c in self.alive if self.newest - c.last > _OLD_MS]:
-                self.tables.clear()
+                self._moved()
                 self.alive.remove(old)
                 for text in list(old.members):
                     self._unlist(old, text)
