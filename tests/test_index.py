@@ -1,5 +1,10 @@
+import random
+
+import pandas as pd
+
 from tidewright.operators import bm25, dense, learning
 from tidewright.plans import inputs
+from tidewright.streaming import traces
 
 
 def test_written_index_answers_as_a_fresh_one(spark, small, tmp_path):
@@ -66,3 +71,30 @@ def test_a_query_that_is_a_member_scores_no_other():
     f._unlist(f.alive[3], "topic 3")
     f._unlist(f.alive[3], "Topic 3!")
     assert f.take("topic 3", 60)[1]
+
+
+def test_sessions_of_a_bucket_are_paired_in_one_call():
+    rng = random.Random(5)
+    names = {"search": "search", "tool": "tool", "skill": "skill"}
+    log = [(f"s{rng.randrange(9)}", i, rng.choice(list(names)), rng.choice([f"q{i}", None]), f"c{i}", i * 10) for i in range(300)]
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, got = State(), []
+    for a in (0, 2, 100, 101, 230):  # batches of one bucket; rows of a batch come in any order, in two frames
+        part = log[a : {0: 2, 2: 100, 100: 101, 101: 230, 230: 300}[a]]
+        rng.shuffle(part)
+        frames = [pd.DataFrame(p, columns=["session", "log_seq", "role", "query", "capability_id", "ts"]) for p in (part[:1], part[1:]) if p]
+        got += [tuple(r) for f in traces._pair((3,), iter(frames), state) for r in f.itertuples(index=False)]
+    last, wanted = {}, []
+    for session, seq, role, query, capability, ts in log:
+        if role == "search":
+            last[session] = [seq, query or "", True]
+        elif session in last:
+            wanted.append((session, seq, role, capability, ts, *last[session]))
+            last[session][2] = False
+    assert sorted(got, key=lambda r: r[1]) == wanted and len(state.get[0]) == len(last)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewright.sources.tracelog import MOST_PENDING
@@ -13,24 +15,42 @@ from tidewright.sources.tracelog import MOST_PENDING
 PAIRED = "session string, log_seq long, kind string, capability_id string, ts long, search_seq long, query string, first_confirmation boolean"
 
 
+#: Sessions are dealt by hash to so many keys of state: a call for each session and batch would cost more than its rows.
+BUCKETS = 512
+_HELD = "sessions array<string>, search_seqs array<long>, queries array<string>, used array<boolean>"
+
+
 def _pair(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    search_seq, query, used = state.get if state.exists else (-1, "", False)  # -1: none yet
-    rows = pd.concat(list(frames)).sort_values("log_seq")
-    out = []
-    for r in rows.itertuples():
-        if r.role == "search":
-            search_seq, query, used = int(r.log_seq), r.query or "", False
-        elif search_seq >= 0:
-            out.append([str(key[0]), r.log_seq, r.role, r.capability_id, r.ts, search_seq, query, not used])
-            used = True
-    state.update((search_seq, query, used))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PAIRED.split(", ")])
+    """The sessions of one bucket: what is held of each, its last search, comes before its rows."""
+    rows = pd.concat(list(frames), ignore_index=True)
+    sessions, searches, queries, used = state.get if state.exists else ([], [], [], [])
+    held, n = len(sessions), len(sessions) + len(rows)
+    session = np.array([*sessions, *rows["session"]], object)
+    code = pd.factorize(session)[0]
+    seq = np.concatenate((np.array(searches, np.int64), rows["log_seq"].to_numpy(np.int64)))
+    order = np.lexsort((seq, np.arange(n) >= held, code))
+    search = np.concatenate((np.ones(held, bool), (rows["role"] == "search").to_numpy(bool)))[order]
+    code, at = code[order], np.arange(n)
+    last = np.maximum.accumulate(np.where(search, at, -1))  # place of the search that a row belongs to
+    known = (last >= 0) & (code[last] == code)
+    query = np.array([*queries, *(q if isinstance(q, str) else "" for q in rows["query"])], object)
+    spent = np.concatenate((np.array(used, bool), np.zeros(len(rows), bool)))[order]
+    found = np.flatnonzero(known & ~search)
+    of = last[found]
+    first = np.diff(of, prepend=-1) != 0
+    first &= ~spent[of]
+    spent[of] = True
+    kept = last[np.flatnonzero(known & (np.diff(code, append=-1) != 0))]
+    state.update((session[order[kept]].tolist(), seq[order[kept]].tolist(), query[order[kept]].tolist(), spent[kept].tolist()))
+    if len(found):
+        own = rows.iloc[order[found] - held]
+        yield pd.DataFrame({"session": own["session"].to_numpy(), "log_seq": own["log_seq"].to_numpy(), "kind": own["role"].to_numpy(), "capability_id": own["capability_id"].to_numpy(), "ts": own["ts"].to_numpy(), "search_seq": seq[order[of]], "query": query[order[of]], "first_confirmation": first})
 
 
 def paired(events: DataFrame) -> DataFrame:
     """What learning.pair() gives, from a stream of (session, log_seq, role, query, capability_id, ts): the state of a session is its last search."""
-    return events.where("role is not null").groupBy("session").applyInPandasWithState(_pair, PAIRED, "search_seq long, query string, used boolean", "append", GroupStateTimeout.NoTimeout)
+    rows = events.where("role is not null").select(F.pmod(F.xxhash64("session"), F.lit(BUCKETS)).alias("bucket"), F.coalesce(F.col("session").cast("string"), F.lit("None")).alias("session"), "log_seq", "role", "query", "capability_id", "ts")
+    return rows.groupBy("bucket").applyInPandasWithState(_pair, PAIRED, _HELD, "append", GroupStateTimeout.NoTimeout)
 
 
 CORRELATED = "source_id string, tool_id string, log_seq long, type string, invocation string"
